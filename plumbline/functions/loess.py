@@ -9,27 +9,36 @@ CELLS = 4_000_000  # neighbourhood cells held at once
 
 
 def loess(y: np.ndarray, span: int, at: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Local linear fits at positions `at` of a series at 0..n-1, each over its `span` nearest points."""
-    n = len(y)
-    q = min(span, n)
-    out = np.empty(len(at))
-    for lo in range(0, len(at), max(1, CELLS // q)):
-        x = at[lo : lo + max(1, CELLS // q)].astype(float)
+    """Local linear fits at positions `at` of a series at 0..n-1, each over its `span` nearest
+    points. `y` and `weights` may hold several series of equal length as columns."""
+    n, q = len(y), min(span, len(y))
+    several = y.ndim == 2
+    y, weights = y.reshape(n, -1), weights.reshape(n, -1)
+    out = np.empty((len(at), y.shape[1]))
+    rows = max(1, CELLS // (q * y.shape[1]))
+    for lo in range(0, len(at), rows):
+        x = at[lo : lo + rows].astype(float)
         start = np.clip(x - (q - 1) // 2, 0, n - q).astype(int)
         near = start[:, None] + np.arange(q)
         offset = near - x[:, None]
         reach = np.maximum(x - start, start + q - 1 - x) + max(0, (span - n) // 2)
-        reach = np.maximum(reach, 1e-9)[:, None]
-        w = (1 - np.clip(np.abs(offset) / (reach * 1.001), 0, 1) ** 3) ** 3 * weights[near]
+        closeness = (1 - np.clip(np.abs(offset) / (np.maximum(reach, 1e-9)[:, None] * 1.001), 0, 1) ** 3) ** 3
+        w = closeness[:, :, None] * weights[near]
         total = w.sum(1)
-        safe = np.where(total > 0, total, 1)
-        w = w / safe[:, None]
-        mean_x = (w * offset).sum(1)
+        w = w / np.where(total > 0, total, 1)[:, None]
+        offset, points = offset[:, :, None], y[near]
+        mean_x, mean_y = (w * offset).sum(1), (w * points).sum(1)
         spread = (w * offset**2).sum(1) - mean_x**2
-        mean_y = (w * y[near]).sum(1)
-        slope = ((w * offset * y[near]).sum(1) - mean_x * mean_y) / np.where(spread > 1e-12, spread, np.inf)
-        out[lo : lo + len(x)] = np.where(total > 0, mean_y - slope * mean_x, y[np.clip(start, 0, n - 1)])
-    return out
+        slope = ((w * offset * points).sum(1) - mean_x * mean_y) / np.where(spread > 1e-12, spread, np.inf)
+        out[lo : lo + rows] = np.where(total > 0, mean_y - slope * mean_x, points[:, 0])
+    return out if several else out[:, 0]
+
+
+def _smooth(y: np.ndarray, span: int, weights: np.ndarray) -> np.ndarray:
+    """LOESS at every (span / 10)-th position and the last, straight lines in between."""
+    n = len(y)
+    at = np.unique(np.append(np.arange(0, n, max(1, -(-span // 10))), n - 1))
+    return np.interp(np.arange(n), at, loess(y, span, at, weights))
 
 
 def _odd(x: float) -> int:
@@ -46,20 +55,24 @@ def stl(y: np.ndarray, period: int, seasonal: int = 7, outer: int = 5) -> tuple[
     n = len(y)
     if n <= 2 * period:
         raise ValueError(f"{n} points are too few for a season of {period}")
-    every = np.arange(n)
     trend_span = _odd(1.5 * period / (1 - 1.5 / seasonal))
     season, trend, weights = np.zeros(n), np.zeros(n), np.ones(n)
     for round_ in range(outer + 1):
         for _ in range(2):
             rest = y - trend
             cycle = np.empty(n + 2 * period)
-            for phase in range(period):
-                part = rest[phase::period]
-                cycle[phase::period] = loess(part, seasonal, np.arange(-1, len(part) + 1), weights[phase::period])
+            for first, last in ((0, n % period), (n % period, period)):
+                if first == last:
+                    continue
+                # phases first..last-1 have equally many points: one column each
+                length = (n - first - 1) // period + 1
+                cells = np.arange(first, last) + period * np.arange(length)[:, None]
+                smooth = loess(rest[cells], seasonal, np.arange(-1, length + 1), weights[cells])
+                cycle[np.arange(first, last) + period * np.arange(length + 2)[:, None]] = smooth
             low = _average(_average(_average(cycle, period), period), 3)
-            low = loess(low, _odd(period), every, np.ones(n))
+            low = _smooth(low, _odd(period), np.ones(n))
             season = cycle[period:-period] - low
-            trend = loess(y - season, trend_span, every, weights)
+            trend = _smooth(y - season, trend_span, weights)
         if round_ < outer:
             size = np.abs(y - season - trend)
             scale = 6 * np.median(size)

@@ -47,7 +47,15 @@ def strict_timestamp(text: Column) -> Column:
 
 
 def truncate(unit: str, ts: Column) -> Column:
-    return F.date_trunc(unit, ts).cast("timestamp_ntz")
+    """Start of the day, week (Monday), month or quarter; no time zone comes into it."""
+    day = ts.cast("date")
+    return (day if unit == "day" else F.trunc(day, unit)).cast("timestamp_ntz")
+
+
+def micros(ts: Column) -> Column:
+    """Microseconds since 1970 of a timestamp without time zone, order-preserving."""
+    minutes = (F.unix_date(ts.cast("date")) * F.lit(24).cast("bigint") + F.hour(ts)) * 60 + F.minute(ts)
+    return minutes * 60_000_000 + (F.extract(F.lit("SECONDS"), ts) * 1_000_000).cast("bigint")
 
 
 def _text(ts: Column, separator: str) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.times import micros
 from .skew import chunk_window, earlier_chunks, with_chunks
 
 
@@ -30,7 +31,7 @@ def asof_join(
     left_names = set(left.columns)
     payload = [c for c in right.columns if c not in by]
     renamed = [c if c not in left_names else f"{c}_right" for c in payload]
-    time_of = lambda name: F.unix_micros(F.col(name).cast("timestamp"))
+    time_of = lambda name: micros(F.col(name).cast("timestamp_ntz"))
 
     last_rows = (
         right.where(F.col(right_on).isNotNull())

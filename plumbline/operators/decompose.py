@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.loess import mstl, stl
 from ..functions.times import FREQUENCIES, iso_text
+from ..session import shuffle_partitions
 from .anomaly import FENCE, LIMIT, classic, esd, iqr, moving_average
 from .series import MIN_POINTS, resample, series_points
 
@@ -87,6 +88,8 @@ def _per_series(points: DataFrame, freq: str, by: Sequence[str], pick: Callable)
         return pd.DataFrame([row]).reindex(columns=out.names)
 
     steps = points.select(*names, _step_of(freq, F.col("ts")).alias("step"), "value")
+    if names:  # series are small in bytes but costly: keep them in many tasks
+        steps = steps.repartition(shuffle_partitions(points.sparkSession), *names)
     found = steps.groupBy(*names).applyInPandas(detect, out)
     return found.select(*names, _start_of(freq, F.col("step")).alias("ts"), "value", "score", "method", "error")
 
