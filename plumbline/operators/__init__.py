@@ -24,6 +24,7 @@ from .profile import (
     table_shape,
 )
 from .quantile import exact_quantiles
+from .rangecount import count_within
 from .rangejoin import range_join
 from .series import long_enough, ordered, resample, series_points
 from .sqlrun import QueryError, distinct_on, preview_sql, run_sql

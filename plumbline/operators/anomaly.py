@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from ..functions.student import esd_limits
 from ..functions.text import number_of
 from ..functions.times import FREQUENCIES, iso_text
+from ..session import shuffle_partitions
 from .quantile import exact_quantiles
 from .series import MIN_POINTS
 from .skew import split_join
@@ -169,7 +170,10 @@ def esd(
     tails = ends.select(
         *names, "_key", "_v", "_r", *[F.lit(None).cast(heads.schema[c].dataType).alias(c) for c in ("_n", "_mean", "_var")]
     )
-    found = heads.unionByName(tails).groupBy(*names).applyInPandas(rosner, out)
+    parts = heads.unionByName(tails)
+    if names:  # few bytes per series, but work: keep the series in many tasks
+        parts = parts.repartition(shuffle_partitions(df.sparkSession), *names)
+    found = parts.groupBy(*names).applyInPandas(rosner, out)
     return found.select(*names, F.col("_key").alias(key), F.col("_v").alias(value), "score")
 
 

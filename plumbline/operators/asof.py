@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import micros
-from .skew import chunk_window, earlier_chunks, with_chunks
+from .skew import chunk_window, earlier_chunks, hot_keys, renamed, same, with_chunks
 
 
 def asof_join(
@@ -19,48 +19,53 @@ def asof_join(
     right_on: str | None = None,
     how: str = "inner",
 ) -> DataFrame:
-    """Both sides are laid on one time line per key and the last right row is carried forward.
-
-    Nothing is paired: the work is one sort of both tables. A hot key is cut into ranges of
-    time, each scanned alone; the last right row of the earlier ranges is carried in from one
-    summary row per range. Among right rows with equal key and time the greatest one (by its
-    columns, in order) is taken.
+    """No pairs are formed. Both sides are reduced to one row per key and instant, the last right
+    row is carried forward along each key's instants, and every left row looks up its instant.
+    Copies fold before the shuffle; a hot key is cut into ranges of time that are scanned
+    apart, with the last right row of earlier ranges handed over in one summary row per range.
+    Among right rows with equal key and time the greatest one (by its columns, in order) counts.
     """
     right_on = right_on or on
     by = list(by)
-    left_names = set(left.columns)
     payload = [c for c in right.columns if c not in by]
-    renamed = [c if c not in left_names else f"{c}_right" for c in payload]
-    time_of = lambda name: micros(F.col(name).cast("timestamp_ntz"))
+    renamed_payload = [c if c not in left.columns else f"{c}_right" for c in payload]
 
-    last_rows = (
-        right.where(F.col(right_on).isNotNull())
-        .groupBy(*by, time_of(right_on).alias("_at"))
-        .agg(F.max(F.struct(*[F.col(c).alias(r) for c, r in zip(payload, renamed)])).alias("_r"))
+    rows = left.withColumn("_at", micros(F.col(on).cast("timestamp_ntz")))
+    marks = right.select(
+        *by,
+        micros(F.col(right_on).cast("timestamp_ntz")).alias("_at"),
+        F.struct(*[F.col(c).alias(r) for c, r in zip(payload, renamed_payload)]).alias("_r"),
     )
-    right_type = last_rows.schema["_r"].dataType
-    rows = left.select(
-        *by, time_of(on).alias("_at"), F.struct("*").alias("_l"), F.lit(None).cast(right_type).alias("_r")
+    places = rows.select(*by, "_at").unionByName(marks.select(*by, "_at")).dropna()
+    no_mark = F.lit(None).cast(marks.schema["_r"].dataType).alias("_r")
+    instants = (
+        rows.select(*by, "_at", no_mark, F.lit(True).alias("_asked"))
+        .unionByName(marks.select("*", F.lit(False).alias("_asked")))
+        .dropna(subset=[*by, "_at"])
+        .groupBy(*by, "_at")
+        .agg(F.max("_r").alias("_r"), F.max("_asked").alias("_asked"))
     )
-    left_type = rows.schema["_l"].dataType
-    marks = last_rows.select(*by, "_at", F.lit(None).cast(left_type).alias("_l"), "_r")
-    line = with_chunks(rows.unionByName(marks), by, "_at")
+    line, chunked = with_chunks(instants, by, "_at", places)
+    found = line.withColumn("_here", F.last("_r", ignorenulls=True).over(chunk_window(by, "_at"))).where("_asked")
+    if chunked:
+        carried = (
+            line.where("_chunk > 0")
+            .groupBy(*by, "_chunk")
+            .agg(F.max(F.when(F.col("_r").isNotNull(), F.struct("_at", "_r"))).alias("_last"))
+            .withColumn("_before", F.last("_last", ignorenulls=True).over(earlier_chunks(by))["_r"])
+            .select(*by, "_chunk", "_before")
+        )
+        found = found.join(carried, [*by, "_chunk"], "left").withColumn("_here", F.coalesce("_here", "_before"))
+    found = found.select(*renamed([*by, "_at"]), F.col("_here").alias("_r")).where(F.col("_r").isNotNull())
 
-    # a right row sorts before the left rows of the same instant
-    here = F.last("_r", ignorenulls=True).over(chunk_window(by, "_at", F.col("_l").isNotNull()))
-    carried = (
-        line.where("_chunk > 0")
-        .groupBy(*by, "_chunk")
-        .agg(F.max(F.when(F.col("_r").isNotNull(), F.struct("_at", "_r"))).alias("_m"))
-        .withColumn("_before", F.last("_m", ignorenulls=True).over(earlier_chunks(by)))
-        .select(*by, "_chunk", F.col("_before._r").alias("_before"))
-    )
-    found = (
-        line.withColumn("_here", here)
-        .where(F.col("_l").isNotNull())
-        .join(carried, [*by, "_chunk"], "left")
-        .select("_l", F.when(F.col("_l")[on].isNotNull(), F.coalesce("_here", "_before")).alias("_r"))
-    )
-    if how == "inner":
-        found = found.where(F.col("_r").isNotNull())
-    return found.select("_l.*", *[F.col("_r")[r].alias(r) for r in renamed])
+    keys = [*by, "_at"]
+    copies = hot_keys(rows.select(*keys), keys) if chunked else None
+    if copies is None:
+        joined = rows.join(found, same(keys), how)
+    else:  # many left rows at one instant: they meet a broadcast of fewer than p answers
+        names = copies.columns
+        far = rows.join(F.broadcast(copies), same(keys), "left_anti").join(found, same(keys), how)
+        answers = found.join(F.broadcast(copies), names, "left_semi")
+        crowd = rows.join(F.broadcast(copies), same(keys), "left_semi")
+        joined = far.unionByName(crowd.join(F.broadcast(answers), same(keys), how))
+    return joined.select(*left.columns, *[F.col("_r")[r].alias(r) for r in renamed_payload])

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from .skew import chunk_window, earlier_chunks, with_chunks
+from ..session import ensure_checkpoint_dir
+from .skew import running_sum, split_join, with_chunks
 
+ACCURACY = 10_000  # the sketch's rank error is at most 1 / ACCURACY of the rows
 SMALL_GROUP = 100_000  # distinct values one aggregation buffer may hold
 
 
@@ -23,8 +24,9 @@ def exact_quantiles(
     """One row per group: by..., n (rows) and one column per name in `probs`.
 
     The built-in percentile keeps every distinct value of a group in one buffer. It is used
-    only after a count showed that no group has more than about `small_group` of them;
-    otherwise the ranks come from a sorted running count that is cut into ranges.
+    only after a count showed that no group has more than about `small_group` of them. Beyond
+    that a sketch brackets each quantile, rows below the bracket are only counted, and the few
+    values inside it are ranked exactly.
     """
     rows = df.where(F.col(value).isNotNull())
     keys = list(by) or ["_all"]
@@ -42,33 +44,46 @@ def exact_quantiles(
 
 
 def _by_rank(rows: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
-    values = with_chunks(rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")), keys, "_v")
-    chunks = (
-        values.groupBy(*keys, "_chunk")
-        .agg(F.sum("_c").alias("_m"))
-        .withColumn("_start", F.coalesce(F.sum("_m").over(earlier_chunks(keys)), F.lit(0)))
-        .withColumn("n", F.sum("_m").over(W.partitionBy(*keys)))
-        .select(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)], F.col("_chunk").alias("_h"), "_start", "n")
+    names = list(probs)
+    margin = 2 / ACCURACY  # twice the sketch's rank error
+    ends = [e for p in probs.values() for e in (max(p - margin, 0.0), min(p + margin, 1.0))]
+    brackets = rows.groupBy(*keys).agg(
+        F.count("_v").alias("n"), F.percentile_approx("_v", ends, ACCURACY).alias("_e")
     )
-    same = F.lit(True)
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_g{i}"))
-    same = same & (F.col("_chunk") == F.col("_h"))
-    ranked = (
-        values.withColumn("_run", F.sum("_c").over(chunk_window(keys, "_v")))
-        .join(chunks, same)
-        .withColumn("_end", F.col("_start") + F.col("_run"))
+
+    # one entry per quantile not yet passed: the value inside its bracket, NULL below it
+    def entry(i: int) -> Column:
+        low, high = F.get("_e", F.lit(2 * i)), F.get("_e", F.lit(2 * i + 1))
+        inside = F.struct(F.lit(i).alias("_i"), F.when(F.col("_v") >= low, F.col("_v")).alias("_v"))
+        return F.when(F.col("_v") <= high, inside)
+
+    kept = split_join(rows, brackets, keys, "n").select(
+        *keys, "n", F.inline(F.array_compact(F.array(*[entry(i) for i in range(len(names))])))
     )
-    picks = []
-    for i, p in enumerate(probs.values()):
-        position = F.lit(p) * (F.col("n") - 1)
-        for side, rank in (("lo", F.floor(position)), ("hi", F.ceil(position))):
-            holds = (F.col("_end") > rank) & (F.col("_end") - F.col("_c") <= rank)
-            picks.append(F.max(F.when(holds, F.col("_v"))).alias(f"_{side}{i}"))
-    found = ranked.groupBy(*keys).agg(F.max("n").alias("n"), *picks)
-    for i, (name, p) in enumerate(probs.items()):
-        position = F.lit(p) * (F.col("n") - 1)
-        part = position - F.floor(position)
-        found = found.withColumn(name, F.col(f"_lo{i}") + part * (F.col(f"_hi{i}") - F.col(f"_lo{i}")))
-    return found
+    parts = [*keys, "_i"]
+    counted = kept.groupBy(*parts, "n", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    ensure_checkpoint_dir(rows.sparkSession)
+    counted = counted.checkpoint()  # read several times below; about 4 / ACCURACY of the values
+    line, chunked = with_chunks(counted, parts, "_v", counted)
+    ranked = running_sum(line, chunked, parts, "_c", F.asc_nulls_first("_v")).withColumnRenamed("_run", "_end")
+    chosen = F.element_at(F.array(*[F.lit(p) for p in probs.values()]), F.col("_i") + 1)
+    position = chosen * (F.col("n") - 1)
+
+    def at_rank(rank: Column) -> Column:
+        holds = (F.col("_end") > rank) & (F.col("_end") - F.col("_c") <= rank)
+        return F.max(F.when(holds, F.col("_v")))
 
+    low, high, part = F.col("_low"), F.col("_high"), F.col("_part")
+    missed = F.raise_error(F.lit("a quantile fell outside its bracket")).cast("double")
+    found = (
+        ranked.withColumn("_position", position)
+        .groupBy(*parts, "n")
+        .agg(
+            at_rank(F.floor("_position")).alias("_low"),
+            at_rank(F.ceil("_position")).alias("_high"),
+            F.max(F.col("_position") - F.floor("_position")).alias("_part"),
+        )
+        .withColumn("_q", F.when(low.isNull() | high.isNull(), missed).otherwise(low + part * (high - low)))
+    )
+    columns = [F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(name) for i, name in enumerate(names)]
+    return found.groupBy(*keys, "n").agg(*columns)

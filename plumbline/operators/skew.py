@@ -1,7 +1,9 @@
 """Joins and ordered scans that hold when one key owns a large share of the rows.
 
 A key is *hot* when it holds more than 1/p of all rows, p = shuffle partitions. There are
-fewer than p such keys by arithmetic, so a list of them may always be broadcast.
+fewer than p such keys by arithmetic, so they may always be listed on the driver and broadcast.
+They are measured first, by a job over the key columns only; where there are none, which is the
+usual case, the plan that follows is the plain one.
 """
 
 from __future__ import annotations
@@ -9,48 +11,79 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..session import shuffle_partitions
 
-MAX_HOT = 10_000  # hot keys and range cuts are never more than this
+MAX_HOT = 10_000  # never more hot keys or range cuts than this
 
 
 def _share(df: DataFrame) -> int:
     return min(shuffle_partitions(df.sparkSession), MAX_HOT)
 
 
-def _renamed(keys: Sequence[str]) -> list[Column]:
+def renamed(keys: Sequence[str]) -> list[Column]:
     return [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
 
 
-def _same(keys: Sequence[str]) -> Column:
+def same(keys: Sequence[str]) -> Column:
+    """Null-safe equality with the columns made by renamed()."""
     return reduce(
         lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
     )
 
 
-def _hot(per_key: DataFrame, weight: str) -> Column:
-    total = per_key.agg(F.sum(weight)).scalar()
-    return F.col(weight) * _share(per_key) > total
+def _heaviest(per_key: DataFrame, weight: str) -> tuple[list, bool]:
+    """The hot rows of `per_key`, and whether they are all there are. Fewer than p rows come to
+    the driver, by a top-k."""
+    share = _share(per_key)
+    seen = Observation()
+    figures = per_key.observe(seen, F.sum(weight).alias("total"), F.count(F.lit(1)).alias("keys"))
+    top = figures.orderBy(F.desc(weight)).limit(share).collect()
+    total, keys = seen.get["total"] or 0, seen.get["keys"]
+    if keys <= share:
+        return top, True
+    return [r for r in top if r[weight] * share > total], False
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
+    """The keys that hold more than 1/p of the rows, renamed by renamed(); None if there are none."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    share = _share(df)
+    seen = Observation()
+    top = sizes.observe(seen, F.sum("_n").alias("total")).orderBy(F.desc("_n")).limit(share).collect()
+    hot = [tuple(r)[:-1] for r in top if r["_n"] * share > (seen.get["total"] or 0)]
+    if not hot:
+        return None
+    schema = T.StructType([T.StructField(f"_k{i}", df.schema[k].dataType) for i, k in enumerate(keys)])
+    return df.sparkSession.createDataFrame(hot, schema)
 
 
 def split_join(left: DataFrame, per_key: DataFrame, keys: Sequence[str], weight: str) -> DataFrame:
     """Inner, null-safe join of rows to one row per key; `weight` = rows of the key in `left`.
 
-    Hot keys meet a broadcast of fewer than p rows and are never shuffled; all others take a
-    shuffled join in which no key holds more than 1/p of the rows.
+    The rows of hot keys, or all rows if there are no more keys than partitions, meet a
+    broadcast of at most p rows and are never shuffled. The others take a shuffled join in which
+    no key holds more than 1/p of the rows.
     """
     names = [c for c in per_key.columns if c not in keys]
-    right = per_key.select(*_renamed(keys), *names)
-    hot = right.where(_hot(right, weight))
-    cold = right.where(~_hot(right, weight))
+    right = per_key.select(*renamed(keys), *names)
     key_names = [f"_k{i}" for i in range(len(keys))]
-    near = left.join(F.broadcast(hot), _same(keys))
-    far = left.join(F.broadcast(hot.select(*key_names)), _same(keys), "left_anti").join(cold, _same(keys))
-    return near.unionByName(far).drop(*key_names)
+    top, complete = _heaviest(right, weight)
+    near = F.broadcast(left.sparkSession.createDataFrame([tuple(r) for r in top], right.schema))
+    joined = left.join(near, same(keys))
+    if not complete:
+        heavy = near.select(*key_names)
+        if top:
+            left = left.join(F.broadcast(heavy), same(keys), "left_anti")
+            least = min(r[weight] for r in top)
+            right = right.where(F.col(weight) < least)
+        far = left.join(right, same(keys))
+        joined = joined.unionByName(far) if top else far
+    return joined.drop(*key_names)
 
 
 def range_index(value: Column, cuts: Column, steps: int) -> Column:
@@ -63,26 +96,28 @@ def range_index(value: Column, cuts: Column, steps: int) -> Column:
     )
 
 
-def with_chunks(df: DataFrame, by: Sequence[str], order: str) -> DataFrame:
-    """Add `_chunk`: 0 for ordinary keys; for hot keys the number (from 1) of the row's range of
-    `order` (a number), the ranges cut so that each holds about 1/p of the hot rows.
+def with_chunks(df: DataFrame, by: Sequence[str], order: str, measure: DataFrame) -> tuple[DataFrame, bool]:
+    """(df with `_chunk`, whether any chunk is used).
 
-    Grouping or windowing by (by, _chunk) then never puts more than about 1/p of all rows in
-    one task, and chunks of one key follow each other in `order`.
+    `_chunk` is 0 for ordinary keys; for hot keys the number (from 1) of the row's range of
+    `order` (a number), the ranges cut so that each holds about 1/p of the hot rows. Grouping or
+    windowing by (by, _chunk) then never puts more than about 1/p of all rows in one task,
+    and chunks of one key follow each other in `order`; rows without `order` come first.
+    `measure` has the columns `by` and `order` of the same rows, from a plan that is cheap to run.
     """
-    share = _share(df)
-    steps = max(1, (share - 1).bit_length())
+    hot = hot_keys(measure, by)
+    if hot is None:
+        return df.withColumn("_chunk", F.lit(0)), False
+    steps = max(1, (_share(df) - 1).bit_length())
     grid = [i / 2**steps for i in range(1, 2**steps)]
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    hot = sizes.where(_hot(sizes, "_n")).select(*_renamed(by), F.lit(True).alias("_hot"))
-    flagged = df.join(F.broadcast(hot), _same(by), "left").drop(*[f"_k{i}" for i in range(len(by))])
-    cuts = flagged.where("_hot").agg(F.percentile_approx(order, grid, 16 * 2**steps)).scalar()
-    index = F.when(F.col("_hot"), 1 + range_index(F.col(order), F.col("_cuts"), steps))
-    return (
-        flagged.withColumn("_cuts", cuts)
-        .withColumn("_chunk", F.coalesce(index, F.lit(0)))
-        .drop("_hot", "_cuts")
-    )
+    hot_rows = measure.join(F.broadcast(hot), same(by), "left_semi")
+    cuts = hot_rows.agg(F.percentile_approx(order, grid, 16 * 2**steps)).first()[0]
+    if not cuts:
+        return df.withColumn("_chunk", F.lit(0)), False
+    flagged = df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), same(by), "left")
+    at = F.coalesce(range_index(F.col(order), F.lit(cuts), steps), F.lit(0))
+    chunk = F.when(F.col("_hot"), 1 + at).otherwise(0)
+    return flagged.withColumn("_chunk", chunk).drop("_hot", *[f"_k{i}" for i in range(len(by))]), True
 
 
 def chunk_window(by: Sequence[str], *order: Column | str):
@@ -93,3 +128,19 @@ def chunk_window(by: Sequence[str], *order: Column | str):
 def earlier_chunks(by: Sequence[str]):
     """Summaries of the key's chunks before this one: at most 2p rows per key."""
     return W.partitionBy(*by).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+
+
+def running_sum(line: DataFrame, chunked: bool, by: Sequence[str], what: str, *order: Column | str) -> DataFrame:
+    """Add `_run`: the sum of `what` along each key in `order`, over all its chunks."""
+    local = line.withColumn("_run", F.sum(what).over(chunk_window(by, *order)))
+    if not chunked:
+        return local
+    starts = (
+        line.where("_chunk > 0")
+        .groupBy(*by, "_chunk")
+        .agg(F.sum(what).alias("_m"))
+        .withColumn("_start", F.sum("_m").over(earlier_chunks(by)))
+        .select(*renamed([*by, "_chunk"]), "_start")
+    )
+    joined = local.join(starts, same([*by, "_chunk"]), "left")
+    return joined.withColumn("_run", F.col("_run") + F.coalesce("_start", F.lit(0))).select(*local.columns)

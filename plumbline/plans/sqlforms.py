@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.times import micros
 from ..operators.asof import asof_join
+from ..operators.rangecount import count_within
 from ..operators.rangejoin import range_join
 from ..operators.sqlrun import distinct_on, preview_sql, run_sql
 from .registry import plan, sql_plan, table
@@ -80,17 +81,16 @@ def sql_join_theta(spark, sf_dir):
 
 @plan(
     "sql_join_interval",
-    "select p.event_id as purchase_id, c.event_id as click_id from events p join events c on p.user_id = c.user_id "
-    "and c.ts between p.ts - interval 6 hours and p.ts where p.event_type = 'purchase' and c.event_type = 'click'",
+    "select p.event_id as purchase_id, count(c.event_id) as clicks from (select * from events where event_type = 'purchase') p "
+    "left join (select * from events where event_type = 'click') c on p.user_id = c.user_id and c.ts between p.ts - interval 6 hours and p.ts group by 1",
 )
 def sql_join_interval(spark, sf_dir):
-    """Clicks in the 6 hours before each purchase of the same user."""
-    events = table(spark, sf_dir, "events")
-    hours = 6 * 3600 * 1_000_000
-    clicks = events.where("event_type = 'click'").select("user_id", F.col("event_id").alias("click_id"), micros(F.col("ts")).alias("at"))
-    buys = events.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("purchase_id"), micros(F.col("ts")).alias("until"))
-    joined = range_join(clicks, buys, F.col("at"), F.col("until") - hours, F.col("until"), hours, by=["user_id"])
-    return joined.select("purchase_id", "click_id")
+    """Clicks of the same user in the 6 hours before each purchase, counted without pairs."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", micros(F.col("ts")).alias("at"))
+    clicks = events.where("event_type = 'click'").select("user_id", "at")
+    start = F.col("at") - 6 * 3600 * 1_000_000
+    buys = events.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("purchase_id"), start.alias("since"), F.col("at").alias("until"))
+    return count_within(clicks, buys, "at", "since", "until", "purchase_id", ["user_id"]).withColumnRenamed("n", "clicks")
 
 
 @plan(

@@ -29,6 +29,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """checkpoint() needs a folder: the one the cluster names, or a scratch one in local tests."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        spark.sparkContext.setCheckpointDir(base or scratch_dir(spark, "checkpoint"))
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new folder name under the shared folder the cluster names in spark.checkpoint.dir.
 
