@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .names import named
+
 # The code points Python's str.strip() removes.
 WHITESPACE = (
     "\u0009\u000a\u000b\u000c\u000d\u001c\u001d\u001e\u001f\u0020\u0085\u00a0\u1680"
@@ -51,7 +53,7 @@ def is_numeric_type(dtype: T.DataType) -> bool:
 
 def number_of(df: DataFrame, name: str) -> Column:
     """The column as a double, whatever its type; NULL where it holds no number."""
-    c, dtype = df[name], df.schema[name].dataType
+    c, dtype = named(name), df.schema[name].dataType
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
         return nan_to_null(c.cast("double"))
     if isinstance(dtype, T.BooleanType):
@@ -63,7 +65,7 @@ def number_of(df: DataFrame, name: str) -> Column:
 
 def present(df: DataFrame, name: str) -> Column:
     """The column with NaN read as NULL; other types unchanged."""
-    c = df[name]
+    c = named(name)
     if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
         return F.when(~F.isnan(c), c)
     return c

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from ..functions.names import all_named, named
 from ..functions.student import esd_limits
 from ..functions.text import number_of
 from ..functions.times import FREQUENCIES, iso_text
@@ -38,12 +39,12 @@ def zscore(df: DataFrame, value: str, by: Sequence[str] = (), limit: float = LIM
     rows = df.withColumn("_v", number_of(df, value))
     figures = [F.avg("_v").alias("_mean"), F.stddev_samp("_v").alias("_std")]
     if by:
-        stats = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *figures)
+        stats = rows.groupBy(*all_named(by)).agg(F.count(F.lit(1)).alias("_n"), *figures)
         scored = split_join(rows, stats, by, "_n").withColumn("score", _score(F.col("_v"), F.col("_mean"), F.col("_std")))
     else:
         stat = rows.agg(F.struct(*figures)).scalar()
         scored = rows.withColumn("score", _score(F.col("_v"), stat["_mean"], stat["_std"]))
-    return scored.where(F.abs("score") > limit).select(*df.columns, "score")
+    return scored.where(F.abs("score") > limit).select(*all_named(df.columns), "score")
 
 
 def iqr(df: DataFrame, value: str, by: Sequence[str] = (), fence: float = FENCE) -> DataFrame:
@@ -51,18 +52,18 @@ def iqr(df: DataFrame, value: str, by: Sequence[str] = (), fence: float = FENCE)
     rows = df.withColumn("_v", number_of(df, value))
     quartiles = exact_quantiles(rows, "_v", {"_q1": 0.25, "_q3": 0.75}, by)
     span = F.lit(fence) * (F.col("_q3") - F.col("_q1"))
-    fences = quartiles.select(*by, "n", (F.col("_q1") - span).alias("low"), (F.col("_q3") + span).alias("high"))
+    fences = quartiles.select(*all_named(by), "n", (F.col("_q1") - span).alias("low"), (F.col("_q3") + span).alias("high"))
     if by:
         fenced = split_join(rows.where("_v is not null"), fences, by, "n")
     else:
         pair = fences.select(F.struct("low", "high")).scalar()
         fenced = rows.withColumns({"low": pair["low"], "high": pair["high"]})
-    return fenced.where("_v < low or _v > high").select(*df.columns, "low", "high")
+    return fenced.where("_v < low or _v > high").select(*all_named(df.columns), "low", "high")
 
 
 def _series(by: Sequence[str]):
     """Window over one resampled series; its length is bounded by the calendar."""
-    return W.partitionBy(*by)
+    return W.partitionBy(*all_named(by))
 
 
 def _flag_residuals(rows: DataFrame, by: Sequence[str], limit: float) -> DataFrame:
@@ -70,7 +71,7 @@ def _flag_residuals(rows: DataFrame, by: Sequence[str], limit: float) -> DataFra
     whole = _series(by)
     score = _score(F.col("_e"), F.avg("_e").over(whole), F.stddev_samp("_e").over(whole))
     scored = rows.withColumn("_n", F.count(F.lit(1)).over(whole)).withColumn("score", score)
-    return scored.where((F.abs("score") > limit) & (F.col("_n") >= MIN_POINTS)).select(*by, "ts", "value", "score")
+    return scored.where((F.abs("score") > limit) & (F.col("_n") >= MIN_POINTS)).select(*all_named(by), "ts", "value", "score")
 
 
 def moving_average(points: DataFrame, by: Sequence[str] = (), window: int = WINDOW, limit: float = LIMIT) -> DataFrame:
@@ -123,13 +124,13 @@ def esd(
     found by aggregates and per-partition rank limits; Python sees only them.
     Output: by..., key, value, score (the test statistic), in any order.
     """
-    rows = df.select(*by, df[key].alias("_key"), number_of(df, value).alias("_v")).where("_v is not null")
-    stats = rows.groupBy(*by).agg(
+    rows = df.select(*all_named(by), named(key).alias("_key"), number_of(df, value).alias("_v")).where("_v is not null")
+    stats = rows.groupBy(*all_named(by)).agg(
         F.count("_v").alias("_n"), F.avg("_v").alias("_mean"), F.var_samp("_v").alias("_var")
     )
     ends = None
     for sign, order in ((1, (F.asc("_v"), F.asc("_key"))), (-1, (F.desc("_v"), F.desc("_key")))):
-        rank = F.row_number().over(W.partitionBy(*by).orderBy(*order))
+        rank = F.row_number().over(W.partitionBy(*all_named(by)).orderBy(*order))
         end = rows.withColumn("_r", rank).where(F.col("_r") <= max_outliers).withColumn("_r", sign * F.col("_r"))
         ends = end if ends is None else ends.unionByName(end)
     names = list(by)
@@ -166,15 +167,15 @@ def esd(
         return end.iloc[taken[:outliers]].assign(score=scores[:outliers])[out.names]
 
     nothing = {"_key": df.schema[key].dataType, "_v": T.DoubleType(), "_r": T.IntegerType()}
-    heads = stats.select(*names, *[F.lit(None).cast(t).alias(c) for c, t in nothing.items()], "_n", "_mean", "_var")
+    heads = stats.select(*all_named(names), *[F.lit(None).cast(t).alias(c) for c, t in nothing.items()], "_n", "_mean", "_var")
     tails = ends.select(
-        *names, "_key", "_v", "_r", *[F.lit(None).cast(heads.schema[c].dataType).alias(c) for c in ("_n", "_mean", "_var")]
+        *all_named(names), "_key", "_v", "_r", *[F.lit(None).cast(heads.schema[c].dataType).alias(c) for c in ("_n", "_mean", "_var")]
     )
     parts = heads.unionByName(tails)
     if names:  # few bytes per series, but work: keep the series in many tasks
-        parts = parts.repartition(shuffle_partitions(df.sparkSession), *names)
-    found = parts.groupBy(*names).applyInPandas(rosner, out)
-    return found.select(*names, F.col("_key").alias(key), F.col("_v").alias(value), "score")
+        parts = parts.repartition(shuffle_partitions(df.sparkSession), *all_named(names))
+    found = parts.groupBy(*all_named(names)).applyInPandas(rosner, out)
+    return found.select(*all_named(names), F.col("_key").alias(key), F.col("_v").alias(value), "score")
 
 
 def summary(anomalies: DataFrame, method: str) -> DataFrame:
@@ -194,12 +195,12 @@ def anomaly_rows(anomalies: DataFrame, ts: str, value: str) -> DataFrame:
     """date (ISO text), value and row (all columns as JSON, timestamps as ISO text)."""
     times = (T.TimestampType, T.TimestampNTZType)
     cells = [
-        (iso_text(anomalies[f.name]) if isinstance(f.dataType, times) else anomalies[f.name]).alias(f.name)
+        (iso_text(named(f.name)) if isinstance(f.dataType, times) else named(f.name)).alias(f.name)
         for f in anomalies.schema
     ]
     return anomalies.select(
-        iso_text(anomalies[ts]).alias("date"),
-        anomalies[value].alias("value"),
+        iso_text(named(ts)).alias("date"),
+        named(value).alias("value"),
         F.to_json(F.struct(*cells), {"ignoreNullFields": "false"}).alias("row"),
     )
 
@@ -207,8 +208,8 @@ def anomaly_rows(anomalies: DataFrame, ts: str, value: str) -> DataFrame:
 def analysis_context(df: DataFrame, anomalies: DataFrame, date_col: str, value_col: str) -> DataFrame:
     """One row: rows, cols, columns (name and type), date_col, value_col, anomalies_count and the
     first 20 anomalies in time order."""
-    first = anomalies.orderBy(date_col, value_col).limit(20)
-    preview = first.agg(F.array_sort(F.collect_list(F.struct(date_col, value_col))))
+    first = anomalies.orderBy(named(date_col), named(value_col)).limit(20)
+    preview = first.agg(F.array_sort(F.collect_list(F.struct(named(date_col), named(value_col)))))
     types = F.array(*[F.concat_ws(" ", F.lit(f.name), F.lit(f.dataType.simpleString())) for f in df.schema])
     return df.agg(F.count(F.lit(1)).alias("rows")).select(
         "rows",

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import all_named, named
 from ..functions.times import micros
 from .skew import chunk_window, earlier_chunks, hot_keys, renamed, same, with_chunks
 
@@ -30,19 +32,20 @@ def asof_join(
     payload = [c for c in right.columns if c not in by]
     renamed_payload = [c if c not in left.columns else f"{c}_right" for c in payload]
 
-    rows = left.withColumn("_at", micros(F.col(on).cast("timestamp_ntz")))
+    rows = left.withColumn("_at", micros(named(on).cast("timestamp_ntz")))
     marks = right.select(
-        *by,
-        micros(F.col(right_on).cast("timestamp_ntz")).alias("_at"),
-        F.struct(*[F.col(c).alias(r) for c, r in zip(payload, renamed_payload)]).alias("_r"),
+        *all_named(by),
+        micros(named(right_on).cast("timestamp_ntz")).alias("_at"),
+        F.struct(*[named(c).alias(r) for c, r in zip(payload, renamed_payload)]).alias("_r"),
     )
-    places = rows.select(*by, "_at").unionByName(marks.select(*by, "_at")).dropna()
+    whole = reduce(lambda a, b: a & b, [named(c).isNotNull() for c in [*by, "_at"]])
+    places = rows.select(*all_named(by), "_at").unionByName(marks.select(*all_named(by), "_at")).where(whole)
     no_mark = F.lit(None).cast(marks.schema["_r"].dataType).alias("_r")
     instants = (
-        rows.select(*by, "_at", no_mark, F.lit(True).alias("_asked"))
+        rows.select(*all_named(by), "_at", no_mark, F.lit(True).alias("_asked"))
         .unionByName(marks.select("*", F.lit(False).alias("_asked")))
-        .dropna(subset=[*by, "_at"])
-        .groupBy(*by, "_at")
+        .where(whole)
+        .groupBy(*all_named(by), "_at")
         .agg(F.max("_r").alias("_r"), F.max("_asked").alias("_asked"))
     )
     line, chunked = with_chunks(instants, by, "_at", places)
@@ -50,16 +53,16 @@ def asof_join(
     if chunked:
         carried = (
             line.where("_chunk > 0")
-            .groupBy(*by, "_chunk")
+            .groupBy(*all_named(by), "_chunk")
             .agg(F.max(F.when(F.col("_r").isNotNull(), F.struct("_at", "_r"))).alias("_last"))
             .withColumn("_before", F.last("_last", ignorenulls=True).over(earlier_chunks(by))["_r"])
-            .select(*by, "_chunk", "_before")
+            .select(*all_named(by), "_chunk", "_before")
         )
         found = found.join(carried, [*by, "_chunk"], "left").withColumn("_here", F.coalesce("_here", "_before"))
     found = found.select(*renamed([*by, "_at"]), F.col("_here").alias("_r")).where(F.col("_r").isNotNull())
 
     keys = [*by, "_at"]
-    copies = hot_keys(rows.select(*keys), keys) if chunked else None
+    copies = hot_keys(rows.select(*all_named(keys)), keys) if chunked else None
     if copies is None:
         joined = rows.join(found, same(keys), how)
     else:  # many left rows at one instant: they meet a broadcast of fewer than p answers
@@ -68,4 +71,4 @@ def asof_join(
         answers = found.join(F.broadcast(copies), names, "left_semi")
         crowd = rows.join(F.broadcast(copies), same(keys), "left_semi")
         joined = far.unionByName(crowd.join(F.broadcast(answers), same(keys), how))
-    return joined.select(*left.columns, *[F.col("_r")[r].alias(r) for r in renamed_payload])
+    return joined.select(*all_named(left.columns), *[F.col("_r")[r].alias(r) for r in renamed_payload])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.names import named
 from ..functions.text import lower_case, strip, upper_case
 
 
@@ -17,7 +18,7 @@ def string_columns(df: DataFrame) -> list[str]:
 
 def _on_strings(df: DataFrame, change: Callable[[Column], Column]) -> DataFrame:
     texts = set(string_columns(df))
-    return df.select(*[(change(df[c]).alias(c) if c in texts else df[c]) for c in df.columns])
+    return df.select(*[(change(named(c)).alias(c) if c in texts else named(c)) for c in df.columns])
 
 
 def trim_strings(df: DataFrame) -> DataFrame:

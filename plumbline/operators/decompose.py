@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.names import all_named
 from ..functions.loess import mstl, stl
 from ..functions.times import FREQUENCIES, iso_text
 from ..session import shuffle_partitions
@@ -87,11 +88,11 @@ def _per_series(points: DataFrame, freq: str, by: Sequence[str], pick: Callable)
         row = {**{c: frame[c].iloc[0] for c in names}, "error": problem}
         return pd.DataFrame([row]).reindex(columns=out.names)
 
-    steps = points.select(*names, _step_of(freq, F.col("ts")).alias("step"), "value")
+    steps = points.select(*all_named(names), _step_of(freq, F.col("ts")).alias("step"), "value")
     if names:  # series are small in bytes but costly: keep them in many tasks
-        steps = steps.repartition(shuffle_partitions(points.sparkSession), *names)
-    found = steps.groupBy(*names).applyInPandas(detect, out)
-    return found.select(*names, _start_of(freq, F.col("step")).alias("ts"), "value", "score", "method", "error")
+        steps = steps.repartition(shuffle_partitions(points.sparkSession), *all_named(names))
+    found = steps.groupBy(*all_named(names)).applyInPandas(detect, out)
+    return found.select(*all_named(names), _start_of(freq, F.col("step")).alias("ts"), "value", "score", "method", "error")
 
 
 def stl_anomalies(points: DataFrame, freq: str = "D", by: Sequence[str] = ()) -> DataFrame:
@@ -123,7 +124,7 @@ def analyze(
     if method == "iqr":
         return iqr(series_points(df, ts, value, by), "value", by)
     if method == "esd":
-        points = series_points(df, ts, value, by).select(*by, iso_text(F.col("ts")).alias("date"), "value")
+        points = series_points(df, ts, value, by).select(*all_named(by), iso_text(F.col("ts")).alias("date"), "value")
         return esd(points, "value", "date", by)
     points = resample(df, ts, value, freq, by, how)
     if method == "moving_average":

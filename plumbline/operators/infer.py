@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.names import named
 from ..functions.times import coerce_timestamp
 from .clean import string_columns
 from .profile import numeric_columns
@@ -24,7 +25,7 @@ def date_fractions(df: DataFrame) -> DataFrame:
     for at in range(0, len(names), COLUMNS_PER_PASS):
         figures, rows = [F.count(F.lit(1)).alias("n")], []
         for i, name in enumerate(names[at : at + COLUMNS_PER_PASS], at):
-            figures += [F.count(name).alias(f"v{i}"), F.count(coerce_timestamp(df[name])).alias(f"p{i}")]
+            figures += [F.count(named(name)).alias(f"v{i}"), F.count(coerce_timestamp(named(name))).alias(f"p{i}")]
             rows.append(
                 F.struct(
                     F.lit(i).alias("position"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import named
 from ..functions.text import is_numeric_type, number_of, present
 
 COLUMNS_PER_PASS = 40  # keeps each aggregate inside the code generator's size limits
@@ -70,7 +71,7 @@ def display_profile(profile: DataFrame) -> DataFrame:
 
 
 def first_rows(df: DataFrame, order_by: str, n: int = SAMPLE_ROWS) -> DataFrame:
-    return df.orderBy(order_by).limit(n)
+    return df.orderBy(named(order_by)).limit(n)
 
 
 def random_rows(df: DataFrame, n: int = RANDOM_ROWS, seed: int = 0) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import all_named, named
 from ..session import ensure_checkpoint_dir
 from .skew import running_sum, split_join, with_chunks
 
@@ -28,26 +29,26 @@ def exact_quantiles(
     that a sketch brackets each quantile, rows below the bracket are only counted, and the few
     values inside it are ranked exactly.
     """
-    rows = df.where(F.col(value).isNotNull())
+    rows = df.where(named(value).isNotNull())
     keys = list(by) or ["_all"]
     if not by:
         rows = rows.withColumn("_all", F.lit(0))
-    rows = rows.select(*keys, F.col(value).cast("double").alias("_v"))
-    widest = rows.groupBy(*keys).agg(F.approx_count_distinct("_v").alias("d")).agg(F.max("d")).first()[0]
+    rows = rows.select(*all_named(keys), named(value).cast("double").alias("_v"))
+    widest = rows.groupBy(*all_named(keys)).agg(F.approx_count_distinct("_v").alias("d")).agg(F.max("d")).first()[0]
     if (widest or 0) <= small_group:
-        found = rows.groupBy(*keys).agg(
+        found = rows.groupBy(*all_named(keys)).agg(
             F.count("_v").alias("n"), *[F.percentile("_v", p).alias(name) for name, p in probs.items()]
         )
     else:
         found = _by_rank(rows, keys, probs)
-    return found.select(*by, "n", *probs)
+    return found.select(*all_named(by), "n", *probs)
 
 
 def _by_rank(rows: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
     names = list(probs)
     margin = 2 / ACCURACY  # twice the sketch's rank error
     ends = [e for p in probs.values() for e in (max(p - margin, 0.0), min(p + margin, 1.0))]
-    brackets = rows.groupBy(*keys).agg(
+    brackets = rows.groupBy(*all_named(keys)).agg(
         F.count("_v").alias("n"), F.percentile_approx("_v", ends, ACCURACY).alias("_e")
     )
 
@@ -58,10 +59,10 @@ def _by_rank(rows: DataFrame, keys: list[str], probs: dict[str, float]) -> DataF
         return F.when(F.col("_v") <= high, inside)
 
     kept = split_join(rows, brackets, keys, "n").select(
-        *keys, "n", F.inline(F.array_compact(F.array(*[entry(i) for i in range(len(names))])))
+        *all_named(keys), "n", F.inline(F.array_compact(F.array(*[entry(i) for i in range(len(names))])))
     )
     parts = [*keys, "_i"]
-    counted = kept.groupBy(*parts, "n", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    counted = kept.groupBy(*all_named(parts), "n", "_v").agg(F.count(F.lit(1)).alias("_c"))
     ensure_checkpoint_dir(rows.sparkSession)
     counted = counted.checkpoint()  # read several times below; about 4 / ACCURACY of the values
     line, chunked = with_chunks(counted, parts, "_v", counted)
@@ -77,7 +78,7 @@ def _by_rank(rows: DataFrame, keys: list[str], probs: dict[str, float]) -> DataF
     missed = F.raise_error(F.lit("a quantile fell outside its bracket")).cast("double")
     found = (
         ranked.withColumn("_position", position)
-        .groupBy(*parts, "n")
+        .groupBy(*all_named(parts), "n")
         .agg(
             at_rank(F.floor("_position")).alias("_low"),
             at_rank(F.ceil("_position")).alias("_high"),
@@ -86,4 +87,4 @@ def _by_rank(rows: DataFrame, keys: list[str], probs: dict[str, float]) -> DataF
         .withColumn("_q", F.when(low.isNull() | high.isNull(), missed).otherwise(low + part * (high - low)))
     )
     columns = [F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(name) for i, name in enumerate(names)]
-    return found.groupBy(*keys, "n").agg(*columns)
+    return found.groupBy(*all_named(keys), "n").agg(*columns)

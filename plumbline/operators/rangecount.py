@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import all_named, named
 from .skew import running_sum, with_chunks
 
 
@@ -22,14 +23,14 @@ def count_within(
     """
     by = list(by)
     ends = [
-        intervals.select(*by, (F.col(low) - 1).alias("_at"), F.lit(0).cast("bigint").alias("_p"), F.col(key).alias("_key"), F.lit(-1).alias("_sign")),
-        intervals.select(*by, F.col(high).alias("_at"), F.lit(0).cast("bigint").alias("_p"), F.col(key).alias("_key"), F.lit(1).alias("_sign")),
+        intervals.select(*all_named(by), (named(low) - 1).alias("_at"), F.lit(0).cast("bigint").alias("_p"), named(key).alias("_key"), F.lit(-1).alias("_sign")),
+        intervals.select(*all_named(by), named(high).alias("_at"), F.lit(0).cast("bigint").alias("_p"), named(key).alias("_key"), F.lit(1).alias("_sign")),
     ]
     none = ends[0].schema["_key"].dataType
     # copies of a point fold into one count before the shuffle
-    folded = points.groupBy(*by, F.col(point).alias("_at")).agg(F.count(F.lit(1)).alias("_p"))
-    marks = folded.select(*by, "_at", "_p", F.lit(None).cast(none).alias("_key"), F.lit(0).alias("_sign"))
-    places = intervals.select(*by, F.col(high).alias("_at")).unionByName(points.select(*by, F.col(point).alias("_at")))
+    folded = points.groupBy(*all_named(by), named(point).alias("_at")).agg(F.count(F.lit(1)).alias("_p"))
+    marks = folded.select(*all_named(by), "_at", "_p", F.lit(None).cast(none).alias("_key"), F.lit(0).alias("_sign"))
+    places = intervals.select(*all_named(by), named(high).alias("_at")).unionByName(points.select(*all_named(by), named(point).alias("_at")))
     line, chunked = with_chunks(ends[0].unionByName(ends[1]).unionByName(marks), by, "_at", places)
     # at one place points count before the interval ends that include them
     counted = running_sum(line, chunked, by, "_p", "_at", F.col("_key").isNotNull()).where("_sign <> 0")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.names import all_named, named
 from ..functions.text import number_of
 from ..functions.times import FREQUENCIES, coerce_timestamp, truncate
 
@@ -17,13 +18,13 @@ MIN_POINTS = 8
 def time_of(df: DataFrame, name: str) -> Column:
     dtype = df.schema[name].dataType
     if isinstance(dtype, T.StringType):
-        return coerce_timestamp(df[name])
-    return df[name].cast("timestamp_ntz")
+        return coerce_timestamp(named(name))
+    return named(name).cast("timestamp_ntz")
 
 
 def series_points(df: DataFrame, ts: str, value: str, by: Sequence[str] = ()) -> DataFrame:
     """by..., ts, value: unparsable times and missing values dropped. Not sorted; see ordered()."""
-    points = df.select(*by, time_of(df, ts).alias("ts"), number_of(df, value).alias("value"))
+    points = df.select(*all_named(by), time_of(df, ts).alias("ts"), number_of(df, value).alias("value"))
     return points.dropna(subset=["ts", "value"])
 
 
@@ -42,9 +43,9 @@ def resample(
     unit = FREQUENCIES[freq][0]
     fold = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count": F.count}[how]
     points = series_points(df, ts, value, by)
-    return points.groupBy(*by, truncate(unit, F.col("ts")).alias("ts")).agg(fold("value").cast("double").alias("value"))
+    return points.groupBy(*all_named(by), truncate(unit, F.col("ts")).alias("ts")).agg(fold("value").cast("double").alias("value"))
 
 
 def long_enough(points: DataFrame, by: Sequence[str] = (), least: int = MIN_POINTS) -> DataFrame:
     """by..., points of the series that have at least `least` of them."""
-    return points.groupBy(*by).agg(F.count(F.lit(1)).alias("points")).where(F.col("points") >= least)
+    return points.groupBy(*all_named(by)).agg(F.count(F.lit(1)).alias("points")).where(F.col("points") >= least)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from ..functions.names import all_named, named
 from ..session import shuffle_partitions
 
 MAX_HOT = 10_000  # never more hot keys or range cuts than this
@@ -26,13 +27,13 @@ def _share(df: DataFrame) -> int:
 
 
 def renamed(keys: Sequence[str]) -> list[Column]:
-    return [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    return [named(k).alias(f"_k{i}") for i, k in enumerate(keys)]
 
 
 def same(keys: Sequence[str]) -> Column:
     """Null-safe equality with the columns made by renamed()."""
     return reduce(
-        lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+        lambda a, b: a & b, [named(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
     )
 
 
@@ -51,7 +52,7 @@ def _heaviest(per_key: DataFrame, weight: str) -> tuple[list, bool]:
 
 def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
     """The keys that hold more than 1/p of the rows, renamed by renamed(); None if there are none."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = df.groupBy(*all_named(keys)).agg(F.count(F.lit(1)).alias("_n"))
     share = _share(df)
     seen = Observation()
     top = sizes.observe(seen, F.sum("_n").alias("total")).orderBy(F.desc("_n")).limit(share).collect()
@@ -122,12 +123,12 @@ def with_chunks(df: DataFrame, by: Sequence[str], order: str, measure: DataFrame
 
 def chunk_window(by: Sequence[str], *order: Column | str):
     """Rows of one key within one chunk, from the first to the current one."""
-    return W.partitionBy(*by, "_chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    return W.partitionBy(*all_named(by), "_chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
 
 
 def earlier_chunks(by: Sequence[str]):
     """Summaries of the key's chunks before this one: at most 2p rows per key."""
-    return W.partitionBy(*by).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    return W.partitionBy(*all_named(by)).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
 
 
 def running_sum(line: DataFrame, chunked: bool, by: Sequence[str], what: str, *order: Column | str) -> DataFrame:
@@ -137,7 +138,7 @@ def running_sum(line: DataFrame, chunked: bool, by: Sequence[str], what: str, *o
         return local
     starts = (
         line.where("_chunk > 0")
-        .groupBy(*by, "_chunk")
+        .groupBy(*all_named(by), "_chunk")
         .agg(F.sum(what).alias("_m"))
         .withColumn("_start", F.sum("_m").over(earlier_chunks(by)))
         .select(*renamed([*by, "_chunk"]), "_start")

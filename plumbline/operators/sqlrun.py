@@ -8,6 +8,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import all_named, named, quoted
+
 VIEW = "loaded_table"
 PREVIEW_ROWS = 100
 
@@ -47,13 +49,9 @@ def run_sql(df: DataFrame, sql: str, tables: dict[str, DataFrame] | None = None)
             spark.catalog.dropGlobalTempView(name)
 
 
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
 def preview_sql(table: str, columns: list[str], limit: int = PREVIEW_ROWS) -> str:
-    names = ", ".join(_quoted(c) for c in columns) or "*"
-    return f"SELECT {names} FROM {_quoted(table)} LIMIT {limit}"
+    names = ", ".join(quoted(c) for c in columns) or "*"
+    return f"SELECT {names} FROM {quoted(table)} LIMIT {limit}"
 
 
 def distinct_on(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
@@ -63,5 +61,5 @@ def distinct_on(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
     shuffle, and no key's rows are sorted.
     """
     rest = [c for c in df.columns if c not in keys and c not in order]
-    first = df.groupBy(*keys).agg(F.min(F.struct(*order, *rest)).alias("_first"))
-    return first.select(*[(F.col(c) if c in keys else F.col("_first")[c]).alias(c) for c in df.columns])
+    first = df.groupBy(*all_named(keys)).agg(F.min(F.struct(*all_named([*order, *rest]))).alias("_first"))
+    return first.select(*[(named(c) if c in keys else F.col("_first")[c]).alias(c) for c in df.columns])

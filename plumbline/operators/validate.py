@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from ..functions.names import named
 from ..functions.text import is_number, is_numeric_type, number_of, present, python_regex
 from .skew import split_join
 
@@ -123,10 +124,10 @@ def check_samples(df: DataFrame, checks: list[Check], order_by: str) -> DataFram
 
     A failed type check samples the first rows of the column, all others their offending rows.
     """
-    key = df[order_by].alias("row_id")
+    key = named(order_by).alias("row_id")
 
     def entry(check: Check) -> Column:
-        return F.struct(F.lit(check.number).alias("check"), df[check.column].cast("string").alias("value"))
+        return F.struct(F.lit(check.number).alias("check"), named(check.column).cast("string").alias("value"))
 
     by_row = [c for c in checks if c.kind in ("min", "max", "regex")]
     by_type = [c for c in checks if c.kind == "type"]
@@ -138,14 +139,14 @@ def check_samples(df: DataFrame, checks: list[Check], order_by: str) -> DataFram
         rank = F.row_number().over(W.partitionBy("check").orderBy("row_id"))
         parts.append(offenders.withColumn("_rank", rank).where(F.col("_rank") <= SAMPLE_ROWS).drop("_rank"))
     if by_type:
-        head = df.orderBy(order_by).limit(SAMPLE_ROWS)
-        parts.append(head.select(F.col(order_by).alias("row_id"), F.inline(F.array(*[
-            F.struct(F.lit(c.number).alias("check"), F.col(c.column).cast("string").alias("value")) for c in by_type
+        head = df.orderBy(named(order_by)).limit(SAMPLE_ROWS)
+        parts.append(head.select(named(order_by).alias("row_id"), F.inline(F.array(*[
+            F.struct(F.lit(c.number).alias("check"), named(c.column).cast("string").alias("value")) for c in by_type
         ]))))
     for c in checks:
         if c.kind == "unique":
             # the first 3 members belong to the 3 values whose first members come first
-            early = _duplicated(df, c.column, F.min(order_by).alias("_first")).orderBy("_first").limit(SAMPLE_ROWS)
+            early = _duplicated(df, c.column, F.min(named(order_by)).alias("_first")).orderBy("_first").limit(SAMPLE_ROWS)
             members = df.join(F.broadcast(early), present(df, c.column) == early["_value"], "left_semi")
             rows = members.select(key, entry(c).alias("_e")).orderBy("row_id").limit(SAMPLE_ROWS)
             parts.append(rows.select("row_id", "_e.*"))
@@ -198,10 +199,10 @@ def violating_rows(df: DataFrame, rules: dict[str, Any], order_by: str) -> DataF
     by_row = [c for c in checks if c.bad is not None]
     if by_row:
         found = F.array_compact(F.array(*[F.when(c.bad, entry(c)) for c in by_row]))
-        parts.append(df.select(df[order_by].alias("row_id"), F.inline(found)))
+        parts.append(df.select(named(order_by).alias("row_id"), F.inline(found)))
     for c in checks:
         if c.kind == "unique":
-            rows = df.select(df[order_by].alias("row_id"), present(df, c.column).alias("_value"))
+            rows = df.select(named(order_by).alias("row_id"), present(df, c.column).alias("_value"))
             rows = rows.where(F.col("_value").isNotNull())
             members = split_join(rows, _duplicated(df, c.column), ["_value"], "_n")
             parts.append(members.select("row_id", F.inline(F.array(entry(c)))))
@@ -218,13 +219,13 @@ def repeated_rows(df: DataFrame, column: str, order_by: str) -> DataFrame:
     Each value's first key is found by grouping, then these keys are taken out. That join runs
     on the unique key, so no value, however frequent, gathers in one task.
     """
-    first = df.groupBy(present(df, column).alias("_value")).agg(F.min(order_by).alias("_first"))
-    return df.join(first.select("_first"), df[order_by] == F.col("_first"), "left_anti")
+    first = df.groupBy(present(df, column).alias("_value")).agg(F.min(named(order_by)).alias("_first"))
+    return df.join(first.select("_first"), named(order_by) == F.col("_first"), "left_anti")
 
 
 def unique_examples(df: DataFrame, column: str, order_by: str, limit: int = DUPLICATE_EXAMPLES) -> DataFrame:
-    rows = repeated_rows(df.select(order_by, column), column, order_by)
-    return rows.orderBy(order_by).limit(limit)
+    rows = repeated_rows(df.select(named(order_by), named(column)), column, order_by)
+    return rows.orderBy(named(order_by)).limit(limit)
 
 
 def list_rules_report(df: DataFrame, rules: dict[str, Any], order_by: str) -> dict[str, Any]:

@@ -15,12 +15,11 @@ from ..operators.clean import clean
 from ..session import scratch_dir
 from ..sources import (
     dataset_meta,
-    decode_workbooks,
     load_table,
     open_dataset,
     read_csv,
+    read_workbooks,
     register_dataset,
-    typed_sheet,
     write_csv,
     write_parquet,
 )
@@ -98,7 +97,7 @@ def _workbooks(df: DataFrame, rows_per_book: int) -> DataFrame:
 @plan("scan_xlsx", CUSTOMER_SQL)
 def scan_xlsx(spark, sf_dir):
     """Workbooks are built from the table by Spark, 500 keys each, then decoded again."""
-    return typed_sheet(decode_workbooks(_workbooks(table(spark, sf_dir, "customer"), 500)))
+    return read_workbooks(_workbooks(table(spark, sf_dir, "customer"), 500))
 
 
 @plan("dataset_roundtrip", "select * from orders")

@@ -2,7 +2,7 @@ from .datasets import dataset_meta, open_dataset, read_table, register_dataset
 from .delimited import read_csv
 from .rulefile import load_rules
 from .sinks import load_table, write_csv, write_parquet
-from .workbook import decode_workbooks, read_xlsx, typed_sheet
+from .workbook import decode_workbooks, read_workbooks, read_xlsx
 
 __all__ = [
     "dataset_meta",
@@ -12,9 +12,9 @@ __all__ = [
     "open_dataset",
     "read_csv",
     "read_table",
+    "read_workbooks",
     "read_xlsx",
     "register_dataset",
-    "typed_sheet",
     "write_csv",
     "write_parquet",
 ]

@@ -22,11 +22,11 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None) -> DataFr
     if kind == "parquet":
         return spark.read.parquet(path)
     if kind == "xlsx":
-        return read_xlsx(spark, path)
+        return read_xlsx(spark, path, None if fmt else "*.xlsx")
     if kind != "csv":
         start = spark.read.text(path).limit(1).first()
         if start and start["value"].startswith("PK\x03\x04"):
-            return read_xlsx(spark, path)
+            return read_xlsx(spark, path, None)
     return read_csv(spark, path)
 
 

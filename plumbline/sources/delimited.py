@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.names import named
 from .typing import cast_text, infer_types, tokens_to_null, unique_names
 
 _EXTRA = "_extra"
@@ -33,8 +34,8 @@ def read_csv(
     text = reader.option("header", True).schema(T.StructType(fields)).csv(path)
     long_row = F.raise_error(F.lit(f"a row in {path} has more fields than its header")).cast("boolean")
     text = text.where(F.when(F.col(_EXTRA).isNull(), True).otherwise(long_row))
-    text = text.select(*[tokens_to_null(text[f"`{name}`"]).alias(name) for name in header])
+    text = text.select(*[tokens_to_null(named(name)).alias(name) for name in header])
     if schema is None:
         return cast_text(text, infer_types(text))
     wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    return text.select(*[text[f.name].try_cast(f.dataType).alias(f.name) for f in wanted])
+    return text.select(*[named(f.name).try_cast(f.dataType).alias(f.name) for f in wanted])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import named
 from ..functions.text import is_number, strip, to_number
 
 # Texts read as missing.
@@ -37,7 +38,7 @@ def infer_types(df: DataFrame) -> dict[str, str]:
         part = df.columns[at : at + COLUMNS_PER_PASS]
         counts = []
         for i, name in enumerate(part):
-            c = df[name]
+            c = named(name)
             counts += [
                 F.count(c).alias(f"n{i}"),
                 F.count_if(_whole_number(c)).alias(f"w{i}"),
@@ -61,7 +62,7 @@ def infer_types(df: DataFrame) -> dict[str, str]:
 
 def cast_text(df: DataFrame, types: dict[str, str]) -> DataFrame:
     def typed(name: str) -> Column:
-        c, kind = df[name], types[name]
+        c, kind = named(name), types[name]
         if kind == "bigint":
             c = strip(c).cast("bigint")
         elif kind == "double":

@@ -70,6 +70,7 @@ def sheet_rows(content: bytes) -> Iterator[tuple[int, list[str | None]]]:
         if "xl/sharedStrings.xml" in book.namelist():
             shared = [_text(si) for si in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))]
         dates = _date_styles(book)
+        number = 0
         with book.open(_first_sheet(book)) as sheet:
             for _, row in ElementTree.iterparse(sheet):
                 if row.tag != f"{_MAIN}row":
@@ -92,12 +93,14 @@ def sheet_rows(content: bytes) -> Iterator[tuple[int, list[str | None]]]:
                         cells[at] = moment.isoformat(sep=" ")
                     else:
                         cells[at] = value
-                yield int(row.get("r", 0)), cells
+                number = int(row.get("r", number + 1))
+                yield number, cells
                 row.clear()
 
 
-def decode_workbooks(files: DataFrame) -> DataFrame:
-    """(path, content) rows to (path, row, cells) rows; batches are bounded while decoding."""
+def decode_workbooks(files: DataFrame, header_only: bool = False) -> DataFrame:
+    """(path, content) rows to (path, row, cells) rows, in bounded batches; `header_only` stops
+    after the first row of each workbook."""
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -105,6 +108,8 @@ def decode_workbooks(files: DataFrame) -> DataFrame:
                 rows: list[tuple] = []
                 for number, cells in sheet_rows(content):
                     rows.append((path, number, cells))
+                    if header_only:
+                        break
                     if len(rows) == 10_000:
                         yield pd.DataFrame(rows, columns=["path", "row", "cells"])
                         rows = []
@@ -113,19 +118,20 @@ def decode_workbooks(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(decode, ROWS_SCHEMA)
 
 
-def typed_sheet(rows: DataFrame) -> DataFrame:
-    """Cell rows to a table: the first row of each workbook is its header, and all must agree."""
-    headers = rows.where("row = 1").select("cells").distinct().limit(2).collect()
+def read_workbooks(files: DataFrame) -> DataFrame:
+    """(path, content) rows to one table: the first row of each workbook is its header, and all
+    must agree. Types are inferred over all workbooks."""
+    headers = decode_workbooks(files, header_only=True).select("cells").distinct().limit(2).collect()
     if len(headers) != 1:
         raise ValueError("the workbooks have no header row, or different ones")
     names = unique_names(headers[0]["cells"])
-    body = rows.where("row > 1").select(
+    body = decode_workbooks(files).where("row > 1").select(
         *[tokens_to_null(F.get("cells", F.lit(i))).alias(name) for i, name in enumerate(names)]
     )
     return cast_text(body, infer_types(body))
 
 
-def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
-    """First sheets of all .xlsx files under `path`, which share one header row."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path)
-    return typed_sheet(decode_workbooks(files))
+def read_xlsx(spark: SparkSession, path: str, glob: str | None = "*.xlsx") -> DataFrame:
+    """First sheets of all workbooks under `path` that match `glob`; they share one header row."""
+    reader = spark.read.format("binaryFile")
+    return read_workbooks((reader.option("pathGlobFilter", glob) if glob else reader).load(path))

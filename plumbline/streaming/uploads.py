@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.names import named
 from ..operators.clean import clean
 from ..operators.validate import compile_rules
 from ..sources.typing import tokens_to_null
@@ -21,7 +22,7 @@ def follow_uploads(spark: SparkSession, folder: str, schema: T.StructType) -> Da
     """Rows of the CSV files in `folder`, old and new, in the types of `schema`."""
     text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
     rows = spark.readStream.option("header", True).option("escape", '"').schema(text).csv(folder)
-    return rows.select(*[tokens_to_null(rows[f.name]).try_cast(f.dataType).alias(f.name) for f in schema])
+    return rows.select(*[tokens_to_null(named(f.name)).try_cast(f.dataType).alias(f.name) for f in schema])
 
 
 def clean_stream(rows: DataFrame, rules: dict[str, Any], normalize_case: str | None = None) -> DataFrame:
