@@ -24,13 +24,12 @@ def loess(y: np.ndarray, span: int, at: np.ndarray, weights: np.ndarray) -> np.n
         reach = np.maximum(x - start, start + q - 1 - x) + max(0, (span - n) // 2)
         closeness = (1 - np.clip(np.abs(offset) / (np.maximum(reach, 1e-9)[:, None] * 1.001), 0, 1) ** 3) ** 3
         w = closeness[:, :, None] * weights[near]
-        total = w.sum(1)
-        w = w / np.where(total > 0, total, 1)[:, None]
+        w = w / w.sum(1)[:, None]
         offset, points = offset[:, :, None], y[near]
         mean_x, mean_y = (w * offset).sum(1), (w * points).sum(1)
         spread = (w * offset**2).sum(1) - mean_x**2
         slope = ((w * offset * points).sum(1) - mean_x * mean_y) / np.where(spread > 1e-12, spread, np.inf)
-        out[lo : lo + rows] = np.where(total > 0, mean_y - slope * mean_x, points[:, 0])
+        out[lo : lo + rows] = mean_y - slope * mean_x
     return out if several else out[:, 0]
 
 
@@ -76,9 +75,10 @@ def stl(y: np.ndarray, period: int, seasonal: int = 7, outer: int = 5) -> tuple[
         if round_ < outer:
             size = np.abs(y - season - trend)
             scale = 6 * np.median(size)
-            if scale <= 0:
+            if scale <= 1e-9 * np.ptp(y):
                 break
-            weights = np.clip(1 - (size / scale) ** 2, 0, 1) ** 2
+            # never quite zero: where all neighbours are outliers, they are all there is
+            weights = np.clip(1 - (size / scale) ** 2, 1e-3, 1) ** 2
     return season, trend
 
 

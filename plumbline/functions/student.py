@@ -7,7 +7,9 @@ from statistics import NormalDist
 
 import numpy as np
 
-_log_gamma = np.vectorize(math.lgamma, otypes=[float])
+
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    return np.array([math.lgamma(v) for v in x])
 
 
 def _upper_tail(t: np.ndarray, freedom: np.ndarray) -> np.ndarray:

@@ -75,7 +75,7 @@ def _per_series(points: DataFrame, freq: str, by: Sequence[str], pick: Callable)
     def detect(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("step")
         if len(frame) < MIN_POINTS:
-            return frame.iloc[:0].reindex(columns=out.names)
+            return pd.DataFrame(columns=out.names, dtype=object)
         step, value = frame["step"].to_numpy(), frame["value"].to_numpy()
         problem = None
         for method, flags in pick(int(step[-1] - step[0]) + 1):
@@ -85,8 +85,8 @@ def _per_series(points: DataFrame, freq: str, by: Sequence[str], pick: Callable)
                 problem = f"{method}: {e}"
                 continue
             return frame[hit].assign(score=score[hit], method=method, error=None)[out.names]
-        row = {**{c: frame[c].iloc[0] for c in names}, "error": problem}
-        return pd.DataFrame([row]).reindex(columns=out.names)
+        row = {**dict.fromkeys(out.names), **{c: frame[c].iloc[0] for c in names}, "error": problem}
+        return pd.DataFrame([row], columns=out.names, dtype=object)
 
     steps = points.select(*all_named(names), _step_of(freq, F.col("ts")).alias("step"), "value")
     if names:  # series are small in bytes but costly: keep them in many tasks

@@ -12,6 +12,7 @@ from ..session import ensure_checkpoint_dir
 from .skew import running_sum, split_join, with_chunks
 
 ACCURACY = 10_000  # the sketch's rank error is at most 1 / ACCURACY of the rows
+LADDER = [(1, ACCURACY), (10, ACCURACY // 10), (100, ACCURACY // 100)]  # (margin factor, least rows)
 SMALL_GROUP = 100_000  # distinct values one aggregation buffer may hold
 
 
@@ -46,25 +47,33 @@ def exact_quantiles(
 
 def _by_rank(rows: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
     names = list(probs)
-    margin = 2 / ACCURACY  # twice the sketch's rank error
-    ends = [e for p in probs.values() for e in (max(p - margin, 0.0), min(p + margin, 1.0))]
+    # A bracket must allow for the sketch's rank error and for a few ranks of rounding, so the
+    # margin is wider for smaller groups; at most 8 n / ACCURACY or about 100 rows stay inside.
+    margins = [4 * factor / ACCURACY for factor, _ in LADDER]
+    ends = [(max(p - m, 0.0), min(p + m, 1.0)) for p in probs.values() for m in margins]
     brackets = rows.groupBy(*all_named(keys)).agg(
-        F.count("_v").alias("n"), F.percentile_approx("_v", ends, ACCURACY).alias("_e")
+        F.count("_v").alias("n"), F.percentile_approx("_v", [e for pair in ends for e in pair], ACCURACY).alias("_e")
     )
+    rung = F.lit(len(LADDER))
+    for j, (_, least) in reversed(list(enumerate(LADDER))):
+        rung = F.when(F.col("n") >= least, j).otherwise(rung)
 
     # one entry per quantile not yet passed: the value inside its bracket, NULL below it
     def entry(i: int) -> Column:
-        low, high = F.get("_e", F.lit(2 * i)), F.get("_e", F.lit(2 * i + 1))
-        inside = F.struct(F.lit(i).alias("_i"), F.when(F.col("_v") >= low, F.col("_v")).alias("_v"))
-        return F.when(F.col("_v") <= high, inside)
+        at = 2 * (i * len(LADDER) + F.col("_rung"))
+        whole = F.col("_rung") == len(LADDER)
+        passed = ~whole & (F.col("_v") > F.get("_e", at + 1))
+        inside = whole | (F.col("_v") >= F.get("_e", at))
+        return F.when(~passed, F.struct(F.lit(i).alias("_i"), F.when(inside, F.col("_v")).alias("_v")))
 
+    brackets = brackets.withColumn("_rung", rung)
     kept = split_join(rows, brackets, keys, "n").select(
         *all_named(keys), "n", F.inline(F.array_compact(F.array(*[entry(i) for i in range(len(names))])))
     )
     parts = [*keys, "_i"]
     counted = kept.groupBy(*all_named(parts), "n", "_v").agg(F.count(F.lit(1)).alias("_c"))
     ensure_checkpoint_dir(rows.sparkSession)
-    counted = counted.checkpoint()  # read several times below; about 4 / ACCURACY of the values
+    counted = counted.checkpoint()  # read several times below; few, see the margins above
     line, chunked = with_chunks(counted, parts, "_v", counted)
     ranked = running_sum(line, chunked, parts, "_c", F.asc_nulls_first("_v")).withColumnRenamed("_run", "_end")
     chosen = F.element_at(F.array(*[F.lit(p) for p in probs.values()]), F.col("_i") + 1)

@@ -147,7 +147,7 @@ ZSCORE_SQL = (
     "analysis_context",
     f"with z as ({ZSCORE_SQL}) select count(*) as row_count, 6 as col_count, 'ts' as date_col, 'value' as value_col, "
     "(select count(*) from z) as anomalies_count, "
-    "(select sum(value) from (select value from z order by ts, value limit 20)) as preview_sum from events",
+    "(select round(sum(value), 6) from (select value from z order by ts, value limit 20)) as preview_sum from events",
 )
 def analysis_context_plan(spark, sf_dir):
     events = table(spark, sf_dir, "events")

@@ -7,7 +7,7 @@ from plumbline.streaming import clean_stream, follow_uploads, write_uploads
 def test_each_upload_is_cleaned_once(spark, tmp_path):
     uploads, out, mark = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "mark")
     uploads.mkdir()
-    schema = T.StructType().add("name", "string").add("age", "int").add("email", "string")
+    schema = T.StructType().add("name", "string").add("age", "integer").add("email", "string")
     rows = clean_stream(follow_uploads(spark, str(uploads), schema), load_rules("rules/basic.yaml"))
     (uploads / "a.csv").write_text("name,age,email\n  Alice ,30,a@example.com\nBob,-5,invalid\n")
     write_uploads(rows, out, mark).awaitTermination()
