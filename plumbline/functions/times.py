@@ -7,20 +7,21 @@ from pyspark.sql import functions as F
 
 from .text import strip
 
-# Layouts tried, in this order, when the text is not in ISO form.
-LAYOUTS = (
-    "M/d/yyyy",
-    "M/d/yyyy H:mm",
-    "M/d/yyyy H:mm:ss",
-    "yyyy/M/d",
-    "yyyy/M/d H:mm:ss",
-    "M-d-yyyy",
-    "yyyyMMdd",
-    "d MMM yyyy",
-    "d-MMM-yyyy",
-    "MMM d, yyyy",
-    "MMMM d, yyyy",
-)
+# Shape of the text -> layout, for dates that are not in ISO form. The shapes exclude
+# each other, so that at most one layout is tried per value.
+LAYOUTS = {
+    r"^\d{1,2}/\d{1,2}/\d{4}$": "M/d/yyyy",
+    r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$": "M/d/yyyy H:mm",
+    r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$": "M/d/yyyy H:mm:ss",
+    r"^\d{4}/\d{1,2}/\d{1,2}$": "yyyy/M/d",
+    r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{2}:\d{2}$": "yyyy/M/d H:mm:ss",
+    r"^\d{1,2}-\d{1,2}-\d{4}$": "M-d-yyyy",
+    r"^\d{8}$": "yyyyMMdd",
+    r"^\d{1,2} [A-Z][a-z]{2} \d{4}$": "d MMM yyyy",
+    r"^\d{1,2}-[A-Z][a-z]{2}-\d{4}$": "d-MMM-yyyy",
+    r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$": "MMM d, yyyy",
+    r"^[A-Z][a-z]{3,} \d{1,2}, \d{4}$": "MMMM d, yyyy",
+}
 
 # Frequency letter -> (truncation unit, one step, season length in steps).
 FREQUENCIES = {
@@ -31,12 +32,18 @@ FREQUENCIES = {
 }
 
 
+def _parsed(t: Column) -> Column:
+    other = F.when(~t.rlike(r"\d{4}"), None)  # no year, no date
+    for shape, layout in LAYOUTS.items():
+        other = other.when(t.rlike(shape), F.try_to_timestamp(t, F.lit(layout)))
+    iso = F.when(t.rlike(r"^\d{4}-\d{1,2}"), t.try_cast("timestamp_ntz"))
+    return iso.otherwise(other.cast("timestamp_ntz"))
+
+
 def coerce_timestamp(text: Column) -> Column:
     """Text to timestamp; NULL where no layout fits. A bare year or a bare time is no date."""
-    t = strip(text)
-    iso = F.when(t.rlike(r"^\d{4}-\d{1,2}"), t.try_cast("timestamp_ntz"))
-    others = [F.try_to_timestamp(t, F.lit(layout)).cast("timestamp_ntz") for layout in LAYOUTS]
-    return F.coalesce(iso, F.when(t.rlike(r"\d"), F.coalesce(*others)))
+    # the lambda's argument is computed once, however often the layouts refer to it
+    return F.transform(F.array(strip(text)), _parsed)[0]
 
 
 def strict_timestamp(text: Column) -> Column:

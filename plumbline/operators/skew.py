@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions.names import all_named, named
-from ..session import shuffle_partitions
+from ..session import ensure_checkpoint_dir, shuffle_partitions
 
 MAX_HOT = 10_000  # never more hot keys or range cuts than this
 
@@ -71,7 +71,9 @@ def split_join(left: DataFrame, per_key: DataFrame, keys: Sequence[str], weight:
     no key holds more than 1/p of the rows.
     """
     names = [c for c in per_key.columns if c not in keys]
-    right = per_key.select(*renamed(keys), *names)
+    ensure_checkpoint_dir(left.sparkSession)
+    # read twice: once for its heaviest rows, once for the join
+    right = per_key.select(*renamed(keys), *names).checkpoint()
     key_names = [f"_k{i}" for i in range(len(keys))]
     top, complete = _heaviest(right, weight)
     near = F.broadcast(left.sparkSession.createDataFrame([tuple(r) for r in top], right.schema))

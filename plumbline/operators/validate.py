@@ -67,20 +67,27 @@ def compile_rules(df: DataFrame, rules: dict[str, Any]) -> list[Check]:
     return checks
 
 
-def _duplicated(df: DataFrame, column: str, *also: Column) -> DataFrame:
-    """Each non-null value that occurs more than once, with its row count."""
-    value = present(df, column).alias("_value")
+def _duplicated(df: DataFrame, column: str, order_by: str | None = None) -> DataFrame:
+    """Each non-null value that occurs more than once: _value, _n rows, and its _first key.
+
+    The filter names _first too, so that all uses of this table need the same shuffle, which
+    Spark then runs once.
+    """
+    first = F.min(named(order_by)) if order_by else F.lit(0)
     return (
-        df.select(value, "*").where(F.col("_value").isNotNull())
-        .groupBy("_value").agg(F.count(F.lit(1)).alias("_n"), *also).where("_n > 1")
-    )
+        df.select(present(df, column).alias("_value"), "*")
+        .where(F.col("_value").isNotNull())
+        .groupBy("_value")
+        .agg(F.count(F.lit(1)).alias("_n"), first.alias("_first"))
+        .where((F.col("_n") > 1) & (F.col("_first").isNotNull() | (F.col("_n") > 0)))
+    )
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def check_counts(df: DataFrame, checks: list[Check]) -> DataFrame:
+def check_counts(df: DataFrame, checks: list[Check], order_by: str | None = None) -> DataFrame:
     """One row per check: check, column, message, bad_rows (offending rows; 1 for required)."""
 
     def entry(check: Check, count: Column) -> Column:
@@ -110,7 +117,7 @@ def check_counts(df: DataFrame, checks: list[Check]) -> DataFrame:
         parts.append(df.agg(*figures).select(F.inline(F.array(*entries))))
     for c in checks:
         if c.kind == "unique":  # one grouping per column: partial counts fold copies before the shuffle
-            members = _duplicated(df, c.column).agg(F.sum("_n").alias("n"))
+            members = _duplicated(df, c.column, order_by).agg(F.sum("_n").alias("n"))
             parts.append(members.select(F.inline(F.array(entry(c, F.col("n"))))))
     return _union(parts)
 
@@ -146,8 +153,8 @@ def check_samples(df: DataFrame, checks: list[Check], order_by: str) -> DataFram
     for c in checks:
         if c.kind == "unique":
             # the first 3 members belong to the 3 values whose first members come first
-            early = _duplicated(df, c.column, F.min(named(order_by)).alias("_first")).orderBy("_first").limit(SAMPLE_ROWS)
-            members = df.join(F.broadcast(early), present(df, c.column) == early["_value"], "left_semi")
+            early = _duplicated(df, c.column, order_by).orderBy("_first").limit(SAMPLE_ROWS)
+            members = df.join(F.broadcast(early), present(df, c.column) == F.col("_value"), "left_semi")
             rows = members.select(key, entry(c).alias("_e")).orderBy("row_id").limit(SAMPLE_ROWS)
             parts.append(rows.select("row_id", "_e.*"))
     if not parts:
@@ -167,7 +174,7 @@ def validation_report(df: DataFrame, rules: dict[str, Any], order_by: str) -> Da
     """One row per failed rule: check, column, message, bad_rows, row_sample."""
     checks = compile_rules(df, rules)
     samples = F.broadcast(check_samples(df, checks, order_by))  # at most 3 rows per rule
-    return check_counts(df, checks).where("bad_rows > 0").join(samples, "check", "left")
+    return check_counts(df, checks, order_by).where("bad_rows > 0").join(samples, "check", "left")
 
 
 def validate_dataframe(df: DataFrame, rules: dict[str, Any], order_by: str | None = None) -> dict[str, Any]:
@@ -204,7 +211,7 @@ def violating_rows(df: DataFrame, rules: dict[str, Any], order_by: str) -> DataF
         if c.kind == "unique":
             rows = df.select(named(order_by).alias("row_id"), present(df, c.column).alias("_value"))
             rows = rows.where(F.col("_value").isNotNull())
-            members = split_join(rows, _duplicated(df, c.column), ["_value"], "_n")
+            members = split_join(rows, _duplicated(df, c.column).drop("_first"), ["_value"], "_n")
             parts.append(members.select("row_id", F.inline(F.array(entry(c)))))
     if not parts:
         dtype = df.schema[order_by].dataType

@@ -61,6 +61,14 @@ def test_coerce_timestamp(spark):
         "2024/3/4": "2024-03-04 00:00:00",
         "20240305": "2024-03-05 00:00:00",
         "5 Mar 2024": "2024-03-05 00:00:00",
+        "05-Mar-2024": "2024-03-05 00:00:00",
+        "Mar 5, 2024": "2024-03-05 00:00:00",
+        "March 15, 2024": "2024-03-15 00:00:00",
+        "12-31-2023": "2023-12-31 00:00:00",
+        "12/31/2023 7:05": "2023-12-31 07:05:00",
+        "1/2/2024 13:05:09": "2024-01-02 13:05:09",
+        "2024/3/4 1:02:03": "2024-03-04 01:02:03",
+        "20241399": None,
         "2024": None,
         "12:30": None,
         "13/13/2024": None,
