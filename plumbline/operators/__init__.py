@@ -19,6 +19,7 @@ from .profile import (
     display_profile,
     first_rows,
     numeric_columns,
+    profile_dataset,
     random_rows,
     summarize,
     table_shape,

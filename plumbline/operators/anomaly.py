@@ -47,10 +47,11 @@ def zscore(df: DataFrame, value: str, by: Sequence[str] = (), limit: float = LIM
     return scored.where(F.abs("score") > limit).select(*all_named(df.columns), "score")
 
 
-def iqr(df: DataFrame, value: str, by: Sequence[str] = (), fence: float = FENCE) -> DataFrame:
-    """Rows outside [q1 - 1.5 iqr, q3 + 1.5 iqr], with the fences `low` and `high`."""
+def iqr(df: DataFrame, value: str, by: Sequence[str] = (), fence: float = FENCE, least: int = 1) -> DataFrame:
+    """Rows outside [q1 - 1.5 iqr, q3 + 1.5 iqr], with the fences `low` and `high`, for groups of
+    at least `least` values."""
     rows = df.withColumn("_v", number_of(df, value))
-    quartiles = exact_quantiles(rows, "_v", {"_q1": 0.25, "_q3": 0.75}, by)
+    quartiles = exact_quantiles(rows, "_v", {"_q1": 0.25, "_q3": 0.75}, by).where(F.col("n") >= least)
     span = F.lit(fence) * (F.col("_q3") - F.col("_q1"))
     fences = quartiles.select(*all_named(by), "n", (F.col("_q1") - span).alias("low"), (F.col("_q3") + span).alias("high"))
     if by:
@@ -124,18 +125,18 @@ def esd(
     found by aggregates and per-partition rank limits; Python sees only them.
     Output: by..., key, value, score (the test statistic), in any order.
     """
-    rows = df.select(*all_named(by), named(key).alias("_key"), number_of(df, value).alias("_v")).where("_v is not null")
-    stats = rows.groupBy(*all_named(by)).agg(
+    names = [f"_g{i}" for i in range(len(by))]  # plain names for the Python step
+    groups = [named(c).alias(g) for c, g in zip(by, names)]
+    rows = df.select(*groups, named(key).alias("_key"), number_of(df, value).alias("_v")).where("_v is not null")
+    stats = rows.groupBy(*names).agg(
         F.count("_v").alias("_n"), F.avg("_v").alias("_mean"), F.var_samp("_v").alias("_var")
     )
     ends = None
     for sign, order in ((1, (F.asc("_v"), F.asc("_key"))), (-1, (F.desc("_v"), F.desc("_key")))):
-        rank = F.row_number().over(W.partitionBy(*all_named(by)).orderBy(*order))
+        rank = F.row_number().over(W.partitionBy(*names).orderBy(*order))
         end = rows.withColumn("_r", rank).where(F.col("_r") <= max_outliers).withColumn("_r", sign * F.col("_r"))
         ends = end if ends is None else ends.unionByName(end)
-    names = list(by)
-    out = T.StructType([df.schema[c] for c in names] + [T.StructField("_key", df.schema[key].dataType)])
-    out = out.add("_v", "double").add("score", "double")
+    out = T.StructType([rows.schema[c] for c in [*names, "_key"]]).add("_v", "double").add("score", "double")
 
     def rosner(frame: pd.DataFrame) -> pd.DataFrame:
         info = frame[frame["_n"].notna()].iloc[0]
@@ -166,16 +167,15 @@ def esd(
             total, squares = total - x[at], squares - x[at] ** 2
         return end.iloc[taken[:outliers]].assign(score=scores[:outliers])[out.names]
 
-    nothing = {"_key": df.schema[key].dataType, "_v": T.DoubleType(), "_r": T.IntegerType()}
-    heads = stats.select(*all_named(names), *[F.lit(None).cast(t).alias(c) for c, t in nothing.items()], "_n", "_mean", "_var")
-    tails = ends.select(
-        *all_named(names), "_key", "_v", "_r", *[F.lit(None).cast(heads.schema[c].dataType).alias(c) for c in ("_n", "_mean", "_var")]
-    )
+    nothing = {"_key": rows.schema["_key"].dataType, "_v": T.DoubleType(), "_r": T.IntegerType()}
+    heads = stats.select(*names, *[F.lit(None).cast(t).alias(c) for c, t in nothing.items()], "_n", "_mean", "_var")
+    tails = ends.select(*names, "_key", "_v", "_r", *[F.lit(None).cast(heads.schema[c].dataType).alias(c) for c in ("_n", "_mean", "_var")])
     parts = heads.unionByName(tails)
     if names:  # few bytes per series, but work: keep the series in many tasks
-        parts = parts.repartition(shuffle_partitions(df.sparkSession), *all_named(names))
-    found = parts.groupBy(*all_named(names)).applyInPandas(rosner, out)
-    return found.select(*all_named(names), F.col("_key").alias(key), F.col("_v").alias(value), "score")
+        parts = parts.repartition(shuffle_partitions(df.sparkSession), *names)
+    found = parts.groupBy(*names).applyInPandas(rosner, out)
+    back = [F.col(g).alias(c) for c, g in zip(by, names)]
+    return found.select(*back, F.col("_key").alias(key), F.col("_v").alias(value), "score")
 
 
 def summary(anomalies: DataFrame, method: str) -> DataFrame:

@@ -10,11 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.names import all_named
+from ..functions.names import all_named, named
 from ..functions.loess import mstl, stl
 from ..functions.times import FREQUENCIES, iso_text
 from ..session import shuffle_partitions
 from .anomaly import FENCE, LIMIT, classic, esd, iqr, moving_average
+from .infer import infer_date_col, infer_value_col
 from .series import MIN_POINTS, resample, series_points
 
 # Seasons looked for by MSTL, in steps of the frequency.
@@ -67,8 +68,10 @@ def _fenced(step: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _per_series(points: DataFrame, freq: str, by: Sequence[str], pick: Callable) -> DataFrame:
-    names = list(by)
-    out = T.StructType([points.schema[c] for c in names])
+    names = [f"_g{i}" for i in range(len(by))]  # plain names for the Python step
+    groups = [named(c).alias(g) for c, g in zip(by, names)]
+    steps = points.select(*groups, _step_of(freq, F.col("ts")).alias("step"), "value")
+    out = T.StructType([steps.schema[c] for c in names])
     out = out.add("step", "long").add("value", "double").add("score", "double")
     out = out.add("method", "string").add("error", "string")
 
@@ -88,11 +91,11 @@ def _per_series(points: DataFrame, freq: str, by: Sequence[str], pick: Callable)
         row = {**dict.fromkeys(out.names), **{c: frame[c].iloc[0] for c in names}, "error": problem}
         return pd.DataFrame([row], columns=out.names, dtype=object)
 
-    steps = points.select(*all_named(names), _step_of(freq, F.col("ts")).alias("step"), "value")
     if names:  # series are small in bytes but costly: keep them in many tasks
-        steps = steps.repartition(shuffle_partitions(points.sparkSession), *all_named(names))
-    found = steps.groupBy(*all_named(names)).applyInPandas(detect, out)
-    return found.select(*all_named(names), _start_of(freq, F.col("step")).alias("ts"), "value", "score", "method", "error")
+        steps = steps.repartition(shuffle_partitions(points.sparkSession), *names)
+    found = steps.groupBy(*names).applyInPandas(detect, out)
+    back = [F.col(g).alias(c) for c, g in zip(by, names)]
+    return found.select(*back, _start_of(freq, F.col("step")).alias("ts"), "value", "score", "method", "error")
 
 
 def stl_anomalies(points: DataFrame, freq: str = "D", by: Sequence[str] = ()) -> DataFrame:
@@ -116,13 +119,23 @@ def auto_anomalies(points: DataFrame, freq: str = "D", by: Sequence[str] = ()) -
 
 
 def analyze(
-    df: DataFrame, ts: str, value: str, method: str | None = None, freq: str = "D", by: Sequence[str] = (), how: str = "sum"
+    df: DataFrame,
+    ts: str | None = None,
+    value: str | None = None,
+    method: str | None = None,
+    freq: str = "D",
+    by: Sequence[str] = (),
+    how: str = "sum",
 ) -> DataFrame:
-    """Anomalies by name: classic, stl, mstl, moving_average work on the series resampled to
-    `freq`; esd and iqr on the rows; anything else is auto."""
+    """Anomalies by method name: classic, stl, mstl, moving_average work on the series resampled
+    to `freq`; esd and iqr on the rows; anything else is auto. Columns not named are inferred;
+    without a date or a value column there are no anomalies."""
     method = (method or "auto").lower()
+    ts, value = ts or infer_date_col(df), value or infer_value_col(df)
+    if ts not in df.columns or value not in df.columns:
+        return df.sparkSession.createDataFrame([], "ts timestamp_ntz, value double")
     if method == "iqr":
-        return iqr(series_points(df, ts, value, by), "value", by)
+        return iqr(series_points(df, ts, value, by), "value", by, least=MIN_POINTS)
     if method == "esd":
         points = series_points(df, ts, value, by).select(*all_named(by), iso_text(F.col("ts")).alias("date"), "value")
         return esd(points, "value", "date", by)

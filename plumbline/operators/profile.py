@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Any
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,8 +72,21 @@ def display_profile(profile: DataFrame) -> DataFrame:
     )
 
 
-def first_rows(df: DataFrame, order_by: str, n: int = SAMPLE_ROWS) -> DataFrame:
-    return df.orderBy(named(order_by)).limit(n)
+def first_rows(df: DataFrame, order_by: str | None = None, n: int = SAMPLE_ROWS) -> DataFrame:
+    """The first n rows by a key; without one, n rows in reading order."""
+    return (df.orderBy(named(order_by)) if order_by else df).limit(n)
+
+
+def profile_dataset(df: DataFrame, order_by: str | None = None) -> dict[str, Any]:
+    """The profile as {"row_count", "columns": [...], "sample_rows": [...]}: one entry per column
+    and 20 rows are all that reaches the driver."""
+    columns = []
+    for r in column_profile(df).orderBy("position").collect():
+        entry = {k: r[k] for k in ("name", "type", "null_count", "null_pct")}
+        numeric = is_numeric_type(df.schema[r["name"]].dataType)
+        columns.append({**entry, "stats": {k: r[k] for k in ("min", "max", "mean", "std")} if numeric else None})
+    sample = [r.asDict() for r in first_rows(df, order_by).collect()]
+    return {"row_count": df.count(), "columns": columns, "sample_rows": sample}
 
 
 def random_rows(df: DataFrame, n: int = RANDOM_ROWS, seed: int = 0) -> DataFrame:

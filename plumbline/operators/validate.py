@@ -60,7 +60,7 @@ def compile_rules(df: DataFrame, rules: dict[str, Any]) -> list[Check]:
             if cfg.get("max") is not None:
                 add(column, "max", f"Values above max {cfg['max']}", number > F.lit(float(cfg["max"])))
         if cfg.get("regex"):
-            bad = value.isNotNull() & ~value.cast("string").rlike(python_regex(cfg["regex"]))
+            bad = value.isNotNull() & ~_text_of(df, column).rlike(python_regex(cfg["regex"]))
             add(column, "regex", "Regex mismatch", bad)
         if cfg.get("unique"):
             add(column, "unique", "Duplicate values found")
@@ -83,6 +83,12 @@ def _duplicated(df: DataFrame, column: str, order_by: str | None = None) -> Data
     )
 
 
+def _text_of(df: DataFrame, column: str) -> Column:
+    """The value as Python writes it."""
+    text = present(df, column).cast("string")
+    return F.initcap(text) if isinstance(df.schema[column].dataType, T.BooleanType) else text
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
@@ -177,6 +183,17 @@ def validation_report(df: DataFrame, rules: dict[str, Any], order_by: str) -> Da
     return check_counts(df, checks, order_by).where("bad_rows > 0").join(samples, "check", "left")
 
 
+def _as_type(value: str | None, dtype: T.DataType):
+    """A sampled value, which is text, back in its column's type."""
+    if value is None or isinstance(dtype, T.StringType):
+        return value
+    if isinstance(dtype, T.BooleanType):
+        return value == "true"
+    if isinstance(dtype, T.IntegralType):
+        return int(value)
+    return float(value) if isinstance(dtype, (T.FloatType, T.DoubleType)) else value
+
+
 def validate_dataframe(df: DataFrame, rules: dict[str, Any], order_by: str | None = None) -> dict[str, Any]:
     """The report as {"errors": [...], "summary": {"error_count": n}}; samples only for failures."""
     if order_by is None:
@@ -187,8 +204,10 @@ def validate_dataframe(df: DataFrame, rules: dict[str, Any], order_by: str | Non
     sampled = [c for c in failing if c.kind not in ("absent", "required")]
     samples = {}
     if sampled:
-        rows = check_samples(df, sampled, order_by).collect()
-        samples = {r["check"]: {s["row_id"]: s["value"] for s in r["row_sample"]} for r in rows}
+        types = {c.number: df.schema[c.column].dataType for c in sampled}
+        for r in check_samples(df, sampled, order_by).collect():
+            n = r["check"]
+            samples[n] = {s["row_id"]: _as_type(s["value"], types[n]) for s in r["row_sample"]}
     errors = [
         {"column": c.column, "message": c.message, "row_sample": samples.get(c.number, {})} for c in failing
     ]

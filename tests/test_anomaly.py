@@ -144,6 +144,22 @@ def test_every_method_finds_a_spike(spark, method):
     assert any(abs(r["value"] - values[60]) < 1e-9 for r in found)
 
 
+def test_columns_are_inferred(spark):
+    df = _daily(spark, TS15).withColumn("other", F.lit("x"))
+    assert [r["value"] for r in analyze(df, method="iqr").collect()] == [1000.0]
+    assert analyze(df.drop("value")).count() == 0 and analyze(df.select("value")).count() == 0
+    assert analyze(df.where("ts > '2024-01-09'"), method="iqr").count() == 0  # fewer than 8 points
+
+
+def test_names_with_dots(spark):
+    rows = [(g, float(v)) for g in ("a", "b") for v in TS15]
+    df = spark.createDataFrame(rows, "`g.x` string, `v.y` double").withColumn("id", F.monotonically_increasing_id())
+    assert zscore(df, "v.y", ["g.x"]).count() == 2 and iqr(df, "v.y", ["g.x"]).count() == 2
+    assert esd(df, "v.y", "id", ["g.x"]).count() == 2
+    df = df.withColumn("t", F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int") % 1000))
+    assert auto_anomalies(resample(df, "t", "v.y", "D", ["g.x"]), "D", ["g.x"]).count() >= 2
+
+
 def test_gaps_and_groups_and_partitions(spark):
     t = np.arange(60)
     base = 50 + 5 * np.sin(2 * np.pi * t / 7) + np.random.default_rng(4).normal(0, 0.2, 60)

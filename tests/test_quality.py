@@ -16,6 +16,7 @@ from plumbline.operators import (
     infer_value_col,
     list_rules_report,
     numeric_columns,
+    profile_dataset,
     repeated_rows,
     summarize,
     validate_dataframe,
@@ -40,6 +41,30 @@ def test_profile_people(people):
     assert column_types(people) == {"name": "string", "age": "bigint", "email": "string"}
 
 
+def test_profile_as_a_dictionary(spark, people):
+    got = profile_dataset(people, "age")
+    assert got["row_count"] == 3 and got["sample_rows"][0] == {"name": "Charlie", "age": -5, "email": "invalid"}
+    assert [c["name"] for c in got["columns"]] == ["name", "age", "email"]
+    assert got["columns"][0]["stats"] is None and got["columns"][1]["stats"]["max"] == 30.0
+    assert len(profile_dataset(people)["sample_rows"]) == 3
+
+
+def test_nested_columns_and_odd_names(spark):
+    df = spark.createDataFrame([(1, [0.5, 1.0], "x "), (2, None, None)], "`a.b` int, `v c` array<float>, `t``k` string")
+    assert [r["null_count"] for r in column_profile(df).orderBy("position").collect()] == [0, 1, 1]
+    assert summarize(df).count() == 3
+    rules = {"columns": {"a.b": {"type": "int", "max": 1, "unique": True}, "t`k": {"required": True, "regex": "y"}}}
+    assert [e["row_sample"] for e in validate_dataframe(df, rules, "a.b")["errors"]] == [{2: 2}, {1: "x "}]
+    assert clean(df, drop_duplicates=True).count() == 2
+    assert violating_rows(df, rules, "a.b").count() == 2
+
+
+def test_regex_on_booleans(spark):
+    df = spark.createDataFrame([(1, True), (2, False)], "id int, b boolean")
+    errors = validate_dataframe(df, {"columns": {"b": {"regex": "True"}}}, "id")["errors"]
+    assert [e["row_sample"] for e in errors] == [{2: False}]
+
+
 def test_profile_missing_values(spark):
     nan = float("nan")
     df = spark.createDataFrame(
@@ -69,7 +94,7 @@ def test_validate_people(people):
     report = validate_dataframe(people, BASIC, "age")
     assert report["summary"] == {"error_count": 2}
     assert [(e["column"], e["message"], e["row_sample"]) for e in report["errors"]] == [
-        ("age", "Values below min 0", {-5: "-5"}),
+        ("age", "Values below min 0", {-5: -5}),
         ("email", "Regex mismatch", {-5: "invalid"}),
     ]
     assert validate_dataframe(people.where("age > 0"), BASIC)["errors"] == []
