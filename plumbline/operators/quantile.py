@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import all_named, named
 from ..session import ensure_checkpoint_dir
-from .skew import running_sum, split_join, with_chunks
+from .skew import few_sketches, running_sum, split_join, with_chunks
 
 ACCURACY = 10_000  # the sketch's rank error is at most 1 / ACCURACY of the rows
 LADDER = [(1, ACCURACY), (10, ACCURACY // 10), (100, ACCURACY // 100)]  # (margin factor, least rows)
@@ -51,7 +51,7 @@ def _by_rank(rows: DataFrame, keys: list[str], probs: dict[str, float]) -> DataF
     # margin is wider for smaller groups; at most 8 n / ACCURACY or about 100 rows stay inside.
     margins = [4 * factor / ACCURACY for factor, _ in LADDER]
     ends = [(max(p - m, 0.0), min(p + m, 1.0)) for p in probs.values() for m in margins]
-    brackets = rows.groupBy(*all_named(keys)).agg(
+    brackets = few_sketches(rows).groupBy(*all_named(keys)).agg(
         F.count("_v").alias("n"), F.percentile_approx("_v", [e for pair in ends for e in pair], ACCURACY).alias("_e")
     )
     rung = F.lit(len(LADDER))

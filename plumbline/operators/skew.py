@@ -19,7 +19,8 @@ from pyspark.sql import Window as W
 from ..functions.names import all_named, named
 from ..session import ensure_checkpoint_dir, shuffle_partitions
 
-MAX_HOT = 10_000  # never more hot keys or range cuts than this
+MAX_HOT = 10_000  # never more hot keys than this
+MAX_STEPS = 12  # a hot key is cut into at most 2**12 ranges
 
 
 def _share(df: DataFrame) -> int:
@@ -89,6 +90,12 @@ def split_join(left: DataFrame, per_key: DataFrame, keys: Sequence[str], weight:
     return joined.drop(*key_names)
 
 
+def few_sketches(df: DataFrame) -> DataFrame:
+    """Each task makes one quantile sketch per key and one task merges those of a key: read the
+    input in p tasks at most, without a shuffle, so that there are not too many to merge."""
+    return df.coalesce(_share(df))
+
+
 def range_index(value: Column, cuts: Column, steps: int) -> Column:
     """How many of the 2**steps - 1 ordered cuts are <= value, by binary search."""
     strides = F.array(*[F.lit(2**i) for i in reversed(range(steps))])
@@ -103,7 +110,7 @@ def with_chunks(df: DataFrame, by: Sequence[str], order: str, measure: DataFrame
     """(df with `_chunk`, whether any chunk is used).
 
     `_chunk` is 0 for ordinary keys; for hot keys the number (from 1) of the row's range of
-    `order` (a number), the ranges cut so that each holds about 1/p of the hot rows. Grouping or
+    `order` (a number), the ranges cut so that each holds about 1/p of the hot rows (at least 1/4096). Grouping or
     windowing by (by, _chunk) then never puts more than about 1/p of all rows in one task,
     and chunks of one key follow each other in `order`; rows without `order` come first.
     `measure` has the columns `by` and `order` of the same rows, from a plan that is cheap to run.
@@ -111,10 +118,10 @@ def with_chunks(df: DataFrame, by: Sequence[str], order: str, measure: DataFrame
     hot = hot_keys(measure, by)
     if hot is None:
         return df.withColumn("_chunk", F.lit(0)), False
-    steps = max(1, (_share(df) - 1).bit_length())
+    steps = min(max(1, (_share(df) - 1).bit_length()), MAX_STEPS)
     grid = [i / 2**steps for i in range(1, 2**steps)]
-    hot_rows = measure.join(F.broadcast(hot), same(by), "left_semi")
-    cuts = hot_rows.agg(F.percentile_approx(order, grid, 16 * 2**steps)).first()[0]
+    hot_rows = few_sketches(measure).join(F.broadcast(hot), same(by), "left_semi")
+    cuts = hot_rows.agg(F.percentile_approx(order, grid, 8 * 2**steps)).first()[0]
     if not cuts:
         return df.withColumn("_chunk", F.lit(0)), False
     flagged = df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), same(by), "left")

@@ -3,6 +3,7 @@ import zipfile
 
 import pytest
 
+from plumbline.session import scratch_dir
 from plumbline.sources import (
     dataset_meta,
     load_rules,
@@ -175,3 +176,11 @@ def test_rule_files(tmp_path):
     assert load_rules(tmp_path / "r.yaml") == {"columns": {"a": {"unique": True}}}
     with pytest.raises(FileNotFoundError):
         load_rules("nowhere.yaml")
+
+
+def test_scratch_folder_is_the_one_the_session_names(spark):
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    first, second = scratch_dir(spark, "x"), scratch_dir(spark, "x")
+    assert first != second
+    if named:
+        assert first.startswith(f"{named.rstrip('/')}/x-")
