@@ -7,6 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import all_named
+from ..session import shuffle_partitions
+from .skew import hot_keys, same
+
 
 def range_join(
     points: DataFrame,
@@ -16,22 +20,29 @@ def range_join(
     high: Column,
     width: float,
     by: Sequence[str] = (),
-    salts: int = 1,
 ) -> DataFrame:
     """Rows with low <= point <= high and equal `by`; point, low and high are numbers.
 
     Intervals are copied to each bin of `width` they touch (choose it near their length) and
-    joined on (by, bin), so a key that owns many rows is spread over its bins. `salts` > 1
-    spreads a crowded bin further, at the price of that many copies of each interval.
+    joined on (by, bin), so a key that owns many rows is spread over its bins. The points of a
+    hot bin are spread over p salts, and only its intervals are copied to each of them.
     """
-    bin_of = lambda c: F.floor(c / F.lit(width)).cast("bigint")
-    spread = F.pmod(F.xxhash64(*[points[c] for c in points.columns]), F.lit(salts)) if salts > 1 else F.lit(0)
-    left = points.select("*", point.alias("_p"), bin_of(point).alias("_bin"), spread.cast("int").alias("_salt"))
+
+    def bin_of(c: Column) -> Column:
+        return F.floor(c / F.lit(width)).cast("bigint")
+
+    keys = [*by, "_bin"]
+    left = points.select("*", point.alias("_p"), bin_of(point).alias("_bin")).where("_bin is not null")
     right = intervals.select("*", low.alias("_lo"), high.alias("_hi")).where("_lo <= _hi")
     right = right.withColumn("_bin", F.explode(F.sequence(bin_of(F.col("_lo")), bin_of(F.col("_hi")))))
-    right = right.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    return (
-        left.join(right, [*by, "_bin", "_salt"])
-        .where("_p between _lo and _hi")
-        .drop("_p", "_lo", "_hi", "_bin", "_salt")
-    )
+    hot = hot_keys(left.select(*all_named(keys)), keys)
+    if hot is not None:
+        salts = shuffle_partitions(points.sparkSession)
+        marked = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+        spread = F.pmod(F.xxhash64(*all_named(points.columns)), F.lit(salts)).cast("int")
+        left = left.join(marked, same(keys), "left").withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(0))
+        copies = F.sequence(F.lit(0), F.when(F.col("_hot"), salts - 1).otherwise(0))
+        right = right.join(marked, same(keys), "left").withColumn("_salt", F.explode(copies))
+        left, right = (side.drop("_hot", *hot.columns) for side in (left, right))
+        keys.append("_salt")
+    return left.join(right, keys).where("_p between _lo and _hi").drop("_p", "_lo", "_hi", "_bin", "_salt")

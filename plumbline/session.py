@@ -19,6 +19,7 @@ def local_session(cpus: str = "*", **confs: str) -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "8g")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in confs.items():
         builder = builder.config(key, value)

@@ -12,19 +12,27 @@ from .typing import cast_text, infer_types, tokens_to_null, unique_names
 _EXTRA = "_extra"
 
 
+def _has_open_quotes(spark: SparkSession, path: str | list[str]) -> bool:
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
 def read_csv(
     spark: SparkSession,
     path: str | list[str],
     schema: T.StructType | str | None = None,
-    multi_line: bool = False,
+    multi_line: bool | None = None,
 ) -> DataFrame:
     """Read CSV files that share one header.
 
     Without a schema the files are scanned once more to find the types; with one, values that do
     not fit its types become NULL. Short rows are padded with NULL; a row longer than the header
-    fails the scan, and a file without any column is an error. `multi_line` allows line breaks inside
-    quotes; such files cannot be split among tasks.
+    fails the scan, and a file without any column is an error. Files with line breaks inside
+    quotes cannot be split among tasks. Unless `multi_line` says which kind these are, a scan
+    for lines with an unpaired quote decides.
     """
+    if multi_line is None:
+        multi_line = _has_open_quotes(spark, path)
     reader = spark.read.option("quote", '"').option("escape", '"').option("multiLine", multi_line)
     first = reader.option("header", False).csv(path).head(1)
     if not first:

@@ -56,7 +56,9 @@ def test_quotes_short_rows_blank_lines(csv):
 
 
 def test_line_break_inside_quotes(csv):
-    assert _rows(csv('a,b\n"two\nlines",1\n', multi_line=True)) == [("two\nlines", 1)]
+    assert _rows(csv('a,b\n"two\nlines",1\n')) == [("two\nlines", 1)]
+    assert _rows(csv('a,b\n"x ""\ny""",1\n', multi_line=True)) == [('x "\ny"', 1)]
+    assert _rows(csv('a,b\n5" pipe,1\n6" pipe,2\n')) == [('5" pipe', 1), ('6" pipe', 2)]
 
 
 def test_repeated_and_blank_headers(csv):
