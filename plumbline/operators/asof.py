@@ -51,8 +51,9 @@ def asof_join(
     line, chunked = with_chunks(instants, by, "_at", places)
     found = line.withColumn("_here", F.last("_r", ignorenulls=True).over(chunk_window(by, "_at"))).where("_asked")
     if chunked:
+        # _asked is named so that both uses of the line need the same shuffle, which runs once
         carried = (
-            line.where("_chunk > 0")
+            line.where("_chunk > 0 and _asked is not null")
             .groupBy(*all_named(by), "_chunk")
             .agg(F.max(F.when(F.col("_r").isNotNull(), F.struct("_at", "_r"))).alias("_last"))
             .withColumn("_before", F.last("_last", ignorenulls=True).over(earlier_chunks(by))["_r"])
