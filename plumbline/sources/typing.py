@@ -17,7 +17,7 @@ NA_TOKENS = (
 TRUE_WORDS = ("True", "TRUE", "true")
 FALSE_WORDS = ("False", "FALSE", "false")
 
-COLUMNS_PER_PASS = 100
+COLUMNS_PER_PASS = 40  # five figures each: beyond about 200 the generated code gets too large
 
 
 def tokens_to_null(c: Column) -> Column:
