@@ -20,7 +20,7 @@ from ..operators.decompose import auto_anomalies, mstl_anomalies, stl_anomalies
 from ..operators.infer import date_fractions
 from ..operators.quantile import exact_quantiles
 from ..operators.series import long_enough, ordered, resample, series_points
-from .derived import WITH_DAILY, WITH_DIRTY, daily, dirty
+from .derived import WITH_DAILY, daily
 from .quality import ZSCORE_SQL
 from .registry import plan, table
 
