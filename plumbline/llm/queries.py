@@ -4,9 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .byte_bpe import bpe_encode
 from .exact_dedup import exact_dedup
+from .langid import predict_language, train_langid
+from .packing import best_fit_packing
+from .toxicity import score_toxicity, train_toxicity
+from .warc import read_warc, write_warc
+from ..session import scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,3 +45,44 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 )
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
+
+
+@query("op3_byte_bpe")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe_encode(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+@query("op4_toxicity")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return score_toxicity(documents, train_toxicity(documents, _table(spark, sf_dir, "labels")))
+
+
+@query("op6_packing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op9_language")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return predict_language(documents, train_langid(documents))
+
+
+@query(
+    "op10_warc",
+    """
+    with p as (select page_id, coalesce(html, '') as payload, octet_length(encode(coalesce(html, ''))) as n from pages),
+    g as (select page_id, n, sha1(payload) as d, max(page_id) over (partition by payload) as last from p)
+    select page_id, n as payload_bytes, d as payload_digest,
+           case when n >= 1000 and page_id <> last then 'revisit' else 'response' end as record_type,
+           case when n >= 1000 and page_id <> last then last end as refers_to
+    from g
+    """,
+)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_dir(spark, "warc")
+    write_warc(_table(spark, sf_dir, "pages"), path)
+    records = read_warc(spark, path)
+    return records.select(F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
