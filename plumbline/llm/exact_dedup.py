@@ -129,9 +129,9 @@ def _fold_runs(run_bytes: int):
     return task
 
 
-def _tables(schema: T.StructType):
+def _tables(schema: T.StructType, carry: bool):
     """Records in the order of their bucket -> one row per record: its run, the row, key and size
-    of its group; the content on the row that stays."""
+    of its group; with `carry` the content on the row that stays."""
     names = schema.names
 
     def task(batches) -> Iterator:
@@ -143,7 +143,7 @@ def _tables(schema: T.StructType):
                 rank, at = stays[number]
                 size = sum(copies for _, copies in members)
                 for run, _ in members:
-                    kept = run == at["run"]
+                    kept = carry and run == at["run"]
                     rows.append({"run": run, "keep_row": at["run"], "keep_key": at["key"], "group_size": size, "hash": at["hash"],
                                  "text": at["text"] if kept else None, "rest": at["rest"] if kept else None, "bytes": at["bytes"] if kept else None})
                     if len(rows) == 4096:
@@ -178,29 +178,29 @@ def _tables(schema: T.StructType):
     return task
 
 
-def _merge(records: DataFrame, bucket) -> DataFrame:
+def _merge(records: DataFrame, bucket, carry: bool) -> DataFrame:
     own = {f.name: f.dataType for f in records.schema}
     schema = T.StructType([T.StructField(n, t) for n, t in (("run", T.LongType()), ("keep_row", T.LongType()), ("keep_key", own["key"]), ("group_size", T.LongType()), ("hash", T.LongType()), ("text", T.StringType()), ("rest", own["rest"]), ("bytes", T.LongType()))])
     dealt = records.withColumn("bucket", bucket)
     dealt = dealt.repartition(shuffle_partitions(records.sparkSession), "bucket").sortWithinPartitions("bucket")
-    return dealt.select("bucket", "run", "key", "hash", "copies", "bytes", "text", "rest").mapInArrow(_tables(schema), schema)
+    return dealt.select("bucket", "run", "key", "hash", "copies", "bytes", "text", "rest").mapInArrow(_tables(schema, carry), schema)
 
 
 def _bits(width: int):
     return F.shiftrightunsigned("hash", 64 - width) if width else F.lit(0).cast("long")
 
 
-def _buckets(records: DataFrame, bucket_bytes: int, width: int) -> DataFrame:
+def _buckets(records: DataFrame, bucket_bytes: int, width: int, carry: bool) -> DataFrame:
     """Bucket by the first `width` bits; what does not fit is partitioned again."""
     bucket = _bits(width)
     texts = records.groupBy("hash").agg(F.max("bytes").alias("b"))
     over = texts.groupBy(bucket.alias("full")).agg(F.sum("b").alias("b"), F.count(F.lit(1)).alias("n"))
     over = stored(over.where((F.col("b") > bucket_bytes) & (F.col("n") > 1)).select("full"), "dedup-over")
     if width + STEP_BITS > 63 or over.isEmpty():
-        return _merge(records, bucket)
+        return _merge(records, bucket, carry)
     fits = records.join(over, bucket == F.col("full"), "left_anti")
     rest = records.join(over, bucket == F.col("full"), "left_semi")
-    return _merge(fits, bucket).unionByName(_buckets(rest, bucket_bytes, width + STEP_BITS))
+    return _merge(fits, bucket, carry).unionByName(_buckets(rest, bucket_bytes, width + STEP_BITS, carry))
 
 
 def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text", *, payload: bool = False,
@@ -225,7 +225,7 @@ def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text", *, payl
         if many.isEmpty():
             break
         salted = records.join(many, "hash").withColumn("salt", F.pmod(F.xxhash64("run"), F.ceil(2 * F.col("runs") / fan_in)))
-        folded = stored(_merge(salted, F.struct("hash", "salt")), "dedup-merged")
+        folded = stored(_merge(salted, F.struct("hash", "salt"), True), "dedup-merged")
         best = folded.where(F.col("run") == F.col("keep_row")).select("run", F.col("keep_key").alias("key"), "hash", F.col("group_size").alias("copies"), "bytes", "text", "rest")
         step = folded.select(F.col("run").alias("from"), F.col("keep_row").alias("to"))
         records = records.join(many, "hash", "left_anti").unionByName(best)
@@ -237,7 +237,7 @@ def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text", *, payl
             chain = moved.unionByName(step.join(chain.select("from"), "from", "left_anti"))
     total = records.agg(F.sum("bytes")).first()[0] or 0
     width = min(40, max(0, math.ceil(math.log2(max(1, 4 * total / bucket_bytes)))))
-    groups = stored(_buckets(records, bucket_bytes, width), "dedup-groups")
+    groups = _buckets(records, bucket_bytes, width, payload)
     if chain is not None:
         start = chain.select(F.col("from").alias("run"), "to")
         rows = rows.join(start, "run", "left").select("row", "key", "sha", F.coalesce("to", "run").alias("run"))
