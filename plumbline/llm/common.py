@@ -17,7 +17,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     differently are fixed, and a lost executor costs nothing that was stored before.
     """
     path = scratch_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

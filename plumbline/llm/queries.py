@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import bpe_encode
 from .exact_dedup import exact_dedup
+from .fingerprints import edited_fingerprints
 from .langid import predict_language, train_langid
+from .license_scan import SQL as LICENSE_SQL
+from .license_scan import license_scan
+from .lm_score import lm_score
 from .packing import best_fit_packing
 from .toxicity import score_toxicity, train_toxicity
 from .warc import read_warc, write_warc
@@ -86,3 +90,18 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_warc(_table(spark, sf_dir, "pages"), path)
     records = read_warc(spark, path)
     return records.select(F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+@query("op2_license_scan", LICENSE_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
+@query("op5_lm_score")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(_table(spark, sf_dir, "documents"))
+
+
+@query("op7_fingerprints")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(_table(spark, sf_dir, "documents"))
