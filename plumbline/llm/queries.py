@@ -15,6 +15,7 @@ from .langid import predict_language, train_langid
 from .license_scan import SQL as LICENSE_SQL
 from .license_scan import license_scan
 from .lm_score import lm_score
+from .ngram_join import ngram_components
 from .packing import best_fit_packing
 from .toxicity import score_toxicity, train_toxicity
 from .warc import read_warc, write_warc
@@ -105,3 +106,23 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_fingerprints")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(_table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op8_ngram_join",
+    r"""
+    with recursive w as (
+      select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+    s as (select r, unnest(case when len(ws) >= 3 then list_distinct(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i : i + 2], ' ')))
+                                when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as x from w),
+    n as (select r, count(*) as n from s group by r),
+    common as (select a.r as a, b.r as b, count(*) as c from s a join s b on a.x = b.x and a.r <> b.r group by a.r, b.r),
+    link as (select a, b from common join n na on na.r = a join n nb on nb.r = b where 100 * c >= 90 * (na.n + nb.n - c)),
+    reach(a, b) as (select r, r from w union select reach.a, link.b from reach join link on reach.b = link.a)
+    select w.doc_id, coalesce(any_value(n.n), 0)::bigint as n_shingles, min(other.doc_id) as component_id
+    from w left join n using (r) join reach on reach.a = w.r join w other on other.r = reach.b group by w.r, w.doc_id
+    """,
+)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(_table(spark, sf_dir, "documents"))
