@@ -1,4 +1,4 @@
-from .datasets import dataset_meta, open_dataset, read_table, register_dataset
+from .datasets import dataset_meta, open_dataset, read_table, register_dataset, rows_per_file
 from .delimited import read_csv
 from .rulefile import load_rules
 from .sinks import load_table, write_csv, write_parquet
@@ -15,6 +15,7 @@ __all__ = [
     "read_workbooks",
     "read_xlsx",
     "register_dataset",
+    "rows_per_file",
     "write_csv",
     "write_parquet",
 ]

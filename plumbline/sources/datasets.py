@@ -13,17 +13,17 @@ from .workbook import read_xlsx
 def read_table(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
     """A table from CSV, .xlsx or Parquet; without `fmt` the path's ending decides.
 
-    A file with neither ending is taken as a workbook if it starts like a zip archive, else as
-    CSV. A file that cannot be read as its format is an error.
+    A file of any other ending, .csv included, is taken as a workbook if it starts like a zip archive,
+    else as CSV; only a given `fmt` is taken at its word. A file that cannot be read as its format is an error.
     """
-    kind = fmt or path.rsplit(".", 1)[-1].lower()
+    kind = fmt or path.rstrip("/").rsplit(".", 1)[-1].lower()
     if kind == "xls":
         raise ValueError("legacy .xls workbooks are not supported; save them as .xlsx")
     if kind == "parquet":
         return spark.read.parquet(path)
     if kind == "xlsx":
         return read_xlsx(spark, path, None if fmt else "*.xlsx")
-    if kind != "csv":
+    if fmt != "csv":
         start = spark.read.text(path).limit(1).first()
         if start and start["value"].startswith("PK\x03\x04"):
             return read_xlsx(spark, path, None)
@@ -45,6 +45,12 @@ def open_dataset(spark: SparkSession, name: str) -> DataFrame:
         raise KeyError(f"no dataset named {name!r}; register it first") from e
 
 
+def rows_per_file(df: DataFrame) -> DataFrame:
+    """filename, size in bytes and rows of each file that a table read from files comes from."""
+    files = df.select(F.col("_metadata.file_name").alias("filename"), F.col("_metadata.file_size").alias("size"))
+    return files.groupBy("filename", "size").agg(F.count(F.lit(1)).alias("rows"))
+
+
 def dataset_meta(spark: SparkSession, path: str) -> DataFrame:
     """filename and size in bytes of each file; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)

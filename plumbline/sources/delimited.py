@@ -2,19 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import csv
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import named
-from .typing import cast_text, infer_types, tokens_to_null, unique_names
+from .typing import cast_text, infer_types, tokens_to_null, typed_as, unique_names
+
+_RAW = "_raw"
+QUOTED = r'"(?:[^"]|"")*"'
+
+
+def split_header(line: str) -> tuple[str, ...]:
+    """Column names of a header line."""
+    cells = next(csv.reader([line.removeprefix("﻿")]), [])
+    return tuple(unique_names(cells))
 
-_EXTRA = "_extra"
 
+def field_count(record: Column) -> Column:
+    """How many fields a record has; commas inside quotes do not count."""
+    return F.size(F.split(F.regexp_replace(record, QUOTED, ""), ","))
 
-def _has_open_quotes(spark: SparkSession, path: str | list[str]) -> bool:
+
+def _file_kinds(spark: SparkSession, path: str | list[str]) -> dict[tuple[tuple[str, ...], bool], list[str]]:
+    """(header, has line breaks inside quotes) -> files, from one scan of the lines."""
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+    place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), place.alias("place"), (quotes % 2 == 1).alias("open"))
+    per_file = lines.where("value <> ''").groupBy("file").agg(F.min_by("value", "place").alias("header"), F.bool_or("open").alias("open"))
+    kinds: dict[tuple, list[str]] = {}
+    for r in per_file.collect():  # one row per file
+        kinds.setdefault((r["header"], r["open"]), []).append(r["file"])
+    return {(split_header(header), open_): sorted(files) for (header, open_), files in kinds.items()}
 
 
 def read_csv(
@@ -23,27 +45,39 @@ def read_csv(
     schema: T.StructType | str | None = None,
     multi_line: bool | None = None,
 ) -> DataFrame:
-    """Read CSV files that share one header.
+    """Read CSV files that have the same columns, in any order of their own.
 
     Without a schema the files are scanned once more to find the types; with one, values that do
-    not fit its types become NULL. Short rows are padded with NULL; a row longer than the header
-    fails the scan, and a file without any column is an error. Files with line breaks inside
-    quotes cannot be split among tasks. Unless `multi_line` says which kind these are, a scan
-    for lines with an unpaired quote decides.
+    not fit its types become NULL. Short rows are padded with NULL; a row longer than its header
+    fails the scan, and files without columns or with different ones are an error. Files with line
+    breaks inside quotes, and only these, are not split among tasks; `multi_line` says for all
+    files which kind they are.
     """
-    if multi_line is None:
-        multi_line = _has_open_quotes(spark, path)
-    reader = spark.read.option("quote", '"').option("escape", '"').option("multiLine", multi_line)
-    first = reader.option("header", False).csv(path).head(1)
-    if not first:
-        raise ValueError(f"no columns to read in {path}")
-    header = unique_names(list(first[0]))
-    fields = [T.StructField(name, T.StringType()) for name in [*header, _EXTRA]]
-    text = reader.option("header", True).schema(T.StructType(fields)).csv(path)
-    long_row = F.raise_error(F.lit(f"a row in {path} has more fields than its header")).cast("boolean")
-    text = text.where(F.when(F.col(_EXTRA).isNull(), True).otherwise(long_row))
-    text = text.select(*[tokens_to_null(named(name)).alias(name) for name in header])
+    empty = spark.read.format("binaryFile").load(path).where("length = 0").select("path").limit(1).collect()
+    kinds = _file_kinds(spark, path)
+    if empty or not kinds:
+        raise ValueError(f"no columns to read in {empty[0]['path'] if empty else path}")
+    header = min(kinds)[0]
+    for names, _ in kinds:
+        if set(names) != set(header):
+            raise ValueError(f"files in {path} have different columns: {sorted(set(names) ^ set(header))}")
+    if len(kinds) == 1:
+        header = next(iter(kinds))[0]
+    parts = [_read_kind(spark, files, names, open_ if multi_line is None else multi_line) for (names, open_), files in sorted(kinds.items())]
+    text = reduce(DataFrame.unionByName, parts).select(*[tokens_to_null(named(name)).alias(name) for name in header])
     if schema is None:
         return cast_text(text, infer_types(text))
     wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    return text.select(*[named(f.name).try_cast(f.dataType).alias(f.name) for f in wanted])
+    return text.select(*[typed_as(named(f.name), f.dataType).alias(f.name) for f in wanted])
+
+
+def _read_kind(spark: SparkSession, files: list[str], header: tuple[str, ...], multi_line: bool) -> DataFrame:
+    """Files of one header, all columns as text."""
+    fields = T.StructType([T.StructField(name, T.StringType()) for name in [*header, _RAW]])
+    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", multi_line)
+    # a record that has not the header's number of fields is kept whole in _RAW; pruning would not see it
+    text = reader.option("columnNameOfCorruptRecord", _RAW).option("columnPruning", False).schema(fields).csv(files)
+    # a query must look at another column than _RAW, so the message does
+    long_row = F.raise_error(F.concat(F.lit("a row has more fields than its header, it begins with "), F.coalesce(named(header[0]), F.lit("nothing")))).cast("boolean")
+    fits = F.when(F.col(_RAW).isNull(), True).when(field_count(F.col(_RAW)) <= len(header), True).otherwise(long_row)
+    return text.where(fits).drop(_RAW)

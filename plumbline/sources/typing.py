@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.names import named
 from ..functions.text import is_number, strip, to_number
@@ -60,6 +61,17 @@ def infer_types(df: DataFrame) -> dict[str, str]:
     return types
 
 
+def typed_as(c: Column, dtype: T.DataType) -> Column:
+    """Text in a given type; what the type's texts do not allow is NULL (Java's `1d` is no number)."""
+    if isinstance(dtype, T.IntegralType):
+        return F.when(_whole_number(c), strip(c).try_cast(dtype))
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return to_number(c).cast(dtype)
+    if isinstance(dtype, T.BooleanType):
+        return F.when(c.isin(*TRUE_WORDS), True).when(c.isin(*FALSE_WORDS), False)
+    return c.try_cast(dtype)
+
+
 def cast_text(df: DataFrame, types: dict[str, str]) -> DataFrame:
     def typed(name: str) -> Column:
         c, kind = named(name), types[name]
@@ -77,11 +89,13 @@ def cast_text(df: DataFrame, types: dict[str, str]) -> DataFrame:
 def unique_names(raw: list[str | None]) -> list[str]:
     """Header cells to column names: blanks are numbered, repeats get .1, .2, ..."""
     names: list[str] = []
+    taken: set[str] = set()  # Spark does not tell upper from lower case
     for i, cell in enumerate(raw):
         base = cell if cell else f"Unnamed: {i}"
         name, k = base, 0
-        while name in names:
+        while name.lower() in taken:
             k += 1
             name = f"{base}.{k}"
         names.append(name)
+        taken.add(name.lower())
     return names

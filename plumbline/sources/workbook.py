@@ -17,8 +17,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.names import named
+from ..session import scratch_dir
 from .typing import cast_text, infer_types, tokens_to_null, unique_names
 
+MOMENT = "\x02"  # marks a date cell; no text of a workbook can hold this character
 ROWS_SCHEMA = "path string, row int, cells array<string>"
 # Number formats of the workbook format that show dates or times.
 DATE_FORMATS = {14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47}
@@ -63,13 +66,22 @@ def _first_sheet(book: zipfile.ZipFile) -> str:
     return "xl/worksheets/sheet1.xml"
 
 
+def _day_zero(book: zipfile.ZipFile) -> datetime:
+    """Day 0 of the workbook's date system."""
+    if "xl/workbook.xml" in book.namelist():
+        for setting in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{_MAIN}workbookPr"):
+            if setting.get("date1904") in ("1", "true"):
+                return datetime(1904, 1, 1)
+    return datetime(1899, 12, 30)
+
+
 def sheet_rows(content: bytes) -> Iterator[tuple[int, list[str | None]]]:
-    """(row number, cell texts) of the first sheet; dates as ISO text."""
+    """(row number, cell texts) of the first sheet; a date is MOMENT and ISO text."""
     with zipfile.ZipFile(io.BytesIO(content)) as book:
         shared = []
         if "xl/sharedStrings.xml" in book.namelist():
             shared = [_text(si) for si in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))]
-        dates = _date_styles(book)
+        dates, start = _date_styles(book), _day_zero(book)
         number = 0
         with book.open(_first_sheet(book)) as sheet:
             for _, row in ElementTree.iterparse(sheet):
@@ -89,8 +101,8 @@ def sheet_rows(content: bytes) -> Iterator[tuple[int, list[str | None]]]:
                     elif kind == "b":
                         cells[at] = "True" if value == "1" else "False"
                     elif kind == "n" and int(cell.get("s", 0)) in dates:
-                        moment = datetime(1899, 12, 30) + timedelta(seconds=round(float(value) * 86400))
-                        cells[at] = moment.isoformat(sep=" ")
+                        moment = start + timedelta(milliseconds=round(float(value) * 86_400_000))
+                        cells[at] = MOMENT + moment.isoformat(sep=" ")
                     else:
                         cells[at] = value
                 number = int(row.get("r", number + 1))
@@ -98,18 +110,16 @@ def sheet_rows(content: bytes) -> Iterator[tuple[int, list[str | None]]]:
                 row.clear()
 
 
-def decode_workbooks(files: DataFrame, header_only: bool = False) -> DataFrame:
-    """(path, content) rows to (path, row, cells) rows, in bounded batches; `header_only` stops
-    after the first row of each workbook."""
+def decode_workbooks(files: DataFrame) -> DataFrame:
+    """(path, content) rows to (path, row, cells) rows, in bounded batches; rows without a value are left out."""
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
                 rows: list[tuple] = []
                 for number, cells in sheet_rows(content):
-                    rows.append((path, number, cells))
-                    if header_only:
-                        break
+                    if any(c is not None for c in cells):
+                        rows.append((path, number, cells))
                     if len(rows) == 10_000:
                         yield pd.DataFrame(rows, columns=["path", "row", "cells"])
                         rows = []
@@ -119,16 +129,31 @@ def decode_workbooks(files: DataFrame, header_only: bool = False) -> DataFrame:
 
 
 def read_workbooks(files: DataFrame) -> DataFrame:
-    """(path, content) rows to one table: the first row of each workbook is its header, and all
-    must agree. Types are inferred over all workbooks."""
-    headers = decode_workbooks(files, header_only=True).select("cells").distinct().limit(2).collect()
+    """(path, content) rows to one table: the first row with a value is a workbook's header, and all
+    must agree. Cells beyond the header make columns that are numbered as blank headers are.
+    Types are inferred over all workbooks; a column of date cells only is a timestamp. Workbooks are decoded once,
+    to a Parquet copy in the shared folder."""
+    spark = files.sparkSession
+    path = scratch_dir(spark, "workbooks")
+    decode_workbooks(files).write.parquet(path)
+    rows = spark.read.schema(ROWS_SCHEMA).parquet(path)
+    firsts = rows.groupBy("path").agg(F.min("row").alias("first"))
+    headers = rows.join(firsts, "path").where("row = first").select("cells").distinct().limit(2).collect()
     if len(headers) != 1:
         raise ValueError("the workbooks have no header row, or different ones")
-    names = unique_names(headers[0]["cells"])
-    body = decode_workbooks(files).where("row > 1").select(
+    width = rows.agg(F.max(F.size("cells"))).first()[0]
+    header = [c and c.removeprefix(MOMENT) for c in headers[0]["cells"]]
+    names = unique_names(header + [None] * (width - len(header)))
+    body = rows.join(firsts, "path").where("row > first").select(
         *[tokens_to_null(F.get("cells", F.lit(i))).alias(name) for i, name in enumerate(names)]
     )
-    return cast_text(body, infer_types(body))
+    types = infer_types(body)
+    marks = [(F.count_if(named(n).startswith(MOMENT)) == F.count(named(n))).alias(f"m{i}") for i, n in enumerate(names) if types[n] == "string"]
+    dated = body.agg(*marks).first().asDict() if marks else {}
+    plain = body.select(*[F.ltrim(named(n), F.lit(MOMENT)).alias(n) for n in names])
+    typed = cast_text(plain, types)
+    moments = {n: named(n).cast("timestamp_ntz") for i, n in enumerate(names) if dated.get(f"m{i}")}
+    return typed.select(*[moments.get(n, named(n)).alias(n) for n in names])
 
 
 def read_xlsx(spark: SparkSession, path: str, glob: str | None = "*.xlsx") -> DataFrame:

@@ -1,3 +1,4 @@
+from datetime import datetime
 import zipfile
 
 import pytest
@@ -115,8 +116,8 @@ def test_workbook(spark, tmp_path):
     styles = '<cellXfs><xf numFmtId="0"/><xf numFmtId="22"/></cellXfs>'
     _book(tmp_path / "a.xlsx", sheet, shared, styles)
     df = read_xlsx(spark, str(tmp_path))
-    assert dict(df.dtypes) == {"name": "string", "age": "bigint", "when": "string", "ok": "boolean"}
-    assert sorted(_rows(df), key=str) == [("Alice", 30, "2024-01-01 12:00:00", True), (None, 25, None, False)]
+    assert dict(df.dtypes) == {"name": "string", "age": "bigint", "when": "timestamp_ntz", "ok": "boolean"}
+    assert sorted(_rows(df), key=str) == [("Alice", 30, datetime(2024, 1, 1, 12), True), (None, 25, None, False)]
 
 
 def test_workbooks_must_share_a_header(spark, tmp_path):
@@ -185,3 +186,61 @@ def test_scratch_folder_is_the_one_the_session_names(spark):
     assert first != second
     if named:
         assert first.startswith(f"{named.rstrip('/')}/x-")
+
+
+def test_columns_go_by_name_in_every_file(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n1,10\n")
+    (tmp_path / "b.csv").write_text('y,x\n"20\n",2\n')
+    (tmp_path / "c.csv").write_text("y,x\n30,3\n")
+    df = read_csv(spark, str(tmp_path))
+    assert sorted((r["x"], r["y"].strip()) for r in df.withColumn("y", df["y"].cast("string")).collect()) == [(1, "10"), (2, "20"), (3, "30")]
+    (tmp_path / "d.csv").write_text("x,z\n1,1\n")
+    with pytest.raises(ValueError, match="different columns"):
+        read_csv(spark, str(tmp_path))
+
+
+@pytest.mark.parametrize("row", ["8,9,,LOST", "8,9,10", "8,9,", '8,"a,b",9'])
+def test_any_extra_field_is_an_error(spark, tmp_path, row):
+    (tmp_path / "a.csv").write_text(f"x,y\n1,2\n{row}\n")
+    with pytest.raises(Exception, match="more fields"):
+        read_csv(spark, str(tmp_path / "a.csv"), "x string, y string").collect()
+
+
+def test_commas_in_quotes_and_short_rows_fit(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('x,y,z\n1,"a, ""b"", c",2\n3\n')
+    assert _rows(read_csv(spark, str(tmp_path / "a.csv"))) == [(1, 'a, "b", c', 2), (3, None, None)]
+
+
+def test_headers_that_differ_in_case_only(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("A,a,B\n1,2,3\n")
+    df = read_csv(spark, str(tmp_path / "a.csv"))
+    assert df.columns == ["A", "a.1", "B"] and _rows(df) == [(1, 2, 3)]
+
+
+def test_java_numbers_are_no_numbers_under_a_schema(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y,z\n1d,1f,true\n2.5,7,maybe\n")
+    assert _rows(read_csv(spark, str(tmp_path / "a.csv"), "x double, y int, z boolean")) == [(None, None, True), (2.5, 7, None)]
+
+
+def test_workbook_rows_beyond_the_header_and_header_further_down(spark, tmp_path):
+    sheet = (
+        '<row r="3"><c r="A3" t="str"><v>x</v></c></row>'
+        '<row r="4"><c r="A4"><v>1</v></c><c r="B4"><v>99</v></c></row><row r="6"><c r="A6"><v>2</v></c></row>'
+    )
+    _book(tmp_path / "a.xlsx", sheet)
+    df = read_xlsx(spark, str(tmp_path))
+    assert df.columns == ["x", "Unnamed: 1"] and sorted(_rows(df), key=str) == [(1, 99), (2, None)]
+
+
+def test_workbook_of_1904_and_parts_of_a_second(spark, tmp_path):
+    sheet = '<row r="1"><c r="A1" t="str"><v>t</v></c></row><row r="2"><c r="A2" s="1"><v>43830.00000578704</v></c></row>'
+    _book(tmp_path / "a.xlsx", sheet, styles='<cellXfs><xf numFmtId="0"/><xf numFmtId="22"/></cellXfs>')
+    with zipfile.ZipFile(tmp_path / "a.xlsx", "a") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{MAIN}"><workbookPr date1904="1"/></workbook>')
+    assert _rows(read_xlsx(spark, str(tmp_path))) == [(datetime(2024, 1, 1, 0, 0, 0, 500000),)]
+
+
+def test_content_decides_between_csv_and_workbook(spark, tmp_path):
+    _book(tmp_path / "t.xlsx", '<row r="1"><c r="A1" t="str"><v>a</v></c></row><row r="2"><c r="A2"><v>1</v></c></row>')
+    (tmp_path / "really_a_book.csv").write_bytes((tmp_path / "t.xlsx").read_bytes())
+    assert _rows(read_table(spark, str(tmp_path / "really_a_book.csv"))) == [(1,)]

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import types as T
 
 from plumbline.sources import load_rules
@@ -19,3 +20,23 @@ def test_each_upload_is_cleaned_once(spark, tmp_path):
         "Bob": (-5, ["age: Values below min 0", "email: Regex mismatch"]),
         "Eve": (None, []),
     }
+
+
+def test_columns_of_an_upload_go_by_its_own_header(spark, tmp_path):
+    uploads, out, mark = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "mark")
+    uploads.mkdir()
+    schema = T.StructType().add("name", "string").add("email", "string").add("n", "double")
+    (uploads / "a.csv").write_text('email,n,name\ne@x.com,1d,"Eve, ""the\nfirst"""\n,2\n')
+    write_uploads(follow_uploads(spark, str(uploads), schema), out, mark).awaitTermination()
+    got = sorted((tuple(r) for r in spark.read.parquet(out).collect()), key=str)
+    assert got == [('Eve, "the\nfirst"', "e@x.com", None), (None, None, 2.0)]
+
+
+@pytest.mark.parametrize("text", ["name,email\nx,y,z\n", "name,other\nx,y\n", "name\nx\n"])
+def test_an_upload_that_does_not_fit_fails_the_stream(spark, tmp_path, text):
+    uploads = tmp_path / "in"
+    uploads.mkdir()
+    (uploads / "a.csv").write_text(text)
+    schema = T.StructType().add("name", "string").add("email", "string")
+    with pytest.raises(Exception, match="other columns|more fields"):
+        write_uploads(follow_uploads(spark, str(uploads), schema), str(tmp_path / "out"), str(tmp_path / "mark")).awaitTermination()
