@@ -71,6 +71,19 @@ def present(df: DataFrame, name: str) -> Column:
     return c
 
 
+def python_text(c: Column) -> Column:
+    """A double as Python writes it: plain digits from 1e-4 to 1e16, else the form 1e+16 or 1.5e-05."""
+    text, size = c.cast("string"), F.abs(c)
+    digits = F.regexp_replace(text.try_cast("decimal(38,20)").cast("string"), r"0+$", "")
+    plain = F.when(text.contains("E"), F.regexp_replace(digits, r"\.$", ".0")).otherwise(text)
+    mantissa = F.regexp_replace(F.regexp_extract(text, "^(.*)E", 1), r"\.0$", "")
+    power = F.regexp_extract(text, r"E-?(\d+)$", 1)
+    power = F.when(F.length(power) < 2, F.lpad(power, 2, "0")).otherwise(power)
+    short = F.concat(mantissa, F.when(text.contains("E-"), "e-").otherwise("e+"), power)
+    special = F.when(F.isnan(c), "nan").when(c == float("inf"), "inf").when(c == float("-inf"), "-inf")
+    return special.when((c == 0) | ((size >= 1e-4) & (size < 1e16)), plain).otherwise(short)
+
+
 def _java_group(name: str) -> str:
     return name.replace("_", "U95")  # Java group names take no underscore
 

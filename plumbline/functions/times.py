@@ -7,20 +7,28 @@ from pyspark.sql import functions as F
 
 from .text import strip
 
-# Shape of the text -> layout, for dates that are not in ISO form. The shapes exclude
-# each other, so that at most one layout is tried per value.
-LAYOUTS = {
-    r"^\d{1,2}/\d{1,2}/\d{4}$": "M/d/yyyy",
-    r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$": "M/d/yyyy H:mm",
-    r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$": "M/d/yyyy H:mm:ss",
-    r"^\d{4}/\d{1,2}/\d{1,2}$": "yyyy/M/d",
-    r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{2}:\d{2}$": "yyyy/M/d H:mm:ss",
-    r"^\d{1,2}-\d{1,2}-\d{4}$": "M-d-yyyy",
-    r"^\d{8}$": "yyyyMMdd",
-    r"^\d{1,2} [A-Z][a-z]{2} \d{4}$": "d MMM yyyy",
-    r"^\d{1,2}-[A-Z][a-z]{2}-\d{4}$": "d-MMM-yyyy",
-    r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$": "MMM d, yyyy",
-    r"^[A-Z][a-z]{3,} \d{1,2}, \d{4}$": "MMMM d, yyyy",
+# Shape of a date that is not in ISO form -> layout. The shapes exclude each other, so
+# that at most one layout is tried per value. A month is a name or its first three letters.
+_MONTH, _SHORT = "[A-Z][a-z]{3,}", "[A-Z][a-z]{2}"
+DAYS = {
+    r"\d{1,2}/\d{1,2}/\d{4}": "M/d/yyyy",
+    r"\d{4}/\d{1,2}/\d{1,2}": "yyyy/M/d",
+    r"\d{4}\.\d{1,2}\.\d{1,2}": "yyyy.M.d",
+    r"\d{1,2}-\d{1,2}-\d{4}": "M-d-yyyy",
+    r"\d{8}": "yyyyMMdd",
+    rf"\d{{1,2}} {_SHORT} \d{{4}}": "d MMM yyyy",
+    rf"\d{{1,2}} {_MONTH} \d{{4}}": "d MMMM yyyy",
+    rf"\d{{1,2}}-{_SHORT}-\d{{4}}": "d-MMM-yyyy",
+    rf"{_SHORT} \d{{1,2}},? \d{{4}}": "MMM d[,] yyyy",
+    rf"{_MONTH} \d{{1,2}},? \d{{4}}": "MMMM d[,] yyyy",
+    r"\d{4}-\d{1,2}-\d{1,2}": "yyyy-M-d",
+}
+# Shape of a time behind a date -> layout.
+TIMES = {
+    r" \d{1,2}:\d{2}": " H:mm",
+    r" \d{1,2}:\d{2}:\d{2}": " H:mm:ss",
+    r" \d{1,2}:\d{2} [AaPp][Mm]": " h:mm a",
+    r" \d{1,2}:\d{2}:\d{2} [AaPp][Mm]": " h:mm:ss a",
 }
 
 # Frequency letter -> (truncation unit, one step, season length in steps).
@@ -33,11 +41,19 @@ FREQUENCIES = {
 
 
 def _parsed(t: Column) -> Column:
-    other = F.when(~t.rlike(r"\d{4}"), None)  # no year, no date
-    for shape, layout in LAYOUTS.items():
-        other = other.when(t.rlike(shape), F.try_to_timestamp(t, F.lit(layout)))
-    iso = F.when(t.rlike(r"^\d{4}-\d{1,2}"), t.try_cast("timestamp_ntz"))
-    return iso.otherwise(other.cast("timestamp_ntz"))
+    clock = F.upper(F.regexp_extract(t, r"(?: \d{1,2}:\d{2}(?::\d{2})?(?: [AaPp][Mm])?)?$", 0))
+    day = F.substring(t, F.lit(1), F.length(t) - F.length(clock))
+    day = F.when(day.rlike(r"^[A-Z][a-z]{2,} \d{4}$"), F.concat(F.lit("1 "), day)).otherwise(day)  # a month is its first day
+    century = F.when(F.substring(day, -2, 2) >= "69", "19").otherwise("20")  # as Python reads two digits
+    day = F.when(day.rlike(rf"^\d{{1,2}}-{_SHORT}-\d{{2}}$"), F.regexp_replace(day, r"(?=\d{2}$)", century)).otherwise(day)
+    date, seconds = F.when(F.lit(False), None), F.when(clock == "", F.lit(0).cast("bigint"))
+    for shape, layout in DAYS.items():
+        date = date.when(day.rlike(f"^{shape}$"), F.try_to_timestamp(day, F.lit(layout)))
+    for shape, layout in TIMES.items():
+        moment = F.try_to_timestamp(F.concat(F.lit("1970-01-01"), clock), F.lit("yyyy-MM-dd" + layout))
+        seconds = seconds.when(clock.rlike(f"^{shape}$"), (F.hour(moment) * 3600 + F.minute(moment) * 60 + F.second(moment)).cast("bigint"))
+    other = F.timestamp_add("SECOND", seconds, date.cast("timestamp_ntz"))
+    return F.when(t.rlike(r"^\d{4}-\d{1,2}") & ~t.rlike("[AaPp][Mm]$"), t.try_cast("timestamp_ntz")).otherwise(other)
 
 
 def coerce_timestamp(text: Column) -> Column:

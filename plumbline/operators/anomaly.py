@@ -4,6 +4,8 @@ classic decomposition, generalised ESD; and the report forms of their results.""
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -14,9 +16,9 @@ from pyspark.sql import Window as W
 
 from ..functions.names import all_named, named
 from ..functions.student import esd_limits
-from ..functions.text import number_of
+from ..functions.text import nan_to_null, number_of
 from ..functions.times import FREQUENCIES, iso_text
-from ..session import shuffle_partitions
+from ..session import ensure_checkpoint_dir, shuffle_partitions
 from .quantile import exact_quantiles
 from .series import MIN_POINTS
 from .skew import split_join
@@ -27,7 +29,8 @@ WINDOW = 7
 
 
 def _score(value: Column, mean: Column, std: Column) -> Column:
-    return F.when(std > 0, (value - mean) / std)
+    """NULL where a figure is missing or NaN, as after an infinite value; in Spark NaN > 0 holds."""
+    return F.when(nan_to_null(std) > 0, nan_to_null((value - mean) / std))
 
 
 def zscore(df: DataFrame, value: str, by: Sequence[str] = (), limit: float = LIMIT) -> DataFrame:
@@ -53,7 +56,7 @@ def iqr(df: DataFrame, value: str, by: Sequence[str] = (), fence: float = FENCE,
     rows = df.withColumn("_v", number_of(df, value))
     quartiles = exact_quantiles(rows, "_v", {"_q1": 0.25, "_q3": 0.75}, by).where(F.col("n") >= least)
     span = F.lit(fence) * (F.col("_q3") - F.col("_q1"))
-    fences = quartiles.select(*all_named(by), "n", (F.col("_q1") - span).alias("low"), (F.col("_q3") + span).alias("high"))
+    fences = quartiles.select(*all_named(by), "n", nan_to_null(F.col("_q1") - span).alias("low"), nan_to_null(F.col("_q3") + span).alias("high"))
     if by:
         fenced = split_join(rows.where("_v is not null"), fences, by, "n")
     else:
@@ -115,72 +118,99 @@ def classic(points: DataFrame, freq: str = "D", by: Sequence[str] = (), limit: f
     return _flag_residuals(rows, by, limit)
 
 
-def esd(
-    df: DataFrame, value: str, key: str, by: Sequence[str] = (), alpha: float = 0.05, max_outliers: int = 50
-) -> DataFrame:
-    """Generalised ESD test per series for up to min(n // 10, max_outliers) outliers.
+def esd_steps(df: DataFrame, value: str, by: Sequence[str] = (), alpha: float = 0.05) -> DataFrame:
+    """Every step of the generalised ESD test: by..., i, side (-1 low, 1 high), place (from that
+    end, from 1), value, statistic, critical, for up to n // 10 removals of each series.
 
-    Each removal takes an end of the sorted values, so count, mean, variance and the
-    max_outliers smallest and largest values of a series decide the test exactly. These are
-    found by aggregates and per-partition rank limits; Python sees only them.
-    Output: by..., key, value, score (the test statistic), in any order.
+    A removal takes an end of the sorted values, so count, mean, variance and the values below
+    the first and above the last decile decide the test exactly. They are folded to value and count
+    by executors; one task per series walks along both ends.
     """
     names = [f"_g{i}" for i in range(len(by))]  # plain names for the Python step
-    groups = [named(c).alias(g) for c, g in zip(by, names)]
-    rows = df.select(*groups, named(key).alias("_key"), number_of(df, value).alias("_v")).where("_v is not null")
-    stats = rows.groupBy(*names).agg(
-        F.count("_v").alias("_n"), F.avg("_v").alias("_mean"), F.var_samp("_v").alias("_var")
-    )
-    ends = None
-    for sign, order in ((1, (F.asc("_v"), F.asc("_key"))), (-1, (F.desc("_v"), F.desc("_key")))):
-        rank = F.row_number().over(W.partitionBy(*names).orderBy(*order))
-        end = rows.withColumn("_r", rank).where(F.col("_r") <= max_outliers).withColumn("_r", sign * F.col("_r"))
-        ends = end if ends is None else ends.unionByName(end)
-    out = T.StructType([rows.schema[c] for c in [*names, "_key"]]).add("_v", "double").add("score", "double")
+    rows = df.select(*[named(c).alias(g) for c, g in zip(by, names)], number_of(df, value).alias("_v")).where("_v is not null")
+    # k <= n / 10 values from an end lie within the decile
+    marks = exact_quantiles(rows, "_v", {"_low": 0.1, "_high": 0.9}, names)
+    stats = rows.groupBy(*names).agg(F.count("_v").alias("_n"), F.avg("_v").alias("_mean"), F.var_samp("_v").alias("_var"))
+    if names:
+        placed = split_join(rows, marks, names, "n")
+    else:
+        pair = marks.select(F.struct("_low", "_high")).scalar()
+        placed = rows.withColumns({"_low": pair["_low"], "_high": pair["_high"]})
+    ends = placed.where("_v <= _low or _v >= _high").groupBy(*names, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    out = T.StructType([rows.schema[c] for c in names])
+    for name, kind in (("i", "long"), ("side", "integer"), ("place", "long"), ("value", "double"), ("statistic", "double"), ("critical", "double")):
+        out = out.add(name, kind)
 
     def rosner(frame: pd.DataFrame) -> pd.DataFrame:
         info = frame[frame["_n"].notna()].iloc[0]
-        n, var = int(info["_n"]), info["_var"]
-        end = frame[frame["_v"].notna()]
-        rank = end["_r"].where(end["_r"] > 0, n + 1 + end["_r"])  # both ends of a short series overlap
-        end = end.assign(_r=rank).drop_duplicates("_r").sort_values("_r").reset_index(drop=True)
-        k = min(n // 10, max_outliers)
-        if n < MIN_POINTS or k < 1 or not var > 0:
-            return end.iloc[:0].assign(score=0.0)[out.names]
-        x = end["_v"].to_numpy() - info["_mean"]
-        total, squares, low, high = 0.0, var * (n - 1), 0, len(x) - 1
-        taken, scores, outliers = [], [], 0
+        n, mean0, var = int(info["_n"]), info["_mean"], info["_var"]
+        k = n // 10
+        if n < MIN_POINTS or k < 1 or not var > 0 or not np.isfinite(var):
+            return pd.DataFrame(columns=out.names, dtype=object)
+        end = frame[frame["_v"].notna()].sort_values("_v")
+        values, left = end["_v"].to_numpy(), end["_c"].to_numpy().astype("int64")
+        x, low, high = values - mean0, 0, len(values) - 1
+        total, squares, places, steps = 0.0, var * (n - 1), {-1: 0, 1: 0}, []
         for i, bound in enumerate(esd_limits(n, k, alpha)):
             m = n - i
             mean = total / m
             spread = (squares - total * total / m) / (m - 1)
             if not spread > 0:
                 break
-            if mean - x[low] > x[high] - mean:
-                at, low = low, low + 1
-            else:
-                at, high = high, high - 1
-            taken.append(at)
-            scores.append(abs(x[at] - mean) / np.sqrt(spread))
-            if scores[-1] > bound:
-                outliers = i + 1
+            side = -1 if mean - x[low] > x[high] - mean else 1
+            at = low if side < 0 else high
+            places[side] += 1
+            steps.append((i + 1, side, places[side], values[at], abs(x[at] - mean) / np.sqrt(spread), bound))
+            left[at] -= 1
+            if not left[at]:
+                low, high = (low + 1, high) if side < 0 else (low, high - 1)
             total, squares = total - x[at], squares - x[at] ** 2
-        return end.iloc[taken[:outliers]].assign(score=scores[:outliers])[out.names]
+        return pd.DataFrame(steps, columns=out.names[len(names) :]).assign(**{g: info[g] for g in names})[out.names]
 
-    nothing = {"_key": rows.schema["_key"].dataType, "_v": T.DoubleType(), "_r": T.IntegerType()}
-    heads = stats.select(*names, *[F.lit(None).cast(t).alias(c) for c, t in nothing.items()], "_n", "_mean", "_var")
-    tails = ends.select(*names, "_key", "_v", "_r", *[F.lit(None).cast(heads.schema[c].dataType).alias(c) for c in ("_n", "_mean", "_var")])
+    heads = stats.select(*names, F.lit(None).cast("double").alias("_v"), F.lit(None).cast("bigint").alias("_c"), "_n", "_mean", "_var")
+    tails = ends.select(*names, "_v", "_c", *[F.lit(None).cast(heads.schema[c].dataType).alias(c) for c in ("_n", "_mean", "_var")])
     parts = heads.unionByName(tails)
     if names:  # few bytes per series, but work: keep the series in many tasks
         parts = parts.repartition(shuffle_partitions(df.sparkSession), *names)
     found = parts.groupBy(*names).applyInPandas(rosner, out)
-    back = [F.col(g).alias(c) for c, g in zip(by, names)]
-    return found.select(*back, F.col("_key").alias(key), F.col("_v").alias(value), "score")
+    return found.select(*[F.col(g).alias(c) for c, g in zip(by, names)], *out.names[len(names) :])
+
+
+def esd(df: DataFrame, value: str, key: str, by: Sequence[str] = (), alpha: float = 0.05) -> DataFrame:
+    """Generalised ESD test per series for up to n // 10 outliers: by..., key, value, score (the test statistic).
+
+    The outliers are all removals up to the last significant one. Of equal values those of the
+    smallest keys are taken from the low end, of the largest keys from the high end.
+    """
+    names = [f"_g{i}" for i in range(len(by))]
+    rows = df.select(*[named(c).alias(g) for c, g in zip(by, names)], named(key).alias("_key"), number_of(df, value).alias("_v")).where("_v is not null")
+    plain = rows.select(*names, "_v")
+    steps = esd_steps(plain, "_v", names, alpha)
+    last = F.max(F.when(F.col("statistic") > F.col("critical"), F.col("i"))).over(W.partitionBy(*names))
+    ensure_checkpoint_dir(df.sparkSession)
+    outliers = steps.withColumn("_last", last).where(F.col("i") <= F.col("_last")).select(*names, "side", "place", F.col("value").alias("_o"), "statistic").checkpoint()
+    values = outliers.groupBy(*names, "side", "_o").agg(F.count(F.lit(1)).alias("_c"))
+    met = [F.col(f"r.{g}").eqNullSafe(F.col(f"o.{g}")) for g in names]
+    joined = rows.alias("r").join(values.alias("o"), reduce(and_, [*met, F.col("r._v") == F.col("o._o")]))
+    # the values before a place are outliers of that side too, so places count among these rows
+    up = W.partitionBy("side", *names).orderBy("_v", "_key")
+    down = W.partitionBy("side", *names).orderBy(F.desc("_v"), F.desc("_key"))
+    sided = joined.select(*[f"r.{g}" for g in names], "_key", "_v", "side")
+    place = F.when(F.col("side") < 0, F.row_number().over(up)).otherwise(F.row_number().over(down))
+    placed = sided.withColumn("place", place.cast("bigint"))
+    back = [F.col(f"p.{g}").eqNullSafe(F.col(f"o.{g}")) for g in names]
+    found = placed.alias("p").join(outliers.alias("o"), reduce(and_, [*back, F.col("p.side") == F.col("o.side"), F.col("p.place") == F.col("o.place")]))
+    return found.select(*[F.col(f"p.{g}").alias(c) for c, g in zip(by, names)], F.col("p._key").alias(key), F.col("p._v").alias(value), F.col("statistic").alias("score"))
+
+
+def found_points(anomalies: DataFrame) -> DataFrame:
+    """Without the rows that only report a series on which the method failed."""
+    return anomalies.where("error is null") if anomalies.columns[-2:] == ["method", "error"] else anomalies
 
 
 def summary(anomalies: DataFrame, method: str) -> DataFrame:
-    """One row: count, method_used."""
-    return anomalies.agg(F.count(F.lit(1)).alias("count")).withColumn("method_used", F.lit(method))
+    """One row: count, method_used. Rows that report a failure are no anomalies."""
+    return found_points(anomalies).agg(F.count(F.lit(1)).alias("count")).withColumn("method_used", F.lit(method))
 
 
 # Fixed value: the narrative given when no model writes one.
@@ -208,6 +238,7 @@ def anomaly_rows(anomalies: DataFrame, ts: str, value: str) -> DataFrame:
 def analysis_context(df: DataFrame, anomalies: DataFrame, date_col: str, value_col: str) -> DataFrame:
     """One row: rows, cols, columns (name and type), date_col, value_col, anomalies_count and the
     first 20 anomalies in time order."""
+    anomalies = found_points(anomalies)
     first = anomalies.orderBy(named(date_col), named(value_col)).limit(20)
     preview = first.agg(F.array_sort(F.collect_list(F.struct(named(date_col), named(value_col)))))
     types = F.array(*[F.concat_ws(" ", F.lit(f.name), F.lit(f.dataType.simpleString())) for f in df.schema])

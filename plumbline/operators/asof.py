@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.names import all_named, named
 from ..functions.times import micros
@@ -21,7 +22,8 @@ def asof_join(
     right_on: str | None = None,
     how: str = "inner",
 ) -> DataFrame:
-    """No pairs are formed. Both sides are reduced to one row per key and instant, the last right
+    """No pairs are formed. Without hot keys both sides go through one exchange by key, and along each key's
+    times the last right row is carried to the left rows. With hot keys both sides are reduced to one row per key and instant, the last right
     row is carried forward along each key's instants, and every left row looks up its instant.
     Copies fold before the shuffle; a hot key is cut into ranges of time that are scanned
     apart, with the last right row of earlier ranges handed over in one summary row per range.
@@ -41,6 +43,9 @@ def asof_join(
     whole = reduce(lambda a, b: a & b, [named(c).isNotNull() for c in [*by, "_at"]])
     places = rows.select(*all_named(by), "_at").unionByName(marks.select(*all_named(by), "_at")).where(whole)
     no_mark = F.lit(None).cast(marks.schema["_r"].dataType).alias("_r")
+    hot = hot_keys(places, by)
+    if hot is None:
+        return _plain(rows, marks, by, whole, left.columns, renamed_payload, how)
     instants = (
         rows.select(*all_named(by), "_at", no_mark, F.lit(True).alias("_asked"))
         .unionByName(marks.select("*", F.lit(False).alias("_asked")))
@@ -48,7 +53,7 @@ def asof_join(
         .groupBy(*all_named(by), "_at")
         .agg(F.max("_r").alias("_r"), F.max("_asked").alias("_asked"))
     )
-    line, chunked = with_chunks(instants, by, "_at", places)
+    line, chunked = with_chunks(instants, by, "_at", places, hot)
     found = line.withColumn("_here", F.last("_r", ignorenulls=True).over(chunk_window(by, "_at"))).where("_asked")
     if chunked:
         # _asked is named so that both uses of the line need the same shuffle, which runs once
@@ -73,3 +78,22 @@ def asof_join(
         crowd = rows.join(F.broadcast(copies), same(keys), "left_semi")
         joined = far.unionByName(crowd.join(F.broadcast(answers), same(keys), how))
     return joined.select(*all_named(left.columns), *[F.col("_r")[r].alias(r) for r in renamed_payload])
+
+
+def _plain(rows: DataFrame, marks: DataFrame, by: list[str], whole: Column, columns: list[str], payload: list[str], how: str) -> DataFrame:
+    """Tag, union, one exchange by key, and a window that carries the last right row."""
+    own = F.struct(*all_named(columns))
+    none_left, none_right = (F.lit(None).cast(t) for t in (rows.select(own).schema[0].dataType, marks.schema["_r"].dataType))
+    asked = rows.where(whole).select(*renamed(by), "_at", F.lit(1).alias("_side"), own.alias("_l"), none_right.alias("_r"))
+    known = marks.where(whole).select(*renamed(by), "_at", F.lit(0).alias("_side"), none_left.alias("_l"), "_r")
+    keys = [f"_k{i}" for i in range(len(by))]
+    # at one time right rows stand first, the greatest last
+    line = W.partitionBy(*keys).orderBy("_at", "_side", "_r").rowsBetween(W.unboundedPreceding, 0)
+    found = asked.unionByName(known).withColumn("_r", F.last("_r", ignorenulls=True).over(line)).where("_side = 1")
+    if how == "inner":
+        found = found.where(F.col("_r").isNotNull())
+    out = found.select(*[F.col("_l")[c].alias(c) for c in columns], *[F.col("_r")[r].alias(r) for r in payload])
+    if how == "left":  # rows without a key or a time find nothing
+        rest = rows.where(~whole).select(*all_named(columns), *[F.lit(None).cast(out.schema[r].dataType).alias(r) for r in payload])
+        out = out.unionByName(rest)
+    return out

@@ -12,11 +12,12 @@ from pyspark.sql import types as T
 
 from ..functions.names import all_named, named
 from ..functions.loess import mstl, stl
+from ..functions.text import number_of
 from ..functions.times import FREQUENCIES, iso_text
 from ..session import shuffle_partitions
-from .anomaly import FENCE, LIMIT, classic, esd, iqr, moving_average
+from .anomaly import FENCE, LIMIT, classic, esd, iqr, moving_average, zscore
 from .infer import infer_date_col, infer_value_col
-from .series import MIN_POINTS, resample, series_points
+from .series import MIN_POINTS, resample, time_of
 
 # Seasons looked for by MSTL, in steps of the frequency.
 SEASONS = {"D": [7, 365], "W": [52], "M": [12], "Q": [4]}
@@ -118,6 +119,10 @@ def auto_anomalies(points: DataFrame, freq: str = "D", by: Sequence[str] = ()) -
     return _per_series(points, freq, by, lambda n: [by_stl, by_iqr] if n > 2 * period else [by_iqr])
 
 
+# Method names with the same meaning.
+SAME_METHOD = {"simple": "zscore", "": "auto"}
+
+
 def analyze(
     df: DataFrame,
     ts: str | None = None,
@@ -127,25 +132,58 @@ def analyze(
     by: Sequence[str] = (),
     how: str = "sum",
 ) -> DataFrame:
-    """Anomalies by method name: classic, stl, mstl, moving_average work on the series resampled
-    to `freq`; esd and iqr on the rows; anything else is auto. Columns not named are inferred;
-    without a date or a value column there are no anomalies."""
-    method = (method or "auto").lower()
+    """Anomalies by method name, in one shape: by..., date (ISO text), value, row (JSON), score, method, error.
+
+    zscore (or simple), iqr and esd work on the rows, `row` has all their columns; classic,
+    stl, mstl and moving_average on the series resampled to `freq`, `row` has its point; any other name
+    is auto. Columns not named are inferred; without a date or a value column there are no
+    anomalies. A series that is too short for its method gives one row with `error` and no point.
+    """
+    name = (method or "auto").lower()
+    name = SAME_METHOD.get(name, name)
     ts, value = ts or infer_date_col(df), value or infer_value_col(df)
     if ts not in df.columns or value not in df.columns:
-        return df.sparkSession.createDataFrame([], "ts timestamp_ntz, value double")
-    if method == "iqr":
-        return iqr(series_points(df, ts, value, by), "value", by, least=MIN_POINTS)
-    if method == "esd":
-        points = series_points(df, ts, value, by).select(*all_named(by), iso_text(F.col("ts")).alias("date"), "value")
-        return esd(points, "value", "date", by)
+        groups = [df.schema[c] for c in by]
+        shape = T.StructType(groups).add("date", "string").add("value", "double").add("row", "string").add("score", "double")
+        return df.sparkSession.createDataFrame([], shape.add("method", "string").add("error", "string"))
+    if name in ("zscore", "iqr", "esd"):
+        return _of_rows(df, ts, value, name, by)
     points = resample(df, ts, value, freq, by, how)
-    if method == "moving_average":
-        return moving_average(points, by)
-    if method == "classic":
-        return classic(points, freq, by)
-    if method == "stl":
-        return stl_anomalies(points, freq, by)
-    if method == "mstl":
-        return mstl_anomalies(points, freq, by)
-    return auto_anomalies(points, freq, by)
+    detect = {"moving_average": moving_average, "classic": lambda p, g: classic(p, freq, g)}.get(name)
+    if detect:
+        found = detect(points, by).withColumns({"method": F.lit(name), "error": F.lit(None).cast("string")})
+    else:
+        found = {"stl": stl_anomalies, "mstl": mstl_anomalies}.get(name, auto_anomalies)(points, freq, by)
+    cells = F.to_json(F.struct(iso_text(F.col("ts")).alias(ts), F.col("value").alias(value)))
+    found = found.select(*all_named(by), iso_text(F.col("ts")).alias("date"), "value", F.when(F.col("error").isNull(), cells).alias("row"), "score", "method", "error")
+    return found.unionByName(_short(points, name, by, found.columns))
+
+
+def _of_rows(df: DataFrame, ts: str, value: str, name: str, by: Sequence[str]) -> DataFrame:
+    """zscore, iqr or esd over the rows that have a time and a value."""
+    cells = [(iso_text(named(f.name)) if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)) else named(f.name)).alias(f.name) for f in df.schema]
+    groups = [named(c).alias(f"_by{i}") for i, c in enumerate(by)]
+    keys = [f"_by{i}" for i in range(len(by))]
+    rows = df.select(*groups, time_of(df, ts).alias("_ts"), number_of(df, value).alias("_value"), F.to_json(F.struct(*cells), {"ignoreNullFields": "false"}).alias("_row"))
+    rows = rows.where("_ts is not null and _value is not null")
+    if name == "zscore":
+        found = zscore(rows, "_value", keys)
+    elif name == "iqr":
+        found = iqr(rows, "_value", keys, least=MIN_POINTS).withColumn("score", F.greatest(F.col("low") - F.col("_value"), F.col("_value") - F.col("high")))
+    else:
+        keyed = rows.withColumn("_key", F.struct("_ts", "_row"))
+        found = esd(keyed, "_value", "_key", keys).select(*keys, F.col("_key._ts").alias("_ts"), "_value", F.col("_key._row").alias("_row"), "score")
+    back = [F.col(k).alias(c) for k, c in zip(keys, by)]
+    none = F.lit(None).cast("string")
+    found = found.select(*back, iso_text(F.col("_ts")).alias("date"), F.col("_value").alias("value"), F.col("_row").alias("row"), "score", F.lit(name).alias("method"), none.alias("error"))
+    if name == "zscore":  # needs no least number of points
+        return found
+    return found.unionByName(_short(rows.select(*back, "_value"), name, by, found.columns))
+
+
+def _short(points: DataFrame, name: str, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """One row for each series of fewer than MIN_POINTS points."""
+    few = points.groupBy(*all_named(by)).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") < MIN_POINTS)
+    texts = {"method": F.lit(name), "error": F.format_string(f"{name}: %d points, at least {MIN_POINTS} are needed", "_n")}
+    given = {"date": "string", "value": "double", "row": "string", "score": "double"}
+    return few.select(*[named(c) if c in by else (texts[c] if c in texts else F.lit(None).cast(given[c])).alias(c) for c in columns])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import named
-from ..functions.text import is_numeric_type, number_of, present
+from ..functions.text import is_numeric_type, nan_to_null, number_of, present
 
 COLUMNS_PER_PASS = 40  # keeps each aggregate inside the code generator's size limits
 SAMPLE_ROWS = 20
@@ -48,7 +48,8 @@ def _profile_part(df: DataFrame, at: int, names: list[str]) -> DataFrame:
     figures, rows = [F.count(F.lit(1)).alias("n")], []
     for i, name in enumerate(names):
         figures.append(F.count_if(present(df, name).isNull()).alias(f"nulls{i}"))
-        stats = {"min": F.min, "max": F.max, "mean": F.avg, "std": F.stddev_samp}
+        # after an infinite value a mean or deviation can be NaN, which is no figure
+        stats = {"min": F.min, "max": F.max, "mean": lambda c: nan_to_null(F.avg(c)), "std": lambda c: nan_to_null(F.stddev_samp(c))}
         numeric = is_numeric_type(df.schema[name].dataType)
         if numeric:
             figures += [f(number_of(df, name)).alias(f"{k}{i}") for k, f in stats.items()]
@@ -122,8 +123,8 @@ def _summary_part(df: DataFrame, at: int, names: list[str]) -> DataFrame:
         if numeric:
             v = number_of(df, name)
             figures += [
-                F.avg(v).alias(f"avg{i}"),
-                F.stddev_samp(v).alias(f"std{i}"),
+                nan_to_null(F.avg(v)).alias(f"avg{i}"),
+                nan_to_null(F.stddev_samp(v)).alias(f"std{i}"),
                 F.percentile_approx(v, [0.25, 0.5, 0.75]).alias(f"q{i}"),
             ]
         rows.append(

@@ -9,91 +9,42 @@ from pyspark.sql import functions as F
 
 from ..functions.names import all_named, named
 from ..session import ensure_checkpoint_dir
-from .skew import few_sketches, running_sum, split_join, with_chunks
+from .skew import renamed, running_sum, same, with_chunks
 
-ACCURACY = 10_000  # the sketch's rank error is at most 1 / ACCURACY of the rows
-LADDER = [(1, ACCURACY), (10, ACCURACY // 10), (100, ACCURACY // 100)]  # (margin factor, least rows)
-SMALL_GROUP = 100_000  # distinct values one aggregation buffer may hold
 
-
-def exact_quantiles(
-    df: DataFrame,
-    value: str,
-    probs: dict[str, float],
-    by: Sequence[str] = (),
-    small_group: int = SMALL_GROUP,
-) -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
     """One row per group: by..., n (rows) and one column per name in `probs`.
 
-    The built-in percentile keeps every distinct value of a group in one buffer. It is used
-    only after a count showed that no group has more than about `small_group` of them. Beyond
-    that a sketch brackets each quantile, rows below the bracket are only counted, and the few
-    values inside it are ranked exactly.
+    Rows are folded to (group, value, count), each group's counts are summed along its values, and
+    the values that hold the wanted ranks are picked. The values of a group that is too large for one task are
+    cut into ranges, which are summed apart. The same way serves every size.
     """
     rows = df.where(named(value).isNotNull())
     keys = list(by) or ["_all"]
     if not by:
         rows = rows.withColumn("_all", F.lit(0))
     rows = rows.select(*all_named(keys), named(value).cast("double").alias("_v"))
-    widest = rows.groupBy(*all_named(keys)).agg(F.approx_count_distinct("_v").alias("d")).agg(F.max("d")).first()[0]
-    if (widest or 0) <= small_group:
-        found = rows.groupBy(*all_named(keys)).agg(
-            F.count("_v").alias("n"), *[F.percentile("_v", p).alias(name) for name, p in probs.items()]
-        )
-    else:
-        found = _by_rank(rows, keys, probs)
-    return found.select(*all_named(by), "n", *probs)
-
-
-def _by_rank(rows: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
-    names = list(probs)
-    # A bracket must allow for the sketch's rank error and for a few ranks of rounding, so the
-    # margin is wider for smaller groups; at most 8 n / ACCURACY or about 100 rows stay inside.
-    margins = [4 * factor / ACCURACY for factor, _ in LADDER]
-    ends = [(max(p - m, 0.0), min(p + m, 1.0)) for p in probs.values() for m in margins]
-    brackets = few_sketches(rows).groupBy(*all_named(keys)).agg(
-        F.count("_v").alias("n"), F.percentile_approx("_v", [e for pair in ends for e in pair], ACCURACY).alias("_e")
-    )
-    rung = F.lit(len(LADDER))
-    for j, (_, least) in reversed(list(enumerate(LADDER))):
-        rung = F.when(F.col("n") >= least, j).otherwise(rung)
-
-    # one entry per quantile not yet passed: the value inside its bracket, NULL below it
-    def entry(i: int) -> Column:
-        at = 2 * (i * len(LADDER) + F.col("_rung"))
-        whole = F.col("_rung") == len(LADDER)
-        passed = ~whole & (F.col("_v") > F.get("_e", at + 1))
-        inside = whole | (F.col("_v") >= F.get("_e", at))
-        return F.when(~passed, F.struct(F.lit(i).alias("_i"), F.when(inside, F.col("_v")).alias("_v")))
-
-    brackets = brackets.withColumn("_rung", rung)
-    kept = split_join(rows, brackets, keys, "n").select(
-        *all_named(keys), "n", F.inline(F.array_compact(F.array(*[entry(i) for i in range(len(names))])))
-    )
-    parts = [*keys, "_i"]
-    counted = kept.groupBy(*all_named(parts), "n", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    counted = rows.groupBy(*all_named(keys), "_v").agg(F.count(F.lit(1)).alias("_c"))
     ensure_checkpoint_dir(rows.sparkSession)
-    counted = counted.checkpoint()  # read several times below; few, see the margins above
-    line, chunked = with_chunks(counted, parts, "_v", counted)
-    ranked = running_sum(line, chunked, parts, "_c", F.asc_nulls_first("_v")).withColumnRenamed("_run", "_end")
-    chosen = F.element_at(F.array(*[F.lit(p) for p in probs.values()]), F.col("_i") + 1)
-    position = chosen * (F.col("n") - 1)
+    counted = counted.checkpoint()  # read several times below
+    totals = counted.groupBy(*all_named(keys)).agg(F.sum("_c").alias("n")).select(*renamed(keys), "n")
+    line, chunked = with_chunks(counted, keys, "_v", counted)
+    ranked = running_sum(line, chunked, keys, "_c", "_v").withColumnRenamed("_run", "_end")
+    ranked = ranked.join(totals, same(keys)).drop(*[f"_k{i}" for i in range(len(keys))])
 
     def at_rank(rank: Column) -> Column:
         holds = (F.col("_end") > rank) & (F.col("_end") - F.col("_c") <= rank)
         return F.max(F.when(holds, F.col("_v")))
 
-    low, high, part = F.col("_low"), F.col("_high"), F.col("_part")
-    missed = F.raise_error(F.lit("a quantile fell outside its bracket")).cast("double")
-    found = (
-        ranked.withColumn("_position", position)
-        .groupBy(*all_named(parts), "n")
-        .agg(
-            at_rank(F.floor("_position")).alias("_low"),
-            at_rank(F.ceil("_position")).alias("_high"),
-            F.max(F.col("_position") - F.floor("_position")).alias("_part"),
-        )
-        .withColumn("_q", F.when(low.isNull() | high.isNull(), missed).otherwise(low + part * (high - low)))
-    )
-    columns = [F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(name) for i, name in enumerate(names)]
-    return found.groupBy(*all_named(keys), "n").agg(*columns)
+    ends = []
+    for i, p in enumerate(probs.values()):
+        place = F.lit(p) * (F.col("n") - 1)
+        ends += [at_rank(F.floor(place)).alias(f"_low{i}"), at_rank(F.ceil(place)).alias(f"_high{i}")]
+    found = ranked.groupBy(*all_named(keys), "n").agg(*ends)
+
+    def quantile(i: int, p: float) -> Column:
+        place, low, high = F.lit(p) * (F.col("n") - 1), F.col(f"_low{i}"), F.col(f"_high{i}")
+        # equal ends stay as they are, infinite ones included
+        return F.when(low == high, low).otherwise(low + (place - F.floor(place)) * (high - low))
+
+    return found.select(*all_named(by), "n", *[quantile(i, p).alias(name) for i, (name, p) in enumerate(probs.items())])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -24,8 +25,9 @@ def range_join(
     """Rows with low <= point <= high and equal `by`; point, low and high are numbers.
 
     Intervals are copied to each bin of `width` they touch (choose it near their length) and
-    joined on (by, bin), so a key that owns many rows is spread over its bins. The points of a
-    hot bin are spread over p salts, and only its intervals are copied to each of them.
+    joined on (by, bin), so a key that owns many rows is spread over its bins. A bin that is hot, by
+    its points or its intervals, is spread over a grid of about p cells; each side is copied
+    along one edge of it, about sqrt(p) times.
     """
 
     def bin_of(c: Column) -> Column:
@@ -35,14 +37,18 @@ def range_join(
     left = points.select("*", point.alias("_p"), bin_of(point).alias("_bin")).where("_bin is not null")
     right = intervals.select("*", low.alias("_lo"), high.alias("_hi")).where("_lo <= _hi")
     right = right.withColumn("_bin", F.explode(F.sequence(bin_of(F.col("_lo")), bin_of(F.col("_hi")))))
-    hot = hot_keys(left.select(*all_named(keys)), keys)
+    hot = hot_keys(left.select(*all_named(keys)).unionByName(right.select(*all_named(keys))), keys)
     if hot is not None:
-        salts = shuffle_partitions(points.sparkSession)
+        # a hot bin is a grid: a point has a row of its own and goes to all columns, an interval the reverse
+        side = math.isqrt(shuffle_partitions(points.sparkSession)) + 1
         marked = F.broadcast(hot.withColumn("_hot", F.lit(True)))
-        spread = F.pmod(F.xxhash64(*all_named(points.columns)), F.lit(salts)).cast("int")
-        left = left.join(marked, same(keys), "left").withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(0))
-        copies = F.sequence(F.lit(0), F.when(F.col("_hot"), salts - 1).otherwise(0))
-        right = right.join(marked, same(keys), "left").withColumn("_salt", F.explode(copies))
-        left, right = (side.drop("_hot", *hot.columns) for side in (left, right))
-        keys.append("_salt")
-    return left.join(right, keys).where("_p between _lo and _hi").drop("_p", "_lo", "_hi", "_bin", "_salt")
+        every = F.sequence(F.lit(0), F.when(F.col("_hot"), side - 1).otherwise(0))
+
+        def spread(df: DataFrame, names: Sequence[str], own: str, others: str) -> DataFrame:
+            place = F.pmod(F.xxhash64(*all_named(names)), F.lit(side)).cast("int")
+            placed = df.join(marked, same(keys), "left").withColumn(own, F.when(F.col("_hot"), place).otherwise(0))
+            return placed.withColumn(others, F.explode(every)).drop("_hot", *hot.columns)
+
+        left, right = spread(left, points.columns, "_row", "_column"), spread(right, intervals.columns, "_column", "_row")
+        keys += ["_row", "_column"]
+    return left.join(right, keys).where("_p between _lo and _hi").drop("_p", "_lo", "_hi", "_bin", "_row", "_column")

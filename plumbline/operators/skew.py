@@ -19,12 +19,11 @@ from pyspark.sql import Window as W
 from ..functions.names import all_named, named
 from ..session import ensure_checkpoint_dir, shuffle_partitions
 
-MAX_HOT = 10_000  # never more hot keys than this
-MAX_STEPS = 12  # a hot key is cut into at most 2**12 ranges
+SKETCH_K = 2000  # a sketch's rank error is well below 1 / 1000
 
 
 def _share(df: DataFrame) -> int:
-    return min(shuffle_partitions(df.sparkSession), MAX_HOT)
+    return shuffle_partitions(df.sparkSession)
 
 
 def renamed(keys: Sequence[str]) -> list[Column]:
@@ -90,10 +89,16 @@ def split_join(left: DataFrame, per_key: DataFrame, keys: Sequence[str], weight:
     return joined.drop(*key_names)
 
 
-def few_sketches(df: DataFrame) -> DataFrame:
-    """Each task makes one quantile sketch per key and one task merges those of a key: read the
-    input in p tasks at most, without a shuffle, so that there are not too many to merge."""
-    return df.coalesce(_share(df))
+def quantile_cuts(values: DataFrame, name: str, count: int) -> list[float]:
+    """About evenly spaced quantiles of a column, `count` of them. Each task makes one sketch of a few KB,
+    these are merged in p groups, and the p results in one."""
+    number = F.col(name).cast("double")
+    part = F.pmod(F.spark_partition_id(), F.lit(_share(values)))
+    near = values.where(number.isNotNull()).select(number.alias("_x"), part.alias("_part"))
+    merged = near.groupBy("_part").agg(F.kll_sketch_agg_double("_x", SKETCH_K).alias("_s")).agg(F.kll_merge_agg_double("_s").alias("_s"))
+    grid = F.array(*[F.lit(i / (count + 1)) for i in range(1, count + 1)])
+    row = merged.where("_s is not null").select(F.kll_sketch_get_quantile_double("_s", grid)).first()
+    return row[0] if row else []
 
 
 def range_index(value: Column, cuts: Column, steps: int) -> Column:
@@ -106,22 +111,21 @@ def range_index(value: Column, cuts: Column, steps: int) -> Column:
     )
 
 
-def with_chunks(df: DataFrame, by: Sequence[str], order: str, measure: DataFrame) -> tuple[DataFrame, bool]:
+def with_chunks(df: DataFrame, by: Sequence[str], order: str, measure: DataFrame, hot: DataFrame | None = None) -> tuple[DataFrame, bool]:
     """(df with `_chunk`, whether any chunk is used).
 
     `_chunk` is 0 for ordinary keys; for hot keys the number (from 1) of the row's range of
-    `order` (a number), the ranges cut so that each holds about 1/p of the hot rows (at least 1/4096). Grouping or
+    `order` (a number), the ranges cut so that each holds about 1/p of the hot rows. Grouping or
     windowing by (by, _chunk) then never puts more than about 1/p of all rows in one task,
     and chunks of one key follow each other in `order`; rows without `order` come first.
-    `measure` has the columns `by` and `order` of the same rows, from a plan that is cheap to run.
+    `measure` has the columns `by` and `order` of the same rows, from a plan that is cheap to run;
+    `hot` are its hot keys, if known already.
     """
-    hot = hot_keys(measure, by)
+    hot = hot_keys(measure, by) if hot is None else hot
     if hot is None:
         return df.withColumn("_chunk", F.lit(0)), False
-    steps = min(max(1, (_share(df) - 1).bit_length()), MAX_STEPS)
-    grid = [i / 2**steps for i in range(1, 2**steps)]
-    hot_rows = few_sketches(measure).join(F.broadcast(hot), same(by), "left_semi")
-    cuts = hot_rows.agg(F.percentile_approx(order, grid, 8 * 2**steps)).first()[0]
+    steps = max(1, (_share(df) - 1).bit_length())
+    cuts = quantile_cuts(measure.join(F.broadcast(hot), same(by), "left_semi"), order, 2**steps - 1)
     if not cuts:
         return df.withColumn("_chunk", F.lit(0)), False
     flagged = df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), same(by), "left")
@@ -153,4 +157,4 @@ def running_sum(line: DataFrame, chunked: bool, by: Sequence[str], what: str, *o
         .select(*renamed([*by, "_chunk"]), "_start")
     )
     joined = local.join(starts, same([*by, "_chunk"]), "left")
-    return joined.withColumn("_run", F.col("_run") + F.coalesce("_start", F.lit(0))).select(*local.columns)
+    return joined.withColumn("_run", F.col("_run") + F.coalesce("_start", F.lit(0))).select(*all_named(local.columns))

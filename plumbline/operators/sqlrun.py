@@ -7,11 +7,13 @@ import uuid
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.names import all_named, named, quoted
 
 VIEW = "loaded_table"
 PREVIEW_ROWS = 100
+RECURSION_LEVELS = "100000"  # of a recursive query; its rows have a limit of their own
 
 
 class QueryError(ValueError):
@@ -34,6 +36,7 @@ def run_sql(df: DataFrame, sql: str, tables: dict[str, DataFrame] | None = None)
         if key.startswith("spark.sql.") and spark.conf.isModifiable(key):
             session.conf.set(key, value)
     session.conf.set("spark.sql.ansi.doubleQuotedIdentifiers", "true")
+    session.conf.set("spark.sql.cteRecursionLevelLimit", RECURSION_LEVELS)
     shared = []
     try:
         for name, table in {VIEW: df, **(tables or {})}.items():
@@ -57,9 +60,9 @@ def preview_sql(table: str, columns: list[str], limit: int = PREVIEW_ROWS) -> st
 def distinct_on(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """The first row of each key in the given order, which is made total by the other columns.
 
-    One minimum per key over (order..., all columns): copies of a key are folded before the
-    shuffle, and no key's rows are sorted.
+    A rank limit: each input partition passes on one row per key, so copies of a key are folded
+    before the shuffle.
     """
     rest = [c for c in df.columns if c not in keys and c not in order]
-    first = df.groupBy(*all_named(keys)).agg(F.min(F.struct(*all_named([*order, *rest]))).alias("_first"))
-    return first.select(*[(named(c) if c in keys else F.col("_first")[c]).alias(c) for c in df.columns])
+    rank = F.row_number().over(W.partitionBy(*all_named(keys)).orderBy(*all_named([*order, *rest])))
+    return df.withColumn("_rank", rank).where(F.col("_rank") == 1).select(*all_named(df.columns))

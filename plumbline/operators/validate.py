@@ -12,12 +12,13 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions.names import named
-from ..functions.text import is_number, is_numeric_type, number_of, present, python_regex
+from ..functions.text import is_number, is_numeric_type, number_of, present, python_regex, python_text
 from .skew import split_join
 
 SAMPLE_ROWS = 3
 DUPLICATE_EXAMPLES = 20
 CHECKS_PER_PASS = 100
+# The messages of a report, here and in compile_rules.
 MISSING = "Missing required column or all values null"
 
 
@@ -85,8 +86,11 @@ def _duplicated(df: DataFrame, column: str, order_by: str | None = None) -> Data
 
 def _text_of(df: DataFrame, column: str) -> Column:
     """The value as Python writes it."""
-    text = present(df, column).cast("string")
-    return F.initcap(text) if isinstance(df.schema[column].dataType, T.BooleanType) else text
+    value, dtype = present(df, column), df.schema[column].dataType
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return python_text(value)
+    text = value.cast("string")
+    return F.initcap(text) if isinstance(dtype, T.BooleanType) else text
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -250,8 +254,14 @@ def repeated_rows(df: DataFrame, column: str, order_by: str) -> DataFrame:
 
 
 def unique_examples(df: DataFrame, column: str, order_by: str, limit: int = DUPLICATE_EXAMPLES) -> DataFrame:
-    rows = repeated_rows(df.select(named(order_by), named(column)), column, order_by)
-    return rows.orderBy(named(order_by)).limit(limit)
+    """The first `limit` second and later rows. Only rows whose value occurs more than once are looked at; of one
+    value its first limit + 1 rows at most can be among them, so no value gathers in one task."""
+    rows = df.select(named(order_by), named(column), present(df, column).alias("_value"))
+    sizes = rows.groupBy("_value").agg(F.count(F.lit(1)).alias("_n"), F.min(named(order_by)).alias("_first")).where(F.col("_n") > 1)
+    # the values of the first `limit` later rows are among those with the earliest first rows
+    early = sizes.orderBy("_first").limit(limit)
+    members = rows.join(F.broadcast(early), rows["_value"].eqNullSafe(early["_value"])).where(named(order_by) > F.col("_first"))
+    return members.orderBy(named(order_by)).limit(limit).select(named(order_by), named(column))
 
 
 def list_rules_report(df: DataFrame, rules: dict[str, Any], order_by: str) -> dict[str, Any]:

@@ -75,8 +75,8 @@ def test_t_quantiles_of_the_printed_tables():
     assert np.allclose(esd_limits(54, 3, 0.05), [3.158, 3.151, 3.143], atol=1e-3)  # Rosner 1983
 
 
-def _esd_brute(values, alpha=0.05, most=50):
-    x, k = np.array(values), min(len(values) // 10, most)
+def _esd_brute(values, alpha=0.05):
+    x, k = np.array(values), len(values) // 10
     taken, outliers = [], 0
     for i, bound in enumerate(esd_limits(len(values), k, alpha)):
         dev = np.abs(x - x.mean())
@@ -92,7 +92,7 @@ def _esd_brute(values, alpha=0.05, most=50):
 def test_esd_against_brute_force(spark, by):
     rng = np.random.default_rng(5)
     rows, want = [], []
-    sizes = [8, 30, 60, 150, 700] if by else [700]
+    sizes = [8, 30, 60, 150, 1500] if by else [1500]
     for g, n in enumerate(sizes):
         v = rng.standard_t(2, n) * 10
         v[: n // 15] = 77.7  # equal values among the extremes
@@ -103,6 +103,7 @@ def test_esd_against_brute_force(spark, by):
     found = esd(df, "value", "id", by).withColumn("g", F.col("g") if by else F.lit(0)).collect()
     assert sorted((r["g"], r["value"]) for r in found) == sorted(want)
     assert len({r["id"] for r in found}) == len(found)
+    assert max(sum(r["g"] == g for r in found) for g in range(len(sizes))) > 50  # no limit but n // 10
 
 
 def _brute_loess(y, q, x):
@@ -134,7 +135,7 @@ def test_stl_and_mstl_recover_their_parts():
         stl(t[:14].astype(float), 7)
 
 
-@pytest.mark.parametrize("method", ["classic", "stl", "mstl", "moving_average", "auto", "esd", "iqr", None, "unknown"])
+@pytest.mark.parametrize("method", ["classic", "stl", "mstl", "moving_average", "auto", "esd", "iqr", "zscore", "simple", None, "unknown"])
 def test_every_method_finds_a_spike(spark, method):
     t = np.arange(120)
     values = 100 + 10 * np.sin(2 * np.pi * t / 7) + np.random.default_rng(2).normal(0, 0.5, 120)
@@ -142,13 +143,17 @@ def test_every_method_finds_a_spike(spark, method):
     df = _daily(spark, values).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
     found = analyze(df, "day", "value", method).collect()
     assert any(abs(r["value"] - values[60]) < 1e-9 for r in found)
+    assert len(found) < 40 and all(r["error"] is None for r in found)
+    assert analyze(df, "day", "value", method).columns == ["date", "value", "row", "score", "method", "error"]
 
 
 def test_columns_are_inferred(spark):
     df = _daily(spark, TS15).withColumn("other", F.lit("x"))
     assert [r["value"] for r in analyze(df, method="iqr").collect()] == [1000.0]
     assert analyze(df.drop("value")).count() == 0 and analyze(df.select("value")).count() == 0
-    assert analyze(df.where("ts > '2024-01-09'"), method="iqr").count() == 0  # fewer than 8 points
+    few = analyze(df.where("ts > '2024-01-09'"), method="iqr").collect()  # fewer than 8 points
+    assert [(r["value"], r["error"]) for r in few] == [(None, "iqr: 6 points, at least 8 are needed")]
+    assert analyze(df.where("ts > '2024-01-09'"), method="simple").count() == 0
 
 
 def test_names_with_dots(spark):
@@ -184,17 +189,38 @@ def test_gaps_and_groups_and_partitions(spark):
     assert {r["g"] for r in hits} == {"a", "b"}
 
 
-@pytest.mark.parametrize("freq,n,start", [("W", 150, "2020-01-06"), ("M", 60, "2018-01-01"), ("Q", 40, "2010-01-01")])
+@pytest.mark.parametrize("freq,n,start", [("W", 150, "2018-01-01"), ("M", 60, "2018-01-01"), ("Q", 40, "2010-01-01")])
 def test_coarser_frequencies(spark, freq, n, start):
     unit = {"W": "week", "M": "month", "Q": "quarter"}[freq]
     step = {"W": "7 days", "M": "1 month", "Q": "3 months"}[freq]
     times = spark.sql(f"select explode(sequence(date '{start}', date '{start}' + interval '{n - 1}' month * 4, interval {step})) as d")
     df = times.orderBy("d").limit(n).withColumn("value", 10.0 + F.quarter("d") + F.when(F.col("d") == F.date_trunc(unit, F.lit("2019-07-01").cast("date")).cast("date"), 90.0).otherwise(0.0))
-    if df.where("value > 90").count() == 1:
-        for find in (stl_anomalies, auto_anomalies):
-            hits = find(resample(df, "d", "value", freq), freq).where("value > 90").collect()
-            assert len(hits) == 1 and hits[0]["error"] is None
-            assert df.where(F.col("d").cast("timestamp_ntz") == F.lit(hits[0]["ts"])).count() == 1
+    assert df.where("value > 90").count() == 1
+    for find in (stl_anomalies, auto_anomalies):
+        hits = find(resample(df, "d", "value", freq), freq).where("value > 90").collect()
+        assert len(hits) == 1 and hits[0]["error"] is None
+        assert df.where(F.col("d").cast("timestamp_ntz") == F.lit(hits[0]["ts"])).count() == 1
+
+
+def test_infinite_values_flag_nothing(spark):
+    values = [float(v) for v in np.random.default_rng(1).normal(100, 5, 60)]
+    values[7] = float("inf")
+    df = _daily(spark, values)
+    assert zscore(df, "value").count() == 0 and iqr(df, "value").count() <= 3
+    groups = df.withColumn("g", F.lit("a")).unionByName(_daily(spark, TS15).withColumn("g", F.lit("b")))
+    assert [r["g"] for r in zscore(groups, "value", ["g"]).collect()] == ["b"]
+    assert moving_average(df).count() == 0 and classic(df).count() == 0 and esd(df.withColumn("id", F.col("ts")), "value", "id").count() == 0
+    for find in (stl_anomalies, auto_anomalies):
+        assert find(df).where("error is null").count() == 0
+    text = spark.createDataFrame([(str(i),) for i in range(49)] + [("inf",)], "value string")
+    assert zscore(text, "value").count() == 0
+    both = spark.createDataFrame([(float("inf"),), (float("-inf"),), (1.0,)] * 4, "value double")
+    assert iqr(both, "value").count() == 0
+
+
+def test_errors_are_no_anomalies(spark):
+    found = stl_anomalies(_daily(spark, TS15[:10]))
+    assert found.count() == 1 and summary(found, "stl").first()["count"] == 0
 
 
 def test_short_series_are_left_alone_and_errors_reported(spark):

@@ -81,15 +81,14 @@ def test_range_join(spark, share):
 
 
 @pytest.mark.parametrize("by", [[], ["g"]])
-@pytest.mark.parametrize("small", [0, 10**6])
-def test_quantiles(spark, by, small):
+def test_quantiles(spark, by):
     rng = np.random.default_rng(9)
     values = np.round(rng.exponential(50, 6000), 2)
     values[::3] = 7.5  # a third are copies
     groups = np.where(rng.random(6000) < 0.5, 0, rng.integers(1, 200, 6000))
     df = spark.createDataFrame([(None if g == 5 else int(g), float(v)) for g, v in zip(groups, values)] + [(1, None)], "g int, v double")
     probs = {"lo": 0.0, "q": 0.25, "m": 0.5, "h": 0.999, "hi": 1.0}
-    got = exact_quantiles(df.repartition(6), "v", probs, by, small_group=small).collect()
+    got = exact_quantiles(df.repartition(6), "v", probs, by).collect()
     for row in got:
         key = row["g"] if by else None
         mine = values if not by else values[groups == (5 if key is None else key)]
