@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.series import resample
+from ..sources.rulefile import load_rules
 from .registry import table
 
 DIRTY_COLUMNS = {
@@ -25,11 +26,11 @@ WITH_COPIES = (
 )
 WITH_DAILY = "with daily as (select date_trunc('day', o_orderdate) as ts, sum(o_totalprice) as value from orders group by 1) "
 
+_SAMPLE = load_rules("rules/basic.yaml")["columns"]
 RULES = {
     "columns": {
-        "name": {"required": True, "type": "str"},
-        "age": {"type": "int", "min": 0, "max": 120},
-        "email": {"regex": r"^[^@\s]+@[^@\s]+\.[^@\s]+$", "unique": True},
+        **_SAMPLE,
+        "email": {**_SAMPLE["email"], "unique": True},
         "code": {"type": "int"},
         "c_custkey": {"unique": True},
         "phone": {"required": True},

@@ -10,15 +10,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.times import micros
 from ..operators.clean import clean
 from ..session import scratch_dir
 from ..sources import (
-    dataset_meta,
     load_table,
     open_dataset,
     read_csv,
     read_workbooks,
     register_dataset,
+    rows_per_file,
     write_csv,
     write_parquet,
 )
@@ -70,24 +71,37 @@ def scan_csv_na_tokens(spark, sf_dir):
 _SHEET = '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{}</sheetData></worksheet>'
 
 
-def _workbooks(df: DataFrame, rows_per_book: int) -> DataFrame:
-    """Minimal workbooks (path, content) holding the table, `rows_per_book` keys each."""
+_STYLES = '<styleSheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><cellXfs><xf numFmtId="0"/><xf numFmtId="22"/></cellXfs></styleSheet>'
+_BOOK_1904 = '<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><workbookPr date1904="1"/></workbook>'
+
+
+def _workbooks(df: DataFrame, rows_per_book: int, date: str | None = None, first_row: int = 1) -> DataFrame:
+    """Minimal workbooks (path, content) holding the table, `rows_per_book` keys each. The numbers of
+    the column `date` are days; every second workbook counts them from 1904."""
     names = df.columns
 
     def build(frame: pd.DataFrame) -> pd.DataFrame:
+        number = int(frame["_book"].iloc[0])
+        late = date is not None and number % 2 == 1
+        if late:
+            frame[date] -= 1462  # days from 1899-12-30 to 1904-01-01
+        styles = [' s="1"' if c == date else "" for c in names]
         lines = [names, *frame[names].itertuples(index=False)]
         cells = [
             "".join(
-                f"<c><v>{v}</v></c>" if isinstance(v, (int, float)) else f'<c t="inlineStr"><is><t>{escape(v)}</t></is></c>'
-                for v in line
+                f"<c{style}><v>{v!r}</v></c>" if isinstance(v, (int, float)) else f'<c t="inlineStr"><is><t>{escape(v)}</t></is></c>'
+                for v, style in zip(line, styles)
             )
             for line in lines
         ]
-        sheet = _SHEET.format("".join(f'<row r="{i}">{c}</row>' for i, c in enumerate(cells, 1)))
+        sheet = _SHEET.format("".join(f'<row r="{i}">{c}</row>' for i, c in enumerate(cells, first_row)))
         content = io.BytesIO()
         with zipfile.ZipFile(content, "w") as book:
             book.writestr("xl/worksheets/sheet1.xml", sheet)
-        return pd.DataFrame({"path": [f"book-{frame['_book'].iloc[0]}"], "content": [content.getvalue()]})
+            book.writestr("xl/styles.xml", _STYLES)
+            if late:
+                book.writestr("xl/workbook.xml", _BOOK_1904)
+        return pd.DataFrame({"path": [f"book-{number}"], "content": [content.getvalue()]})
 
     books = df.withColumn("_book", F.floor(F.col(names[0]) / rows_per_book))
     return books.groupBy("_book").applyInPandas(build, "path string, content binary")
@@ -105,9 +119,29 @@ def dataset_roundtrip(spark, sf_dir):
     return open_dataset(spark, "orders_dataset")
 
 
-@plan("dataset_meta")
+@plan("dataset_meta", "select 'orders.parquet' as filename, count(*) as rows from orders union all select 'part.parquet', count(*) from part")
 def dataset_meta_plan(spark, sf_dir):
-    return dataset_meta(spark, sf_dir)
+    """Which files the rows of two tables come from."""
+    parts = [rows_per_file(table(spark, sf_dir, name)) for name in ("orders", "part")]
+    return parts[0].unionByName(parts[1]).select("filename", "rows")
+
+
+@plan("scan_csv_many_headers", CUSTOMER_SQL)
+def scan_csv_many_headers(spark, sf_dir):
+    """Files of one table whose headers have the columns in different orders."""
+    customer, paths = table(spark, sf_dir, "customer"), []
+    for i, columns in enumerate((customer.columns, customer.columns[::-1])):
+        paths.append(scratch_dir(spark, "scan_csv_headers"))
+        write_csv(customer.where(F.col("c_custkey") % 2 == i).select(*columns), paths[-1])
+    return read_csv(spark, paths)
+
+
+@plan("scan_xlsx_dates", "select o_orderkey, date_trunc('second', o_orderdate) as o_orderdate, o_totalprice from orders where o_orderkey % 10 = 0")
+def scan_xlsx_dates(spark, sf_dir):
+    """Date cells come back as timestamps, in either date system; the header is not the first row."""
+    orders = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select("o_orderkey", F.date_trunc("second", "o_orderdate").cast("timestamp_ntz").alias("o_orderdate"), "o_totalprice")
+    days = (micros(F.col("o_orderdate")) / 86_400_000_000 + 25569).alias("o_orderdate")  # days from the year-1900 zero
+    return read_workbooks(_workbooks(orders.select("o_orderkey", days, "o_totalprice"), 5000, date="o_orderdate", first_row=3))
 
 
 @plan("sink_parquet", WITH_DIRTY + "select c_custkey, trim(name, concat(' ', chr(9))) as name, age, email, code from dirty")
@@ -134,4 +168,6 @@ def sink_table_append(spark, sf_dir):
     name = "loaded_" + path.split("/")[-2].split("-")[-1]
     for _ in range(2):
         load_table(table(spark, sf_dir, "supplier"), name, path=path)
-    return spark.table(name.upper()).groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("loaded"))
+    loaded = spark.read.parquet(path)  # the table's files; the catalog entry itself is not kept
+    spark.sql(f"drop table {name}")
+    return loaded.groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("loaded"))

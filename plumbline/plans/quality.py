@@ -120,13 +120,13 @@ def sample_random(spark, sf_dir):
             + (f"round(avg({c}), 4) as avg, round(stddev_samp({c}), 4) as std, " if numeric
                else "cast(null as double) as avg, cast(null as double) as std, ")
             + f"count(*) as count, round(100.0 * (count(*) - count({c})) / count(*), 4) as null_percentage from part"
-            for c, numeric in (("p_partkey", True), ("p_name", False), ("p_brand", False), ("p_type", False), ("p_size", True))
+            for c, numeric in (("p_partkey", True), ("p_name", False), ("p_brand", False), ("p_type", False), ("p_size", True), ("p_retailprice", True))
         ]
     ),
 )
 def sql_summarize(spark, sf_dir):
     """The exact columns of the summary; approximate ones have no exact counterpart."""
-    return summarize(table(spark, sf_dir, "part").drop("p_retailprice")).select(
+    return summarize(table(spark, sf_dir, "part")).select(
         "column_name", "min", "max", F.round("avg", 4).alias("avg"), F.round("std", 4).alias("std"),
         "count", F.round("null_percentage", 4).alias("null_percentage"),
     )
@@ -326,3 +326,43 @@ def clean_full(spark, sf_dir):
 @plan("clean_counts", WITH_COPIES + f"select (select count(*) from copies) as before, count(*) as after from ({_CLEANED})")
 def clean_counts_plan(spark, sf_dir):
     return clean_counts(copies(spark, sf_dir), normalize_case="lower", drop_duplicates=True)
+
+
+@plan("sample_random_checked", "select 50::bigint as n, 50::bigint as different, 50::bigint as known")
+def sample_random_checked(spark, sf_dir):
+    """50 rows, no row twice, all of them rows of the table."""
+    orders = table(spark, sf_dir, "orders")
+    drawn = random_rows(orders)
+    known = drawn.join(orders, drawn.columns, "left_semi").agg(F.count(F.lit(1)))
+    return drawn.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o_orderkey").alias("different")).withColumn("known", known.scalar())
+
+
+@plan(
+    "sql_summarize_checked",
+    "select * from (values ('l_partkey', true, true), ('l_extendedprice', true, true), ('l_quantity', true, true)) as t(column_name, distinct_near, quartiles_near)",
+)
+def sql_summarize_checked(spark, sf_dir):
+    """The approximate figures of the summary, held against the exact ones: distinct numbers within a tenth, a
+    quartile with between 24 and 26 % (49 to 51, 74 to 76) of the rows below or at it."""
+    rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_extendedprice", "l_quantity")
+    summary = summarize(rows)
+    exact = None
+    for name in rows.columns:
+        own = summary.where(F.col("column_name") == name).select(F.struct("approx_unique", "q25", "q50", "q75")).scalar()
+        v, n = F.col(name), F.count(F.lit(1))
+        spread = [(F.count_if(v < own[q]) / n <= p + 0.01) & (F.count_if(v <= own[q]) / n >= p - 0.01) for q, p in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))]
+        near = F.abs(own["approx_unique"] - F.countDistinct(v)) <= 0.1 * F.countDistinct(v)
+        part = rows.agg(near.alias("distinct_near"), (spread[0] & spread[1] & spread[2]).alias("quartiles_near"))
+        part = part.select(F.lit(name).alias("column_name"), "distinct_near", "quartiles_near")
+        exact = part if exact is None else exact.unionByName(part)
+    return exact
+
+
+@plan(
+    "rule_regex_double",
+    "select count(*) as bad_rows from part where not (p_retailprice * 100000 >= 10000000 and p_retailprice * 100000 < 100000000)",
+)
+def rule_regex_double(spark, sf_dir):
+    """Large doubles are matched as Python writes them, in plain digits."""
+    rows = table(spark, sf_dir, "part").select((F.col("p_retailprice") * 100000).alias("v"))
+    return check_counts(rows, compile_rules(rows, {"columns": {"v": {"regex": r"^\d{8}\.\d+$"}}})).select("bad_rows")

@@ -10,16 +10,19 @@ from ..operators.anomaly import (
     anomaly_rows,
     classic,
     esd,
+    esd_steps,
     iqr,
     moving_average,
     narrative,
     summary,
     zscore,
 )
-from ..operators.decompose import auto_anomalies, mstl_anomalies, stl_anomalies
+from ..operators.decompose import analyze, auto_anomalies, mstl_anomalies, stl_anomalies
 from ..operators.infer import date_fractions
 from ..operators.quantile import exact_quantiles
+from ..operators.profile import column_profile
 from ..operators.series import long_enough, ordered, resample, series_points
+from ..operators.sqlrun import run_sql
 from .derived import WITH_DAILY, daily
 from .quality import ZSCORE_SQL
 from .registry import plan, table
@@ -170,9 +173,8 @@ def anomaly_iqr_by_dim(spark, sf_dir):
     "round(quantile_cont(l_extendedprice, 0.9), 6) as q9 from lineitem group by 1",
 )
 def quantiles_by_rank(spark, sf_dir):
-    """The way for groups too large for one buffer, forced."""
     probs = {"q1": 0.25, "q2": 0.5, "q9": 0.9}
-    found = exact_quantiles(table(spark, sf_dir, "lineitem"), "l_extendedprice", probs, ["l_returnflag"], small_group=0)
+    found = exact_quantiles(table(spark, sf_dir, "lineitem"), "l_extendedprice", probs, ["l_returnflag"])
     return found.select("l_returnflag", "n", *[F.round(c, 6).alias(c) for c in probs])
 
 
@@ -244,3 +246,132 @@ def anomaly_mstl(spark, sf_dir):
 @plan("anomaly_auto")
 def anomaly_auto(spark, sf_dir):
     return auto_anomalies(_by_priority(spark, sf_dir, "W"), "W", ["o_orderpriority"])
+
+
+@plan(
+    "esd_statistics",
+    "with recursive v as (select event_type as g, list(value order by value) as xs, count(*) as n, avg(value) as m, var_samp(value) as s2 from events group by 1), "
+    "step as (select g, xs, n, m, 0 as i, 1 as lo, n as hi, 0.0::double as total, s2 * (n - 1) as sq, 0 as side, 0.0::double as value, 0.0::double as statistic from v "
+    "union all select g, xs, n, m, i + 1, case when low then lo + 1 else lo end, case when low then hi else hi - 1 end, "
+    "total - (x - m), sq - (x - m) * (x - m), case when low then -1 else 1 end, x, abs(x - m - mean) / sqrt(spread) from "
+    "(select *, case when low then xs[lo] else xs[hi] end as x from (select *, mean - (xs[lo] - m) > (xs[hi] - m) - mean as low from "
+    "(select *, total / (n - i) as mean, (sq - total * total / (n - i)) / (n - i - 1) as spread from step where i < n // 10)))) "
+    "select g as event_type, i::bigint as i, side::int as side, value, round(statistic, 6) as statistic from step where i > 0",
+)
+def esd_statistics(spark, sf_dir):
+    """Every removal of the test and its statistic; which are significant is in anomaly_esd."""
+    steps = esd_steps(table(spark, sf_dir, "events"), "value", ["event_type"])
+    return steps.select("event_type", "i", "side", "value", F.round("statistic", 6).alias("statistic"))
+
+
+def _with_infinity(spark, sf_dir):
+    """events with one infinite click."""
+    return run_sql(
+        table(spark, sf_dir, "events"),
+        "select event_id, event_type, ts, case when event_id = (select min(event_id) from loaded_table where event_type = 'click') then double('infinity') else value end as value from loaded_table",
+    )
+
+
+@plan("anomaly_zscore_infinite", "select event_id, value from events where false")
+def anomaly_zscore_infinite(spark, sf_dir):
+    """A deviation that is no number flags nothing."""
+    return zscore(_with_infinity(spark, sf_dir), "value").select("event_id", "value")
+
+
+@plan(
+    "anomaly_zscore_by_dim_infinite",
+    "select event_id, event_type, value, round((value - m) / s, 6) as score from events join "
+    "(select event_type, avg(value) as m, stddev_samp(value) as s from events where event_type <> 'click' group by 1) using (event_type) where abs((value - m) / s) > 3",
+)
+def anomaly_zscore_by_dim_infinite(spark, sf_dir):
+    found = zscore(_with_infinity(spark, sf_dir), "value", ["event_type"])
+    return found.select("event_id", "event_type", "value", F.round("score", 6).alias("score"))
+
+
+@plan(
+    "profile_infinite",
+    "select 'value' as name, min(value) as min, 'infinity'::double as max, 'infinity'::double as mean, null::double as std from events",
+)
+def profile_infinite(spark, sf_dir):
+    return column_profile(_with_infinity(spark, sf_dir)).where("name = 'value'").select("name", "min", "max", "mean", "std")
+
+
+def _spiked(spark, sf_dir):
+    """Daily sums per priority; one day a year, another each year, is a million times as high."""
+    points = resample(table(spark, sf_dir, "orders"), "o_orderdate", "o_totalprice", "D", ["o_orderpriority"])
+    spike = F.dayofyear("ts") == F.year("ts") * 37 % 300 + 10
+    return points.withColumn("value", F.when(spike, F.col("value") * 1_000_000).otherwise(F.col("value")))
+
+
+_SPIKES_SQL = (
+    "select distinct o_orderpriority, date_trunc('day', o_orderdate) as ts from orders where dayofyear(o_orderdate) = year(o_orderdate) * 37 % 300 + 10"
+)
+
+
+@plan("anomaly_stl_spikes", _SPIKES_SQL)
+def anomaly_stl_spikes(spark, sf_dir):
+    """Spikes planted by date are all found, and of the high points no other."""
+    return stl_anomalies(_spiked(spark, sf_dir), "D", ["o_orderpriority"]).where("value > 1e9").select("o_orderpriority", "ts")
+
+
+@plan("anomaly_mstl_spikes", _SPIKES_SQL)
+def anomaly_mstl_spikes(spark, sf_dir):
+    return mstl_anomalies(_spiked(spark, sf_dir), "D", ["o_orderpriority"]).where("value > 1e9").select("o_orderpriority", "ts")
+
+
+@plan("anomaly_auto_spikes", _SPIKES_SQL)
+def anomaly_auto_spikes(spark, sf_dir):
+    return auto_anomalies(_spiked(spark, sf_dir), "D", ["o_orderpriority"]).where("value > 1e9").select("o_orderpriority", "ts")
+
+
+_ISO = "strftime(ts, '%Y-%m-%dT%H:%M:%S') || case when ts = date_trunc('second', ts) then '' else strftime(ts, '.%f') end"
+
+
+@plan("analyze_zscore", f"select {_ISO} as date, value, event_id, round(score, 6) as score, 'zscore' as method, null::varchar as error from ({ZSCORE_SQL})")
+def analyze_zscore(spark, sf_dir):
+    found = analyze(table(spark, sf_dir, "events"), "ts", "value", "simple")
+    return found.select("date", "value", F.get_json_object("row", "$.event_id").cast("bigint").alias("event_id"), F.round("score", 6).alias("score"), "method", "error")
+
+
+@plan(
+    "analyze_iqr",
+    f"select event_type, {_ISO} as date, value, event_id from events join (select event_type, {_FENCES} from events group by 1) using (event_type) "
+    "where value < q1 - 1.5 * (q3 - q1) or value > q3 + 1.5 * (q3 - q1)",
+)
+def analyze_iqr(spark, sf_dir):
+    found = analyze(table(spark, sf_dir, "events"), "ts", "value", "iqr", by=["event_type"])
+    return found.select("event_type", "date", "value", F.get_json_object("row", "$.event_id").cast("bigint").alias("event_id"))
+
+
+@plan(
+    "analyze_errors",
+    "select o_custkey, 'stl: ' || n || ' points, at least 8 are needed' as error from "
+    "(select o_custkey, count(distinct date_trunc('month', o_orderdate)) as n from orders group by 1) where n < 8",
+)
+def analyze_errors(spark, sf_dir):
+    """Series too short for their method say so."""
+    found = analyze(table(spark, sf_dir, "orders"), "o_orderdate", "o_totalprice", "stl", "M", ["o_custkey"])
+    return found.where("error like '%points, at least%'").select("o_custkey", "error")
+
+
+@plan("anomaly_summary_errors", "select 0::bigint as count, 'stl' as method_used")
+def anomaly_summary_errors(spark, sf_dir):
+    """Rows that report a failure are no anomalies: ten days are too few for two weeks."""
+    few = daily(spark, sf_dir).orderBy("ts").limit(10)
+    return summary(stl_anomalies(few, "D"), "stl")
+
+
+_LAYOUTS = ("M/d/yyyy h:mm a", "yyyy-MM-dd h:mm a", "MMM d yyyy", "d MMMM yyyy", "dd-MMM-yy", "yyyyMMdd HH:mm", "MMMM yyyy", "yyyy.MM.dd", "MMMM d, yyyy HH:mm:ss")
+
+
+@plan(
+    "coerce_timestamp_layouts",
+    "select o_orderkey, case o_orderkey % 9 when 0 then date_trunc('minute', o_orderdate) when 1 then date_trunc('minute', o_orderdate) when 5 then date_trunc('minute', o_orderdate) "
+    "when 6 then date_trunc('month', o_orderdate) when 8 then date_trunc('second', o_orderdate) else date_trunc('day', o_orderdate) end as ts from orders",
+)
+def coerce_timestamp_layouts(spark, sf_dir):
+    """Dates as people write them, one layout by another."""
+    text = F.lit(None).cast("string")
+    for i, layout in enumerate(_LAYOUTS):
+        text = F.when(F.col("o_orderkey") % len(_LAYOUTS) == i, F.date_format("o_orderdate", layout)).otherwise(text)
+    return table(spark, sf_dir, "orders").select("o_orderkey", coerce_timestamp(text).alias("ts"))

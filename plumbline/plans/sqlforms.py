@@ -1,7 +1,7 @@
 """SQL over `loaded_table`: one query per family of the SQL surface.
 
-Windows and per-key lists run over rows that were grouped first, to months, types or flags, so
-that no single key of the raw table decides the size of a task.
+Most windows and per-key lists run over rows that were grouped first, to months, types or flags;
+those over single rows go by order, which has few lines.
 """
 
 from __future__ import annotations
@@ -146,7 +146,6 @@ sql_plan(
     "percentile_cont(0.9) within group (order by l_quantity) as q90 from loaded_table group by l_returnflag",
     "lineitem",
 )
-sql_plan("sql_approx_distinct", "select approx_count_distinct(l_partkey) as parts, approx_count_distinct(l_orderkey) as orders from loaded_table", "lineitem", check=False)
 
 _MONTHS = (
     "with m as (select o_orderpriority as p, cast(year(o_orderdate) * 12 + month(o_orderdate) as bigint) as mi, count(*) as n, "
@@ -247,6 +246,16 @@ sql_plan(
     "select * from (select p_partkey, cast(p_size as double) as p_size, p_retailprice from loaded_table) unpivot (value for name in (p_size, p_retailprice))",
     "part",
 )
+@plan("sql_sample_checked", "select true as about_a_tenth, true as all_known")
+def sql_sample_checked(spark, sf_dir):
+    """A sample of 10 percent has 7 to 13 % of the rows, and they are rows of the table."""
+    sql = (
+        "select (select count(*) from loaded_table tablesample (10 percent) repeatable (7)) between 0.07 * count(*) and 0.13 * count(*) as about_a_tenth, "
+        "(select count(*) from loaded_table tablesample (10 percent) repeatable (7) where l_orderkey not in (select o_orderkey from orders)) = 0 as all_known from loaded_table"
+    )
+    return run_sql(table(spark, sf_dir, "lineitem"), sql, {"orders": table(spark, sf_dir, "orders")})
+
+
 sql_plan("sql_sample", "select count(*) as n, avg(l_quantity) as avg_qty from loaded_table tablesample (10 percent) repeatable (7)", "lineitem", check=False)
 sql_plan(
     "sql_string",
@@ -327,3 +336,54 @@ sql_plan(
     "cast(o_totalprice as decimal(18,2)) * 100 > 5000000 as big, o_custkey::double as key_d, cast(o_orderdate as date) as day from loaded_table",
     "orders",
 )
+
+# Row by row: the two fact tables meet on the order key, of which an order has at most a few lines.
+_LINES = "l_orderkey, l_linenumber, l_quantity"
+sql_plan("sql_join_rows_inner", f"select o_orderkey, o_custkey, {_LINES} from loaded_table join orders on l_orderkey = o_orderkey where o_orderstatus = 'F'", "lineitem", ("orders",))
+sql_plan("sql_join_rows_left", f"select o_orderkey, {_LINES} from orders left join (select * from loaded_table where l_quantity > 48) l on o_orderkey = l_orderkey", "lineitem", ("orders",))
+sql_plan(
+    "sql_join_rows_full",
+    f"select o_orderkey, {_LINES} from (select * from orders where o_orderkey % 3 = 0) o full join (select * from loaded_table where l_quantity > 45) l on o_orderkey = l_orderkey",
+    "lineitem",
+    ("orders",),
+)
+sql_plan("sql_join_rows_semi", "select o_orderkey, o_totalprice from orders where exists (select 1 from loaded_table where l_orderkey = o_orderkey and l_quantity > 49)", "lineitem", ("orders",))
+sql_plan("sql_join_rows_anti", "select o_orderkey, o_totalprice from orders where not exists (select 1 from loaded_table where l_orderkey = o_orderkey and l_returnflag = 'R')", "lineitem", ("orders",))
+_LINE_ORDER = "partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus"
+sql_plan(
+    "sql_window_rows",
+    # several lines can share a number, so all columns together order them
+    "select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, cast(row_number() over w as bigint) as rn, lag(l_partkey) over w as before, lead(l_partkey) over w as after, "
+    "cast(sum(cast(l_extendedprice as decimal(18,2))) over v as double) as running from loaded_table "
+    f"window w as ({_LINE_ORDER}), v as ({_LINE_ORDER} rows between unbounded preceding and current row)",
+    "lineitem",
+)
+
+
+@plan(
+    "sql_join_interval_nulls",
+    "select o_orderkey, (select count(*) from events where user_id = case when o_orderkey % 9 <> 0 then o_custkey end "
+    "and event_id between case when o_orderkey % 5 <> 0 then o_orderkey end and case when o_orderkey % 7 <> 0 then o_orderkey + 400 else o_orderkey - 5 end) as n from orders",
+)
+def sql_join_interval_nulls(spark, sf_dir):
+    """Intervals that are empty, or lack a bound or their key, hold nothing."""
+    events = table(spark, sf_dir, "events").selectExpr("user_id as u", "event_id")
+    asked = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey", "case when o_orderkey % 9 <> 0 then o_custkey end as u", "case when o_orderkey % 5 <> 0 then o_orderkey end as low",
+        "case when o_orderkey % 7 <> 0 then o_orderkey + 400 else o_orderkey - 5 end as high",
+    )
+    return count_within(events, asked, "event_id", "low", "high", "o_orderkey", ["u"])
+
+
+@plan(
+    "sql_approx_distinct",
+    "select count(distinct l_partkey) as exact_parts, count(distinct l_orderkey) as exact_orders, true as parts_near, true as orders_near from lineitem",
+)
+def sql_approx_distinct(spark, sf_dir):
+    """The estimates, held against the exact numbers: within 5 %."""
+    sql = (
+        "select count(distinct l_partkey) as exact_parts, count(distinct l_orderkey) as exact_orders, "
+        "abs(approx_count_distinct(l_partkey, 0.015) - count(distinct l_partkey)) <= 0.05 * count(distinct l_partkey) as parts_near, "
+        "abs(approx_count_distinct(l_orderkey, 0.015) - count(distinct l_orderkey)) <= 0.05 * count(distinct l_orderkey) as orders_near from loaded_table"
+    )
+    return run_sql(table(spark, sf_dir, "lineitem"), sql)
