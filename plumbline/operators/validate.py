@@ -84,6 +84,30 @@ def _duplicated(df: DataFrame, column: str, order_by: str | None = None) -> Data
     )
 
 
+def _unique_entries(df: DataFrame, checks: list[Check]) -> Column:
+    """What the rows hold in the columns of the unique checks: an array of (check, value) without nulls, values as text."""
+
+    def text(column: str) -> Column:
+        value = present(df, column)
+        if isinstance(df.schema[column].dataType, (T.FloatType, T.DoubleType)):
+            value = F.when(value == 0, F.lit(0.0)).otherwise(value)  # 0.0 and -0.0 are one value
+        return value.cast("string")
+
+    entries = [F.struct(F.lit(c.number).alias("check"), text(c.column).alias("_value")) for c in checks]
+    return F.filter(F.array(*entries), lambda e: e["_value"].isNotNull())
+
+
+def _all_duplicated(df: DataFrame, checks: list[Check], order_by: str | None) -> DataFrame:
+    """check, _value, _n rows and _first key of each value that occurs more than once, for all unique
+    checks from one scan and one shuffle; copies of a value fold before it. As in _duplicated,
+    both uses of this table need the same shuffle."""
+    first = F.min("_key") if order_by else F.lit(0)
+    key = named(order_by).alias("_key") if order_by else F.lit(0).alias("_key")
+    rows = df.select(key, F.inline(_unique_entries(df, checks)))
+    grouped = rows.groupBy("check", "_value").agg(F.count(F.lit(1)).alias("_n"), first.alias("_first"))
+    return grouped.where((F.col("_n") > 1) & (F.col("_first").isNotNull() | (F.col("_n") > 0)))
+
+
 def _text_of(df: DataFrame, column: str) -> Column:
     """The value as Python writes it."""
     value, dtype = present(df, column), df.schema[column].dataType
@@ -125,10 +149,11 @@ def check_counts(df: DataFrame, checks: list[Check], order_by: str | None = None
         ]
         entries = [entry(c, F.col(f"c{c.number}")) for c in group]
         parts.append(df.agg(*figures).select(F.inline(F.array(*entries))))
-    for c in checks:
-        if c.kind == "unique":  # one grouping per column: partial counts fold copies before the shuffle
-            members = _duplicated(df, c.column, order_by).agg(F.sum("_n").alias("n"))
-            parts.append(members.select(F.inline(F.array(entry(c, F.col("n"))))))
+    unique = [c for c in checks if c.kind == "unique"]
+    if unique:
+        sums = [F.sum(F.when(F.col("check") == c.number, F.col("_n"))).alias(f"c{c.number}") for c in unique]
+        members = _all_duplicated(df, unique, order_by).agg(*sums)
+        parts.append(members.select(F.inline(F.array(*[entry(c, F.col(f"c{c.number}")) for c in unique]))))
     return _union(parts)
 
 
@@ -148,11 +173,20 @@ def check_samples(df: DataFrame, checks: list[Check], order_by: str) -> DataFram
 
     by_row = [c for c in checks if c.kind in ("min", "max", "regex")]
     by_type = [c for c in checks if c.kind == "type"]
+    unique = [c for c in checks if c.kind == "unique"]
     parts = []
-    if by_row:
-        found = F.array_compact(F.array(*[F.when(c.bad, entry(c)) for c in by_row]))
-        offenders = df.select(key, F.inline(found))
+    if by_row or unique:
+        found = F.array_compact(F.array(*[F.when(c.bad, entry(c)) for c in by_row])) if by_row else None
+        if unique:
+            # the first 3 members of a check belong to the 3 values whose first members come first
+            rank = F.row_number().over(W.partitionBy("check").orderBy("_first"))
+            early = _all_duplicated(df, unique, order_by).withColumn("_rank", rank).where(F.col("_rank") <= SAMPLE_ROWS)
+            df = df.withColumn("_early", early.agg(F.collect_set(F.struct("check", "_value"))).scalar())  # at most 3 values a check
+            wanted = F.filter(_unique_entries(df, unique), lambda e: F.array_contains("_early", e))
+            members = F.transform(wanted, lambda e: F.struct(e["check"].alias("check"), e["_value"].alias("value")))
+            found = members if found is None else F.concat(found, members)
         # the rank filter is applied on each input partition first: 3 rows per check are shuffled
+        offenders = df.select(key, F.inline(found))
         rank = F.row_number().over(W.partitionBy("check").orderBy("row_id"))
         parts.append(offenders.withColumn("_rank", rank).where(F.col("_rank") <= SAMPLE_ROWS).drop("_rank"))
     if by_type:
@@ -160,13 +194,6 @@ def check_samples(df: DataFrame, checks: list[Check], order_by: str) -> DataFram
         parts.append(head.select(named(order_by).alias("row_id"), F.inline(F.array(*[
             F.struct(F.lit(c.number).alias("check"), named(c.column).cast("string").alias("value")) for c in by_type
         ]))))
-    for c in checks:
-        if c.kind == "unique":
-            # the first 3 members belong to the 3 values whose first members come first
-            early = _duplicated(df, c.column, order_by).orderBy("_first").limit(SAMPLE_ROWS)
-            members = df.join(F.broadcast(early), present(df, c.column) == F.col("_value"), "left_semi")
-            rows = members.select(key, entry(c).alias("_e")).orderBy("row_id").limit(SAMPLE_ROWS)
-            parts.append(rows.select("row_id", "_e.*"))
     if not parts:
         dtype = df.schema[order_by].dataType
         schema = T.StructType([T.StructField("row_id", dtype)]).add("check", "int").add("value", "string")
