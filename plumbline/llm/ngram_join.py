@@ -12,9 +12,11 @@ and only classes are compared.
    BLOCK classes.
 3. *Matrix.* Per shingle the groups that have it in a member's prefix. Groups of neighbouring sizes that share
    one are candidates; a shingle of one group is dropped, which most are.
-4. *Bound and open.* A pair of blocks is first bounded: a member can only match if the other block's
-   union of shingles holds enough of its own. Only members that qualify are opened and compared in
-   whole. In a large group a *core* is found first: blocks are compared with the same few leaders, and
+4. *Bound and open.* Shingles fall into PARTS token groups by hash, and a class keeps how many it has in
+   each. The sum of the smaller numbers bounds what two classes share; pairs of blocks in which no two members reach
+   the threshold by this bound are dropped, and only classes of the others are fetched in whole. A bloom filter of
+   fixed size spares most of the others the work. Then a member is compared only if the other block's
+   union of shingles holds enough of its own. In a large group a *core* is found first: blocks are compared with the same few leaders, and
    what links to them in one piece need not be compared among itself any more, so copies of
    copies do not make all pairs.
 5. *Components.* Each comparison returns a spanning forest of its links; components are joined by
@@ -45,7 +47,10 @@ SKETCH_BITS = 20
 SLICE = 1 << 14
 BLOCK = 128  # classes that are compared at a time
 LEADERS = 64  # of a large group
+PARTS = 128  # token groups of the bound
+BLOOM_BITS = 23  # of the filter of classes to fetch
 MEMO = 500_000
+FULL = 65_535  # a number by token group stops here; two such numbers bound nothing
 RECALL = 200_000  # sets a task remembers to skip copies; forgetting only costs work
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+").findall
 _memo: dict[bytes, int] = {}
@@ -147,7 +152,7 @@ def _second_pass(shared, k: int, num: int, den: int):
             if matrix:
                 pairs = np.unique(np.concatenate(matrix), axis=0)
                 n = len(pairs)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=names)
 
         levels, seen, matrix, held = shared.value, set(), [], 0
         factor = math.log(den / num)
@@ -163,20 +168,21 @@ def _second_pass(shared, k: int, num: int, den: int):
                     seen.clear()
                 rank = levels[(own >> np.uint64(64 - SKETCH_BITS)).astype("int64")]
                 length = n - -(-num * n // den) + 1
+                parts = np.bincount((own >> np.uint64(64 - SKETCH_BITS - 7)).astype("int64") % PARTS, minlength=PARTS)
                 prefix = own[np.argsort(rank, kind="stable")[:length]].view("int64")
                 group = (int(prefix[-1]) & ~255) | min(255, int(math.log(n) / factor + 1e-9))
                 matrix.append(np.column_stack([prefix, np.full(length, group, "int64")]))
                 held += length
-                rows.append((group, name, digest))
+                rows.append((group, name, digest, n, np.minimum(parts, FULL).astype("<u2").tobytes()))
             if rows:
-                groups, classes, digests = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64()), pa.array(groups, pa.int64()), pa.array(classes, pa.binary()), pa.array(digests, pa.binary())], names=names)
+                kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64()), *[pa.array(c, t) for c, t in zip(zip(*rows), kinds)]], names=names)
             if held > 1_000_000:
                 yield from flush()
                 matrix, held = [], 0
         yield from flush()
 
-    names = ["shingle", "group", "class", "row"]
+    names = ["shingle", "group", "class", "row", "n", "parts"]
     return task
 
 
@@ -219,13 +225,57 @@ def _candidate_groups(batches) -> Iterator:
         yield flush()
 
 
-def _tokens(k: int):
+def _bounded(num: int, den: int):
+    """Pairs of blocks with their members' numbers by token group -> the pairs in which two members may match."""
+
+    def task(batches) -> Iterator:
+        import pyarrow as pa
+
+        def side(column):
+            lengths = column.value_lengths().to_numpy()
+            flat = column.flatten()
+            return np.append(0, np.cumsum(lengths)), flat.field("n").to_numpy(zero_copy_only=False), np.frombuffer(b"".join(flat.field("parts").to_pylist()), "<u2").reshape(-1, PARTS)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            (at_a, n_a, parts_a), (at_b, n_b, parts_b) = side(batch.column("a")), side(batch.column("b"))
+            may = np.zeros(batch.num_rows, bool)
+            for i in range(batch.num_rows):
+                for x in range(at_a[i], at_a[i + 1]):
+                    b = slice(at_b[i], at_b[i + 1])
+                    shared = np.minimum(parts_a[x], parts_b[b]).sum(axis=1, dtype="int64")
+                    full = (parts_a[x].max() >= FULL) & (parts_b[b].max(axis=1) >= FULL)
+                    may[i] |= bool((full | ((num + den) * shared >= num * (n_a[x] + n_b[b]))).any())
+                    if may[i]:
+                        break
+            yield batch.filter(pa.array(may)).drop_columns(["a", "b"])
+
+    return task
+
+
+def _bloom(wanted: DataFrame) -> np.ndarray:
+    """2**BLOOM_BITS bits, those set that belong to a row digest of `wanted`."""
+    place = F.pmod(F.xxhash64("row"), F.lit(1 << BLOOM_BITS))
+    words = wanted.select(place.alias("p")).groupBy(F.shiftright("p", 5).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 32 as int))")).alias("bits"))
+    bits = np.zeros(1 << (BLOOM_BITS - 5), "uint32")
+    for r in words.toLocalIterator():  # at most 2**(BLOOM_BITS - 5) rows
+        bits[r["at"]] = r["bits"]
+    return bits
+
+
+def _tokens(shared, k: int):
+    """Rows whose place in the filter is set -> their shingles."""
+
     def task(batches) -> Iterator:
         import pyarrow as pa
 
+        bits = shared.value
         for batch in batches:
-            made = [shingles(t, k).tobytes() for t in utf8(batch.column("text"))]
-            yield batch.drop_columns(["text"]).append_column("tokens", pa.array(made, pa.binary()))
+            place = batch.column("place").to_numpy()
+            kept = batch.filter(pa.array((bits[place >> 5] >> (place & 31).astype("uint32") & 1).astype(bool)))
+            made = [shingles(t, k).tobytes() for t in utf8(kept.column("text"))]
+            yield kept.select(["row"]).append_column("tokens", pa.array(made, pa.binary()))
 
     return task
 
@@ -395,38 +445,52 @@ def ngram_classes(df: DataFrame, key: str, text: str, k: int, num: int, den: int
     lines = stored(rows.mapInArrow(_first_pass(k), f"key {kind}, row binary, n long, class binary, slice int, salt long, cells binary"), "ngram-rows")
     documents = lines.where("slice is null").select("key", "row", "n", "class")
     shared = spark.sparkContext.broadcast(_levels(lines))
-    second = stored(rows.select("row", "text").mapInArrow(_second_pass(shared, k, num, den), "shingle long, group long, class binary, row binary"), "ngram-matrix")
-    members = stored(second.where("shingle is null").groupBy("class").agg(F.first("group").alias("group"), F.min("row").alias("row")), "ngram-members")
+    second = stored(rows.select("row", "text").mapInArrow(_second_pass(shared, k, num, den), "shingle long, group long, class binary, row binary, n long, parts binary"), "ngram-matrix")
+    firsts = [F.first(c).alias(c) for c in ("group", "n", "parts")]  # the same in all copies
+    members = stored(second.where("shingle is null").groupBy("class").agg(*firsts, F.min("row").alias("row")), "ngram-members")
     matrix = second.where("shingle is not null").select("shingle", "group").repartition(p, "shingle").sortWithinPartitions("shingle")
     pairs = stored(matrix.mapInArrow(_candidate_groups, "a long, b long").distinct(), "ngram-pairs")
     sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
     wanted = pairs.select(F.col("a").alias("group")).unionByName(pairs.select(F.col("b").alias("group"))).unionByName(sizes.where("size > 1").select("group")).distinct()
-    groups = stored(sizes.join(wanted, "group").withColumn("blocks", F.ceil(F.col("size") / block)), "ngram-groups")
-    asked = members.join(groups, "group").select("class", "group", "blocks", F.pmod(F.xxhash64("class"), "blocks").alias("block"), "row")
-    found = rows.select("row", "text").join(asked, "row").dropDuplicates(["row"])  # rows repeated with key and text
-    sets = stored(found.select("class", "group", "blocks", "block", "text").mapInArrow(_tokens(k), "class binary, group long, blocks long, block long, tokens binary"), "ngram-sets")
+    groups = sizes.join(wanted, "group").select("group", F.ceil(F.col("size") / block).alias("blocks"))
+    placed = members.join(groups, "group").withColumn("block", F.pmod(F.xxhash64("class"), "blocks"))
+    asked = stored(placed.select("class", "group", "blocks", "block", "row", "n", "parts"), "ngram-asked")
+    # pairs of blocks: within a group (a block with itself, if it has two members) and across groups that share a shingle
+    light = stored(asked.groupBy("group", "block").agg(F.collect_list(F.struct("n", "parts")).alias("members")), "ngram-light")
+    heads = light.select("group", "block", F.size("members").alias("size"))
+    a, b = (heads.select(*[F.col(c).alias(f"{side}_{c}") for c in heads.columns]) for side in "ab")
+    own = (F.col("a_block") == F.col("b_block")) & (F.col("a_size") > 1)
+    within = a.join(b, F.col("a_group") == F.col("b_group")).where((F.col("a_block") < F.col("b_block")) | own)
+    across = pairs.join(a, F.col("a") == F.col("a_group")).join(b, F.col("b") == F.col("b_group"))
+    names = ["a_group", "a_block", "b_group", "b_block"]
+    left, right = (light.select(F.col("group").alias(f"{s}_group"), F.col("block").alias(f"{s}_block"), F.col("members").alias(s)) for s in "ab")
+    to_bound = within.select(*names).unionByName(across.select(*names)).join(left, names[:2]).join(right, names[2:]).select(*names, "a", "b")
+    may = stored(to_bound.mapInArrow(_bounded(num, den), "a_group long, a_block long, b_group long, b_block long"), "ngram-may")
+    # the classes of these blocks in whole
+    opened = may.select(F.col("a_group").alias("group"), F.col("a_block").alias("block")).unionByName(may.select(F.col("b_group").alias("group"), F.col("b_block").alias("block"))).distinct()
+    fetch = stored(asked.join(opened, ["group", "block"]).select("class", "group", "blocks", "block", "row"), "ngram-fetch")
+    filter_ = spark.sparkContext.broadcast(_bloom(fetch))
+    known = rows.select("row", F.pmod(F.xxhash64("row"), F.lit(1 << BLOOM_BITS)).alias("place"), "text").mapInArrow(_tokens(filter_, k), "row binary, tokens binary")
+    sets = stored(known.join(fetch, "row").drop("row").dropDuplicates(["class"]), "ngram-sets")  # rows repeated with key and text
     # the core of groups of several blocks, by leaders that are the same for all blocks
     schema = "u binary, v binary"
     leaders = stored(_leaders(sets), "ngram-leaders")
     large = sets.where("blocks > 1").groupBy("group", "block").agg(_members(F.lit(None).cast("binary")).alias("members")).join(leaders, "group")
     hearts = stored(large.select("leaders", "members").mapInArrow(_links(_core(num, den), "leaders", "members"), schema), "ngram-core")
     left, right = (leaders.select(F.col("group").alias(side), F.col("leaders").alias(f"{side}_leaders")) for side in "ab")
-    two = pairs.join(left, "a").join(right, "b").select("a_leaders", "b_leaders")
+    met = may.select(F.col("a_group").alias("a"), F.col("b_group").alias("b")).where("a <> b").distinct()
+    two = met.join(left, "a").join(right, "b").select("a_leaders", "b_leaders")
     bridges = stored(two.mapInArrow(_links(_bridge(num, den), "a_leaders", "b_leaders"), schema), "ngram-bridges")
     named = components(bridges).select(F.col("node").alias("v"), "label")
     core = hearts.join(named, "v", "left").groupBy(F.col("u").alias("class")).agg(F.min(F.coalesce("label", "v")).alias("core"))
     marked = sets.join(core, "class", "left").select("group", "block", "class", "tokens", "core")
     one_core = F.when((F.count("core") == F.count(F.lit(1))) & (F.min("core") == F.max("core")), F.min("core"))
     packed = stored(marked.groupBy("group", "block").agg(_members(F.col("core")).alias("members"), one_core.alias("all_core")), "ngram-blocks")
-    # a block meets itself if it has two members; two blocks wholly in one core need not meet
-    heads = packed.select("group", "block", "all_core", F.size("members").alias("size"))
+    # two blocks wholly in one core need not meet
+    heads = packed.select("group", "block", "all_core")
     a, b = (heads.select(*[F.col(c).alias(f"{side}_{c}") for c in heads.columns]) for side in "ab")
     to_meet = F.col("a_all_core").isNull() | F.col("b_all_core").isNull() | (F.col("a_all_core") != F.col("b_all_core"))
-    own = (F.col("a_block") == F.col("b_block")) & (F.col("a_size") > 1)
-    within = a.join(b, F.col("a_group") == F.col("b_group")).where((F.col("a_block") < F.col("b_block")) | own)
-    across = pairs.join(a, F.col("a") == F.col("a_group")).join(b, F.col("b") == F.col("b_group"))
-    names = ["a_group", "a_block", "b_group", "b_block"]
-    to_open = within.where(to_meet).select(*names).unionByName(across.where(to_meet).select(*names))
+    to_open = may.join(a, names[:2]).join(b, names[2:]).where(to_meet).select(*names)
     left, right = (packed.select(F.col("group").alias(f"{s}_group"), F.col("block").alias(f"{s}_block"), F.col("members").alias(s)) for s in "ab")
     opened = to_open.join(left, ["a_group", "a_block"]).join(right, ["b_group", "b_block"]).select("a", "b")
     edges = opened.mapInArrow(_links(_compare(num, den), "a", "b"), schema).unionByName(hearts).unionByName(bridges)
