@@ -49,17 +49,36 @@ def joined_words(text: Column) -> Column:
     return F.when(words == "", " ").otherwise(F.concat(F.lit(" "), words, F.lit(" ")))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def signatures(text: Column, anchors=ANCHORS, chain: int = CHAIN) -> Column:
-    """The set of spot signatures, sorted hashes."""
-    words = joined_words(text)
-    common = "(?:" + "|".join(anchors) + ")(?= )"
-    link = rf"(?: {common})*+ [^ ]+"
-    found = F.regexp_extract_all(words, F.lit(rf"(?=( {common}{link * chain}) )"), F.lit(1))
-    # the anchor stays, common words between the content words go
-    bare = F.transform(found, lambda c: F.regexp_replace(c, rf"(?<=[^ ])(?: {common})+(?= [^ ]+)", ""))
-    hashes = F.transform(bare, lambda c: F.xxhash64(c))
-    alone = F.when(words == " ", F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(words)))
-    return F.array_sort(F.array_distinct(F.when(F.size(found) > 0, hashes).otherwise(alone)))
+    """The set of spot signatures, sorted hashes.
+
+    Words are cut into parts before each content word: a part is a content word and the common
+    words behind it (the first part has only common words), so the content words that follow an
+    anchor are the first words of the next parts.
+    """
+
+    def first(part: Column) -> Column:
+        return F.substring_index(part, " ", 1)
+
+    def chains(part: Column) -> Column:
+        common = F.filter(F.slice(F.split(part["0"], " "), 2, 1 << 30), lambda w: w != "")
+        nexts = [first(part[str(i + 1)]) for i in range(chain)]
+        none = F.array().cast("array<bigint>")
+        return F.when(part[str(chain)].isNull(), none).otherwise(F.transform(common, lambda w: F.xxhash64(F.concat_ws(" ", w, *nexts))))
+
+    def of_words(words: Column) -> Column:
+        cut = F.regexp_replace(words, rf" (?!(?:{'|'.join(anchors)}) )(?=[^ ])", "\n")
+        zipped = _let(F.split(cut, "\n"), lambda parts: F.arrays_zip(*[F.slice(parts, i + 1, 1 << 30) for i in range(chain + 1)]))
+        found = F.flatten(F.transform(zipped, chains))
+        alone = F.when(words == " ", F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(words)))
+        return _let(found, lambda hashes: F.when(F.size(hashes) > 0, hashes).otherwise(alone))
+
+    return F.array_sort(F.array_distinct(_let(joined_words(text), of_words)))
 
 
 def fingerprint(signature_set: Column) -> Column:
