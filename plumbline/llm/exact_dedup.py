@@ -224,7 +224,7 @@ def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text", *, payl
         many = stored(many, "dedup-many")
         if many.isEmpty():
             break
-        salted = records.join(many, "hash").withColumn("salt", F.pmod(F.xxhash64("run"), F.ceil(2 * F.col("runs") / fan_in)))
+        salted = records.join(many, "hash").withColumn("salt", F.pmod(F.xxhash64("run"), F.ceil(F.col("runs") / fan_in)))
         folded = stored(_merge(salted, F.struct("hash", "salt"), True), "dedup-merged")
         best = folded.where(F.col("run") == F.col("keep_row")).select("run", F.col("keep_key").alias("key"), "hash", F.col("group_size").alias("copies"), "bytes", "text", "rest")
         step = folded.select(F.col("run").alias("from"), F.col("keep_row").alias("to"))
