@@ -33,7 +33,7 @@ def test_perfect_hash_is_minimal_and_tells_strangers():
     assert PerfectHash([]).n == 0
 
 
-@given(st.text(max_size=60) | st.text(alphabet="ab '\n\t  \x1c\x85.,1é́", max_size=60))
+@given(text=st.text(max_size=60) | st.text(alphabet="ab '\n\t  \x1c\x85.,1é́", max_size=60))
 @settings(max_examples=300, deadline=None)
 def test_any_text(text, oracle, own):
     ids = np.frombuffer(own.encode(text), "<u4").tolist()

@@ -27,7 +27,7 @@ def own():
     return WordTokenizer(PATH)
 
 
-@given(st.lists(st.text(max_size=40) | st.text(alphabet="aB'sé́İ.!,#<|> \n  \x1c9", max_size=40), max_size=4))
+@given(texts=st.lists(st.text(max_size=40) | st.text(alphabet="aB'sé́İ.!,#<|> \n  \x1c9", max_size=40), max_size=4))
 @settings(max_examples=200, deadline=None)
 def test_words_give_what_whole_texts_give(texts, oracle, own):
     got = [np.frombuffer(b, "<u4").tolist() for b in own.encode([t.encode() for t in texts])]
