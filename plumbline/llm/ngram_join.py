@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from ..session import shuffle_partitions
 from .common import fresh, quoted, stored, utf8, whole
 
-SKETCH_BITS = 20
+SKETCH_BITS = 22
 SLICE = 1 << 14
 BLOCK = 128  # classes that are compared at a time
 LEADERS = 64  # of a large group
