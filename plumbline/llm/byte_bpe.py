@@ -32,9 +32,10 @@ from pyspark.sql import functions as F
 
 from .common import quoted, utf8
 
-MEMO = 700_000  # pieces, and as many pre-tokens, that a worker remembers
+MEMO = 1_000_000  # pieces, and as many pre-tokens, that a worker remembers
 BUCKET_LOAD = 4  # tokens per displacement
 CUT = re.compile(r"(?<=\S) (?=\S)")
+_SINGLE = [bytes([b]) for b in range(256)]
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -85,34 +86,32 @@ class PerfectHash:
 
 def merge(ranks: dict[bytes, int], word: bytes) -> list[int]:
     """Ids of a byte string by merges: always the pair of lowest rank, the leftmost of equals."""
-    n = len(word)
-    parts = [word[i : i + 1] for i in range(n)]
+    n, rank_of = len(word), ranks.get
+    parts = [_SINGLE[b] for b in word]
+    pairs = [rank_of(word[i : i + 2]) for i in range(n - 1)]  # rank of a part with the one after it
+    pairs.append(None)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    heap = []
-    for i in range(n - 1):
-        rank = ranks.get(word[i : i + 2])
-        if rank is not None:
-            heap.append((rank, i))
+    heap = [rank << 32 | i for i, rank in enumerate(pairs) if rank is not None]
     heapq.heapify(heap)
     while heap:
-        rank, i = heapq.heappop(heap)
-        left = parts[i]
-        j = after[i]
-        if left is None or j >= n or ranks.get(left + parts[j]) != rank:
+        entry = heapq.heappop(heap)
+        i = entry & 0xFFFFFFFF
+        if pairs[i] != entry >> 32:
             continue  # the pair is no longer there
-        joined = left + parts[j]
-        parts[i], parts[j] = joined, None
+        j = after[i]
         k = after[i] = after[j]
+        joined = parts[i] = parts[i] + parts[j]
+        parts[j] = pairs[j] = pairs[i] = None
         if k < n:
             before[k] = i
-            rank = ranks.get(joined + parts[k])
+            rank = pairs[i] = rank_of(joined + parts[k])
             if rank is not None:
-                heapq.heappush(heap, (rank, i))
+                heapq.heappush(heap, rank << 32 | i)
         h = before[i]
         if h >= 0:
-            rank = ranks.get(parts[h] + joined)
+            rank = pairs[h] = rank_of(parts[h] + joined)
             if rank is not None:
-                heapq.heappush(heap, (rank, h))
+                heapq.heappush(heap, rank << 32 | h)
     return [ranks[p] for p in parts if p is not None]
 
 
@@ -120,17 +119,28 @@ class Codec:
     """Encodes texts to ids (little-endian unsigned 32-bit) and decodes them."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
-        import regex
-
-        self.ranks = ranks
+        self.ranks, self.pattern = ranks, pattern
         whole = [token for token, rank in ranks.items() if merge(ranks, token) == [rank]]
         self.table = PerfectHash(whole)
         self.ids = [ranks[token].to_bytes(4, "little") for token in whole]
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.split = regex.compile(pattern).findall
+        self._start()
+
+    def _start(self) -> None:
+        import regex
+
+        self.split = regex.compile(self.pattern).findall
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
+    def __getstate__(self) -> dict:
+        """Without the memos and the compiled pattern: what a broadcast carries."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("split", "pieces", "words")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._start()
+
     def _word(self, word: str) -> bytes:
         raw = word.encode()
         place = self.table.place(raw)
@@ -163,21 +173,32 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, memoryview(ids).cast("I")))
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
+def codec(path: str, pattern: str) -> Codec:
+    """The codec of a rank file."""
+    return Codec(read_ranks(path), pattern)
+
 
+_CODECS: dict[tuple, Codec] = {}
 
-def codec(path: str, pattern: str) -> Codec:
-    """The codec of this worker for a rank file, made once."""
-    if (path, pattern) not in _CODECS:
-        _CODECS[path, pattern] = Codec(read_ranks(path), pattern)
-    return _CODECS[path, pattern]
 
+def _shared(spark, path: str, pattern: str):
+    """Built once on the driver, as large as the vocabulary, and sent to the executors; a function that gives a
+    worker its codec, with the memos it has filled so far."""
+    sent = spark.sparkContext.broadcast(codec(path, pattern))
 
-def _encode(path: str, pattern: str, with_ids: bool):
+    def own() -> Codec:
+        if (path, pattern) not in _CODECS:
+            _CODECS[path, pattern] = sent.value
+        return _CODECS[path, pattern]
+
+    return own
+
+
+def _encode(codec_of, with_ids: bool):
     def task(batches) -> Iterator:
         import pyarrow as pa
 
-        own = codec(path, pattern)
+        own = codec_of()
         for batch in batches:
             counts, ids, decoded, real = [], [], [], []
             for text in utf8(batch.column("text")):
@@ -200,21 +221,23 @@ def _encode(path: str, pattern: str, with_ids: bool):
 def bpe_encode(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """key, n_tokens, digests of ids and of the decoded bytes, and with `with_ids` the ids.
 
-    `ranks_path` is a file that every executor has.
+    `ranks_path` is read on the driver.
     """
     rows = df.select(quoted(key).alias("key"), quoted(text).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
     schema = f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>" * with_ids
-    return rows.mapInArrow(_encode(ranks_path, pattern, with_ids), schema).withColumnRenamed("key", key)
+    return rows.mapInArrow(_encode(_shared(df.sparkSession, ranks_path, pattern), with_ids), schema).withColumnRenamed("key", key)
 
 
 def bpe_decode(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """key and the decoded bytes of each list of ids; null is an empty list."""
 
+    codec_of = _shared(df.sparkSession, ranks_path, pattern)
+
     def task(batches) -> Iterator:
         import pyarrow as pa
 
-        own = codec(ranks_path, pattern)
+        own = codec_of()
         for batch in batches:
             made = [own.decode(array("I", x or []).tobytes()) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(made, pa.binary())], names=["key", "bytes"])
