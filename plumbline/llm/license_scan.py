@@ -1,8 +1,11 @@
 """License scans: phrases at their places, and an exact set-similarity join of blocks and templates.
 
-A block is a line of the text, seen as the set of its words. A template is the word set of a notice. They match
-when the block holds at least CONTAINMENT of the template's words. Only words of templates can
-matter, so a block is reduced to those. The join finds every match:
+A block is a line of the text, or a window of its words whatever its lines, seen as a set of words. A
+template is the word set of a notice. They match when the block holds at least CONTAINMENT of the
+template's words. Windows are two steps long and start at every step, a step being 1.5 times the longest
+template, so any run of words of that length lies in one of them: a notice is found however it is
+wrapped, with comment marks between its lines as well. Only words of templates can matter, so a block
+is reduced to those. The join finds every match:
 
 * *global order*: the template words, ordered by the number of blocks of the whole table that hold them,
   rarest first;
@@ -82,6 +85,12 @@ def template_words(templates=TEMPLATES) -> list[tuple[str, frozenset]]:
     return made
 
 
+def window_step(templates=TEMPLATES) -> int:
+    """Words from the start of a window to that of the next; a window is twice as long."""
+    longest = max(len(text.split()) for _, text in templates)
+    return longest + (longest + 1) // 2
+
+
 def license_matches(blocks: DataFrame, templates: list[tuple[str, frozenset]], containment: float = CONTAINMENT) -> DataFrame:
     """Blocks (row, block, words: distinct template words) -> row, block, label, containment of every match."""
     spark = blocks.sparkSession
@@ -125,22 +134,29 @@ def license_scan(df: DataFrame, key: str = "doc_id", text: str = "text", templat
         F.when(F.col("joined") == "", 0).otherwise(_spaces(F.col("joined")) + 1).cast("long").alias("n_words"),
     )
     places = [(*_places(F.col("padded"), F.col("n_words"), phrase), label) for phrase, label in PHRASES]
-    reduced = F.transform(F.split("lines", "\n"), lambda line: F.array_intersect(F.split(line, " "), vocabulary))
+
+    def reduced(texts: Column) -> Column:
+        return F.transform(F.split(texts, "\n"), lambda part: F.array_intersect(F.split(part, " "), vocabulary))
+
+    # every step of words as a line of its own; a pattern that matches wherever it is tried reads the text once
+    steps = F.regexp_replace(F.ltrim("padded"), f"(?:[^ ]++ ){{1,{window_step(templates)}}}", "$0\n")
+    cut = padded.select("key", "padded", "n_words", reduced(F.col("lines")).alias("line_words"), reduced(steps).alias("step_words"))
+    none = F.array().cast("array<string>")
+    windows = F.zip_with("step_words", F.slice("step_words", F.lit(2), F.size("step_words")), lambda a, b: F.array_union(F.coalesce(a, none), F.coalesce(b, none)))
     rows = stored(
-        padded.select(
+        cut.select(
             F.monotonically_increasing_id().alias("row"), "key", "n_words",
             sum(n for n, _, _, _ in places).alias("n_base"),
             F.least(*[first for _, first, _, _ in places]).alias("first_word"),
             F.greatest(*[last for _, _, last, _ in places]).alias("last_word"),
             F.array_distinct(F.array_compact(F.array(*[F.when(n > 0, F.lit(label)) for n, _, _, label in places]))).alias("base"),
-            F.filter(reduced, lambda b: F.size(b) > 0).alias("blocks"),
+            F.filter(F.array_distinct(F.concat("line_words", windows)), lambda b: F.size(b) > 0).alias("blocks"),
         ),
         "license-rows",
     )
     blocks = rows.select("row", F.posexplode("blocks").alias("block", "words"))
     found = license_matches(blocks, wanted, containment).groupBy("row").agg(F.collect_set("label").alias("found"), F.max("containment").alias("best"))
     joined = rows.drop("blocks").join(found, "row", "left")
-    none = F.array().cast("array<string>")
     return joined.select(
         F.col("key").alias(key), "n_words", "n_base", "first_word", "last_word",
         F.array_join(F.array_sort("base"), ",").alias("base_labels"),
@@ -150,7 +166,7 @@ def license_scan(df: DataFrame, key: str = "doc_id", text: str = "text", templat
 
 
 def _sql() -> str:
-    """The same in DuckDB, block by block and template by template."""
+    """DuckDB, block by block and template by template, lines only: a notice that only a window holds is not in it."""
     separators = _SEPARATORS_IN_LINE
     kinds = ", ".join(f"('{label}', {max(1, math.ceil(CONTAINMENT * len(words) - 1e-9))}, {sorted(words)!r})" for label, words in template_words())
     phrases = ", ".join(f"('{label}', {phrase.split()!r})" for phrase, label in PHRASES)

@@ -2,7 +2,7 @@ import re
 
 import pytest
 
-from plumbline.llm.license_scan import CONTAINMENT, PHRASES, license_matches, license_scan, template_words
+from plumbline.llm.license_scan import CONTAINMENT, PHRASES, license_matches, license_scan, template_words, window_step
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -69,3 +69,59 @@ def test_join_finds_every_match_whatever_the_order(spark):
         got = {(r["row"], r["label"]) for r in license_matches(spark.createDataFrame(blocks, "row long, block int, words array<string>"), templates, containment).collect()}
         want = {(i, label) for i, _, ws in blocks for label, t in templates if len(t & set(ws)) >= containment * len(t) - 1e-9}
         assert got == want
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:"""
+GPL = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version."""
+APACHE = """you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0"""
+NOTICES = (("mit", MIT), ("bsd", BSD), ("gpl", GPL), ("apache-2", APACHE))
+
+
+def _with_windows(text):
+    """_plain, and every window of words against every template."""
+    *figures, base, labels, score = _plain(text)
+    words, step = _words(text or ""), window_step()
+    for at in range(0, len(words), step):
+        block = set(words[at : at + 2 * step])
+        for label, template in template_words():
+            share = len(template & block) / len(template)
+            if share >= CONTAINMENT - 1e-9:
+                labels, score = ",".join(sorted({*filter(None, labels.split(",")), label})), max(score, share)
+    return *figures, base, labels, score
+
+
+def test_notices_are_found_however_they_are_wrapped(spark):
+    filler, step = "some words of prose\nthat are no notice ", window_step()
+    cases = []
+    for label, notice in NOTICES:
+        for mark in ("", "# ", " * ", "dnl ", "REM "):
+            cases.append((label, "\n".join(mark + line for line in notice.split("\n"))))
+        cases.append((label, "\r\n".join(notice.split())))  # one word a line
+        for before in (1, step - 12, step - 1, step, 2 * step - 7, 5 * step - 20):  # over the edges of steps
+            cases.append((label, "\n".join([" ".join((filler * before).split(" ")[:before]), notice, filler * 40])))
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string")
+    got = {r[0]: tuple(r)[1:] for r in license_scan(df).collect()}
+    for i, (label, t) in enumerate(cases):
+        assert got[i] == pytest.approx(_with_windows(t)), t
+        assert label in got[i][5].split(",") and got[i][6] >= CONTAINMENT, t
+
+
+def test_words_far_apart_are_no_notice(spark):
+    spread = "\n".join(w + " x" * window_step() for w in sorted(set(_words(MIT))))
+    rows = license_scan(spark.createDataFrame([(1, spread)], "doc_id long, text string")).collect()
+    assert (rows[0]["labels"], rows[0]["score"]) == ("", 0.0)
+
+
+def test_one_endless_word_after_a_notice(spark):
+    text = MIT + "\n" + "z" * 2_000_000
+    assert license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["labels"] == "mit"
