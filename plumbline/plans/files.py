@@ -136,12 +136,23 @@ def scan_csv_many_headers(spark, sf_dir):
     return read_csv(spark, paths)
 
 
+def _dated_books(orders: DataFrame) -> DataFrame:
+    """Orders written as workbooks of 5,000 keys and read again."""
+    orders = orders.select("o_orderkey", F.date_trunc("second", "o_orderdate").cast("timestamp_ntz").alias("o_orderdate"), "o_totalprice")
+    days = (micros(F.col("o_orderdate")) / 86_400_000_000 + 25569).alias("o_orderdate")  # days from the year-1900 zero
+    return read_workbooks(_workbooks(orders.select("o_orderkey", days, "o_totalprice"), 5000, date="o_orderdate", first_row=3))
+
+
 @plan("scan_xlsx_dates", "select o_orderkey, date_trunc('second', o_orderdate) as o_orderdate, o_totalprice from orders where o_orderkey % 10 = 0")
 def scan_xlsx_dates(spark, sf_dir):
     """Date cells come back as timestamps, in either date system; the header is not the first row."""
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select("o_orderkey", F.date_trunc("second", "o_orderdate").cast("timestamp_ntz").alias("o_orderdate"), "o_totalprice")
-    days = (micros(F.col("o_orderdate")) / 86_400_000_000 + 25569).alias("o_orderdate")  # days from the year-1900 zero
-    return read_workbooks(_workbooks(orders.select("o_orderkey", days, "o_totalprice"), 5000, date="o_orderdate", first_row=3))
+    return _dated_books(table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0"))
+
+
+@plan("scan_xlsx_dates_whole", "select o_orderkey, date_trunc('second', o_orderdate) as o_orderdate, o_totalprice from orders")
+def scan_xlsx_dates_whole(spark, sf_dir):
+    """The same over every order."""
+    return _dated_books(table(spark, sf_dir, "orders"))
 
 
 @plan("sink_parquet", WITH_DIRTY + "select c_custkey, trim(name, concat(' ', chr(9))) as name, age, email, code from dirty")

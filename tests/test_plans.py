@@ -55,3 +55,8 @@ def test_profile_and_checks_scan_once(spark):
 def test_top_k_needs_no_sort(spark):
     for name in ("profile_sample", "sample_random", "sql_topk"):
         assert "TakeOrderedAndProject" in _text(PLANS[name](spark, SF))
+
+
+def test_every_order_comes_back_from_dated_workbooks(spark):
+    sf = "/root/testdata/sf0.01"  # more keys than a workbook holds: both date systems
+    assert differences(PLANS["scan_xlsx_dates_whole"](spark, sf), connect(sf), "select o_orderkey, date_trunc('second', o_orderdate) as o_orderdate, o_totalprice from orders") is None
