@@ -60,3 +60,19 @@ def test_top_k_needs_no_sort(spark):
 def test_every_order_comes_back_from_dated_workbooks(spark):
     sf = "/root/testdata/sf0.01"  # more keys than a workbook holds: both date systems
     assert differences(PLANS["scan_xlsx_dates_whole"](spark, sf), connect(sf), "select o_orderkey, date_trunc('second', o_orderdate) as o_orderdate, o_totalprice from orders") is None
+
+
+def test_every_day_is_in_a_series_that_reports_it_is_too_short(spark):
+    from collections import Counter
+
+    from plumbline.operators import stl_anomalies
+    from plumbline.plans.derived import daily
+    from plumbline.plans.series import _too_short
+
+    sf = "/root/testdata/sf0.01"
+    days = [r["ts"] for r in daily(spark, sf).collect()]
+    sizes = Counter((f"{d:%Y-%m}", min((d.day - 1) // 10, 2)) for d in days)
+    want = sorted(s for s, n in sizes.items() if n >= 8)
+    found = stl_anomalies(_too_short(spark, sf), "D", ["month", "third"]).collect()
+    assert len(want) > 100 and sorted((r["month"], r["third"]) for r in found) == want
+    assert all("too few" in r["error"] for r in found)
