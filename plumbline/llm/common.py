@@ -21,6 +21,11 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def renewed(df: DataFrame) -> DataFrame:
+    """The same rows with columns of their own, so that both sides of a cogroup may come from one table."""
+    return df.select(*[quoted(c).alias(c) for c in df.columns])
+
+
 def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 

@@ -9,12 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import bpe_encode
+from .conversation_trie import SQL as TRIE_SQL
+from .conversation_trie import conversation_trie
+from .decontamination import SQL as DECONTAMINATION_SQL
+from .decontamination import decontaminate
 from .exact_dedup import exact_dedup
 from .fingerprints import edited_fingerprints
 from .langid import predict_language, train_langid
 from .license_scan import SQL as LICENSE_SQL
 from .license_scan import license_scan
 from .lm_score import lm_score
+from .manifest import SQL as MANIFEST_SQL
+from .manifest import manifest
 from .ngram_join import ngram_components
 from .packing import best_fit_packing
 from .toxicity import score_toxicity, train_toxicity
@@ -126,3 +132,18 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_table(spark, sf_dir, "documents"))
+
+
+@query("op11_decontamination", DECONTAMINATION_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_manifest", MANIFEST_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(_table(spark, sf_dir, "documents"))
+
+
+@query("op13_conversation_trie", TRIE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(_table(spark, sf_dir, "conversations"))
