@@ -49,13 +49,33 @@ def _average(y: np.ndarray, width: int) -> np.ndarray:
     return (total[width:] - total[:-width]) / width
 
 
+def _bisquare(size: np.ndarray) -> np.ndarray | None:
+    """Weights of residuals of these sizes; None where they are all alike.
+
+    Never quite zero: where all neighbours are outliers, they are all there is, the smaller ones first."""
+    scale = 6 * np.median(size)
+    if scale <= 0:
+        return None
+    ratio = size / scale
+    return np.maximum(np.clip(1 - ratio**2, 0, 1) ** 2, 1e-12 / (1 + ratio) ** 2)
+
+
+def _rough_weights(y: np.ndarray, width: int = 15) -> np.ndarray:
+    """Weights to start with: by the distance from a running median, which single points do not move. A first fit
+    with equal weights would spread a spike over its neighbours, and all would be weighed down together."""
+    half = width // 2
+    around = np.lib.stride_tricks.sliding_window_view(np.pad(y, half, mode="reflect" if len(y) > half else "edge"), 2 * half + 1)
+    weights = _bisquare(np.abs(y - np.median(around, axis=1)))
+    return np.ones(len(y)) if weights is None else weights
+
+
 def stl(y: np.ndarray, period: int, seasonal: int = 7, outer: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """(seasonal, trend), with `outer` rounds of down-weighting large residuals."""
+    """(seasonal, trend), with a robust start and `outer` rounds of down-weighting large residuals."""
     n = len(y)
     if n <= 2 * period:
         raise ValueError(f"{n} points are too few for a season of {period}")
     trend_span = _odd(1.5 * period / (1 - 1.5 / seasonal))
-    season, trend, weights = np.zeros(n), np.zeros(n), np.ones(n)
+    season, trend, weights = np.zeros(n), np.zeros(n), _rough_weights(y)
     for round_ in range(outer + 1):
         for _ in range(2):
             rest = y - trend
@@ -74,11 +94,8 @@ def stl(y: np.ndarray, period: int, seasonal: int = 7, outer: int = 5) -> tuple[
             trend = _smooth(y - season, trend_span, weights)
         if round_ < outer:
             size = np.abs(y - season - trend)
-            scale = 6 * np.median(size)
-            if scale <= 1e-9 * np.ptp(y):
+            if 6 * np.median(size) <= 1e-9 * np.ptp(y[weights > 1e-9]) or (weights := _bisquare(size)) is None:
                 break
-            # never quite zero: where all neighbours are outliers, they are all there is
-            weights = np.clip(1 - (size / scale) ** 2, 1e-3, 1) ** 2
     return season, trend
 
 

@@ -43,20 +43,38 @@ def _start_of(freq: str, step: Column) -> Column:
     }[freq].cast("timestamp_ntz")
 
 
-def _residual_flags(residual: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    std = residual.std(ddof=1)
-    if not std > 1e-12:
-        return np.zeros(len(residual), bool), np.zeros(len(residual))
-    score = (residual - residual.mean()) / std
+# A normal deviation in units of the median and of the mean absolute deviation.
+NORMAL, NORMAL_OF_MEAN = 1.4826, 1.2533
+
+
+def robust_score(residual: np.ndarray, level: float = 0.0) -> np.ndarray:
+    """Deviations from the median in units of the scaled median absolute deviation, which outliers cannot stretch: up to half
+    of the points may be any size without hiding one another. Where more than half of the residuals are equal (but for rounding, in values
+    of about `level`), the mean absolute deviation stands in; where all are, nothing stands out."""
+    away = residual - np.median(residual)
+    size = np.abs(away)
+    if not np.isfinite(size).all():
+        return np.zeros(len(residual))
+    noise = max(1e-12 * level, 1e-15 * size.max(initial=0.0))
+    scale = NORMAL * np.median(size)
+    if scale <= noise:
+        scale = NORMAL_OF_MEAN * size.mean() if (size > noise).any() else np.inf
+    return away / scale
+
+
+def _residual_flags(residual: np.ndarray, level: float) -> tuple[np.ndarray, np.ndarray]:
+    score = robust_score(residual, level)
     return np.abs(score) > LIMIT, score
 
 
 def _decomposed(split: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]):
     def flags(step: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         every = np.arange(step[0], step[-1] + 1)
+        if not np.isfinite(value).all():  # nothing can be told by an infinite point
+            return np.zeros(len(step), bool), np.zeros(len(step))
         filled = np.interp(every, step, value)  # periods without a point lie on a straight line
         season, trend = split(filled)
-        return _residual_flags((filled - season - trend)[step - step[0]])
+        return _residual_flags((filled - season - trend)[step - step[0]], float(np.median(np.abs(value))))
 
     return flags
 
@@ -100,7 +118,7 @@ def _per_series(points: DataFrame, freq: str, by: Sequence[str], pick: Callable)
 
 
 def stl_anomalies(points: DataFrame, freq: str = "D", by: Sequence[str] = ()) -> DataFrame:
-    """Resampled points whose STL residual is more than 3 deviations out. A series on which the
+    """Resampled points whose STL residual is more than 3 robust deviations out. A series on which the
     method fails gives one row with `error` and no point."""
     period = FREQUENCIES[freq][2]
     return _per_series(points, freq, by, lambda n: [("stl", _decomposed(lambda y: stl(y, period)))])

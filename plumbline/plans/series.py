@@ -324,6 +324,19 @@ def anomaly_auto_spikes(spark, sf_dir):
     return auto_anomalies(_spiked(spark, sf_dir), "D", ["o_orderpriority"]).where("value > 1e9").select("o_orderpriority", "ts")
 
 
+@plan("anomaly_spikes_counted")
+def anomaly_spikes_counted(spark, sf_dir):
+    """What each method flags of the spiked series: planted spikes, and other points."""
+    points = _spiked(spark, sf_dir)
+    found = None
+    for method, find in (("stl", stl_anomalies), ("mstl", mstl_anomalies), ("auto", auto_anomalies)):
+        rows = find(points, "D", ["o_orderpriority"]).where("error is null").select("o_orderpriority", "ts", F.lit(method).alias("asked"))
+        found = rows if found is None else found.unionByName(rows)
+    planted = F.dayofyear("ts") == F.year("ts") * 37 % 300 + 10
+    counts = found.groupBy("asked", "o_orderpriority").agg(F.count_if(planted).alias("planted"), F.count_if(~planted).alias("others"))
+    return counts.withColumnRenamed("asked", "method")
+
+
 _ISO = "strftime(ts, '%Y-%m-%dT%H:%M:%S') || case when ts = date_trunc('second', ts) then '' else strftime(ts, '.%f') end"
 
 

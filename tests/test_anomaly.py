@@ -230,3 +230,83 @@ def test_short_series_are_left_alone_and_errors_reported(spark):
     assert len(twelve) == 1 and twelve[0]["ts"] is None and "too few" in twelve[0]["error"]
     auto = auto_anomalies(_daily(spark, TS15[:11] + [1000])).collect()
     assert [(r["value"], r["method"]) for r in auto] == [(1000.0, "iqr")]
+
+
+def _plain_line(y, w, at, q):
+    """A weighted straight line through the q points nearest to `at`, there."""
+    n = len(y)
+    q_ = min(q, n)
+    first = int(min(max(at - (q_ - 1) // 2, 0), n - q_))
+    reach = max(at - first, first + q_ - 1 - at) + max(0, (q - n) // 2)
+    x = np.arange(first, first + q_) - at
+    u = (1 - np.clip(np.abs(x) / (max(reach, 1e-9) * 1.001), 0, 1) ** 3) ** 3 * w[first : first + q_]
+    u = u / u.sum()
+    v, mx, my = y[first : first + q_], 0.0, 0.0
+    mx, my = (u * x).sum(), (u * v).sum()
+    spread = (u * x * x).sum() - mx * mx
+    return my - mx * (((u * x * v).sum() - mx * my) / spread if spread > 1e-12 else 0.0)
+
+
+def _plain_weights(size):
+    scale = 6 * np.median(size)
+    return np.array([max(max(0.0, 1 - (r / scale) ** 2) ** 2, 1e-12 / (1 + r / scale) ** 2) for r in size])
+
+
+def _plain_stl(y, period, seasonal=7, outer=5):
+    n, odd = len(y), lambda x: int(np.ceil(x)) // 2 * 2 + 1
+    span = odd(1.5 * period / (1 - 1.5 / seasonal))
+
+    def smooth(v, q, w):
+        at = sorted({*range(0, n, max(1, -(-q // 10))), n - 1})
+        return np.interp(np.arange(n), at, [_plain_line(v, w, x, q) for x in at])
+
+    padded = np.concatenate([y[7:0:-1], y, y[-2:-9:-1]])
+    w = _plain_weights(np.array([abs(y[i] - np.median(padded[i : i + 15])) for i in range(n)]))
+    season, trend = np.zeros(n), np.zeros(n)
+    for k in range(outer + 1):
+        for _ in range(2):
+            cycle = np.zeros(n + 2 * period)
+            for phase in range(period):
+                own = np.arange(phase, n, period)
+                for j in range(-1, len(own) + 1):
+                    cycle[phase + period * (j + 1)] = _plain_line((y - trend)[own], w[own], j, seasonal)
+            low = cycle
+            for width in (period, period, 3):
+                low = np.array([low[i : i + width].mean() for i in range(len(low) - width + 1)])
+            season = cycle[period : n + period] - smooth(low, odd(period), np.ones(n))
+            trend = smooth(y - season, span, w)
+        if k < outer:
+            w = _plain_weights(np.abs(y - season - trend))
+    return season, trend
+
+
+def test_flags_of_a_spiked_series_equal_a_plain_version(spark):
+    """Spikes of unlike size do not hide each other, and the false alarms are those of a plain reading of the definitions."""
+    t = np.arange(330)
+    rng = np.random.default_rng(8)
+    values = 100 + 9 * np.sin(2 * np.pi * t / 7) + rng.standard_t(3, 330)
+    spikes = {50: 5e8, 130: 5e7, 137: 300.0, 260: 1e12}
+    for at, v in spikes.items():
+        values[at] = v
+    season, trend = _plain_stl(values, 7)
+    rest = values - season - trend
+    score = (rest - np.median(rest)) / (1.4826 * np.median(np.abs(rest - np.median(rest))))
+    want = sorted(int(i) for i in np.flatnonzero(np.abs(score) > 3))
+    assert set(spikes) <= set(want) and 0 < len(want) - len(spikes) < 60
+    found = stl_anomalies(_daily(spark, values)).select(F.datediff("ts", F.lit("2024-01-01")).alias("i"), "score").collect()
+    first = min(r["ts"] for r in _daily(spark, values).collect())
+    shift = (first.date() if hasattr(first, "date") else first).toordinal() - __import__("datetime").date(2024, 1, 1).toordinal()
+    assert sorted(r["i"] - shift for r in found) == want
+    assert all(abs(r["score"] - score[r["i"] - shift]) <= 1e-6 * abs(score[r["i"] - shift]) + 1e-6 for r in found)
+
+
+def test_robust_score():
+    from plumbline.operators.decompose import robust_score
+
+    assert (robust_score(np.full(20, 3.0)) == 0).all()
+    lone = np.zeros(60)
+    lone[7] = 90.0  # more than half of the residuals are equal
+    assert abs(robust_score(lone)[7]) > 3 and abs(robust_score(lone)[8]) < 3
+    assert (robust_score(np.array([1.0, np.inf, 2.0])) == 0).all()
+    hidden = np.append(np.random.default_rng(0).normal(size=100), [1e9] * 30 + [50.0])
+    assert (np.abs(robust_score(hidden)[100:]) > 3).all()

@@ -76,3 +76,20 @@ def test_every_day_is_in_a_series_that_reports_it_is_too_short(spark):
     found = stl_anomalies(_too_short(spark, sf), "D", ["month", "third"]).collect()
     assert len(want) > 100 and sorted((r["month"], r["third"]) for r in found) == want
     assert all("too few" in r["error"] for r in found)
+
+
+@pytest.mark.parametrize("name", ["anomaly_stl_spikes", "anomaly_mstl_spikes", "anomaly_auto_spikes"])
+def test_spikes_are_found_in_longer_tables(spark, name):
+    sf = "/root/testdata/sf0.01"
+    assert differences(PLANS[name](spark, sf), connect(sf), ORACLES[name]) is None
+
+
+def test_spikes_add_no_false_alarms(spark):
+    """The same series without its spikes has about as many flagged points."""
+    from plumbline.operators import resample, stl_anomalies
+    from plumbline.plans.registry import table
+
+    sf = "/root/testdata/sf0.01"
+    counted = [r for r in PLANS["anomaly_spikes_counted"](spark, sf).collect() if r["method"] == "stl"]
+    plain = stl_anomalies(resample(table(spark, sf, "orders"), "o_orderdate", "o_totalprice", "D", ["o_orderpriority"]), "D", ["o_orderpriority"]).count()
+    assert sum(r["planted"] for r in counted) == 26 and abs(sum(r["others"] for r in counted) - plain) < 0.05 * plain
