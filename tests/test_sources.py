@@ -1,7 +1,11 @@
+import csv as plain_csv
+import io
+import random
 from datetime import datetime
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.session import scratch_dir
 from plumbline.sources import (
@@ -16,6 +20,7 @@ from plumbline.sources import (
     write_csv,
     write_parquet,
 )
+from plumbline.sources.delimited import field_count
 
 
 @pytest.fixture
@@ -244,3 +249,47 @@ def test_content_decides_between_csv_and_workbook(spark, tmp_path):
     _book(tmp_path / "t.xlsx", '<row r="1"><c r="A1" t="str"><v>a</v></c></row><row r="2"><c r="A2"><v>1</v></c></row>')
     (tmp_path / "really_a_book.csv").write_bytes((tmp_path / "t.xlsx").read_bytes())
     assert _rows(read_table(spark, str(tmp_path / "really_a_book.csv"))) == [(1,)]
+
+
+@pytest.fixture
+def small_splits(spark):
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(n) for n in names]
+    for n, v in zip(names, ("300", "1")):
+        spark.conf.set(n, v)
+    yield
+    for n, v in zip(names, before):
+        spark.conf.set(n, v)
+
+
+def test_files_are_split_inside_quotes(spark, tmp_path, small_splits):
+    """Random records against Python's csv: line breaks, doubled quotes, quotes that are letters, a record over many ranges."""
+    rng, want = random.Random(1), []
+    parts = ["a", "b", ",", '"', "\n", "\r\n", " ", "xyz", '""']
+    for k in range(3):
+        rows = [[f"{k}-{i}"] + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) + "." for _ in range(2)] for i in range(120)]
+        rows[50][1] = "\n".join(f'line, "{j}"' for j in range(200))
+        out = io.StringIO(newline="")
+        writer = plain_csv.writer(out, lineterminator="\r\n" if k else "\n")
+        writer.writerow(["id", "t", "u"])
+        writer.writerows(rows)
+        text = out.getvalue().replace(f"{k}-7,", f'{k}-7x"y,', 1)
+        (tmp_path / f"{k}.csv").write_bytes(text.encode())
+        want += list(plain_csv.reader(io.StringIO(text, newline="")))[1:]
+    df = read_csv(spark, str(tmp_path), schema="id string, t string, u string")
+    assert sorted(map(list, df.collect())) == sorted(want)
+    assert df.rdd.getNumPartitions() > 20  # of three files
+
+
+@pytest.mark.parametrize("record,fields", [('x"1,2"y,3', 3), ('"1,2",3', 2), ('"1,2"x,3', 2), ('"a""b,",c', 2), ("", 1), (",", 2), ('a,"b', 2), ('"' + 'x""' * 20_000 + '",b', 2)])
+def test_fields_are_counted_as_they_are_read(spark, record, fields):
+    df = spark.createDataFrame([(record,)], "r string")
+    assert df.select(field_count(F.col("r"))).first()[0] == fields
+
+
+def test_a_row_with_a_quote_inside_a_field_loses_nothing(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('a,b\nx"1,2"y,3\n')
+    with pytest.raises(Exception, match="more fields than its header"):
+        read_csv(spark, str(tmp_path), schema="a string, b string").collect()
+    (tmp_path / "a.csv").write_text('a,b,c\nx"1,2"y,3\n')
+    assert [tuple(r) for r in read_csv(spark, str(tmp_path), schema="a string, b string, c string").collect()] == [('x"1', '2"y', "3")]
