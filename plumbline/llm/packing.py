@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -35,18 +36,31 @@ from .common import quoted, stored, utf8
 NODES = 6_000  # patterns tried by branch and bound
 FILLINGS = 24  # undominated fillings kept for one longest piece
 STEPS = 1_000  # steps of one enumeration
-MEMO = 500_000  # words a worker remembers
+MEMO = 500_000  # words of one generation that a worker remembers
 SLICE = 2 << 20  # text tokenised at a time
 TAIL = b".,!*#$%&"
+LATIN = "\u0250"  # letters below are one composed character each, and are lowered one by one
+# Fixed rule of byte-level tokenizers: printable bytes stand for themselves, the others for characters from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARACTERS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(sorted({*range(256)} - {*_PRINTABLE}))}
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many), longest first
 
 
+def parted(word: bytes) -> tuple[bytes, bytes]:
+    """(core, tail): an ASCII punctuation tail behind an ASCII letter or digit is a token run of its own."""
+    core = word.rstrip(TAIL)
+    if core and core != word and core[-1:].isalnum():
+        return core, word[len(core) :]
+    return word, b""
+
+
 class WordTokenizer:
     """A tokenizer that drops white space and never joins across it, word by word with a memo.
 
-    Words are cut at ASCII white space; an ASCII punctuation tail behind an ASCII letter or
-    digit is a token run of its own, so it is looked up apart.
+    Words are cut at ASCII white space. A-Z are lowered beforehand, as the tokenizer will; not so in texts with a combining
+    mark (all that join with ASCII letters begin with the bytes CC or CD), which the tokenizer composes before it lowers. The memo
+    has two generations: what is not met again while the new one fills is forgotten with the old one.
     """
 
     def __init__(self, path: str) -> None:
@@ -54,42 +68,59 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.words: dict[bytes, bytes] = {}
-        self.cores: dict[bytes, bytes] = {}
-
-    @staticmethod
-    def _parts(word: bytes) -> tuple[bytes, bytes]:
-        core = word.rstrip(TAIL)
-        if core and core != word and core[-1:].isalnum():
-            return core.lower() if core.isascii() else core, word[len(core) :]
-        return word.lower() if word.isascii() else word, b""
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.merge = self.tokenizer.model.tokenize
+        self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def _learn(self, words: set[bytes]) -> None:
-        parts = {w: self._parts(w) for w in words}
-        new = list({p for both in parts.values() for p in both if p and p not in self.cores})
-        if len(self.cores) + len(new) > MEMO:
-            self.cores.clear()
-            new = list({p for both in parts.values() for p in both if p})
-        for part, coded in zip(new, self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)):
-            self.cores[part] = b"".join([i.to_bytes(4, "little") for i in coded.ids])
-        if len(self.words) + len(words) > 2 * MEMO:
-            self.words.clear()
-        for word, (core, tail) in parts.items():
-            self.words[word] = self.cores[core] + (self.cores[tail] if tail else b"")
+        known, old, apart = self.known, self.old, []
+        new: dict[bytes, None] = {}
+        for word in words:
+            if word in old:
+                known[word] = old[word]
+                continue
+            core, tail = parted(word)
+            if tail:
+                apart.append((word, core, tail))
+            for part in (core, tail):
+                if part in old:
+                    known[part] = old[part]
+                elif part not in known:
+                    new[part] = None
+        new.pop(b"", None)
+        mixed, merge = [], self.merge
+        for part in new:
+            text = part.decode()
+            if text.isalpha() and max(text) < LATIN and "\u0130" not in text:  # one run of letters: only merging is left to do
+                text = text.lower()
+                if not text.isascii():
+                    text = text.encode().decode("latin-1").translate(_BYTE_CHARACTERS)
+                known[part] = array("I", [t.id for t in merge(text)]).tobytes()
+            else:
+                mixed.append(part)
+        for part, coded in zip(mixed, self.tokenizer.encode_batch_fast([p.decode() for p in mixed], add_special_tokens=False)):
+            known[part] = array("I", coded.ids).tobytes()
+        for word, core, tail in apart:
+            known[word] = known[core] + known[tail]
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """Ids of each text, little-endian unsigned 32-bit."""
-        split = [t.split() for t in texts]
-        needed = set().union(*split) if split else set()
-        words = self.words
-        if missing := {w for w in needed if w not in words}:
-            if len(words) + len(missing) > 2 * MEMO:
-                words.clear()
-                missing = needed
-            self._learn(missing)
-        for pieces in split:
-            yield b"".join([words[w] for w in pieces])
+        if len(self.known) > MEMO:
+            self.known, self.old = {}, self.known
+        known = self.known
+        split = [(t if b"\xcc" in t or b"\xcd" in t else t.lower()).split() for t in texts]
+        coded = [list(map(known.get, words)) for words in split]
+        unknown: set[bytes] = set()
+        for words, ids in zip(split, coded):
+            if None in ids:
+                unknown.update([w for w, i in zip(words, ids) if i is None])
+        if unknown:
+            self._learn(unknown)
+        for words, ids in zip(split, coded):
+            if None in ids:
+                ids = [known[w] if i is None else i for w, i in zip(words, ids)]
+            yield b"".join(ids)
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}

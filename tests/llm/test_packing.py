@@ -34,6 +34,17 @@ def test_words_give_what_whole_texts_give(texts, oracle, own):
     assert got == [oracle(t) for t in texts]
 
 
+def test_letters_and_forgetting(oracle, own, monkeypatch):
+    """Runs of letters skip all but the merging; words come and go through both generations."""
+    letters = [chr(c) for c in range(0xC0, 0x250)]
+    texts = ["".join(letters[i : i + 3]) + " x" + letters[i].upper() + "y" + letters[i] + "\u0301" for i in range(len(letters))]
+    texts += ["İstanbul I\u0307x ŉ ǰ J\u030c ß SS ẞ ſ K", "don't WE'LL it'S", "Éa ÉA éa", "日本 ひ かﾞ ㍿", "aª º µ"]
+    monkeypatch.setattr("plumbline.llm.packing.MEMO", 50)
+    for round_ in range(2):
+        for text in texts:
+            assert [np.frombuffer(b, "<u4").tolist() for b in own.encode([text.encode()])] == [oracle(text)], text
+
+
 def _check(rows, df, oracle, capacity=2048):
     got = best_fit_packing(df, PATH, capacity=capacity).collect()
     want = Counter()
