@@ -10,16 +10,19 @@ and only classes are compared.
 2. *Groups.* Similar documents go together: a group are the classes whose prefix ends with the same shingle
    and whose sizes lie within one factor of the threshold. A large group is cut into blocks of about
    BLOCK classes.
-3. *Matrix.* Per shingle the groups that have it in a member's prefix. Groups of neighbouring sizes that share
-   one are candidates; a shingle of one group is dropped, which most are.
-4. *Bound and open.* Shingles fall into PARTS token groups by hash, and a class keeps how many it has in
-   each. The sum of the smaller numbers bounds what two classes share; pairs of blocks in which no two members reach
+3. *Matrix.* Per shingle the groups that have it in a member's prefix, with its first position there and the members' smallest and
+   largest set. Two sets whose first common shingle is at places i and j share no more than the smaller of n - i and m - j, so two groups
+   of neighbouring sizes are candidates only if their places leave room for the threshold. A shingle of very many groups is
+   cut into a grid of cells, and groups meet cell by cell.
+4. *Cores.* In a group of several blocks a *core* is found first: its members are compared with the same few leaders, and what links
+   to the leaders' largest component in one piece need not be compared among itself any more, so copies of copies do not make all
+   pairs. Cores of candidate groups whose leaders link are one core. The other members get blocks of their own.
+5. *Bound and open.* Shingles fall into PARTS token groups by hash, and a class keeps how many it has in
+   each. The sum of the smaller numbers bounds what two classes share; pairs of blocks, not both of one core, in which no two members reach
    the threshold by this bound are dropped, and only classes of the others are fetched in whole. A bloom filter of
    fixed size spares most of the others the work. Then a member is compared only if the other block's
-   union of shingles holds enough of its own. In a large group a *core* is found first: blocks are compared with the same few leaders, and
-   what links to them in one piece need not be compared among itself any more, so copies of
-   copies do not make all pairs.
-5. *Components.* Each comparison returns a spanning forest of its links; components are joined by
+   union of shingles holds enough of its own.
+6. *Components.* Each comparison returns a spanning forest of its links; components are joined by
    large-star and small-star steps (Kiveris et al. 2014), each stored in the shared folder.
 
 Defined cases: null text is empty; a text of fewer words than a shingle has its whole sequence as
@@ -48,6 +51,7 @@ SLICE = 1 << 14
 BLOCK = 128  # classes that are compared at a time
 LEADERS = 64  # of a large group
 PARTS = 128  # token groups of the bound
+CUT = 1024  # groups of one shingle that meet in one task
 BLOOM_BITS = 23  # of the filter of classes to fetch
 MEMO = 500_000
 FULL = 65_535  # a number by token group stops here; two such numbers bound nothing
@@ -142,19 +146,23 @@ def _levels(lines: DataFrame) -> np.ndarray:
     return (2 * np.log2(1 + cells)).astype("uint8")
 
 
-def _second_pass(shared, k: int, num: int, den: int):
-    """Texts -> a row per class (copies in sight skipped), and rows (shingle, group) of the matrix."""
+def _second_pass(shared, k: int, num: int, den: int, cut: int):
+    """Texts -> a row per class (copies in sight skipped), and rows (shingle, cell, group, bound) of the matrix.
+
+    The groups of a shingle that more than `cut` documents may have, as the sketch tells, are dealt to parts by hash, and every two parts meet in
+    a cell of their own. cell = 2 * number + side: a part meets itself where no row is of side 1."""
 
     def task(batches) -> Iterator:
         import pyarrow as pa
 
         def flush():
             if matrix:
-                pairs = np.unique(np.concatenate(matrix), axis=0)
-                n = len(pairs)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=names)
+                cells = folded(np.concatenate(matrix))
+                bound = cells[:, 3] << 32 | cells[:, 4]
+                yield pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(c)) for c in (*cells.T[:3], bound)], *[pa.nulls(len(cells), t) for t in kinds[1:]]], names=names)
 
         levels, seen, matrix, held = shared.value, set(), [], 0
+        parts_at = np.array([max(1, math.ceil((2 ** ((level + 1) / 2) - 1) / cut)) for level in range(80)], "int64")
         factor = math.log(den / num)
         for batch in batches:
             rows = []
@@ -169,60 +177,99 @@ def _second_pass(shared, k: int, num: int, den: int):
                 rank = levels[(own >> np.uint64(64 - SKETCH_BITS)).astype("int64")]
                 length = n - -(-num * n // den) + 1
                 parts = np.bincount((own >> np.uint64(64 - SKETCH_BITS - 7)).astype("int64") % PARTS, minlength=PARTS)
-                prefix = own[np.argsort(rank, kind="stable")[:length]].view("int64")
+                order = np.argsort(rank, kind="stable")[:length]
+                prefix = own[order].view("int64")
                 group = (int(prefix[-1]) & ~255) | min(255, int(math.log(n) / factor + 1e-9))
-                matrix.append(np.column_stack([prefix, np.full(length, group, "int64")]))
+                cells = np.column_stack([prefix, np.zeros(length, "int64"), np.full(length, group, "int64"), n - np.arange(length), np.full(length, n, "int64")])
+                many = parts_at[rank[order]]
+                matrix.append(cells[many == 1])
+                for row, s in zip(cells[many > 1], many[many > 1].tolist()):
+                    mine, others = group_part(group, s), np.arange(s)
+                    copies = np.repeat(row[None], s, axis=0)
+                    copies[:, 1] = 2 * (np.minimum(mine, others) * s + np.maximum(mine, others)) + (mine > others)
+                    matrix.append(copies)
                 held += length
                 rows.append((group, name, digest, n, np.minimum(parts, FULL).astype("<u2").tobytes()))
             if rows:
-                kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64()), *[pa.array(c, t) for c, t in zip(zip(*rows), kinds)]], names=names)
+                group, *rest = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)]
+                none = pa.nulls(len(rows), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, group, none, *rest], names=names)
             if held > 1_000_000:
                 yield from flush()
                 matrix, held = [], 0
         yield from flush()
 
-    names = ["shingle", "group", "class", "row", "n", "parts"]
+    import pyarrow as pa
+
+    names = ["shingle", "cell", "group", "bound", "class", "row", "n", "parts"]
+    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary()]
     return task
 
 
-def _candidate_groups(batches) -> Iterator:
-    """Matrix rows in the order of shingle and group -> pairs of groups, of neighbouring sizes, that share a shingle."""
-    import pyarrow as pa
+def group_part(group: int, parts: int) -> int:
+    return (group * 0x9E3779B97F4A7C15 >> 17 & 0x7FFFFFFF) % parts
+
 
-    def pairs_of(groups: np.ndarray):
-        sizes = groups & 255
-        for i in range(len(groups) - 1):
-            near = groups[i + 1 :][np.abs(sizes[i + 1 :] - sizes[i]) <= 1]
+def folded(cells: np.ndarray) -> np.ndarray:
+    """Rows (shingle, cell, group, room, least) in the order of the first three, one for each: the most room that is left from a
+    member's place of the shingle, and the smallest set."""
+    cells = cells[np.lexsort((cells[:, 2], cells[:, 1], cells[:, 0]))]
+    firsts = np.flatnonzero(np.append(True, (np.diff(cells[:, :3], axis=0) != 0).any(axis=1)))
+    least = np.minimum.reduceat(cells[:, 4], firsts)
+    return np.column_stack([cells[firsts, :3], np.maximum.reduceat(cells[:, 3], firsts), least])
+
+
+def _candidate_groups(num: int, den: int):
+    """Matrix rows in the order of shingle and cell -> pairs of groups that may hold a match."""
+
+    def pairs_of(cells: np.ndarray):
+        """Of one shingle and cell, by sides."""
+        _, cell, group, room, least = cells.T
+        sizes = group & 255
+        behind = int(np.searchsorted(cell & 1, 1))  # where side 1 begins
+        for i in range(behind):
+            first = i + 1 if behind == len(cells) else behind
+            enough = (num + den) * np.minimum(room[first:], room[i]) >= num * (least[first:] + least[i])
+            near = group[first:][enough & (np.abs(sizes[first:] - sizes[i]) <= 1)]
             if len(near):
-                yield np.column_stack([np.full(len(near), groups[i]), near])
+                yield np.column_stack([np.minimum(near, group[i]), np.maximum(near, group[i])])
 
-    rest = np.zeros((0, 2), "int64")
-    made: list[np.ndarray] = []
+    def task(batches) -> Iterator:
+        import pyarrow as pa
 
-    def flush():
-        both = np.unique(np.concatenate(made), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+        rest = np.zeros((0, 5), "int64")
+        made: list[np.ndarray] = []
 
-    def through(rows: np.ndarray):
-        edges = np.flatnonzero(np.diff(rows[:, 0])) + 1
-        for run in np.split(rows, edges) if len(edges) < 2 else [rows[s:e] for s, e in zip(np.append(0, edges), np.append(edges, len(rows))) if e - s > 1]:
-            if len(run) > 1:
-                yield from pairs_of(np.unique(run[:, 1]))
+        def flush():
+            both = np.unique(np.concatenate(made), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+        def through(rows: np.ndarray):
+            if len(rows) < 2:
+                return
+            edges = np.flatnonzero((np.diff(rows[:, 0]) != 0) | (np.diff(rows[:, 1] >> 1) != 0)) + 1
+            starts, ends = np.append(0, edges), np.append(edges, len(rows))
+            several = ends - starts > 1
+            for start, end in zip(starts[several].tolist(), ends[several].tolist()):
+                yield from pairs_of(folded(rows[start:end]))
 
-    for batch in batches:
-        rows = np.concatenate([rest, np.column_stack([batch.column("shingle").to_numpy(), batch.column("group").to_numpy()])])
-        if not len(rows):
-            continue
-        cut = np.searchsorted(rows[:, 0], rows[-1, 0])  # the last shingle may go on in the next batch
-        made += through(rows[:cut])
-        rest = np.unique(rows[cut:], axis=0)
-        if sum(map(len, made)) > 500_000:
+        for batch in batches:
+            bound = batch.column("bound").to_numpy()
+            columns = [batch.column(n).to_numpy() for n in ("shingle", "cell", "group")]
+            rows = np.concatenate([rest, np.column_stack([*columns, bound >> 32, bound & 0xFFFFFFFF])])
+            if not len(rows):
+                continue
+            cut = np.searchsorted(rows[:, 0], rows[-1, 0])  # the last shingle may go on in the next batch
+            made += through(rows[:cut])
+            rest = rows[cut:]
+            if sum(map(len, made)) > 500_000:
+                yield flush()
+                made = []
+        made += through(rest)
+        if made:
             yield flush()
-            made = []
-    made += through(rest)
-    if made:
-        yield flush()
+
+    return task
 
 
 def _bounded(num: int, den: int):
@@ -436,6 +483,36 @@ def _leaders(sets: DataFrame, many: int = LEADERS) -> DataFrame:
     return sets.select("class", "tokens").join(chosen, "class").groupBy("group").agg(_members(F.lit(None).cast("binary")).alias("leaders"))
 
 
+def _fetched(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """class, tokens, group, blocks, block: the sets of the classes in `wanted`, from one scan of the texts."""
+    filter_ = rows.sparkSession.sparkContext.broadcast(_bloom(wanted))
+    place = F.pmod(F.xxhash64("row"), F.lit(1 << BLOOM_BITS)).alias("place")
+    known = rows.select("row", place, "text").mapInArrow(_tokens(filter_, k), "row binary, tokens binary")
+    classes = wanted.select("class", "group", "blocks", "block", "row")
+    return stored(known.join(classes, "row").drop("row").dropDuplicates(["class"]), "ngram-sets")  # rows repeated with key and text
+
+
+def _block_pairs(pairs: DataFrame, heads: DataFrame, light: DataFrame) -> DataFrame:
+    """Pairs of blocks, within a group (a block with itself, if it has two members) and of candidate groups, with their members. Two
+    blocks of one core do not meet, so of a group's pairs one side is a block outside its core."""
+    names = ["a_group", "a_block", "b_group", "b_block"]
+    a, b = (heads.select(*[F.col(c).alias(f"{side}_{c}") for c in heads.columns]) for side in "ab")
+    free_a, free_b = a.where("a_core is null"), b.where("b_core is null")
+    own = (F.col("a_block") == F.col("b_block")) & (F.col("a_size") > 1)
+    within = free_a.join(b, F.col("a_group") == F.col("b_group")).where(F.col("b_core").isNotNull() | (F.col("a_block") < F.col("b_block")) | own)
+    # a free block on one side at least, or two cores that are not one
+    one = pairs.join(free_a, F.col("a") == F.col("a_group")).join(b, F.col("b") == F.col("b_group"))
+    core_a = a.where("a_core is not null")
+    two = pairs.join(core_a, F.col("a") == F.col("a_group")).join(free_b, F.col("b") == F.col("b_group"))
+    cores = heads.where("core is not null").select("group", "core").distinct()
+    apart = pairs.join(cores.select(F.col("group").alias("a"), F.col("core").alias("x")), "a").join(cores.select(F.col("group").alias("b"), F.col("core").alias("y")), "b")
+    three = apart.where("x <> y").select("a", "b").join(core_a, F.col("a") == F.col("a_group")).join(b.where("b_core is not null"), F.col("b") == F.col("b_group"))
+    left, right = (light.select(F.col("group").alias(f"{s}_group"), F.col("block").alias(f"{s}_block"), F.col("members").alias(s)) for s in "ab")
+    met = [x.select(*names) for x in (within, one, two, three)]
+    all_ = met[0].unionByName(met[1]).unionByName(met[2]).unionByName(met[3])
+    return all_.join(left, names[:2]).join(right, names[2:]).select(*names, "a", "b")
+
+
 def ngram_classes(df: DataFrame, key: str, text: str, k: int, num: int, den: int, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(rows, labels). rows: key, row (its digest), n, class; labels: node, label of linked classes."""
     spark = df.sparkSession
@@ -445,54 +522,47 @@ def ngram_classes(df: DataFrame, key: str, text: str, k: int, num: int, den: int
     lines = stored(rows.mapInArrow(_first_pass(k), f"key {kind}, row binary, n long, class binary, slice int, salt long, cells binary"), "ngram-rows")
     documents = lines.where("slice is null").select("key", "row", "n", "class")
     shared = spark.sparkContext.broadcast(_levels(lines))
-    second = stored(rows.select("row", "text").mapInArrow(_second_pass(shared, k, num, den), "shingle long, group long, class binary, row binary, n long, parts binary"), "ngram-matrix")
+    second = stored(rows.select("row", "text").mapInArrow(_second_pass(shared, k, num, den, CUT), "shingle long, cell long, group long, bound long, class binary, row binary, n long, parts binary"), "ngram-matrix")
     firsts = [F.first(c).alias(c) for c in ("group", "n", "parts")]  # the same in all copies
     members = stored(second.where("shingle is null").groupBy("class").agg(*firsts, F.min("row").alias("row")), "ngram-members")
-    matrix = second.where("shingle is not null").select("shingle", "group").repartition(p, "shingle").sortWithinPartitions("shingle")
-    pairs = stored(matrix.mapInArrow(_candidate_groups, "a long, b long").distinct(), "ngram-pairs")
+    matrix = second.where("shingle is not null").select("shingle", "cell", "group", "bound")
+    matrix = matrix.repartition(p, "shingle", F.shiftright("cell", 1)).sortWithinPartitions("shingle", "cell")
+    pairs = stored(matrix.mapInArrow(_candidate_groups(num, den), "a long, b long").distinct(), "ngram-pairs")
     sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
     wanted = pairs.select(F.col("a").alias("group")).unionByName(pairs.select(F.col("b").alias("group"))).unionByName(sizes.where("size > 1").select("group")).distinct()
     groups = sizes.join(wanted, "group").select("group", F.ceil(F.col("size") / block).alias("blocks"))
     placed = members.join(groups, "group").withColumn("block", F.pmod(F.xxhash64("class"), "blocks"))
     asked = stored(placed.select("class", "group", "blocks", "block", "row", "n", "parts"), "ngram-asked")
-    # pairs of blocks: within a group (a block with itself, if it has two members) and across groups that share a shingle
-    light = stored(asked.groupBy("group", "block").agg(F.collect_list(F.struct("n", "parts")).alias("members")), "ngram-light")
-    heads = light.select("group", "block", F.size("members").alias("size"))
-    a, b = (heads.select(*[F.col(c).alias(f"{side}_{c}") for c in heads.columns]) for side in "ab")
-    own = (F.col("a_block") == F.col("b_block")) & (F.col("a_size") > 1)
-    within = a.join(b, F.col("a_group") == F.col("b_group")).where((F.col("a_block") < F.col("b_block")) | own)
-    across = pairs.join(a, F.col("a") == F.col("a_group")).join(b, F.col("b") == F.col("b_group"))
-    names = ["a_group", "a_block", "b_group", "b_block"]
-    left, right = (light.select(F.col("group").alias(f"{s}_group"), F.col("block").alias(f"{s}_block"), F.col("members").alias(s)) for s in "ab")
-    to_bound = within.select(*names).unionByName(across.select(*names)).join(left, names[:2]).join(right, names[2:]).select(*names, "a", "b")
-    may = stored(to_bound.mapInArrow(_bounded(num, den), "a_group long, a_block long, b_group long, b_block long"), "ngram-may")
-    # the classes of these blocks in whole
-    opened = may.select(F.col("a_group").alias("group"), F.col("a_block").alias("block")).unionByName(may.select(F.col("b_group").alias("group"), F.col("b_block").alias("block"))).distinct()
-    fetch = stored(asked.join(opened, ["group", "block"]).select("class", "group", "blocks", "block", "row"), "ngram-fetch")
-    filter_ = spark.sparkContext.broadcast(_bloom(fetch))
-    known = rows.select("row", F.pmod(F.xxhash64("row"), F.lit(1 << BLOOM_BITS)).alias("place"), "text").mapInArrow(_tokens(filter_, k), "row binary, tokens binary")
-    sets = stored(known.join(fetch, "row").drop("row").dropDuplicates(["class"]), "ngram-sets")  # rows repeated with key and text
     # the core of groups of several blocks, by leaders that are the same for all blocks
-    schema = "u binary, v binary"
-    leaders = stored(_leaders(sets), "ngram-leaders")
-    large = sets.where("blocks > 1").groupBy("group", "block").agg(_members(F.lit(None).cast("binary")).alias("members")).join(leaders, "group")
+    schema, none = "u binary, v binary", F.lit(None).cast("binary")
+    heavy = _fetched(rows, asked.where("blocks > 1"), k)
+    leaders = stored(_leaders(heavy), "ngram-leaders")
+    large = heavy.groupBy("group", "block").agg(_members(none).alias("members")).join(leaders, "group")
     hearts = stored(large.select("leaders", "members").mapInArrow(_links(_core(num, den), "leaders", "members"), schema), "ngram-core")
     left, right = (leaders.select(F.col("group").alias(side), F.col("leaders").alias(f"{side}_leaders")) for side in "ab")
-    met = may.select(F.col("a_group").alias("a"), F.col("b_group").alias("b")).where("a <> b").distinct()
-    two = met.join(left, "a").join(right, "b").select("a_leaders", "b_leaders")
+    two = pairs.join(left, "a").join(right, "b").select("a_leaders", "b_leaders")
     bridges = stored(two.mapInArrow(_links(_bridge(num, den), "a_leaders", "b_leaders"), schema), "ngram-bridges")
     named = components(bridges).select(F.col("node").alias("v"), "label")
     core = hearts.join(named, "v", "left").groupBy(F.col("u").alias("class")).agg(F.min(F.coalesce("label", "v")).alias("core"))
-    marked = sets.join(core, "class", "left").select("group", "block", "class", "tokens", "core")
-    one_core = F.when((F.count("core") == F.count(F.lit(1))) & (F.min("core") == F.max("core")), F.min("core"))
-    packed = stored(marked.groupBy("group", "block").agg(_members(F.col("core")).alias("members"), one_core.alias("all_core")), "ngram-blocks")
-    # two blocks wholly in one core need not meet
-    heads = packed.select("group", "block", "all_core")
-    a, b = (heads.select(*[F.col(c).alias(f"{side}_{c}") for c in heads.columns]) for side in "ab")
-    to_meet = F.col("a_all_core").isNull() | F.col("b_all_core").isNull() | (F.col("a_all_core") != F.col("b_all_core"))
-    to_open = may.join(a, names[:2]).join(b, names[2:]).where(to_meet).select(*names)
+    # members outside the core of such a group get blocks of their own, so a block is wholly in a core or has none
+    marked = stored(asked.join(core, "class", "left"), "ngram-marked")
+    outside = marked.where("blocks > 1 and core is null").groupBy("group").agg(F.ceil(F.count(F.lit(1)) / block).alias("others"))
+    own_block = F.when(F.col("core").isNull() & F.col("others").isNotNull(), F.col("blocks") + F.pmod(F.xxhash64("class"), "others")).otherwise(F.col("block"))
+    marked = stored(marked.join(outside, "group", "left").withColumn("block", own_block).drop("others"), "ngram-marked")
+    light = stored(marked.groupBy("group", "block").agg(F.collect_list(F.struct("n", "parts")).alias("members"), F.min("core").alias("core")), "ngram-light")
+    heads = light.select("group", "block", F.size("members").alias("size"), "core")
+    may = stored(_block_pairs(pairs, heads, light).mapInArrow(_bounded(num, den), "a_group long, a_block long, b_group long, b_block long"), "ngram-may")
+    # the classes of these blocks in whole
+    opened = may.select(F.col("a_group").alias("group"), F.col("a_block").alias("block")).unionByName(may.select(F.col("b_group").alias("group"), F.col("b_block").alias("block"))).distinct()
+    fetch = stored(marked.join(opened, ["group", "block"]), "ngram-fetch")
+    columns = ["class", "tokens", "group", "block"]
+    ready = heavy.select("class", "tokens").join(fetch.where("blocks > 1").select("class", "group", "block"), "class").select(*columns)
+    sets = _fetched(rows, fetch.where("blocks = 1"), k).select(*columns).unionByName(ready)
+    in_core = marked.where("core is not null").select("class", "core")
+    packed = sets.join(in_core, "class", "left").groupBy("group", "block").agg(_members(F.col("core")).alias("members"))
+    packed = stored(packed, "ngram-blocks")
     left, right = (packed.select(F.col("group").alias(f"{s}_group"), F.col("block").alias(f"{s}_block"), F.col("members").alias(s)) for s in "ab")
-    opened = to_open.join(left, ["a_group", "a_block"]).join(right, ["b_group", "b_block"]).select("a", "b")
+    opened = may.join(left, ["a_group", "a_block"]).join(right, ["b_group", "b_block"]).select("a", "b")
     edges = opened.mapInArrow(_links(_compare(num, den), "a", "b"), schema).unionByName(hearts).unionByName(bridges)
     return documents, components(edges)
 

@@ -55,6 +55,18 @@ def test_against_all_pairs(spark, texts, k, num):
         assert got == _plain(rows, k, num)
 
 
+def test_hot_shingles_in_a_grid(spark, monkeypatch):
+    """A passage that many unlike texts share, and near copies of sizes around the threshold: cells of two groups."""
+    monkeypatch.setattr("plumbline.llm.ngram_join.CUT", 2)
+    rng = random.Random(3)
+    shared = " ".join(f"p{i}" for i in range(30))
+    texts = [f"{shared} " + " ".join(f"u{rng.randint(0, 10**6)}" for _ in range(rng.randint(0, 12))) for _ in range(120)]
+    texts += list(_near_copies(80, 40, 8, 5)) + [shared] * 3
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, ngram_components(df, words=3, num=80, block=5).collect()), key=repr) == _plain(rows, 3, 80)
+
+
 def test_odd_rows(odd, empty):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
     assert sorted(map(tuple, ngram_components(odd).collect()), key=repr) == _plain(rows)
