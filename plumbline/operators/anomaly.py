@@ -3,6 +3,7 @@ classic decomposition, generalised ESD; and the report forms of their results.""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 from operator import and_
@@ -21,7 +22,7 @@ from ..functions.times import FREQUENCIES, iso_text
 from ..session import ensure_checkpoint_dir, shuffle_partitions
 from .quantile import exact_quantiles
 from .series import MIN_POINTS
-from .skew import split_join
+from .skew import SKETCH_K, renamed, same, split_join
 
 LIMIT = 3.0
 FENCE = 1.5
@@ -118,25 +119,75 @@ def classic(points: DataFrame, freq: str = "D", by: Sequence[str] = (), limit: f
     return _flag_residuals(rows, by, limit)
 
 
-def esd_steps(df: DataFrame, value: str, by: Sequence[str] = (), alpha: float = 0.05) -> DataFrame:
-    """Every step of the generalised ESD test: by..., i, side (-1 low, 1 high), place (from that
-    end, from 1), value, statistic, critical, for up to n // 10 removals of each series.
+def _sure_limit(n: Column, alpha: float) -> Column:
+    """A number that no critical value of the ESD test on n values is below: that of the last removal, with a normal quantile a bit
+    too small in the place of Student's."""
+    left = n - F.floor(n / 10)
+    twice = 2 * F.log(2 * (left + 1) / F.lit(alpha))
+    z = F.sqrt(F.greatest(twice - F.log(twice) - F.log(F.lit(2 * math.pi)), F.lit(0.0))) - 0.05
+    return left * z / F.sqrt((left - 1 + z * z) * (left + 1))
 
-    A removal takes an end of the sorted values, so count, mean, variance and the values below
-    the first and above the last decile decide the test exactly. They are folded to value and count
-    by executors; one task per series walks along both ends.
+
+def _esd_marks(rows: DataFrame, names: Sequence[str], alpha: float, rounds: int) -> DataFrame:
+    """Per series _n, _mean, _var, and _cut0 and _cut1: only values outside can be removed; after a round of narrowing, can be
+    removed before the last significant removal.
+
+    Removals never reach the values between a sketch's 12 % and 88 % quantiles (its error is a tenth of the margin). While those between the
+    cuts all stay, a deviation is never below s0, that of them alone over all n, and a mean never outside (m0, m1), those of all values
+    below and above one cut. A significant removal is D = limit * s0 from its mean at least; and what goes before it is as far out, but for
+    a shift of the mean: all lie outside of m1 - D + (m1 - m0) and m0 + D - (m1 - m0). So these are cuts too, and the next round starts from them.
+    """
+    sketch = rows.groupBy(*names).agg(F.kll_sketch_agg_double("_v", SKETCH_K).alias("_s"))
+    cut = [F.kll_sketch_get_quantile_double("_s", F.lit(q)).alias(f"_cut{i}") for i, q in enumerate((0.12, 0.88))]
+    marks = _esd_figures(rows, names, sketch.select(*names, *cut))
+    for _ in range(rounds):
+        far = _sure_limit(F.col("_n"), alpha) * F.sqrt(F.col("_squares") / (F.col("_n") - 1))
+        shift = F.col("_m1") - F.col("_m0")
+        ease = 1e-9 * (F.abs("_m0") + F.abs("_m1") + far)  # rounding must not decide
+        low, high = nan_to_null(F.col("_m1") - far + shift + ease), nan_to_null(F.col("_m0") + far - shift - ease)
+        # without a figure, or where the bounds cross, greatest and least fall back on the cuts before
+        narrower = [F.when(low < high, F.least("_cut0", low)).otherwise(F.col("_cut0")), F.when(low < high, F.greatest("_cut1", high)).otherwise(F.col("_cut1"))]
+        marks = _esd_figures(rows, names, marks.select(*names, *[F.coalesce(c, F.col(f"_cut{i}")).alias(f"_cut{i}") for i, c in enumerate(narrower)]))
+    return marks.select(*names, "_n", "_mean", "_var", "_cut0", "_cut1")
+
+
+def _with_cuts(rows: DataFrame, names: Sequence[str], cuts: DataFrame) -> DataFrame:
+    if not names:
+        pair = cuts.select(F.struct("_cut0", "_cut1")).scalar()
+        return rows.withColumns({"_cut0": pair["_cut0"], "_cut1": pair["_cut1"]})
+    return rows.join(cuts.select(*renamed(names), "_cut0", "_cut1"), same(names)).drop(*[f"_k{i}" for i in range(len(names))])
+
+
+def _esd_figures(rows: DataFrame, names: Sequence[str], cuts: DataFrame) -> DataFrame:
+    """The cuts with n, mean and variance, the sum of squares between them, and the means below and above one of them."""
+    middle = F.when((F.col("_v") > F.col("_cut0")) & (F.col("_v") < F.col("_cut1")), F.col("_v"))
+    below, above = F.when(F.col("_v") < F.col("_cut1"), F.col("_v")), F.when(F.col("_v") > F.col("_cut0"), F.col("_v"))
+    return (
+        _with_cuts(rows, names, cuts)
+        .groupBy(*names)
+        .agg(
+            F.count("_v").alias("_n"), F.avg("_v").alias("_mean"), F.var_samp("_v").alias("_var"),
+            F.first("_cut0").alias("_cut0"), F.first("_cut1").alias("_cut1"),
+            (F.var_pop(middle) * F.count(middle)).alias("_squares"), F.avg(below).alias("_m0"), F.avg(above).alias("_m1"),
+        )
+    )
+
+
+def esd_steps(df: DataFrame, value: str, by: Sequence[str] = (), alpha: float = 0.05, pruned: bool = False) -> DataFrame:
+    """Steps of the generalised ESD test: by..., i, side (-1 low, 1 high), place (from that
+    end, from 1), value, statistic, critical, for up to n // 10 removals of each series; if `pruned`, only as far as a
+    removal can still be significant.
+
+    A removal takes an end of the sorted values, so count, mean, variance and the values outside of two marks decide the test exactly. They
+    are folded to value and count by executors; one task per series walks along both ends. A series is thus as much work there as it has
+    different values beyond the marks: with `pruned` those that are far out, else a quarter of all.
     """
     names = [f"_g{i}" for i in range(len(by))]  # plain names for the Python step
     rows = df.select(*[named(c).alias(g) for c, g in zip(by, names)], number_of(df, value).alias("_v")).where("_v is not null")
-    # k <= n / 10 values from an end lie within the decile
-    marks = exact_quantiles(rows, "_v", {"_low": 0.1, "_high": 0.9}, names)
-    stats = rows.groupBy(*names).agg(F.count("_v").alias("_n"), F.avg("_v").alias("_mean"), F.var_samp("_v").alias("_var"))
-    if names:
-        placed = split_join(rows, marks, names, "n")
-    else:
-        pair = marks.select(F.struct("_low", "_high")).scalar()
-        placed = rows.withColumns({"_low": pair["_low"], "_high": pair["_high"]})
-    ends = placed.where("_v <= _low or _v >= _high").groupBy(*names, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    marks = _esd_marks(rows, names, alpha, 2 if pruned else 0)
+    outside = F.when((F.col("_v") <= F.col("_cut0")) | (F.col("_v") >= F.col("_cut1")), F.col("_v"))
+    # of what lies between, only the outermost two values
+    ends = _with_cuts(rows, names, marks).groupBy(*names, outside.alias("_o")).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
     out = T.StructType([rows.schema[c] for c in names])
     for name, kind in (("i", "long"), ("side", "integer"), ("place", "long"), ("value", "double"), ("statistic", "double"), ("critical", "double")):
         out = out.add(name, kind)
@@ -147,11 +198,16 @@ def esd_steps(df: DataFrame, value: str, by: Sequence[str] = (), alpha: float =
         k = n // 10
         if n < MIN_POINTS or k < 1 or not var > 0 or not np.isfinite(var):
             return pd.DataFrame(columns=out.names, dtype=object)
-        end = frame[frame["_v"].notna()].sort_values("_v")
-        values, left = end["_v"].to_numpy(), end["_c"].to_numpy().astype("int64")
+        end = frame[frame["_o"].notna()].sort_values("_o")
+        between = frame[frame["_n"].isna() & frame["_o"].isna()]
+        values, left = end["_o"].to_numpy(), end["_c"].to_numpy().astype("int64")
+        inner = between[["_least", "_most"]].to_numpy().ravel() if len(between) else np.array([])  # never removed
+        split = int(np.searchsorted(values, inner[0])) if len(inner) else len(values)
+        values = np.concatenate([values[:split], inner, values[split:]])
+        left = np.concatenate([left[:split], np.zeros(len(inner), "int64"), left[split:]])
         x, low, high = values - mean0, 0, len(values) - 1
         total, squares, places, steps = 0.0, var * (n - 1), {-1: 0, 1: 0}, []
-        for i, bound in enumerate(esd_limits(n, k, alpha)):
+        for i in range(k):
             m = n - i
             mean = total / m
             spread = (squares - total * total / m) / (m - 1)
@@ -159,16 +215,21 @@ def esd_steps(df: DataFrame, value: str, by: Sequence[str] = (), alpha: float =
                 break
             side = -1 if mean - x[low] > x[high] - mean else 1
             at = low if side < 0 else high
+            if not left[at]:
+                if not pruned:
+                    raise ValueError(f"the sketch of a series of {n} values is too far off")
+                break
             places[side] += 1
-            steps.append((i + 1, side, places[side], values[at], abs(x[at] - mean) / np.sqrt(spread), bound))
+            steps.append((i + 1, side, places[side], values[at], abs(x[at] - mean) / np.sqrt(spread)))
             left[at] -= 1
             if not left[at]:
                 low, high = (low + 1, high) if side < 0 else (low, high - 1)
             total, squares = total - x[at], squares - x[at] ** 2
-        return pd.DataFrame(steps, columns=out.names[len(names) :]).assign(**{g: info[g] for g in names})[out.names]
+        bounds = esd_limits(n, len(steps), alpha) if steps else ()
+        return pd.DataFrame([(*s, b) for s, b in zip(steps, bounds)], columns=out.names[len(names) :]).assign(**{g: info[g] for g in names})[out.names]
 
-    heads = stats.select(*names, F.lit(None).cast("double").alias("_v"), F.lit(None).cast("bigint").alias("_c"), "_n", "_mean", "_var")
-    tails = ends.select(*names, "_v", "_c", *[F.lit(None).cast(heads.schema[c].dataType).alias(c) for c in ("_n", "_mean", "_var")])
+    heads = marks.select(*names, *[F.lit(None).cast(ends.schema[c].dataType).alias(c) for c in ("_o", "_c", "_least", "_most")], "_n", "_mean", "_var")
+    tails = ends.select(*names, "_o", "_c", "_least", "_most", *[F.lit(None).cast(heads.schema[c].dataType).alias(c) for c in ("_n", "_mean", "_var")])
     parts = heads.unionByName(tails)
     if names:  # few bytes per series, but work: keep the series in many tasks
         parts = parts.repartition(shuffle_partitions(df.sparkSession), *names)
@@ -185,7 +246,7 @@ def esd(df: DataFrame, value: str, key: str, by: Sequence[str] = (), alpha: floa
     names = [f"_g{i}" for i in range(len(by))]
     rows = df.select(*[named(c).alias(g) for c, g in zip(by, names)], named(key).alias("_key"), number_of(df, value).alias("_v")).where("_v is not null")
     plain = rows.select(*names, "_v")
-    steps = esd_steps(plain, "_v", names, alpha)
+    steps = esd_steps(plain, "_v", names, alpha, pruned=True)
     last = F.max(F.when(F.col("statistic") > F.col("critical"), F.col("i"))).over(W.partitionBy(*names))
     ensure_checkpoint_dir(df.sparkSession)
     outliers = steps.withColumn("_last", last).where(F.col("i") <= F.col("_last")).select(*names, "side", "place", F.col("value").alias("_o"), "statistic").checkpoint()

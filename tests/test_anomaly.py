@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.loess import loess, mstl, stl
 from plumbline.functions.student import esd_limits, t_upper
+from plumbline.operators.anomaly import _sure_limit, esd_steps
 from plumbline.operators import (
     analysis_context,
     analyze,
@@ -310,3 +311,42 @@ def test_robust_score():
     assert (robust_score(np.array([1.0, np.inf, 2.0])) == 0).all()
     hidden = np.append(np.random.default_rng(0).normal(size=100), [1e9] * 30 + [50.0])
     assert (np.abs(robust_score(hidden)[100:]) > 3).all()
+
+
+def test_no_critical_value_is_below_the_sure_limit(spark):
+    for alpha in (0.05, 0.2, 0.001):
+        sizes = [10, 11, 19, 25, 40, 99, 250, 1000, 5000]
+        sure = {r["n"]: r["x"] for r in spark.createDataFrame([(n,) for n in sizes], "n long").select("n", _sure_limit(F.col("n"), alpha).alias("x")).collect()}
+        for n in sizes:
+            least = min(esd_limits(n, n // 10, alpha))
+            assert sure[n] <= least and (n < 250 or sure[n] > 0.9 * least)
+
+
+@pytest.mark.parametrize("shape", ["normal", "heavy", "uniform", "masked", "ties", "skewed"])
+def test_pruned_steps_hold_every_outlier(spark, shape):
+    """Pruned or not, the removals up to the last significant one are the same."""
+    rng = np.random.default_rng(5)
+    values = {
+        "normal": rng.normal(size=4000),
+        "heavy": rng.standard_t(2, size=4000),
+        "uniform": rng.uniform(size=4000),
+        "masked": np.concatenate([rng.normal(size=3900), rng.normal(60, 1, 60), [1e6] * 3, rng.normal(-30, 1, 37)]),
+        "ties": np.round(rng.normal(size=4000)) * 1.0,
+        "skewed": rng.exponential(size=4000) ** 2,
+    }[shape]
+    df = spark.createDataFrame([(float(v),) for v in values], "value double")
+
+    def outliers(pruned):
+        steps = sorted(tuple(r) for r in esd_steps(df, "value", pruned=pruned).collect())
+        last = max((s[0] for s in steps if s[4] > s[5]), default=0)
+        return [s[:4] for s in steps if s[0] <= last], len(steps)
+
+    (want, every), (got, some) = outliers(False), outliers(True)
+    assert got == want and every == 400 and some <= every
+    assert shape not in ("normal", "uniform") or some < 40
+
+
+def test_a_long_skewed_series_leaves_its_task_few_values(spark):
+    df = spark.range(3_000_000).selectExpr("cast(id % 9 = 0 as int) as g", "randn(3) + case when id % 100000 = 0 then 50 else 0 end as value")
+    steps = esd_steps(df, "value", ["g"], pruned=True).groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("statistic") > F.col("critical")).alias("out")).collect()
+    assert sum(r["out"] for r in steps) >= 30 and all(r["n"] < 2000 for r in steps)
