@@ -12,6 +12,7 @@ from .anomaly import (
 from .asof import asof_join
 from .clean import clean, clean_counts, clean_observed, drop_duplicate_rows, string_columns
 from .decompose import analyze, auto_anomalies, mstl_anomalies, stl_anomalies
+from .distinct import exact_distinct, repeated_values
 from .infer import date_fractions, infer_date_col, infer_value_col
 from .profile import (
     column_profile,
@@ -21,6 +22,7 @@ from .profile import (
     numeric_columns,
     profile_dataset,
     random_rows,
+    sample_by_key,
     summarize,
     table_shape,
 )

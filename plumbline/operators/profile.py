@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.names import named
+from ..functions.names import all_named, named
 from ..functions.text import is_numeric_type, nan_to_null, number_of, present
 
 COLUMNS_PER_PASS = 40  # keeps each aggregate inside the code generator's size limits
@@ -95,6 +96,23 @@ def random_rows(df: DataFrame, n: int = RANDOM_ROWS, seed: int = 0) -> DataFrame
     return df.orderBy(F.rand(seed)).limit(n)
 
 
+def sample_by_key(df: DataFrame, key: str, n: int, by: Sequence[str] = (), weight: str | None = None, seed: str = "0") -> DataFrame:
+    """n rows of the table, or of each group of `by`, with `chance`: those of the smallest keyed hashes.
+
+    Which rows is decided by `seed` and the unique key alone, so no retry, partitioning or engine changes it, and samples of
+    parts of a table merge by taking the smallest again. With `weight` a row's chance to come first is in proportion to
+    it (Efraimidis and Spirakis 2006); rows without a positive weight are never taken. Each task passes on n rows a group.
+    """
+    digits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), named(key).cast("string"))), 1, 13), 16, 10)
+    even = (digits.cast("bigint") + 1) / F.lit(float(2**52))  # in (0, 1]
+    chance = even if weight is None else F.when(named(weight) > 0, -F.log(even) / named(weight))
+    rows = df.withColumn("chance", chance).where("chance is not null")
+    if not by:
+        return rows.orderBy("chance", named(key)).limit(n)
+    place = F.row_number().over(Window.partitionBy(*all_named(by)).orderBy("chance", named(key)))
+    return rows.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
+
+
 def summarize(df: DataFrame) -> DataFrame:
     """One row per column: min and max as text, approximate distinct count and quartiles,
     mean, deviation, count and null percentage."""

@@ -1,4 +1,4 @@
-"""Range join: points with the intervals that hold them, by equal bins instead of all pairs."""
+"""Range join: points with the intervals that hold them, by a hierarchy of bins instead of all pairs."""
 
 from __future__ import annotations
 
@@ -24,19 +24,37 @@ def range_join(
 ) -> DataFrame:
     """Rows with low <= point <= high and equal `by`; point, low and high are numbers.
 
-    Intervals are copied to each bin of `width` they touch (choose it near their length) and
-    joined on (by, bin), so a key that owns many rows is spread over its bins. A bin that is hot, by
+    Bins of `width` are the leaves of a binary hierarchy; a node of level l is 2**l of them. An interval is copied to the nodes that
+    cover its bins, at most two a level, however long it is (an end may be infinite); a point goes to its own node of each level that
+    some interval uses, at most 62. They are joined on (by, level, node), so a key that owns many rows is spread over its
+    nodes, and a pair meets once. Choose `width` near the length of the short intervals. A node that is hot, by
     its points or its intervals, is spread over a grid of about p cells; each side is copied
     along one edge of it, about sqrt(p) times.
     """
+    far = 1 << 61
 
     def bin_of(c: Column) -> Column:
-        return F.floor(c / F.lit(width)).cast("bigint")
+        return F.floor(F.least(F.greatest(c / F.lit(width), F.lit(-float(far))), F.lit(float(far)))).cast("bigint")
 
-    keys = [*by, "_bin"]
-    left = points.select("*", point.alias("_p"), bin_of(point).alias("_bin")).where("_bin is not null")
-    right = intervals.select("*", low.alias("_lo"), high.alias("_hi")).where("_lo <= _hi")
-    right = right.withColumn("_bin", F.explode(F.sequence(bin_of(F.col("_lo")), bin_of(F.col("_hi")))))
+    def covering(low_bin: Column, end_bin: Column) -> Column:
+        """Nodes that cover the bins from low_bin up to, not with, end_bin: at each level the odd ends."""
+
+        def of_level(level: Column) -> Column:
+            first = -F.call_function("shiftright", -low_bin, level)  # the first node that begins in the interval
+            end = F.call_function("shiftright", end_bin, level)
+            odd = [F.when((first < end) & (F.pmod(first, F.lit(2)) == 1), first), F.when((first < end) & (F.pmod(end, F.lit(2)) == 1), end - 1)]
+            return F.transform(F.array_compact(F.array(*odd)), lambda node: F.struct(level.alias("_level"), node.alias("_bin")))
+
+        levels = F.sequence(F.lit(0), F.floor(F.log2(end_bin - low_bin)).cast("int"))
+        return F.flatten(F.transform(levels, of_level))
+
+    keys = [*by, "_level", "_bin"]
+    right = intervals.select("*", low.cast("double").alias("_lo"), high.cast("double").alias("_hi")).where("_lo <= _hi")
+    right = right.select("*", F.inline(covering(bin_of(F.col("_lo")), bin_of(F.col("_hi")) + 1)))
+    levels = [r[0] for r in right.select("_level").distinct().collect()]  # 62 at most
+    nodes = [F.struct(F.lit(n).alias("_level"), F.shiftright("_leaf", n).alias("_bin")) for n in sorted(levels)] or [F.struct(F.lit(0).alias("_level"), F.col("_leaf").alias("_bin"))]
+    left = points.select("*", point.cast("double").alias("_p"), bin_of(point).alias("_leaf")).where("_leaf is not null")
+    left = left.select("*", F.inline(F.array(*nodes))).drop("_leaf")
     hot = hot_keys(left.select(*all_named(keys)).unionByName(right.select(*all_named(keys))), keys)
     if hot is not None:
         # a hot bin is a grid: a point has a row of its own and goes to all columns, an interval the reverse
@@ -51,4 +69,4 @@ def range_join(
 
         left, right = spread(left, points.columns, "_row", "_column"), spread(right, intervals.columns, "_column", "_row")
         keys += ["_row", "_column"]
-    return left.join(right, keys).where("_p between _lo and _hi").drop("_p", "_lo", "_hi", "_bin", "_row", "_column")
+    return left.join(right, keys).where("_p between _lo and _hi").drop("_p", "_lo", "_hi", "_level", "_bin", "_row", "_column")

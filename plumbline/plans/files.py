@@ -15,6 +15,7 @@ from ..operators.clean import clean
 from ..session import scratch_dir
 from ..sources import (
     load_table,
+    read_table,
     open_dataset,
     read_csv,
     read_workbooks,
@@ -188,3 +189,39 @@ def sink_table_append(spark, sf_dir):
     loaded = spark.read.parquet(path)  # the table's files; the catalog entry itself is not kept
     spark.sql(f"drop table {name}")
     return loaded.groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("loaded"))
+
+
+@plan("scan_by_ending", "select 'csv' as ending, s_suppkey, s_name, s_acctbal from supplier union all select 'parquet', s_suppkey, s_name, s_acctbal from supplier union all select 'xlsx', s_suppkey, s_name, s_acctbal from supplier")
+def scan_by_ending(spark, sf_dir):
+    """The format is told by a file's ending; the same rows come back from each."""
+    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal")
+    base = scratch_dir(spark, "scan_by_ending")
+    write_csv(supplier, f"{base}/supplier.csv")
+    write_parquet(supplier, f"{base}/supplier.parquet")
+    books = _workbooks(supplier, 10_000)
+    parts = [read_table(spark, f"{base}/supplier.{e}").withColumn("ending", F.lit(e)) for e in ("csv", "parquet")]
+    parts.append(read_workbooks(books).withColumn("ending", F.lit("xlsx")))
+    rows = [p.select("ending", "s_suppkey", "s_name", "s_acctbal") for p in parts]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@plan(
+    "scan_csv_rejected",
+    "select 'as it is' as upload, 'read' as outcome, count(*) as rows from nation union all select 'with a longer row', 'rejected', null union all select 'without its first column', 'rejected', null",
+)
+def scan_csv_rejected(spark, sf_dir):
+    """What becomes of a good upload, one with a row too long, and one of files that differ in their columns."""
+    nation, found = table(spark, sf_dir, "nation"), []
+    long_row = nation.withColumn("n_name", F.when(F.col("n_nationkey") == 7, F.lit('x"1,2"y')).otherwise(F.col("n_name")))
+    for upload, parts in (("as it is", [nation]), ("with a longer row", [long_row]), ("without its first column", [nation, nation.drop("n_nationkey")])):
+        path = scratch_dir(spark, "scan_csv_rejected")
+        for i, part in enumerate(parts):
+            names = part.columns
+            lines = part.select(F.concat_ws(",", *names).alias("value")).coalesce(1)
+            head = spark.createDataFrame([(",".join(names),)], "value string")
+            head.unionByName(lines).coalesce(1).write.text(f"{path}/{i}")
+        try:
+            found.append((upload, "read", read_csv(spark, [f"{path}/{i}" for i in range(len(parts))]).count()))
+        except Exception:  # of Spark or of the reader: the upload is refused as a whole
+            found.append((upload, "rejected", None))
+    return spark.createDataFrame(found, "upload string, outcome string, rows long")

@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from ..operators.anomaly import analysis_context, zscore
 from ..operators.clean import clean, clean_counts
+from ..operators.distinct import repeated_values
 from ..operators.profile import column_profile, display_profile, first_rows, random_rows, summarize, table_shape
 from ..operators.validate import (
     check_counts,
     check_samples,
     compile_rules,
+    list_rules_report,
     unique_examples,
     validation_report,
     violating_rows,
@@ -366,3 +368,23 @@ def rule_regex_double(spark, sf_dir):
     """Large doubles are matched as Python writes them, in plain digits."""
     rows = table(spark, sf_dir, "part").select((F.col("p_retailprice") * 100000).alias("v"))
     return check_counts(rows, compile_rules(rows, {"columns": {"v": {"regex": r"^\d{8}\.\d+$"}}})).select("bad_rows")
+
+
+@plan("rule_unique_text", "select doc_id, count(*) over (partition by text) as n from documents where text is not null qualify n > 1")
+def rule_unique_text(spark, sf_dir):
+    """Documents whose whole text occurs more than once; texts that do not are never shuffled."""
+    return repeated_values(table(spark, sf_dir, "documents"), "text", "doc_id")
+
+
+@plan(
+    "list_rules_issues",
+    "select 'missing_column' as type, 'no_such_column' as \"column\", null::varchar as example union all "
+    "select 'duplicate_values', 'c_mktsegment', c_mktsegment from (select c_mktsegment from (select c_custkey, c_mktsegment, "
+    "row_number() over (partition by c_mktsegment order by c_custkey) as i from customer) where i > 1 order by c_custkey limit 20)",
+)
+def list_rules_issues(spark, sf_dir):
+    """Rules given as lists: one row per missing column and per example of a repeated value; a unique key has none."""
+    rules = {"required": ["c_custkey", "no_such_column"], "unique": ["c_custkey", "c_mktsegment"]}
+    report = list_rules_report(table(spark, sf_dir, "customer"), rules, "c_custkey")
+    rows = [(i["type"], i["column"], e) for i in report["issues"] for e in i.get("examples", [None])]
+    return spark.createDataFrame(rows if not report["ok"] else [], "type string, column string, example string")

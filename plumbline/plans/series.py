@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import to_number
-from ..functions.times import coerce_timestamp
+from ..functions.times import coerce_timestamp, strict_timestamp
 from ..operators.anomaly import (
     anomaly_rows,
     classic,
@@ -18,11 +18,11 @@ from ..operators.anomaly import (
     zscore,
 )
 from ..operators.decompose import analyze, auto_anomalies, mstl_anomalies, stl_anomalies
-from ..operators.infer import date_fractions
+from ..operators.infer import date_fractions, infer_value_col
 from ..operators.quantile import exact_quantiles
 from ..operators.profile import column_profile
 from ..operators.series import long_enough, ordered, resample, series_points
-from ..operators.sqlrun import run_sql
+from ..operators.sqlrun import QueryError, run_sql
 from .derived import WITH_DAILY, daily
 from .quality import ZSCORE_SQL
 from .registry import plan, table
@@ -373,10 +373,55 @@ def _too_short(spark, sf_dir):
     return daily(spark, sf_dir).withColumn("month", F.date_format("ts", "yyyy-MM")).withColumn("third", third)
 
 
-@plan("anomaly_summary_errors", "select 0::bigint as count, 'stl' as method_used")
+@plan("anomaly_summary_errors", "select count(*) + 1 as count, 'stl' as method_used from (select distinct strftime(o_orderdate, '%Y') from orders)")
 def anomaly_summary_errors(spark, sf_dir):
-    """Rows that report a failure are no anomalies: ten days are too few for two weeks."""
-    return summary(stl_anomalies(_too_short(spark, sf_dir), "D", ["month", "third"]), "stl")
+    """Rows that report a failure are no anomalies: ten days are too few for two weeks. Beside them stand series that have one
+    anomaly each: days of the year in an exact weekly rhythm, but for one; and one more of all years."""
+    short = _too_short(spark, sf_dir).select(F.concat_ws("-", "month", "third").alias("series"), "ts", "value")
+    days = F.explode(F.sequence(F.lit("2020-01-01").cast("date"), F.lit("2020-06-30").cast("date"))).alias("day")
+    years = table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy").alias("series")).distinct()
+    years = years.unionByName(years.agg(F.concat(F.min("series"), F.lit("-"), F.max("series")).alias("series")))
+    value = 100.0 + 10 * F.dayofweek("day") + F.when(F.col("day") == F.lit("2020-04-01").cast("date"), 5000.0).otherwise(0.0)
+    regular = years.select("series", days).select("series", F.col("day").cast("timestamp_ntz").alias("ts"), value.alias("value"))
+    return summary(stl_anomalies(short.unionByName(regular), "D", ["series"]), "stl")
+
+
+@plan("strict_timestamps", "select o_orderkey, date_trunc('day', o_orderdate) as ts from orders")
+def strict_timestamps(spark, sf_dir):
+    """Dates as text, every one of which must parse."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", strict_timestamp(F.date_format("o_orderdate", "MM/dd/yyyy")).alias("ts"))
+
+
+@plan(
+    "infer_value_column",
+    "select 'customer' as source, 'c_acctbal' as \"column\", max(c_acctbal) as largest from customer union all "
+    "select 'orders', 'o_totalprice', max(o_totalprice) from orders union all select 'part', 'p_retailprice', max(p_retailprice) from part",
+)
+def infer_value_column(spark, sf_dir):
+    """The column that stands for the value where none is named: the last numeric one."""
+    found = None
+    for name in ("customer", "orders", "part"):
+        df = table(spark, sf_dir, name)
+        column = infer_value_col(df)
+        row = df.agg(F.max(column).cast("double").alias("largest")).select(F.lit(name).alias("source"), F.lit(column).alias("column"), "largest")
+        found = row if found is None else found.unionByName(row)
+    return found
+
+
+@plan(
+    "sql_rejected",
+    "select 'SELECT COUNT(*) AS n FROM loaded_table' as query, count(*) as n, false as rejected from orders union all "
+    "select unnest(['INVALID SQL GARBAGE', 'DROP TABLE loaded_table', 'SELECT no_such FROM loaded_table', '']), null, true",
+)
+def sql_rejected(spark, sf_dir):
+    """Texts that are no valid query are refused before anything runs."""
+    orders, found = table(spark, sf_dir, "orders"), []
+    for text in ("SELECT COUNT(*) AS n FROM loaded_table", "INVALID SQL GARBAGE", "DROP TABLE loaded_table", "SELECT no_such FROM loaded_table", ""):
+        try:
+            found.append((text, run_sql(orders, text).first()["n"], False))
+        except QueryError:
+            found.append((text, None, True))
+    return spark.createDataFrame(found, "query string, n long, rejected boolean")
 
 
 _LAYOUTS = ("M/d/yyyy h:mm a", "yyyy-MM-dd h:mm a", "MMM d yyyy", "d MMMM yyyy", "dd-MMM-yy", "yyyyMMdd HH:mm", "MMMM yyyy", "yyyy.MM.dd", "MMMM d, yyyy HH:mm:ss")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.times import micros
 from ..operators.asof import asof_join
+from ..operators.distinct import exact_distinct
+from ..operators.profile import sample_by_key
 from ..operators.rangecount import count_within
 from ..operators.rangejoin import range_join
 from ..operators.sqlrun import distinct_on, preview_sql, run_sql
@@ -343,7 +345,7 @@ sql_plan("sql_join_rows_inner", f"select o_orderkey, o_custkey, {_LINES} from lo
 sql_plan("sql_join_rows_left", f"select o_orderkey, {_LINES} from orders left join (select * from loaded_table where l_quantity > 48) l on o_orderkey = l_orderkey", "lineitem", ("orders",))
 sql_plan(
     "sql_join_rows_full",
-    f"select o_orderkey, {_LINES} from (select * from orders where o_orderkey % 3 = 0) o full join (select * from loaded_table where l_quantity > 45) l on o_orderkey = l_orderkey",
+    f"select o_orderkey, {_LINES} from (select * from orders where o_orderstatus = 'F') o full join (select * from loaded_table where l_quantity > 45) l on o_orderkey = l_orderkey",
     "lineitem",
     ("orders",),
 )
@@ -387,3 +389,47 @@ def sql_approx_distinct(spark, sf_dir):
         "abs(approx_count_distinct(l_orderkey, 0.015) - count(distinct l_orderkey)) <= 0.05 * count(distinct l_orderkey) as orders_near from loaded_table"
     )
     return run_sql(table(spark, sf_dir, "lineitem"), sql)
+
+
+@plan(
+    "sql_join_theta_long",
+    "select s_suppkey, count(event_id) as n, sum(event_id)::double as total from (select s_suppkey, s_suppkey * 7 - 50 as low, case when s_suppkey % 17 = 0 then 1e300 "
+    "else s_suppkey * 7 - 50 + power(2, s_suppkey % 15) end as high from supplier) s join events on event_id between low and high group by 1",
+)
+def sql_join_theta_long(spark, sf_dir):
+    """Intervals from one place to the whole range, and some without an end."""
+    low = F.col("s_suppkey") * 7 - 50
+    high = F.when(F.col("s_suppkey") % 17 == 0, F.lit(float("inf"))).otherwise(low + F.pow(F.lit(2.0), F.col("s_suppkey") % 15))
+    spans = table(spark, sf_dir, "supplier").select("s_suppkey", low.alias("low"), high.alias("high"))
+    joined = range_join(table(spark, sf_dir, "events").select("event_id"), spans, F.col("event_id"), F.col("low"), F.col("high"), 2)
+    return joined.groupBy("s_suppkey").agg(F.count("event_id").alias("n"), F.sum("event_id").cast("double").alias("total"))
+
+
+_INTEGERS = {
+    "l_orderkey": "l_orderkey", "l_partkey": "l_partkey", "l_suppkey": "l_suppkey", "l_linenumber": "l_linenumber",
+    "quantity": "cast(l_quantity as bigint)", "below": "case when l_linenumber % 2 = 0 then 100 - l_partkey end",
+}
+
+
+@plan("sql_distinct_bitmap", " union all ".join(f"select '{name}' as \"column\", count(distinct {e}) as \"distinct\" from lineitem" for name, e in _INTEGERS.items()))
+def sql_distinct_bitmap(spark, sf_dir):
+    """Exact distinct counts of six columns from one scan."""
+    return exact_distinct(table(spark, sf_dir, "lineitem").selectExpr(*[f"{e} as {name}" for name, e in _INTEGERS.items()]), list(_INTEGERS))
+
+
+_EVEN = "(('0x' || substr(md5(concat('{0}:', {1})), 1, 13))::bigint + 1) / power(2, 52)"
+
+
+@plan("sample_by_key", f"select c_custkey, c_name, round({_EVEN.format(7, 'c_custkey')}, 9) as chance from customer order by {_EVEN.format(7, 'c_custkey')} limit 50")
+def sample_by_key_plan(spark, sf_dir):
+    """50 customers, the same on every run and in every engine."""
+    return sample_by_key(table(spark, sf_dir, "customer"), "c_custkey", 50, seed="7").select("c_custkey", "c_name", F.round("chance", 9).alias("chance"))
+
+
+@plan(
+    "sample_weighted_by_group",
+    f"select o_orderkey, o_orderpriority from orders qualify row_number() over (partition by o_orderpriority order by -ln({_EVEN.format(0, 'o_orderkey')}) / o_totalprice) <= 20",
+)
+def sample_weighted_by_group(spark, sf_dir):
+    """20 orders of each priority, by their price."""
+    return sample_by_key(table(spark, sf_dir, "orders"), "o_orderkey", 20, ["o_orderpriority"], "o_totalprice").select("o_orderkey", "o_orderpriority")

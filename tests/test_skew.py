@@ -1,11 +1,14 @@
 """One key holds a third of the rows, or more; results must equal brute force."""
 
+import random
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import asof_join, count_within, distinct_on, exact_quantiles, range_join
+from plumbline.operators import asof_join, count_within, distinct_on, exact_distinct, exact_quantiles, range_join, repeated_values, sample_by_key
 from plumbline.operators.skew import hot_keys, range_index, split_join, with_chunks
 
 T0 = pd.Timestamp("2024-01-01")
@@ -80,6 +83,38 @@ def test_range_join(spark, share):
     assert sorted((r["i"], r["j"]) for r in got) == sorted((i, j) for i, v in points for j, a, b in spans if a <= v <= b)
 
 
+@pytest.mark.parametrize("width", [1.0, 16.0])
+def test_range_join_of_every_length(spark, width):
+    """From one place to the whole range, and without an end: no interval is copied more than twice a level."""
+    rng = np.random.default_rng(2)
+    points = [(i, float(v)) for i, v in enumerate(rng.integers(-3000, 3000, 500))] + [(900, float("nan")), (901, None)]
+    spans = [(j, float(a), float(a + 2.0 ** (j % 14))) for j, a in enumerate(rng.integers(-3000, 3000, 120))]
+    spans += [(500, float("-inf"), 0.0), (501, 10.0, float("inf")), (502, float("-inf"), float("inf")), (503, 7.0, 7.0), (504, 8.0, 2.0), (505, None, 3.0)]
+    left, right = spark.createDataFrame(points, "i int, v double"), spark.createDataFrame(spans, "j int, a double, b double")
+    got = range_join(left, right, F.col("v"), F.col("a"), F.col("b"), width).where("not isnan(v)").collect()
+    want = sorted((i, j) for i, v in points[:500] for j, a, b in spans if a is not None and a <= v <= b)
+    assert sorted((r["i"], r["j"]) for r in got) == want
+
+
+def test_exact_distinct_and_repeated_values(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.choice([None, 0, -1, -40_000, 2**40, rng.randint(-70_000, 70_000)]), None, rng.choice(["", None, "long " * 50 + str(rng.randint(0, 30)), f"own {i}"])) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id long, a long, b int, t string").repartition(5)
+    got = {r["column"]: r["distinct"] for r in exact_distinct(df, ["a", "b", "id"]).collect()}
+    assert got == {"a": len({r[1] for r in rows} - {None}), "b": 0, "id": 2000}
+    counts = Counter(r[3] for r in rows)
+    assert {(r["id"], r["n"]) for r in repeated_values(df, "t", "id").collect()} == {(r[0], counts[r[3]]) for r in rows if r[3] is not None and counts[r[3]] > 1}
+
+
+def test_samples_do_not_depend_on_partitioning(spark):
+    df = spark.range(3000).selectExpr("id", "id % 3 as g", "case when id % 10 = 0 then 100.0 when id % 10 = 1 then 0.0 else 1.0 end as w")
+    taken = [sorted(r["id"] for r in sample_by_key(df.repartition(parts), "id", 40, ["g"], "w").collect()) for parts in (1, 9)]
+    assert taken[0] == taken[1] and len(taken[0]) == 120
+    assert sum(i % 10 == 0 for i in taken[0]) > 90 and not any(i % 10 == 1 for i in taken[0])
+    small, large = ({r["id"] for r in sample_by_key(df, "id", n, seed="x").collect()} for n in (30, 60))
+    assert small < large
+
+
 @pytest.mark.parametrize("by", [[], ["g"]])
 def test_quantiles(spark, by):
     rng = np.random.default_rng(9)
