@@ -62,6 +62,22 @@ def coerce_timestamp(text: Column) -> Column:
     return F.transform(F.array(strip(text)), _parsed)[0]
 
 
+# Dates in which the first number may be the day or the month.
+_TWO_WAYS = r"^(\d{1,2})([/-])(\d{1,2})\2(\d{4})(?!\d)"
+
+
+def day_first_votes(text: Column) -> list[Column]:
+    """Two aggregates: how many values fit with the day first, and with the month first."""
+    t = strip(text)
+    first, second = (F.regexp_extract(t, _TWO_WAYS, i).try_cast("int") for i in (1, 3))
+    return [F.count_if((first <= 31) & (second <= 12)), F.count_if((first <= 12) & (second <= 31))]
+
+
+def swap_day_and_month(text: Column, swap: Column) -> Column:
+    """Text in which, if `swap`, day-first dates read month first; what else it holds stays."""
+    return F.when(swap, F.regexp_replace(strip(text), _TWO_WAYS, "$3$2$1$2$4")).otherwise(text)
+
+
 def strict_timestamp(text: Column) -> Column:
     """As coerce_timestamp, but a non-null value that does not parse fails the query."""
     parsed = coerce_timestamp(text)

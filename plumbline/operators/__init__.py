@@ -13,7 +13,7 @@ from .asof import asof_join
 from .clean import clean, clean_counts, clean_observed, drop_duplicate_rows, string_columns
 from .decompose import analyze, auto_anomalies, mstl_anomalies, stl_anomalies
 from .distinct import exact_distinct, repeated_values
-from .infer import date_fractions, infer_date_col, infer_value_col
+from .infer import coerce_timestamps, date_fractions, infer_date_col, infer_value_col
 from .profile import (
     column_profile,
     column_types,
@@ -26,6 +26,7 @@ from .profile import (
     summarize,
     table_shape,
 )
+from .profilestate import merge_states, profile_of, profile_state
 from .quantile import exact_quantiles
 from .rangecount import count_within
 from .rangejoin import range_join

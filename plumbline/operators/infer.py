@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import named
-from ..functions.times import coerce_timestamp
+from ..functions.times import coerce_timestamp, day_first_votes, swap_day_and_month
 from .clean import string_columns
 from .profile import numeric_columns
 
@@ -42,6 +42,19 @@ def date_fractions(df: DataFrame) -> DataFrame:
     return out
 
 
+def coerce_timestamps(df: DataFrame, columns: list[str]) -> DataFrame:
+    """`df` with these text columns as timestamps, each read by one layout of day and month.
+
+    Whether 03/04/2024 is in March or April is for the column to say: the order that fits more of its values is that of all, the month
+    first where both fit as many; values that do not fit it are NULL. All columns vote in one scan.
+    """
+    votes = [F.struct(*[v.alias(n) for n, v in zip(("day", "month"), day_first_votes(named(c)))]).alias(f"v{i}") for i, c in enumerate(columns)]
+    voted = df.agg(F.struct(*votes)).scalar()
+    swapped = {c: voted[f"v{i}"]["day"] > voted[f"v{i}"]["month"] for i, c in enumerate(columns)}
+    turned = df.select(*[swap_day_and_month(named(c), swapped[c]).alias(c) if c in swapped else named(c) for c in df.columns])
+    return turned.select(*[coerce_timestamp(named(c)).alias(c) if c in swapped else named(c) for c in df.columns])
+
+
 def infer_date_col(df: DataFrame) -> str | None:
     """A timestamp-typed column; else a known name whose values all parse; else the first text
     column of which more than 70 % of the rows parse."""

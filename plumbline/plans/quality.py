@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators.anomaly import analysis_context, zscore
 from ..operators.clean import clean, clean_counts
 from ..operators.distinct import repeated_values
+from ..operators.profilestate import merge_states, profile_of, profile_state
 from ..operators.profile import column_profile, display_profile, first_rows, random_rows, summarize, table_shape
 from ..operators.validate import (
     check_counts,
@@ -17,6 +18,7 @@ from ..operators.validate import (
     validation_report,
     violating_rows,
 )
+from ..session import scratch_dir
 from .derived import RULES, WITH_COPIES, WITH_DIRTY, copies, dirty
 from .registry import plan, table
 
@@ -388,3 +390,35 @@ def list_rules_issues(spark, sf_dir):
     report = list_rules_report(table(spark, sf_dir, "customer"), rules, "c_custkey")
     rows = [(i["type"], i["column"], e) for i in report["issues"] for e in i.get("examples", [None])]
     return spark.createDataFrame(rows if not report["ok"] else [], "type string, column string, example string")
+
+
+_MERGED = {"o_orderkey": True, "o_custkey": True, "o_orderstatus": False, "o_totalprice": True, "o_orderpriority": False}
+
+
+@plan(
+    "profile_merged",
+    " union all ".join(
+        f"select '{c}' as name, count(*) as rows, count(*) - count({c}) as null_count, min({c})::varchar as min, max({c})::varchar as max, "
+        + (f"round(avg({c}), 4) as mean, round(stddev_samp({c}), 3) as std" if numeric else "null::double as mean, null::double as std")
+        + f", true as quartiles_near, true as distinct_near from orders"
+        for c, numeric in _MERGED.items()
+    ).replace("min(o_totalprice)::varchar", "null::varchar").replace("max(o_totalprice)::varchar", "null::varchar"),
+)
+def profile_merged(spark, sf_dir):
+    """The profile of parts that arrived one by one, from their stored states: one for each order status; the sketches are
+    held against the exact figures of the whole."""
+    orders, path = table(spark, sf_dir, "orders"), scratch_dir(spark, "profile_states")
+    for status in ("F", "O", "P"):  # three arrivals, one scan each
+        profile_state(orders.where(F.col("o_orderstatus") == status).select(*_MERGED)).write.mode("append").parquet(path)
+    merged = profile_of(merge_states(spark.read.parquet(path)))
+    numbers = [c for c, numeric in _MERGED.items() if numeric]
+    exact = orders.agg(F.create_map(*[x for c in _MERGED for x in (F.lit(c), F.count_distinct(c))]))
+    distinct = F.element_at(exact.scalar(), F.col("name"))
+    near = F.abs(F.col("approx_distinct") - distinct) <= 0.04 * distinct + 1
+    below = merged.where(F.col("q25").isNotNull()).select("name", F.array("q25", "q50", "q75").alias("qs"))
+    cells = orders.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in numbers])))
+    ranks = cells.join(F.broadcast(below), "name").groupBy("name", "qs").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("v") <= F.col("qs")[i]).alias(f"r{i}") for i in range(3)])
+    good = ranks.select("name", F.forall(F.array(*[F.abs(F.col(f"r{i}") / F.col("n") - 0.25 * (i + 1)) for i in range(3)]), lambda x: x <= 0.01).alias("good"))
+    shown = [F.when(F.col("name") != "o_totalprice", F.col(c)).alias(c) for c in ("min", "max")]
+    joined = merged.join(good, "name", "left")
+    return joined.select("name", "rows", "null_count", *shown, F.round("mean", 4).alias("mean"), F.round("std", 3).alias("std"), F.coalesce("good", F.lit(True)).alias("quartiles_near"), near.alias("distinct_near"))

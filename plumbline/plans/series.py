@@ -18,7 +18,7 @@ from ..operators.anomaly import (
     zscore,
 )
 from ..operators.decompose import analyze, auto_anomalies, mstl_anomalies, stl_anomalies
-from ..operators.infer import date_fractions, infer_value_col
+from ..operators.infer import coerce_timestamps, date_fractions, infer_value_col
 from ..operators.quantile import exact_quantiles
 from ..operators.profile import column_profile
 from ..operators.series import long_enough, ordered, resample, series_points
@@ -438,3 +438,19 @@ def coerce_timestamp_layouts(spark, sf_dir):
     for i, layout in enumerate(_LAYOUTS):
         text = F.when(F.col("o_orderkey") % len(_LAYOUTS) == i, F.date_format("o_orderdate", layout)).otherwise(text)
     return table(spark, sf_dir, "orders").select("o_orderkey", coerce_timestamp(text).alias("ts"))
+
+
+@plan(
+    "coerce_timestamp_dayfirst",
+    "select o_orderkey, date_trunc('day', o_orderdate) as european, date_trunc('day', o_orderdate) as american, "
+    "case when o_orderkey % 50 > 0 then date_trunc('day', o_orderdate) when day(o_orderdate) <= 12 then make_date(year(o_orderdate), day(o_orderdate), month(o_orderdate))::timestamp end as mixed, "
+    "date_trunc('minute', o_orderdate) as dashed from orders",
+)
+def coerce_timestamp_dayfirst(spark, sf_dir):
+    """Each column of dates says itself whether the day or the month comes first."""
+    day_first, month_first = F.date_format("o_orderdate", "d/M/yyyy"), F.date_format("o_orderdate", "MM/dd/yyyy")
+    texts = table(spark, sf_dir, "orders").select(
+        "o_orderkey", day_first.alias("european"), month_first.alias("american"), F.when(F.col("o_orderkey") % 50 == 0, month_first).otherwise(day_first).alias("mixed"),
+        F.concat(F.lit(" "), F.date_format("o_orderdate", "dd-MM-yyyy H:mm")).alias("dashed"),
+    )
+    return coerce_timestamps(texts, ["european", "american", "mixed", "dashed"])

@@ -4,6 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import (
+    merge_states,
+    profile_of,
+    profile_state,
     check_counts,
     clean,
     clean_observed,
@@ -239,3 +242,38 @@ def test_column_inference(spark):
     assert infer_value_col(shares) == "q"
     nothing = spark.createDataFrame([("2023", "a")], "yr string, s string")
     assert infer_date_col(nothing) is None and infer_value_col(nothing) is None
+
+
+def test_states_of_parts_merge_to_the_state_of_the_whole(spark):
+    import math
+
+    rows = [(i, None if i % 7 == 0 else 1e9 + i % 100, f"t{i % 13}" if i % 5 else None, -i if i < 900 else None, float("nan") if i == 3 else float(i)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "id int, far double, text string, back long, `a.b` double").repartition(4)
+    parts = [df.where(f"id % 4 = {k}") for k in range(4)] + [df.limit(0)]
+    states = profile_state(parts[0])
+    for part in parts[1:]:
+        states = states.unionByName(profile_state(part))
+    got = {r["name"]: r.asDict() for r in profile_of(merge_states(states)).collect()}
+    want = {r["name"]: r.asDict() for r in profile_of(profile_state(df)).collect()}
+    assert list(want) == df.columns and got.keys() == want.keys()
+    for name, row in want.items():
+        for figure, value in row.items():
+            if not isinstance(value, float):
+                assert figure.startswith("q") or got[name][figure] == value, (name, figure)
+            elif figure in ("mean", "std"):  # a mean of 1e9 does not blur a deviation of 30
+                assert math.isclose(got[name][figure], value, rel_tol=1e-9)
+    far = [r[1] for r in rows if r[1] is not None]
+    assert math.isclose(got["far"]["std"], (sum((v - sum(far) / len(far)) ** 2 for v in far) / (len(far) - 1)) ** 0.5, rel_tol=1e-7)
+    assert (got["back"]["min"], got["back"]["max"], got["text"]["approx_distinct"]) == ("-899", "0", 13)
+    again = profile_of(merge_states(merge_states(states.limit(10)).unionByName(states.limit(0)))).count()
+    assert again == 5 and profile_of(merge_states(profile_state(df.limit(0)))).where("rows = 0 and mean is null and approx_distinct = 0").count() == 5
+
+
+def test_day_first_is_decided_by_the_column(spark):
+    from plumbline.operators import coerce_timestamps
+
+    rows = [("13/01/2024", "01/13/2024", "3/4/2024", " 05-06-2024 7:08", "2024-02-03"), ("02/03/2024", "02/03/2024", "5/6/2024", "25-12-2023 23:59", "31/12/2020"), (None, "", "x", "12-25-2023 1:00", "99/99/2024")]
+    got = [tuple(str(v) for v in r) for r in coerce_timestamps(spark.createDataFrame(rows, "a string, b string, c string, d string, `e.f` string"), ["a", "b", "c", "d", "e.f"]).collect()]
+    assert got[0] == ("2024-01-13 00:00:00", "2024-01-13 00:00:00", "2024-03-04 00:00:00", "2024-05-06 07:08:00", "2024-02-03 00:00:00")
+    assert got[1] == ("2024-03-02 00:00:00", "2024-02-03 00:00:00", "2024-05-06 00:00:00", "None", "2020-12-31 00:00:00")
+    assert got[2] == ("None", "None", "None", "2023-12-25 01:00:00", "None")
