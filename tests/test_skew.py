@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import asof_join, count_within, distinct_on, exact_distinct, exact_quantiles, range_join, repeated_values, sample_by_key
-from plumbline.operators.skew import hot_keys, range_index, split_join, with_chunks
+from plumbline.operators.skew import frequent_hashes, hot_keys, range_index, split_join, with_chunks
 
 T0 = pd.Timestamp("2024-01-01")
 
@@ -168,3 +168,17 @@ def test_range_index(spark):
 def test_distinct_on(spark):
     df = spark.createDataFrame([(1, 5, "b"), (1, 3, "z"), (1, 3, "a"), (2, 9, None)], "k int, t int, s string")
     assert sorted(tuple(r) for r in distinct_on(df, ["k"], "t").collect()) == [(1, 3, "a"), (2, 9, None)]
+
+
+def test_no_key_is_shuffled_to_find_hot_ones(spark):
+    """Every key above 1/p of the rows is among the candidates, also with many others, null keys and several columns."""
+    rng = np.random.default_rng(4)
+    keys = np.where(rng.random(20_000) < 0.15, 7, np.where(rng.random(20_000) < 0.2, -1, rng.integers(100, 9000, 20_000)))
+    df = spark.createDataFrame([(None if k == -1 else int(k), f"t{k % 2}") for k in keys], "a int, b string").repartition(6)
+    for names in (["a"], ["b"], ["a", "b"]):
+        counts = Counter(tuple(r) for r in df.select(*names).collect())
+        want = {k for k, n in counts.items() if n * 8 > len(keys)}
+        hashes, total = frequent_hashes(df, names)
+        assert total == len(keys) and len(hashes) < 16
+        assert {tuple(r) for r in hot_keys(df, names).collect()} == want
+    assert hot_keys(spark.range(10_000), ["id"]) is None and hot_keys(spark.range(0), ["id"]) is None
