@@ -22,7 +22,7 @@ from ..functions.times import FREQUENCIES, iso_text
 from ..session import ensure_checkpoint_dir, shuffle_partitions
 from .quantile import exact_quantiles
 from .series import MIN_POINTS
-from .skew import SKETCH_K, renamed, same, split_join
+from .skew import SKETCH_K, few_rows, renamed, same, split_join
 
 LIMIT = 3.0
 FENCE = 1.5
@@ -59,13 +59,20 @@ def iqr(df: DataFrame, value: str, by: Sequence[str] = (), fence: float = FENCE,
     span = F.lit(fence) * (F.col("_q3") - F.col("_q1"))
     fences = quartiles.select(*all_named(by), "n", nan_to_null(F.col("_q1") - span).alias("low"), nan_to_null(F.col("_q3") + span).alias("high"))
     if by:
-        fenced = split_join(rows.where("_v is not null"), fences, by, "n")
+        few, valued = few_rows(fences), rows.where("_v is not null")
+        fenced = split_join(valued, fences, by, "n") if few is None else _near_join(valued, few, by)
     else:
         pair = fences.select(F.struct("low", "high")).scalar()
         fenced = rows.withColumns({"low": pair["low"], "high": pair["high"]})
     return fenced.where("_v < low or _v > high").select(*all_named(df.columns), "low", "high")
 
 
+def _near_join(rows: DataFrame, few: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Null-safe join with at most a row per partition, by broadcast: rows are not shuffled."""
+    names = [c for c in few.columns if c not in by]
+    return rows.join(F.broadcast(few.select(*renamed(by), *names)), same(by)).drop(*[f"_k{i}" for i in range(len(by))])
+
+
 def _series(by: Sequence[str]):
     """Window over one resampled series; its length is bounded by the calendar."""
     return W.partitionBy(*all_named(by))
@@ -128,7 +135,7 @@ def _sure_limit(n: Column, alpha: float) -> Column:
     return left * z / F.sqrt((left - 1 + z * z) * (left + 1))
 
 
-def _esd_marks(rows: DataFrame, names: Sequence[str], alpha: float, rounds: int) -> DataFrame:
+def _esd_marks(rows: DataFrame, names: Sequence[str], alpha: float, rounds: int) -> tuple[DataFrame, bool]:
     """Per series _n, _mean, _var, and _cut0 and _cut1: only values outside can be removed; after a round of narrowing, can be
     removed before the last significant removal.
 
@@ -136,34 +143,45 @@ def _esd_marks(rows: DataFrame, names: Sequence[str], alpha: float, rounds: int)
     cuts all stay, a deviation is never below s0, that of them alone over all n, and a mean never outside (m0, m1), those of all values
     below and above one cut. A significant removal is D = limit * s0 from its mean at least; and what goes before it is as far out, but for
     a shift of the mean: all lie outside of m1 - D + (m1 - m0) and m0 + D - (m1 - m0). So these are cuts too, and the next round starts from them.
+    Also returned: whether the series are so few that their figures are a local table.
     """
     sketch = rows.groupBy(*names).agg(F.kll_sketch_agg_double("_v", SKETCH_K).alias("_s"))
     cut = [F.kll_sketch_get_quantile_double("_s", F.lit(q)).alias(f"_cut{i}") for i, q in enumerate((0.12, 0.88))]
-    marks = _esd_figures(rows, names, sketch.select(*names, *cut))
-    for _ in range(rounds):
+    cuts = sketch.select(*names, *cut)
+    few = few_rows(cuts)
+    marks = _esd_figures(rows, names, cuts if few is None else few, few is not None)
+    for left in range(rounds - 1, -1, -1):
+        marks = marks if few is None else few_rows(marks)
         far = _sure_limit(F.col("_n"), alpha) * F.sqrt(F.col("_squares") / (F.col("_n") - 1))
         shift = F.col("_m1") - F.col("_m0")
         ease = 1e-9 * (F.abs("_m0") + F.abs("_m1") + far)  # rounding must not decide
         low, high = nan_to_null(F.col("_m1") - far + shift + ease), nan_to_null(F.col("_m0") + far - shift - ease)
         # without a figure, or where the bounds cross, greatest and least fall back on the cuts before
         narrower = [F.when(low < high, F.least("_cut0", low)).otherwise(F.col("_cut0")), F.when(low < high, F.greatest("_cut1", high)).otherwise(F.col("_cut1"))]
-        marks = _esd_figures(rows, names, marks.select(*names, *[F.coalesce(c, F.col(f"_cut{i}")).alias(f"_cut{i}") for i, c in enumerate(narrower)]))
-    return marks.select(*names, "_n", "_mean", "_var", "_cut0", "_cut1")
+        marks = marks.select(*names, "_n", "_mean", "_var", *[F.coalesce(c, F.col(f"_cut{i}")).alias(f"_cut{i}") for i, c in enumerate(narrower)])
+        if left:
+            marks = _esd_figures(rows, names, marks, few is not None)
+    marks = marks.select(*names, "_n", "_mean", "_var", "_cut0", "_cut1")
+    return marks if few is None else few_rows(marks), few is not None
 
 
-def _with_cuts(rows: DataFrame, names: Sequence[str], cuts: DataFrame) -> DataFrame:
+def _with_cuts(rows: DataFrame, names: Sequence[str], cuts: DataFrame, few: bool) -> DataFrame:
+    """Few series meet a broadcast; many take a join, whose hot keys adaptive execution splits."""
     if not names:
         pair = cuts.select(F.struct("_cut0", "_cut1")).scalar()
         return rows.withColumns({"_cut0": pair["_cut0"], "_cut1": pair["_cut1"]})
+    cuts = cuts.select(*names, "_cut0", "_cut1")
+    if few:
+        return _near_join(rows, cuts, names)
     return rows.join(cuts.select(*renamed(names), "_cut0", "_cut1"), same(names)).drop(*[f"_k{i}" for i in range(len(names))])
 
 
-def _esd_figures(rows: DataFrame, names: Sequence[str], cuts: DataFrame) -> DataFrame:
+def _esd_figures(rows: DataFrame, names: Sequence[str], cuts: DataFrame, few: bool) -> DataFrame:
     """The cuts with n, mean and variance, the sum of squares between them, and the means below and above one of them."""
     middle = F.when((F.col("_v") > F.col("_cut0")) & (F.col("_v") < F.col("_cut1")), F.col("_v"))
     below, above = F.when(F.col("_v") < F.col("_cut1"), F.col("_v")), F.when(F.col("_v") > F.col("_cut0"), F.col("_v"))
     return (
-        _with_cuts(rows, names, cuts)
+        _with_cuts(rows, names, cuts, few)
         .groupBy(*names)
         .agg(
             F.count("_v").alias("_n"), F.avg("_v").alias("_mean"), F.var_samp("_v").alias("_var"),
@@ -184,10 +202,10 @@ def esd_steps(df: DataFrame, value: str, by: Sequence[str] = (), alpha: float =
     """
     names = [f"_g{i}" for i in range(len(by))]  # plain names for the Python step
     rows = df.select(*[named(c).alias(g) for c, g in zip(by, names)], number_of(df, value).alias("_v")).where("_v is not null")
-    marks = _esd_marks(rows, names, alpha, 2 if pruned else 0)
+    marks, few = _esd_marks(rows, names, alpha, 2 if pruned else 0)
     outside = F.when((F.col("_v") <= F.col("_cut0")) | (F.col("_v") >= F.col("_cut1")), F.col("_v"))
     # of what lies between, only the outermost two values
-    ends = _with_cuts(rows, names, marks).groupBy(*names, outside.alias("_o")).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
+    ends = _with_cuts(rows, names, marks, few).groupBy(*names, outside.alias("_o")).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
     out = T.StructType([rows.schema[c] for c in names])
     for name, kind in (("i", "long"), ("side", "integer"), ("place", "long"), ("value", "double"), ("statistic", "double"), ("critical", "double")):
         out = out.add(name, kind)

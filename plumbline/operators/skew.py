@@ -81,6 +81,13 @@ def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
     return df.sparkSession.createDataFrame(hot, schema)
 
 
+def few_rows(per_key: DataFrame) -> DataFrame | None:
+    """`per_key` as a local table if it has no more rows than partitions, else None. With a row per key it may then be broadcast."""
+    share = _share(per_key)
+    top = per_key.limit(share + 1).collect()
+    return per_key.sparkSession.createDataFrame([tuple(r) for r in top], per_key.schema) if len(top) <= share else None
+
+
 def split_join(left: DataFrame, per_key: DataFrame, keys: Sequence[str], weight: str) -> DataFrame:
     """Inner, null-safe join of rows to one row per key; `weight` = rows of the key in `left`.
 
