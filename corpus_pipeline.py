@@ -54,7 +54,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-ORACLE_SQL = None  # models and packing are beyond SQL; tests/llm compares with a plain version
+ORACLE_SQL = None  # models and packing are beyond SQL; tests/llm/test_pipeline.py compares with plain stages
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
