@@ -49,7 +49,7 @@ def scan_csv_text(spark, sf_dir):
 def scan_csv_multiline(spark, sf_dir):
     """Documents with their line breaks; files are split inside quotes."""
     path = scratch_dir(spark, "scan_csv_multiline")
-    write_csv(table(spark, sf_dir, "documents").coalesce(1), path)
+    write_csv(table(spark, sf_dir, "documents"), path)
     return read_csv(spark, path)
 
 
