@@ -7,17 +7,19 @@ words between them left out. A document's fingerprint is the set of its signatur
 *Matching.* Sets are partitioned by length so that a partition spans one factor of the threshold: a
 set can only match in its own partition and the next. Rare signatures come first in a set;
 sets that reach the threshold share one of the first |S| - ceil(threshold * |S|) + 1, which is where
-they meet; lengths bound Jaccard before the sets are compared in whole. Equal sets are one class
-with one representative.
+they meet. Equal sets are one class with one representative. A class first meets the two ends of each bin (signature and partition), which
+are as many pairs as entries; links make components, and bins that hold more than one of them then pair classes of different components
+only, so the links within a group of near copies are never listed. Lengths, places in the order and 128 bits of each set bound Jaccard before
+sets are compared in whole. class_id is the smallest key that links reach.
 
 *Edited texts.* The half of a text is replaced by the start of the next document in descending order of
 keys. Keys are cut into ranges by approximate quantiles, so each task has its range, and the first
 document of each range is also sent to the range before it. No task has all keys.
 
 Defined cases: null text is empty; a text without words has an empty set, two empty sets are
-alike (1.0); a text without a chain has one signature, of all its words; null keys come last;
+alike (1.0) and one class; a text without a chain has one signature, of all its words; null keys come last;
 rows that share a key follow each other in the order of their texts; a table of one row has
-itself as the next; other columns are not looked at. Keys are numbers.
+itself as the next; class_id is null where a class has null keys only; other columns are not looked at. Keys are numbers.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from pyspark.sql import Window as W
 from ..operators.skew import range_index
 from ..session import shuffle_partitions
 from .common import quoted, stored, whole
+from .ngram_join import components
 
 CHAIN = 2
 THRESHOLD = 0.8
@@ -92,34 +95,94 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(most == 0, 1.0).when(least == 0, 0.0).otherwise(shared / (F.size(a) + F.size(b) - shared))
 
 
-def spot_matches(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(members, pairs). members: key, class_id of every row; pairs: a, b, likeness of all classes of
-    different, not empty sets whose Jaccard reaches the threshold, a < b."""
-    sets = df.select(quoted(key).alias("key"), signatures(whole(text)).alias("sigs"))
-    members = sets.select("key", F.sha2(fingerprint(F.col("sigs")), 256).alias("class_id"), "sigs")
-    classes = stored(members.where(F.size("sigs") > 0).groupBy("class_id").agg(F.first("sigs").alias("sigs")).withColumn("n", F.size("sigs")), "spots-classes")
-    counts = classes.select(F.explode("sigs").alias("sig")).groupBy("sig").agg(F.count(F.lit(1)).alias("df"))
-    # a signature of one class joins nothing, and as the rarest it may stand in a prefix unseen
-    spots = classes.select("class_id", "n", F.explode("sigs").alias("sig")).join(counts, "sig")
-    place = F.row_number().over(W.partitionBy("class_id").orderBy("df", "sig"))
-    prefix = F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1
+def _bits(sigs: Column) -> list[Column]:
+    """The set as 128 bits, in two numbers: each signature sets the bit that its last seven bits name."""
+
+    def half(high: int) -> Column:
+        bit = lambda h: F.when(h.bitwiseAND(64) == high, F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))).otherwise(0)
+        return F.aggregate(F.transform(sigs, bit), F.lit(0).cast("long"), lambda x, y: x.bitwiseOR(y))
+
+    return [half(0).alias("low"), half(64).alias("high")]
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """Of pairs (u, v) of different classes those whose Jaccard reaches the threshold. The bits that only one set has
+    bound the intersection, so few sets are fetched in whole."""
+    need = threshold / (1 + threshold) * (F.col("u_n") + F.col("v_n")) - 1e-9
+
+    def side(name: str, *columns: str) -> DataFrame:
+        return classes.select(F.col("id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
+
+    def shared(x: str, y: str) -> Column:
+        alone = [F.bit_count(F.col(f"{x}_{c}").bitwiseAND(F.bitwise_not(f"{y}_{c}"))) for c in ("low", "high")]
+        return F.col(f"{x}_n") - alone[0] - alone[1]
+
+    light = pairs.join(side("u", "n", "low", "high"), "u").join(side("v", "n", "low", "high"), "v")
+    open_ = stored(light.where(F.least(shared("u", "v"), shared("v", "u")) >= need).select("u", "v"), "spots-pairs")
+    compared = open_.join(side("u", "sigs"), "u").join(side("v", "sigs"), "v")
+    return stored(compared.where(jaccard(F.col("u_sigs"), F.col("v_sigs")) >= threshold).select("u", "v"), "spots-links")
+
+
+def _probes(classes: DataFrame, threshold: float) -> DataFrame:
+    """id, n, sig, place, part: the signatures of each prefix that some other class has, and their places from the rarest."""
+    counts = classes.select(F.explode("sigs").alias("sig")).groupBy("sig").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # a signature of one class joins nothing: it only counts as one of the places before
+    spots = classes.select("id", "n", F.explode("sigs").alias("sig")).join(counts, "sig")
+    one = W.partitionBy("id")
+    place = F.row_number().over(one.orderBy("df", "sig")) + F.col("n") - F.count(F.lit(1)).over(one)
+    prefix = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
     width = -math.log(threshold) if threshold < 1 else 1.0
-    part = F.floor(F.log(F.col("n").cast("double")) / width + 1e-9)
-    probes = spots.withColumn("place", place).where((F.col("place") <= prefix) & (F.col("df") > 1)).select("class_id", "n", "sig", part.alias("part"))
-    near = probes.withColumn("part", F.explode(F.array(F.col("part"), F.col("part") + 1)))
-    a, b = near.alias("a"), probes.alias("b")
-    bound = F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n") - 1e-9
-    met = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.part") == F.col("b.part"))).where(bound & (F.col("a.class_id") != F.col("b.class_id")))
-    pairs = met.select(F.least("a.class_id", "b.class_id").alias("a"), F.greatest("a.class_id", "b.class_id").alias("b")).distinct()
-    left = classes.select(F.col("class_id").alias("a"), F.col("sigs").alias("a_sigs"))
-    right = classes.select(F.col("class_id").alias("b"), F.col("sigs").alias("b_sigs"))
-    likeness = jaccard(F.col("a_sigs"), F.col("b_sigs"))
-    compared = pairs.join(left, "a").join(right, "b").select("a", "b", likeness.alias("likeness"))
-    return members.select(F.col("key").alias(key), "class_id"), compared.where(F.col("likeness") >= threshold)
-
-
-def with_next(rows: DataFrame, *carried: str) -> DataFrame:
-    """Add next_<column> of the next row in descending order of `key`, then `tie`; after the last, the first."""
+    part = F.floor(F.log(F.col("n").cast("double")) / width + 1e-9).cast("int")
+    placed = spots.withColumn("place", place).where(F.col("place") <= prefix)
+    return placed.select("id", "n", "sig", F.col("place").cast("int").alias("place"), part.alias("part"))
+
+
+def _linked(classes: DataFrame, threshold: float) -> DataFrame:
+    """id, label: the classes linked to others, with the smallest id that their links reach."""
+    parts = F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("bin")
+    bins = stored(_probes(classes, threshold).select("*", parts), "spots-bins")
+    # first each class meets the smallest and the largest of a bin: a group of near copies is held together by them
+    ends = bins.groupBy("sig", "bin").agg(F.min("id").alias("first"), F.max("id").alias("last")).where(F.col("first") != F.col("last"))
+    met = bins.join(ends, ["sig", "bin"]).select("id", F.explode(F.array("first", "last")).alias("other")).where(F.col("id") != F.col("other"))
+    star = stored(met.select(F.least("id", "other").alias("u"), F.greatest("id", "other").alias("v")).distinct(), "spots-star")
+    links = _verified(star, classes, threshold)
+    labels = components(links).select(F.col("node").alias("id"), "label")
+    # then only classes that are not together yet; a bin that holds one component has nothing left to link
+    labelled = stored(bins.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "spots-labelled")
+    mixed = labelled.groupBy("sig", "bin").agg(F.min("label").alias("first"), F.max("label").alias("last")).where(F.col("first") != F.col("last"))
+    left = stored(labelled.join(mixed.select("sig", "bin"), ["sig", "bin"]), "spots-mixed")
+    a, b = left.alias("a"), left.alias("b")
+    together = F.least(F.col("a.place"), F.col("b.place")) + F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
+    bounds = (
+        (F.col("a.label") < F.col("b.label")) & (F.col("a.bin") == F.greatest("a.part", "b.part"))
+        & (F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n") - 1e-9)
+        & (together >= threshold / (1 + threshold) * (F.col("a.n") + F.col("b.n")) - 1e-9)
+    )
+    pairs = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.bin") == F.col("b.bin")) & bounds)
+    pairs = pairs.select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v")).distinct().join(star, ["u", "v"], "left_anti")
+    every = links.unionByName(_verified(pairs, classes, threshold))
+    return components(every).select(F.col("node").alias("id"), "label")
+
+
+def spot_classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """key, tie, class_id, a row per different key and text (`tie` is its SHA-1): the smallest key among the documents that links
+    reach. Documents link when their sets are equal, or not empty and of a Jaccard of `threshold` or more."""
+    rows = df.select(quoted(key).alias("key"), F.sha1(whole(text)).alias("tie"), signatures(whole(text)).alias("sigs"))
+    rows = rows.withColumn("set", F.unhex(F.md5(fingerprint(F.col("sigs")))))
+    members = stored(rows.select("key", "tie", "set"), "spots-members")
+    sets = rows.where(F.size("sigs") > 0).groupBy("set").agg(F.first("sigs").alias("sigs"))
+    numbered = sets.select(F.monotonically_increasing_id().alias("id"), "set", "sigs", F.size("sigs").alias("n"), *_bits(F.col("sigs")))
+    classes = stored(numbered, "spots-classes")
+    known = classes.select("id", "set").join(_linked(classes, threshold), "id", "left").select("set", F.coalesce("label", "id").alias("label"))
+    least = members.groupBy("set").agg(F.min("key").alias("least")).join(known, "set", "left").withColumn("label", F.coalesce("label", F.lit(-1)))  # -1: the empty set
+    least = stored(least, "spots-least")
+    named = least.groupBy("label").agg(F.min("least").alias("class_id")).join(least, "label").select("set", "class_id")
+    return members.select("key", "tie", "set").distinct().join(named, "set").select("key", "tie", "class_id")
+
+
+def with_next(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """rows (key, text, tie) with class_id, sigs, and next_text, next_sigs of the next row in descending order of `key`, then `tie`; after
+    the last, the first. `named` has the class_id of every key and tie; its rows travel as rows without a text that stand before theirs."""
     spark = rows.sparkSession
     steps = (4 * shuffle_partitions(spark) - 1).bit_length()
     cuts = rows.agg(F.percentile_approx("key", [i / 2**steps for i in range(1, 2**steps)], 8 * 2**steps)).first()[0]
@@ -128,7 +191,8 @@ def with_next(rows: DataFrame, *carried: str) -> DataFrame:
     ranged = rows.withColumn("range", F.when(F.col("key").isNull(), last).otherwise(at))
     tops = {r["range"]: r["top"] for r in ranged.groupBy("range").agg(F.max("key").alias("top")).collect()}  # at most 4 ranges a partition
     if not tops:
-        return rows.select("*", *[F.col(c).alias(f"next_{c}") for c in carried])
+        none = rows.withColumn("class_id", F.col("key")).withColumn("sigs", signatures(F.col("text")))
+        return none.select("*", F.col("text").alias("next_text"), F.col("sigs").alias("next_sigs"))
     order = sorted(tops, reverse=True)
     before = {r: order[i - 1] for i, r in enumerate(order)}  # the first range's top also ends the last range
     # arrays by range number, from -1
@@ -142,24 +206,33 @@ def with_next(rows: DataFrame, *carried: str) -> DataFrame:
     dealt = ranged.withColumn("at", F.explode(F.when(first, F.array(own, sent)).otherwise(F.array(own)))).drop("range")
     dealt = dealt.select("*", "at.*").drop("at")
     # a ghost follows all rows of the range; of ghosts that share the key the first counts
-    line = W.partitionBy("range").orderBy("ghost", F.col("key").desc_nulls_last(), "tie")
-    following = [F.lead(c).over(line).alias(f"next_{c}") for c in carried]
-    return dealt.select(*rows.columns, "ghost", *following).where(~F.col("ghost")).drop("ghost")
+    order = ["ghost", F.col("key").desc_nulls_last(), "tie"]
+    none = F.lit(None).cast(rows.schema["key"].dataType)
+    name = named.select(*[F.lit(None).cast("string").alias(c) if c == "text" else F.col(c) for c in rows.columns], "class_id", F.lit(0).alias("row"))
+    name = name.withColumn("range", F.when(F.col("key").isNull(), last).otherwise(range_index(F.col("key"), F.lit(cuts), steps) if cuts else F.lit(0)).cast("int"))
+    both = dealt.select("*", none.alias("class_id"), F.lit(1).alias("row")).unionByName(name.withColumn("ghost", F.lit(False)))
+    before_each = F.when(F.col("row") == 0, F.struct("class_id"))
+    line = W.partitionBy("range").orderBy(*order, "row").rowsBetween(W.unboundedPreceding, W.currentRow)
+    # signatures are made behind the exchange, which then moves texts only
+    joined = both.repartition("range").withColumn("class_id", F.last(before_each, ignorenulls=True).over(line)["class_id"]).where("row = 1")
+    signed = joined.withColumn("sigs", signatures(F.col("text")))
+    following = [F.lead(c).over(W.partitionBy("range").orderBy(*order)).alias(f"next_{c}") for c in ("text", "sigs")]
+    return signed.select(*rows.columns, "class_id", "sigs", "ghost", *following).where(~F.col("ghost")).drop("ghost")
 
 
 def edited_fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    rows = df.select(quoted(key).alias("key"), whole(text).alias("text")).withColumn("tie", F.sha1("text")).withColumn("sigs", signatures(F.col("text")))
+    """key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, class_id."""
+    rows = df.select(quoted(key).alias("key"), whole(text).alias("text")).withColumn("tie", F.sha1("text"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    pairs = with_next(rows, "text", "sigs")
+    pairs = with_next(rows, spot_classes(df, key, text))
     edited = pairs.select(
-        "key", n.cast("long").alias("n_chars"), "sigs", "next_sigs",
+        "key", "class_id", n.cast("long").alias("n_chars"), "sigs", "next_sigs",
         F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)).alias("edited"),
     )
-    compared = edited.select("key", "n_chars", "sigs", "next_sigs", F.sha2("edited", 256).alias("edited_sha256"), signatures(F.col("edited")).alias("edited_sigs"))
+    compared = edited.select("key", "class_id", "n_chars", "sigs", "next_sigs", F.sha2("edited", 256).alias("edited_sha256"), signatures(F.col("edited")).alias("edited_sigs"))
     return compared.select(
         F.col("key").alias(key), "n_chars", "edited_sha256", fingerprint(F.col("sigs")).alias("fingerprint"),
         fingerprint(F.col("edited_sigs")).alias("edited_fingerprint"),
-        jaccard(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"), jaccard(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
+        jaccard(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"), jaccard(F.col("sigs"), F.col("next_sigs")).alias("near_next"), "class_id",
     )

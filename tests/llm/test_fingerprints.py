@@ -1,8 +1,12 @@
 import hashlib
+import random
+from collections import Counter
+from unittest.mock import patch
 
 import pytest
 
-from plumbline.llm.fingerprints import ANCHORS, edited_fingerprints, fingerprint, signatures, spot_matches
+from plumbline.llm.common import stored
+from plumbline.llm.fingerprints import ANCHORS, edited_fingerprints, fingerprint, signatures, spot_classes
 from pyspark.sql import functions as F
 
 
@@ -70,24 +74,82 @@ def test_odd_rows(odd, empty):
     _compare(odd.where("doc_id is not null and doc_id > 2"), [(r["doc_id"], r["text"]) for r in odd.collect() if r["doc_id"] and r["doc_id"] > 2])
 
 
-def test_matches_are_all_pairs_of_classes(spark, documents, empty):
-    import random
+def _plain_classes(rows, sets):
+    """Smallest key reachable by links, from all pairs."""
+    names = sorted(set(sets.values()), key=sorted)
+    top = {s: s for s in names}
 
+    def find(s):
+        while top[s] != s:
+            s = top[s]
+        return s
+
+    for i, a in enumerate(names):
+        for b in names[i + 1 :]:
+            if a and b and len(a & b) / len(a | b) >= 0.8:
+                top[find(a)] = find(b)
+    least = {}
+    for k, t in rows:
+        s = find(sets[t])
+        least[s] = k if least.get(s) is None else least[s] if k is None else min(k, least[s])
+    return {(k, t): least[find(sets[t])] for k, t in rows}
+
+
+def _same_classes(df):
+    rows = [(r["doc_id"], r["text"] or "") for r in df.collect()]
+    prints = df.select(F.coalesce("text", F.lit("")).alias("text")).distinct().select("text", fingerprint(signatures(F.col("text"))).alias("f")).collect()
+    want = _plain_classes(rows, {r["text"]: frozenset(r["f"].split()) for r in prints})
+    got = {(r["key"], r["tie"]): r["class_id"] for r in spot_classes(df).collect()}
+    assert got == {(k, hashlib.sha1(t.encode()).hexdigest()): c for (k, t), c in want.items()}
+    return want
+
+
+def _edited(rng, words, many):
+    words = list(words)
+    for _ in range(many):
+        words[rng.randrange(len(words))] = f"new{rng.randint(0, 99)}"
+    return " ".join(words)
+
+
+def test_classes_are_components_of_all_links(spark, documents):
     rng = random.Random(5)
     base = [f"w{rng.randint(0, 400)}" if i % 3 else "the" for i in range(240)]
-    rows = []
-    for i in range(60):
-        words = list(base if i % 2 else base[:200])
-        for _ in range(i // 6):
-            words[rng.randrange(len(words))] = f"new{rng.randint(0, 99)}"
-        rows.append((i, " ".join(words)))
-    df = documents.select("doc_id", "text").unionByName(spark.createDataFrame([(i + 10**6, t) for i, t in rows], "doc_id long, text string"))
-    members, pairs = spot_matches(df)
-    class_of = {r["doc_id"]: r["class_id"] for r in members.collect()}
-    prints = df.select("doc_id", fingerprint(signatures(F.col("text"))).alias("f")).collect()
-    sets = {class_of[r["doc_id"]]: set(r["f"].split()) for r in prints if r["f"]}
-    names = sorted(sets)
-    want = {(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9}
-    assert {(r["a"], r["b"]) for r in pairs.collect()} == want and len(want) > 20
-    members, pairs = spot_matches(empty)
-    assert members.collect() == [] and pairs.collect() == []
+    rows = [(i + 10**6, _edited(rng, base if i % 2 else base[:200], i // 6)) for i in range(60)]
+    # a chain: each step is near the one before, the ends are not near each other
+    step = base
+    for i in range(12):
+        step = _edited(rng, step, 4).split()
+        rows.append((i + 2 * 10**6, " ".join(step)))
+    want = _same_classes(documents.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string")))
+    sizes = Counter(want.values())
+    assert 20 < max(sizes.values()) < len(rows) and len(sizes) > 20
+
+
+def test_classes_of_random_short_texts(spark):
+    rng = random.Random(3)
+    words = ["the", "a", "cat", "dog", "sat", "mat"]
+    rows = [(rng.randint(0, 500), " ".join(rng.choices(words, k=rng.choice([0, 1, 4, 12, 13, 14, 30])))) for _ in range(150)]
+    _same_classes(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
+def test_classes_of_odd_rows(odd, empty):
+    want = _same_classes(odd)
+    classes = Counter((r["doc_id"], r["class_id"]) for r in edited_fingerprints(odd).collect())
+    assert classes == Counter((r["doc_id"], want[r["doc_id"], r["text"] or ""]) for r in odd.collect())
+    assert spot_classes(empty).collect() == []
+
+
+def test_no_pairs_within_a_group_of_near_copies(spark):
+    rng = random.Random(9)
+    base = [f"w{rng.randint(0, 400)}" if i % 3 else "the" for i in range(300)]
+    df = spark.createDataFrame([(i, _edited(rng, base, 3)) for i in range(1500)], "doc_id long, text string")
+    made = {}
+
+    def noted(rows, label):
+        out = stored(rows, label)
+        made[label] = made.get(label, 0) + out.count()
+        return out
+
+    with patch("plumbline.llm.fingerprints.stored", noted):
+        assert {r["class_id"] for r in spot_classes(df).collect()} == {0}
+    assert made["spots-star"] <= made["spots-bins"] * 2 and made["spots-pairs"] < 20 * 1500  # 1,124,250 pairs of classes
