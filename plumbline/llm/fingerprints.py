@@ -49,7 +49,7 @@ ANCHORS = (
 def joined_words(text: Column) -> Column:
     """' w1 w2 ... ', or a single space without words."""
     words = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
-    return F.when(words == "", " ").otherwise(F.concat(F.lit(" "), words, F.lit(" ")))
+    return _let(words, lambda w: F.when(w == "", " ").otherwise(F.concat(F.lit(" "), w, F.lit(" "))))
 
 
 def _let(value: Column, body) -> Column:
@@ -164,12 +164,17 @@ def _linked(classes: DataFrame, threshold: float) -> DataFrame:
     return components(every).select(F.col("node").alias("id"), "label")
 
 
-def spot_classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """key, tie, class_id, a row per different key and text (`tie` is its SHA-1): the smallest key among the documents that links
-    reach. Documents link when their sets are equal, or not empty and of a Jaccard of `threshold` or more."""
+def signed_rows(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, tie (the text's SHA-1), sigs; stored, as signatures are dear and read more than once."""
     rows = df.select(quoted(key).alias("key"), F.sha1(whole(text)).alias("tie"), signatures(whole(text)).alias("sigs"))
-    rows = rows.withColumn("set", F.unhex(F.md5(fingerprint(F.col("sigs")))))
-    members = stored(rows.select("key", "tie", "set"), "spots-members")
+    return stored(rows, "spots-signed")
+
+
+def spot_classes(signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Of signed_rows: key, tie, class_id, a row per different key and text: the smallest key among the documents that links
+    reach. Documents link when their sets are equal, or not empty and of a Jaccard of `threshold` or more."""
+    rows = signed.withColumn("set", F.unhex(F.md5(fingerprint(F.col("sigs")))))
+    members = rows.select("key", "tie", "set").distinct()
     sets = rows.where(F.size("sigs") > 0).groupBy("set").agg(F.first("sigs").alias("sigs"))
     numbered = sets.select(F.monotonically_increasing_id().alias("id"), "set", "sigs", F.size("sigs").alias("n"), *_bits(F.col("sigs")))
     classes = stored(numbered, "spots-classes")
@@ -177,19 +182,25 @@ def spot_classes(df: DataFrame, key: str = "doc_id", text: str = "text", thresho
     least = members.groupBy("set").agg(F.min("key").alias("least")).join(known, "set", "left").withColumn("label", F.coalesce("label", F.lit(-1)))  # -1: the empty set
     least = stored(least, "spots-least")
     named = least.groupBy("label").agg(F.min("least").alias("class_id")).join(least, "label").select("set", "class_id")
-    return members.select("key", "tie", "set").distinct().join(named, "set").select("key", "tie", "class_id")
+    return members.join(named, "set").select("key", "tie", "class_id")
 
 
-def with_next(rows: DataFrame, named: DataFrame) -> DataFrame:
+def with_next(rows: DataFrame, signed: DataFrame, named: DataFrame) -> DataFrame:
     """rows (key, text, tie) with class_id, sigs, and next_text, next_sigs of the next row in descending order of `key`, then `tie`; after
-    the last, the first. `named` has the class_id of every key and tie; its rows travel as rows without a text that stand before theirs."""
+    the last, the first. `signed` and `named` have the sigs and the class_id of every key and tie; their rows travel without a text and stand before
+    the rows they tell of, so no row with a text is shuffled twice.
+    """
     spark = rows.sparkSession
     steps = (4 * shuffle_partitions(spark) - 1).bit_length()
     cuts = rows.agg(F.percentile_approx("key", [i / 2**steps for i in range(1, 2**steps)], 8 * 2**steps)).first()[0]
     last = F.lit(-1)  # null keys
     at = range_index(F.col("key"), F.lit(cuts), steps) if cuts else F.lit(0)
-    ranged = rows.withColumn("range", F.when(F.col("key").isNull(), last).otherwise(at))
-    tops = {r["range"]: r["top"] for r in ranged.groupBy("range").agg(F.max("key").alias("top")).collect()}  # at most 4 ranges a partition
+    in_range = F.when(F.col("key").isNull(), last).otherwise(at)
+    no_text, no_class, no_sigs = (F.lit(None).cast(t) for t in ("string", rows.schema["key"].dataType, "array<bigint>"))
+    told = signed.select("key", "tie", no_class.alias("class_id"), "sigs").unionByName(named.select("key", "tie", "class_id", no_sigs.alias("sigs")))
+    told = told.select("*", no_text.alias("text"), F.lit(0).alias("row"))
+    ranged = rows.select("*", no_class.alias("class_id"), no_sigs.alias("sigs"), F.lit(1).alias("row")).unionByName(told).withColumn("range", in_range)
+    tops = {r["range"]: r["top"] for r in rows.select("key", in_range.alias("range")).groupBy("range").agg(F.max("key").alias("top")).collect()}  # at most 4 ranges a partition
     if not tops:
         none = rows.withColumn("class_id", F.col("key")).withColumn("sigs", signatures(F.col("text")))
         return none.select("*", F.col("text").alias("next_text"), F.col("sigs").alias("next_sigs"))
@@ -207,17 +218,11 @@ def with_next(rows: DataFrame, named: DataFrame) -> DataFrame:
     dealt = dealt.select("*", "at.*").drop("at")
     # a ghost follows all rows of the range; of ghosts that share the key the first counts
     order = ["ghost", F.col("key").desc_nulls_last(), "tie"]
-    none = F.lit(None).cast(rows.schema["key"].dataType)
-    name = named.select(*[F.lit(None).cast("string").alias(c) if c == "text" else F.col(c) for c in rows.columns], "class_id", F.lit(0).alias("row"))
-    name = name.withColumn("range", F.when(F.col("key").isNull(), last).otherwise(range_index(F.col("key"), F.lit(cuts), steps) if cuts else F.lit(0)).cast("int"))
-    both = dealt.select("*", none.alias("class_id"), F.lit(1).alias("row")).unionByName(name.withColumn("ghost", F.lit(False)))
-    before_each = F.when(F.col("row") == 0, F.struct("class_id"))
     line = W.partitionBy("range").orderBy(*order, "row").rowsBetween(W.unboundedPreceding, W.currentRow)
-    # signatures are made behind the exchange, which then moves texts only
-    joined = both.repartition("range").withColumn("class_id", F.last(before_each, ignorenulls=True).over(line)["class_id"]).where("row = 1")
-    signed = joined.withColumn("sigs", signatures(F.col("text")))
+    name = F.last(F.when(F.col("sigs").isNull() & (F.col("row") == 0), F.struct("class_id")), ignorenulls=True).over(line)
+    latest = dealt.select(*rows.columns, "range", "ghost", "row", name["class_id"].alias("class_id"), F.last("sigs", ignorenulls=True).over(line).alias("sigs"))
     following = [F.lead(c).over(W.partitionBy("range").orderBy(*order)).alias(f"next_{c}") for c in ("text", "sigs")]
-    return signed.select(*rows.columns, "class_id", "sigs", "ghost", *following).where(~F.col("ghost")).drop("ghost")
+    return latest.where("row = 1").select(*rows.columns, "class_id", "sigs", "ghost", *following).where(~F.col("ghost")).drop("ghost")
 
 
 def edited_fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -225,7 +230,8 @@ def edited_fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text")
     rows = df.select(quoted(key).alias("key"), whole(text).alias("text")).withColumn("tie", F.sha1("text"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    pairs = with_next(rows, spot_classes(df, key, text))
+    signed = signed_rows(df, key, text)
+    pairs = with_next(rows, signed, spot_classes(signed))
     edited = pairs.select(
         "key", "class_id", n.cast("long").alias("n_chars"), "sigs", "next_sigs",
         F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)).alias("edited"),

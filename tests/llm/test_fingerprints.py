@@ -6,7 +6,7 @@ from unittest.mock import patch
 import pytest
 
 from plumbline.llm.common import stored
-from plumbline.llm.fingerprints import ANCHORS, edited_fingerprints, fingerprint, signatures, spot_classes
+from plumbline.llm.fingerprints import ANCHORS, edited_fingerprints, fingerprint, signatures, signed_rows, spot_classes
 from pyspark.sql import functions as F
 
 
@@ -99,7 +99,7 @@ def _same_classes(df):
     rows = [(r["doc_id"], r["text"] or "") for r in df.collect()]
     prints = df.select(F.coalesce("text", F.lit("")).alias("text")).distinct().select("text", fingerprint(signatures(F.col("text"))).alias("f")).collect()
     want = _plain_classes(rows, {r["text"]: frozenset(r["f"].split()) for r in prints})
-    got = {(r["key"], r["tie"]): r["class_id"] for r in spot_classes(df).collect()}
+    got = {(r["key"], r["tie"]): r["class_id"] for r in spot_classes(signed_rows(df)).collect()}
     assert got == {(k, hashlib.sha1(t.encode()).hexdigest()): c for (k, t), c in want.items()}
     return want
 
@@ -136,7 +136,7 @@ def test_classes_of_odd_rows(odd, empty):
     want = _same_classes(odd)
     classes = Counter((r["doc_id"], r["class_id"]) for r in edited_fingerprints(odd).collect())
     assert classes == Counter((r["doc_id"], want[r["doc_id"], r["text"] or ""]) for r in odd.collect())
-    assert spot_classes(empty).collect() == []
+    assert spot_classes(signed_rows(empty)).collect() == []
 
 
 def test_no_pairs_within_a_group_of_near_copies(spark):
@@ -151,5 +151,5 @@ def test_no_pairs_within_a_group_of_near_copies(spark):
         return out
 
     with patch("plumbline.llm.fingerprints.stored", noted):
-        assert {r["class_id"] for r in spot_classes(df).collect()} == {0}
+        assert {r["class_id"] for r in spot_classes(signed_rows(df)).collect()} == {0}
     assert made["spots-star"] <= made["spots-bins"] * 2 and made["spots-pairs"] < 20 * 1500  # 1,124,250 pairs of classes
