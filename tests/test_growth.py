@@ -40,3 +40,10 @@ def test_a_sample_is_checked_without_broadcasting_the_other_table(spark, tmp_pat
     df = PLANS["sql_sample_checked"](spark, sf)
     assert "Broadcast" not in _plan(df)
     assert df.first()["all_known"] is known
+
+
+def test_an_estimate_keeps_no_sketch_per_distinct_value(spark, tmp_path):
+    rows = [(i % 300, i % 7) for i in range(1000)] + [(None, None)] * 5
+    df = PLANS["sql_approx_distinct"](spark, _tables(spark, tmp_path, lineitem=(rows, "l_partkey long, l_orderkey long")))
+    assert "Expand" not in _plan(df)
+    assert tuple(df.first()) == (300, 7, True, True)
