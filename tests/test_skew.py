@@ -96,6 +96,31 @@ def test_range_join_of_every_length(spark, width):
     assert sorted((r["i"], r["j"]) for r in got) == want
 
 
+@pytest.mark.parametrize("width, groups", [(1.0, 1), (16.0, 3), (5000.0, 2)])
+def test_range_join_of_sums_makes_no_pairs(spark, width, groups):
+    rng = np.random.default_rng(3)
+    points = [(int(v) % groups, float(v), 1, int(v)) for v in np.where(rng.random(3000) < 0.4, 50, rng.integers(-3000, 3000, 3000))] + [(0, None, 1, 7), (None, 3.0, 1, 3)]
+    spans = [(int(a) % groups, j, float(a), float(a + 2.0 ** (j % 14))) for j, a in enumerate(rng.integers(-3000, 3000, 120))]
+    spans += [(0, 500, float("-inf"), 0.0), (0, 501, 10.0, float("inf")), (0, 502, float("-inf"), float("inf")), (0, 503, 7.0, 7.0), (0, 504, 8.0, 2.0), (0, 505, None, 3.0), (None, 506, 0.0, 9.0)]
+    spans += [(0, 600 + j, 40.0, float("inf")) for j in range(300)] + [(0, 506, 5000.0, 9000.0), (0, 507, 49.5, 50.5)]
+    left, right = spark.createDataFrame(points, "g int, v double, one long, x long"), spark.createDataFrame(spans, "g int, j int, a double, b double")
+    met = range_join(left, right, F.col("v"), F.col("a"), F.col("b"), width, ["g"], ["one", "x"])
+    assert sorted(met.columns) == ["a", "b", "g", "j", "one", "x"]
+    rows = met.collect()
+    got = {}
+    for r in rows:
+        n, x = got.get((r["g"], r["j"]), (0, 0))
+        got[r["g"], r["j"]] = (n + r["one"], x + r["x"])
+    want = {}
+    for g, j, a, b in spans:
+        held = [x for h, v, _, x in points if None not in (g, h, v, a) and g == h and a <= v <= b]
+        if held:
+            want[g, j] = (len(held), sum(held))
+    assert got == want
+    if width < 100:  # two nodes a level, and the places in two bins
+        assert len(rows) <= len(spans) * (2 * 13 + 2 * width)
+
+
 def test_exact_distinct_and_repeated_values(spark):
     rng = random.Random(6)
     rows = [(i, rng.choice([None, 0, -1, -40_000, 2**40, rng.randint(-70_000, 70_000)]), None, rng.choice(["", None, "long " * 50 + str(rng.randint(0, 30)), f"own {i}"])) for i in range(2000)]
