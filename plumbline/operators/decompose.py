@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections import defaultdict
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,51 +71,104 @@ def _residual_flags(residual: np.ndarray, level: float) -> tuple[np.ndarray, np.
 
 
 def _decomposed(split: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]):
-    def flags(step: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        every = np.arange(step[0], step[-1] + 1)
-        if not np.isfinite(value).all():  # nothing can be told by an infinite point
-            return np.zeros(len(step), bool), np.zeros(len(step))
-        filled = np.interp(every, step, value)  # periods without a point lie on a straight line
+    def flags(steps: list[np.ndarray], values: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        found = [(np.zeros(len(step), bool), np.zeros(len(step))) for step in steps]
+        whole = [i for i, value in enumerate(values) if np.isfinite(value).all()]  # nothing can be told by an infinite point
+        if not whole:
+            return found
+        # periods without a point lie on a straight line
+        filled = np.stack([np.interp(np.arange(steps[i][0], steps[i][-1] + 1), steps[i], values[i]) for i in whole], axis=1)
         season, trend = split(filled)
-        return _residual_flags((filled - season - trend)[step - step[0]], float(np.median(np.abs(value))))
+        residual = filled - season - trend
+        for column, i in enumerate(whole):
+            found[i] = _residual_flags(residual[steps[i] - steps[i][0], column], float(np.median(np.abs(values[i]))))
+        return found
 
     return flags
 
 
-def _fenced(step: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    q1, q3 = np.quantile(value, [0.25, 0.75])
-    reach = FENCE * (q3 - q1)
-    outside = np.maximum(q1 - reach - value, value - q3 - reach)
-    return outside > 0, np.where(q3 > q1, outside / (q3 - q1 or 1.0), outside)
+def _fenced(steps: list[np.ndarray], values: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    found = []
+    for value in values:
+        q1, q3 = np.quantile(value, [0.25, 0.75])
+        reach = FENCE * (q3 - q1)
+        outside = np.maximum(q1 - reach - value, value - q3 - reach)
+        found.append((outside > 0, np.where(q3 > q1, outside / (q3 - q1 or 1.0), outside)))
+    return found
+
+
+POINTS = 1 << 17  # points of whole series that a task works on at once
+
+
+def _flagged(series: list[tuple[np.ndarray, np.ndarray]], methods: list) -> list[tuple]:
+    """Of series that span equally many periods, (hits, scores, method, problem) each, by the first method that works."""
+    problem = None
+    for method, flags in methods:
+        try:
+            found = flags([step for step, _ in series], [value for _, value in series])
+        except Exception as e:  # a failing method is reported, not raised
+            if len(series) > 1:  # by the series that it fails on
+                return [_flagged([one], methods)[0] for one in series]
+            problem = f"{method}: {e}"
+            continue
+        return [(hit, score, method, None) for hit, score in found]
+    return [(None, None, None, problem)] * len(series)
+
+
+def _detected(table: pa.Table, names: Sequence[str], pick: Callable, out: list[str]) -> pa.Table:
+    """Anomalies and failures of the whole series in `table`, which has their points in order, each series' first numbered 1."""
+    steps, values = (table[c].to_numpy() for c in ("step", "value"))
+    edges = np.append(np.flatnonzero(table["place"].to_numpy() == 1), len(steps))
+    widths: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    for a, b in zip(edges[:-1], edges[1:]):
+        if b - a >= MIN_POINTS:
+            widths[int(steps[b - 1] - steps[a]) + 1].append((a, b))
+    rows, scores, methods, errors = [], [], [], []
+    for width, spans in widths.items():
+        several = max(1, POINTS // width)
+        for at in range(0, len(spans), several):
+            part = spans[at : at + several]
+            for (a, _), (hit, score, method, problem) in zip(part, _flagged([(steps[a:b], values[a:b]) for a, b in part], pick(width))):
+                places = [a] if problem else (a + np.flatnonzero(hit)).tolist()
+                rows += places
+                scores += [None] if problem else score[hit].tolist()
+                methods += [method] * len(places)
+                errors += [problem] * len(places)
+    told = table.take(pa.array(rows, pa.int64()))
+    failed = pa.array([e is not None for e in errors], pa.bool_())
+    blank = {c: pc.if_else(failed, pa.scalar(None, told.schema.field(c).type), told[c]) for c in ("step", "value")}
+    columns = {**{c: told[c] for c in names}, **blank, "score": pa.array(scores, pa.float64()), "method": pa.array(methods, pa.string()), "error": pa.array(errors, pa.string())}
+    return pa.table([columns[c] for c in out], names=out)
 
 
 def _per_series(points: DataFrame, freq: str, by: Sequence[str], pick: Callable) -> DataFrame:
     names = [f"_g{i}" for i in range(len(by))]  # plain names for the Python step
     groups = [named(c).alias(g) for c, g in zip(by, names)]
-    steps = points.select(*groups, _step_of(freq, F.col("ts")).alias("step"), "value")
+    steps = points.select(*groups, _step_of(freq, F.col("ts")).alias("step"), F.col("value").cast("double").alias("value"))
     out = T.StructType([steps.schema[c] for c in names])
     out = out.add("step", "long").add("value", "double").add("score", "double")
     out = out.add("method", "string").add("error", "string")
 
-    def detect(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("step")
-        if len(frame) < MIN_POINTS:
-            return pd.DataFrame(columns=out.names, dtype=object)
-        step, value = frame["step"].to_numpy(), frame["value"].to_numpy()
-        problem = None
-        for method, flags in pick(int(step[-1] - step[0]) + 1):
-            try:
-                hit, score = flags(step, value)
-            except Exception as e:  # a failing method is reported, not raised
-                problem = f"{method}: {e}"
+    def detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size < POINTS:
                 continue
-            return frame[hit].assign(score=score[hit], method=method, error=None)[out.names]
-        row = {**dict.fromkeys(out.names), **{c: frame[c].iloc[0] for c in names}, "error": problem}
-        return pd.DataFrame([row], columns=out.names, dtype=object)
+            table = pa.Table.from_batches(held).combine_chunks()
+            firsts = np.flatnonzero(table["place"].to_numpy() == 1)
+            if firsts[-1] > 0:  # the last series may go on
+                yield from _detected(table.slice(0, firsts[-1]), names, pick, out.names).to_batches()
+            held, size = table.slice(firsts[-1]).to_batches(), table.num_rows - firsts[-1]
+        if held:
+            yield from _detected(pa.Table.from_batches(held).combine_chunks(), names, pick, out.names).to_batches()
 
     if names:  # series are small in bytes but costly: keep them in many tasks
         steps = steps.repartition(shuffle_partitions(points.sparkSession), *names)
-    found = steps.groupBy(*names).applyInPandas(detect, out)
+    line = W.partitionBy(*names).orderBy("step")
+    placed = steps.withColumn("place", F.row_number().over(line)).sortWithinPartitions(*names, "step", "place")
+    found = placed.mapInArrow(detect, out)
     back = [F.col(g).alias(c) for c, g in zip(by, names)]
     return found.select(*back, _start_of(freq, F.col("step")).alias("ts"), "value", "score", "method", "error")
 

@@ -350,3 +350,52 @@ def test_a_long_skewed_series_leaves_its_task_few_values(spark):
     df = spark.range(3_000_000).selectExpr("cast(id % 9 = 0 as int) as g", "randn(3) + case when id % 100000 = 0 then 50 else 0 end as value")
     steps = esd_steps(df, "value", ["g"], pruned=True).groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("statistic") > F.col("critical")).alias("out")).collect()
     assert sum(r["out"] for r in steps) >= 30 and all(r["n"] < 2000 for r in steps)
+
+
+def test_series_decomposed_together_are_as_alone():
+    rng = np.random.default_rng(5)
+    for n, period in ((80, 12), (27, 12), (61, 7)):
+        y = rng.normal(0, 1, (n, 30)) + 5 * np.sin(np.arange(n) * 2 * np.pi / period)[:, None]
+        y[:, 3], y[:, 4], y[5, 6] = 7.0, np.arange(n), 1e9
+        for together, alone in ((stl(y, period), [stl(y[:, j], period) for j in range(30)]), (mstl(y, [period]), [mstl(y[:, j], [period]) for j in range(30)])):
+            for j in range(30):
+                assert np.array_equal(together[0][:, j], alone[j][0]) and np.array_equal(together[1][:, j], alone[j][1])
+
+
+def test_many_series_share_a_task_and_come_out_apart(spark, monkeypatch):
+    """Cut anywhere between batches, of unlike lengths, with infinite points and failures of their own."""
+    from plumbline.operators import decompose
+
+    rng = np.random.default_rng(6)
+    rows = []
+    for k in range(60):
+        n = int(rng.integers(5, 70))
+        values = rng.normal(0, 1, n)
+        values[n // 2] += 50
+        if k % 10 == 0:
+            values[0] = np.inf
+        rows += [(None if k == 7 else k, int(i), float(v)) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "k int, i int, value double").select("k", F.add_months(F.lit("2015-01-01"), F.col("i")).cast("timestamp_ntz").alias("ts"), "value")
+    together = stl_anomalies(df, "M", ["k"])
+    out = sorted(map(repr, together.collect()))
+    monkeypatch.setattr(decompose, "POINTS", 50)
+    assert sorted(map(repr, stl_anomalies(df, "M", ["k"]).collect())) == out
+    sizes, flagged = {}, {}
+    for k, i, v in rows:
+        sizes.setdefault(k, []).append(v)
+    for k, values in sizes.items():
+        y, n = np.array(values), len(values)
+        if n < 8 or not np.isfinite(y).all():
+            continue
+        if n <= 24:
+            flagged[k] = f"stl: {n} points are too few for a season of 12"
+        else:
+            season, trend = stl(y, 12)
+            flagged[k] = {round(float(v), 6) for v, s in zip(y, decompose.robust_score(y - season - trend)) if abs(s) > 3}
+    got = {}
+    for r in together.collect():
+        if r["error"]:
+            got[r["k"]] = r["error"]
+        else:
+            got.setdefault(r["k"], set()).add(round(r["value"], 6))
+    assert got == {k: v for k, v in flagged.items() if v}
