@@ -47,3 +47,18 @@ def test_an_estimate_keeps_no_sketch_per_distinct_value(spark, tmp_path):
     df = PLANS["sql_approx_distinct"](spark, _tables(spark, tmp_path, lineitem=(rows, "l_partkey long, l_orderkey long")))
     assert "Expand" not in _plan(df)
     assert tuple(df.first()) == (300, 7, True, True)
+
+
+def test_workbooks_reach_python_one_by_one(spark):
+    """However many a partition has."""
+    import io as files
+    import zipfile
+
+    from plumbline.sources import workbook
+
+    content = files.BytesIO()
+    with zipfile.ZipFile(content, "w") as book:
+        book.writestr("xl/worksheets/sheet1.xml", '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData><row r="1"><c t="inlineStr"><is><t>a</t></is></c></row><row r="2"><c><v>5</v></c></row></sheetData></worksheet>')
+    books = spark.createDataFrame([(f"book-{i}", bytearray(content.getvalue())) for i in range(30)], "path string, content binary").coalesce(1)
+    assert "MapInPandas" not in _plan(workbook.decode_workbooks(books))
+    assert sorted(map(tuple, workbook.decode_workbooks(books).collect())) == sorted((f"book-{i}", *row) for i in range(30) for row in ((1, ["a"]), (2, ["5"])))
