@@ -8,8 +8,8 @@ words between them left out. A document's fingerprint is the set of its signatur
 set can only match in its own partition and the next. Rare signatures come first in a set;
 sets that reach the threshold share one of the first |S| - ceil(threshold * |S|) + 1, which is where
 they meet. Equal sets are one class with one representative. A class first meets the two ends of each bin (signature and partition), which
-are as many pairs as entries; links make components, and bins that hold more than one of them then pair classes of different components
-only, so the links within a group of near copies are never listed. Lengths, places in the order and 128 bits of each set bound Jaccard before
+are as many pairs as entries; links make components. Bins that hold more than one of them do the same with classes drawn by hash, in a few rounds, and
+what is then left pairs classes of different components only, so the links within a group of near copies are never listed. Lengths, places in the order and 128 bits of each set bound Jaccard before
 sets are compared in whole. class_id is the smallest key that links reach.
 
 *Edited texts.* The half of a text is replaced by the start of the next document in descending order of
@@ -36,6 +36,8 @@ from .common import quoted, stored, whole
 from .ngram_join import components
 
 CHAIN = 2
+ROUNDS, REPRESENTATIVES = 3, 4  # of classes drawn in each bin before the others are paired
+MEMBER = ("id", "n", "place", "part", "low", "high", "label")
 THRESHOLD = 0.8
 #: Common words of the languages in question.
 ANCHORS = (
@@ -105,6 +107,12 @@ def _bits(sigs: Column) -> list[Column]:
     return [half(0).alias("low"), half(64).alias("high")]
 
 
+def _shared(x: str, y: str) -> Column:
+    """At most so many signatures of the set whose columns begin with `x` are in that of `y`: the others set a bit that y's do not."""
+    alone = [F.bit_count(F.col(f"{x}{c}").bitwiseAND(F.bitwise_not(F.col(f"{y}{c}")))) for c in ("low", "high")]
+    return F.col(f"{x}n") - alone[0] - alone[1]
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     """Of pairs (u, v) of different classes those whose Jaccard reaches the threshold. The bits that only one set has
     bound the intersection, so few sets are fetched in whole."""
@@ -113,12 +121,8 @@ def _verified(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFra
     def side(name: str, *columns: str) -> DataFrame:
         return classes.select(F.col("id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
 
-    def shared(x: str, y: str) -> Column:
-        alone = [F.bit_count(F.col(f"{x}_{c}").bitwiseAND(F.bitwise_not(f"{y}_{c}"))) for c in ("low", "high")]
-        return F.col(f"{x}_n") - alone[0] - alone[1]
-
     light = pairs.join(side("u", "n", "low", "high"), "u").join(side("v", "n", "low", "high"), "v")
-    open_ = stored(light.where(F.least(shared("u", "v"), shared("v", "u")) >= need).select("u", "v"), "spots-pairs")
+    open_ = stored(light.where(F.least(_shared("u_", "v_"), _shared("v_", "u_")) >= need).select("u", "v"), "spots-pairs")
     compared = open_.join(side("u", "sigs"), "u").join(side("v", "sigs"), "v")
     return stored(compared.where(jaccard(F.col("u_sigs"), F.col("v_sigs")) >= threshold).select("u", "v"), "spots-links")
 
@@ -149,19 +153,39 @@ def _linked(classes: DataFrame, threshold: float) -> DataFrame:
     labels = components(links).select(F.col("node").alias("id"), "label")
     # then only classes that are not together yet; a bin that holds one component has nothing left to link
     labelled = stored(bins.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "spots-labelled")
+    left = stored(_mixed(labelled).join(classes.select("id", "low", "high"), "id"), "spots-mixed")
+    # groups that the ends did not hold together meet a few others of each bin, drawn anew each round: as many pairs as entries
+    for round_ in range(ROUNDS):
+        drawn = left.groupBy("sig", "bin").agg(*[F.min(F.struct(F.xxhash64("id", F.lit(REPRESENTATIVES * round_ + i)).alias("h"), *MEMBER)).alias(f"r{i}") for i in range(REPRESENTATIVES)])
+        others = drawn.select("sig", "bin", F.explode(F.array_distinct(F.array(*[F.struct(*[f"r{i}.{c}" for c in MEMBER]) for i in range(REPRESENTATIVES)]))).alias("b"))
+        found = stored(_verified(_met(left.alias("a"), others.select("sig", "bin", "b.*").alias("b"), threshold, F.col("a.label") != F.col("b.label")), classes, threshold), "spots-drawn")
+        if found.isEmpty():
+            break
+        links = links.unionByName(found)
+        labels = components(links).select(F.col("node").alias("id"), "label")
+        left = stored(_mixed(left.drop("label").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))), "spots-mixed")
+    pairs = _met(left.alias("a"), left.alias("b"), threshold, F.col("a.label") < F.col("b.label"))
+    every = links.unionByName(_verified(pairs, classes, threshold))
+    return components(every).select(F.col("node").alias("id"), "label")
+
+
+def _mixed(labelled: DataFrame) -> DataFrame:
+    """The entries of bins that hold more than one component."""
     mixed = labelled.groupBy("sig", "bin").agg(F.min("label").alias("first"), F.max("label").alias("last")).where(F.col("first") != F.col("last"))
-    left = stored(labelled.join(mixed.select("sig", "bin"), ["sig", "bin"]), "spots-mixed")
-    a, b = left.alias("a"), left.alias("b")
+    return labelled.join(mixed.select("sig", "bin"), ["sig", "bin"])
+
+
+def _met(a: DataFrame, b: DataFrame, threshold: float, apart: Column) -> DataFrame:
+    """u, v: pairs of entries a and b of one bin that are `apart` and that lengths, places and bits leave a chance."""
+    need = threshold / (1 + threshold) * (F.col("a.n") + F.col("b.n")) - 1e-9
     together = F.least(F.col("a.place"), F.col("b.place")) + F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
     bounds = (
-        (F.col("a.label") < F.col("b.label")) & (F.col("a.bin") == F.greatest("a.part", "b.part"))
+        apart & (F.col("a.bin") == F.greatest("a.part", "b.part"))
         & (F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n") - 1e-9)
-        & (together >= threshold / (1 + threshold) * (F.col("a.n") + F.col("b.n")) - 1e-9)
+        & (together >= need) & (F.least(_shared("a.", "b."), _shared("b.", "a.")) >= need)
     )
     pairs = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.bin") == F.col("b.bin")) & bounds)
-    pairs = pairs.select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v")).distinct().join(star, ["u", "v"], "left_anti")
-    every = links.unionByName(_verified(pairs, classes, threshold))
-    return components(every).select(F.col("node").alias("id"), "label")
+    return pairs.select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v")).distinct()
 
 
 def signed_rows(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
