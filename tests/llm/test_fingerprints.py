@@ -153,3 +153,32 @@ def test_no_pairs_within_a_group_of_near_copies(spark):
     with patch("plumbline.llm.fingerprints.stored", noted):
         assert {r["class_id"] for r in spot_classes(signed_rows(df)).collect()} == {0}
     assert made["spots-star"] <= made["spots-bins"] * 2 and made["spots-pairs"] < 20 * 1500  # 1,124,250 pairs of classes
+
+
+def test_a_large_group_of_near_copies_is_not_paired(spark, monkeypatch):
+    """Its ends alone do not hold it together: members are as far from each other as the threshold allows."""
+    import random
+
+    from plumbline.llm import fingerprints as module
+
+    rng = random.Random(3)
+    base = [f"{'the ' if i % 2 else ''}w{i}" for i in range(120)]
+    texts = []
+    for _ in range(250):
+        own = list(base)
+        for i in rng.sample(range(1, 120, 6), rng.randint(1, 5)):
+            own[i] = f"the x{rng.randint(0, 30)}"
+        texts.append(" ".join(own))
+    made, verified = [], module._verified
+    monkeypatch.setattr(module, "_verified", lambda pairs, *rest: (made.append(pairs.count()), verified(pairs, *rest))[1])
+    signed = module.signed_rows(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    sets = {r["key"]: set(r["sigs"]) for r in signed.collect()}
+    got = {r["key"]: r["class_id"] for r in module.spot_classes(signed).collect()}
+    want = {k: k for k in sets}
+    for _ in range(len(sets)):
+        new = {k: min(want[j] for j, other in sets.items() if len(own & other) >= 0.8 * len(own | other)) for k, own in sets.items()}
+        if new == want:
+            break
+        want = new
+    assert got == want
+    assert made[-1] < len(texts) and sum(made) < 250 * 249 / 8  # the last step pairs what is left
