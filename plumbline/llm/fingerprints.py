@@ -8,7 +8,7 @@ words between them left out. A document's fingerprint is the set of its signatur
 set can only match in its own partition and the next. Rare signatures come first in a set;
 sets that reach the threshold share one of the first |S| - ceil(threshold * |S|) + 1, which is where
 they meet. Equal sets are one class with one representative. A class first meets the two ends of each bin (signature and partition), which
-are as many pairs as entries; links make components. Bins that hold more than one of them do the same with classes drawn by hash, in a few rounds, and
+are as many pairs as entries; links make components. Bins that hold more than one of them do the same with classes drawn by hash, in a few rounds as long as more pairs than entries are left, and
 what is then left pairs classes of different components only, so the links within a group of near copies are never listed. Lengths, places in the order and 128 bits of each set bound Jaccard before
 sets are compared in whole. class_id is the smallest key that links reach.
 
@@ -32,11 +32,11 @@ from pyspark.sql import Window as W
 
 from ..operators.skew import range_index
 from ..session import shuffle_partitions
-from .common import quoted, stored, whole
+from .common import dropped, quoted, stored, whole
 from .ngram_join import components
 
 CHAIN = 2
-ROUNDS, REPRESENTATIVES = 3, 4  # of classes drawn in each bin before the others are paired
+ROUNDS, REPRESENTATIVES = 3, 4  # of classes drawn in each bin before the others are paired, where many pairs are left
 MEMBER = ("id", "n", "place", "part", "low", "high", "label")
 THRESHOLD = 0.8
 #: Common words of the languages in question.
@@ -113,18 +113,14 @@ def _shared(x: str, y: str) -> Column:
     return F.col(f"{x}n") - alone[0] - alone[1]
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Of pairs (u, v) of different classes those whose Jaccard reaches the threshold. The bits that only one set has
-    bound the intersection, so few sets are fetched in whole."""
-    need = threshold / (1 + threshold) * (F.col("u_n") + F.col("v_n")) - 1e-9
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """u, v, u_label, v_label: of pairs of different classes those whose Jaccard reaches the threshold."""
 
-    def side(name: str, *columns: str) -> DataFrame:
-        return classes.select(F.col("id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
+    def side(name: str) -> DataFrame:
+        return sets.select(F.col("id").alias(name), F.col("sigs").alias(f"{name}_sigs"))
 
-    light = pairs.join(side("u", "n", "low", "high"), "u").join(side("v", "n", "low", "high"), "v")
-    open_ = stored(light.where(F.least(_shared("u_", "v_"), _shared("v_", "u_")) >= need).select("u", "v"), "spots-pairs")
-    compared = open_.join(side("u", "sigs"), "u").join(side("v", "sigs"), "v")
-    return stored(compared.where(jaccard(F.col("u_sigs"), F.col("v_sigs")) >= threshold).select("u", "v"), "spots-links")
+    compared = pairs.join(side("u"), "u").join(side("v"), "v")
+    return stored(compared.where(jaccard(F.col("u_sigs"), F.col("v_sigs")) >= threshold).select("u", "v", "u_label", "v_label"), "spots-links")
 
 
 def _probes(classes: DataFrame, threshold: float) -> DataFrame:
@@ -141,51 +137,78 @@ def _probes(classes: DataFrame, threshold: float) -> DataFrame:
     return placed.select("id", "n", "sig", F.col("place").cast("int").alias("place"), part.alias("part"))
 
 
-def _linked(classes: DataFrame, threshold: float) -> DataFrame:
-    """id, label: the classes linked to others, with the smallest id that their links reach."""
+def _linked(classes: DataFrame, threshold: float) -> list[DataFrame]:
+    """Tables of node, label: which label each takes, to be followed one after the other from a class's own id. A class that
+    links reach ends at the smallest id of its component; one that is in none of them is linked with no other."""
     parts = F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("bin")
-    bins = stored(_probes(classes, threshold).select("*", parts), "spots-bins")
+    bins = stored(_probes(classes, threshold).select("*", parts, F.col("id").alias("label")), "spots-bins")
+    left = stored(_mixed(bins).join(classes.select("id", "low", "high"), "id"), "spots-mixed")
+    # whatever is paired comes from these entries, so only their sets are fetched
+    sets = stored(classes.select("id", "sigs").join(left.select("id").distinct(), "id", "left_semi"), "spots-sets")
     # first each class meets the smallest and the largest of a bin: a group of near copies is held together by them
-    ends = bins.groupBy("sig", "bin").agg(F.min("id").alias("first"), F.max("id").alias("last")).where(F.col("first") != F.col("last"))
-    met = bins.join(ends, ["sig", "bin"]).select("id", F.explode(F.array("first", "last")).alias("other")).where(F.col("id") != F.col("other"))
-    star = stored(met.select(F.least("id", "other").alias("u"), F.greatest("id", "other").alias("v")).distinct(), "spots-star")
-    links = _verified(star, classes, threshold)
-    labels = components(links).select(F.col("node").alias("id"), "label")
-    # then only classes that are not together yet; a bin that holds one component has nothing left to link
-    labelled = stored(bins.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "spots-labelled")
-    left = stored(_mixed(labelled).join(classes.select("id", "low", "high"), "id"), "spots-mixed")
+    ends = left.groupBy("sig", "bin").agg(F.min(F.struct(*MEMBER)).alias("first"), F.max(F.struct(*MEMBER)).alias("last"))
+    star = stored(_met(left.alias("a"), _drawn(ends), threshold, F.col("a.id") != F.col("b.id")), "spots-star")
+    merged = [_merged(_verified(star, sets, threshold))]
+    left = _relabelled(left, merged[-1])
     # groups that the ends did not hold together meet a few others of each bin, drawn anew each round: as many pairs as entries
     for round_ in range(ROUNDS):
+        todo = left.agg(F.sum("share").alias("pairs"), F.count(F.lit(1)).alias("entries")).first()
+        if (todo["pairs"] or 0) <= todo["entries"]:
+            break  # less than a round would make
         drawn = left.groupBy("sig", "bin").agg(*[F.min(F.struct(F.xxhash64("id", F.lit(REPRESENTATIVES * round_ + i)).alias("h"), *MEMBER)).alias(f"r{i}") for i in range(REPRESENTATIVES)])
-        others = drawn.select("sig", "bin", F.explode(F.array_distinct(F.array(*[F.struct(*[f"r{i}.{c}" for c in MEMBER]) for i in range(REPRESENTATIVES)]))).alias("b"))
-        found = stored(_verified(_met(left.alias("a"), others.select("sig", "bin", "b.*").alias("b"), threshold, F.col("a.label") != F.col("b.label")), classes, threshold), "spots-drawn")
+        found = _verified(_met(left.alias("a"), _drawn(drawn), threshold, F.col("a.label") != F.col("b.label")), sets, threshold)
         if found.isEmpty():
             break
-        links = links.unionByName(found)
-        labels = components(links).select(F.col("node").alias("id"), "label")
-        left = stored(_mixed(left.drop("label").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))), "spots-mixed")
-    pairs = _met(left.alias("a"), left.alias("b"), threshold, F.col("a.label") < F.col("b.label"))
-    every = links.unionByName(_verified(pairs, classes, threshold))
-    return components(every).select(F.col("node").alias("id"), "label")
+        merged.append(_merged(found))
+        left = _relabelled(left, merged[-1])
+    apart = (F.col("a.label") < F.col("b.label")) & (F.col("a.bin") == F.greatest("a.part", "b.part"))
+    pairs = stored(_met(left.alias("a"), left.alias("b"), threshold, apart), "spots-pairs")
+    merged.append(_merged(_verified(pairs, sets, threshold)))
+    dropped(bins, left, sets, star, pairs)
+    return merged
+
+
+def _merged(links: DataFrame) -> DataFrame:
+    """node, label: the smallest label that links of labels reach."""
+    return components(links.select(F.col("u_label").alias("u"), F.col("v_label").alias("v")))
+
+
+def _drawn(bins: DataFrame) -> DataFrame:
+    """The different members that the columns beside sig and bin hold, as side b of `_met`."""
+    held = [F.struct(*[f"{name}.{c}" for c in MEMBER]) for name in bins.columns if name not in ("sig", "bin")]
+    return bins.select("sig", "bin", F.explode(F.array_distinct(F.array(*held))).alias("b")).select("sig", "bin", "b.*").alias("b")
 
 
 def _mixed(labelled: DataFrame) -> DataFrame:
-    """The entries of bins that hold more than one component."""
-    mixed = labelled.groupBy("sig", "bin").agg(F.min("label").alias("first"), F.max("label").alias("last")).where(F.col("first") != F.col("last"))
-    return labelled.join(mixed.select("sig", "bin"), ["sig", "bin"])
+    """The entries of bins that hold more than one component, with their shares in the pairs of different components there."""
+    parts = labelled.groupBy("sig", "bin", "label").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    mixed = parts.groupBy("sig", "bin").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    share = ((F.col("all") * F.col("all") - F.col("same")) / 2 / F.col("all")).alias("share")
+    return labelled.join(mixed.select("sig", "bin", share), ["sig", "bin"])
+
+
+def _relabelled(left: DataFrame, merged: DataFrame) -> DataFrame:
+    """The entries under their new labels, without the bins that hold one component: those have nothing left to link."""
+    new = merged.select(F.col("node").alias("label"), F.col("label").alias("new"))
+    labelled = left.drop("share").join(new, "label", "left").withColumn("label", F.coalesce("new", "label")).drop("new")
+    labelled = stored(labelled, "spots-labelled")
+    out = stored(_mixed(labelled), "spots-mixed")
+    dropped(labelled, left)
+    return out
 
 
 def _met(a: DataFrame, b: DataFrame, threshold: float, apart: Column) -> DataFrame:
-    """u, v: pairs of entries a and b of one bin that are `apart` and that lengths, places and bits leave a chance."""
+    """u, v, u_label, v_label: pairs of entries a and b of one bin that are `apart` and that lengths, places and bits leave a chance."""
     need = threshold / (1 + threshold) * (F.col("a.n") + F.col("b.n")) - 1e-9
     together = F.least(F.col("a.place"), F.col("b.place")) + F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
     bounds = (
-        apart & (F.col("a.bin") == F.greatest("a.part", "b.part"))
-        & (F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n") - 1e-9)
+        apart & (F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n") - 1e-9)
         & (together >= need) & (F.least(_shared("a.", "b."), _shared("b.", "a.")) >= need)
     )
     pairs = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.bin") == F.col("b.bin")) & bounds)
-    return pairs.select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v")).distinct()
+    least, most = F.col("a.id") < F.col("b.id"), F.col("a.id") > F.col("b.id")
+    named = [F.when(first, F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")).alias(name) for first, c, name in ((least, "id", "u"), (most, "id", "v"), (least, "label", "u_label"), (most, "label", "v_label"))]
+    return pairs.select(*named).distinct()
 
 
 def signed_rows(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -202,9 +225,13 @@ def spot_classes(signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     sets = rows.where(F.size("sigs") > 0).groupBy("set").agg(F.first("sigs").alias("sigs"))
     numbered = sets.select(F.monotonically_increasing_id().alias("id"), "set", "sigs", F.size("sigs").alias("n"), *_bits(F.col("sigs")))
     classes = stored(numbered, "spots-classes")
-    known = classes.select("id", "set").join(_linked(classes, threshold), "id", "left").select("set", F.coalesce("label", "id").alias("label"))
+    known = classes.select("set", F.col("id").alias("label"))
+    for merged in _linked(classes, threshold):
+        new = merged.select(F.col("node").alias("label"), F.col("label").alias("new"))
+        known = known.join(new, "label", "left").select("set", F.coalesce("new", "label").alias("label"))
     least = members.groupBy("set").agg(F.min("key").alias("least")).join(known, "set", "left").withColumn("label", F.coalesce("label", F.lit(-1)))  # -1: the empty set
     least = stored(least, "spots-least")
+    dropped(classes)
     named = least.groupBy("label").agg(F.min("least").alias("class_id")).join(least, "label").select("set", "class_id")
     return members.join(named, "set").select("key", "tie", "class_id")
 

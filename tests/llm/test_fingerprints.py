@@ -182,3 +182,25 @@ def test_a_large_group_of_near_copies_is_not_paired(spark, monkeypatch):
         want = new
     assert got == want
     assert made[-1] < len(texts) and sum(made) < 250 * 249 / 8  # the last step pairs what is left
+
+
+def test_stored_tables_do_not_outlive_their_use(spark):
+    """Only what the returned classes still read stays on the shared disk, besides the links: ids and labels."""
+    import os
+    from urllib.parse import urlparse
+
+    rng = random.Random(4)
+    base = [f"w{rng.randint(0, 400)}" if i % 3 else "the" for i in range(120)]
+    rows = [(i, _edited(rng, base, 2) if i % 2 else f"the own{i} text{i} of many{i} words{i}") for i in range(60)]
+    made = []
+
+    def noted(df, label):
+        out = stored(df, label)
+        made.append((label, os.path.dirname(urlparse(out.inputFiles()[0]).path)))
+        return out
+
+    with patch("plumbline.llm.fingerprints.stored", noted):
+        classes = spot_classes(signed_rows(spark.createDataFrame(rows, "doc_id long, text string")))
+    left = {label for label, folder in made if os.path.isdir(folder)}
+    assert {"spots-signed", "spots-least"} <= left <= {"spots-signed", "spots-least", "spots-links"}
+    assert {r["key"]: r["class_id"] for r in classes.collect()} == {i: 1 if i % 2 else i for i, _ in rows}
