@@ -5,7 +5,8 @@ from collections import Counter
 
 import pytest
 
-from plumbline.llm.lm_score import SuffixTree, build_tree, lm_score, symbols
+from plumbline.llm.lm_score import LEAST_CHANCE, MIN_COUNT, RATIO, STRENGTH, SuffixTree, build_tree, lm_score, symbols
+from plumbline.llm.queries import QUERIES
 
 
 def _fold(key):
@@ -89,3 +90,80 @@ def test_chances_after_a_context_sum_to_one():
         rest = (2**21 - 2) * 10 ** tree.chance(context, "z")
         assert seen + rest == pytest.approx(1.0, rel=1e-9)
     assert tree.state("cba") == "ba" and tree.state("c") == ""
+
+
+def _plain_words(rows, words, tree):
+    """The scores by a tree of whole words, by definition; log10, one per row."""
+    lines = [[b"", *_tokens(t)] for _, t in rows]  # the first end is the document's start
+    learned = [not _fold(k) for k, _ in rows]
+    counts = Counter(w for line, of in zip(lines, learned) if of for w in line[1:])
+    n, v = sum(counts.values()), len(counts)
+    after = {}
+    for line, of in zip(lines, learned):
+        for i in range(1, len(line) if of else 0):
+            for k in range(1, min(i, words) + 1):
+                after.setdefault(tuple(line[i - k : i]), Counter())[line[i]] += 1
+    after = {c: x for c, x in after.items() if sum(x.values()) >= MIN_COUNT}
+    kept = set()
+    for c, x in after.items():
+        shorter = after[c[1:]] if len(c) > 1 else counts
+        for w, m in x.items():
+            p, q = m / sum(x.values()), shorter[w] / sum(shorter.values())
+            if p >= LEAST_CHANCE and (p / q >= RATIO or p / q <= 1 / RATIO):
+                kept |= {c[i:] for i in range(len(c))}
+    scores = []
+    for line in lines:
+        total = 0.0
+        for i in range(1, len(line)):
+            q = tree.word(line[i].decode())
+            p = counts[line[i]] / (n + v) + v / (n + v) * 10**q if counts[line[i]] else 0.0
+            log = math.log10(p) if p else math.log10(v / (n + v)) + q
+            for k in range(1, min(i, words) + 1):
+                c = tuple(line[i - k : i])
+                if c in kept:
+                    m, all_ = after[c][line[i]], sum(after[c].values()) + STRENGTH
+                    log = math.log10(m / all_ + STRENGTH / all_ * 10**log) if m else math.log10(STRENGTH / all_) + log
+            total += log
+        scores.append(total)
+    return scores, kept, after
+
+
+def _tree_of(spark, rows):
+    counts = Counter(w for k, t in rows if not _fold(k) for w in _tokens(t))
+    return build_tree(spark.createDataFrame([(bytearray(w), n) for w, n in counts.items()], "word binary, n long"))
+
+
+@pytest.mark.parametrize("words", [1, 2, 3])
+def test_contexts_of_earlier_words(spark, documents, texts, words):
+    rows = list(texts.items())
+    want, kept, _ = _plain_words(rows, words, _tree_of(spark, rows))
+    assert {len(c) for c in kept} == set(range(1, words + 1))
+    got = lm_score(documents.repartition(4), words=words).collect()
+    assert {r["doc_id"]: r["score"] for r in got} == pytest.approx({k: x for (k, _), x in zip(rows, want)}, rel=1e-9)
+
+
+def test_contexts_of_odd_rows(spark, odd, empty):
+    rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
+    want, _, _ = _plain_words(rows, 2, _tree_of(spark, rows))
+    got = lm_score(odd, words=2).collect()
+    assert sorted(r["score"] for r in got) == pytest.approx(sorted(want), rel=1e-9)
+    assert lm_score(empty, words=2).collect() == []
+
+
+def test_contexts_that_tell_no_more_than_their_suffix(spark):
+    rows = [(i, "a b " * 40 + "c" * (i % 3)) for i in range(8)] + [(9, "b a a c"), (None, "b b a"), (None, None)]
+    want, kept, after = _plain_words(rows, 2, _tree_of(spark, rows))
+    assert (b"a",) in kept and (b"b", b"a") in set(after) - kept
+    got = lm_score(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()
+    assert sorted(r["score"] for r in got) == pytest.approx(sorted(want), rel=1e-9)
+
+
+def test_the_query_tells_a_text_from_its_words_in_another_order(spark, tmp_path):
+    learned = [i for i in range(200) if not _fold(i)][:60]
+    held = [i for i in range(300, 400) if _fold(i)][:3]
+    said = "the red fox ran over a hill and saw the sea"
+    rows = [(i, said) for i in learned] + list(zip(held, (said, "sea hill the fox a and over saw red ran the", said.upper())))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    score = {r["doc_id"]: r["score"] for r in QUERIES["op5_lm_score"](spark, str(tmp_path)).collect()}
+    assert score[held[0]] == pytest.approx(score[held[2]], rel=1e-12)
+    assert score[held[0]] > score[held[1]] + 3
