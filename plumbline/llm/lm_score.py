@@ -52,7 +52,7 @@ LEAST_CHANCE = 1e-3  # of a symbol that the divergence test looks at
 UNIFORM = 2.0**-21
 WORDS = 2  # of the longest context
 MIN_COUNT = 16
-STRENGTH = 32.0  # learned symbols that the shorter context counts for
+STRENGTH = 256.0  # learned symbols that the shorter context counts for
 STATE = "chunk long, kind int, piece int, a binary, b binary, c binary"
 _STOP, _BOUNDARY = "\0", "\1"
 
@@ -308,7 +308,8 @@ class SuffixTree:
 
 def build_tree(words: DataFrame, depth: int = DEPTH, min_share: float = MIN_SHARE, ratio: float = RATIO) -> SuffixTree:
     """Grow the tree from (word, n)."""
-    spread = words.select("word", "n").repartition(2 * words.sparkSession.sparkContext.defaultParallelism)  # files are read by size, counting costs by row
+    spark = words.sparkSession
+    spread = words.select("word", "n").repartition(max(shuffle_partitions(spark), 2 * spark.sparkContext.defaultParallelism))  # files are read by size, counting costs by row
     pairs = spread.mapInArrow(_context_counts(depth), "context string, symbol string, n long").groupBy("context", "symbol").agg(F.sum("n").alias("n"))
     pairs = stored(pairs, "tree-pairs")
     totals = pairs.groupBy("context").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
@@ -393,26 +394,27 @@ class Chunk:
         import numpy as np
 
         ids, learned = self.ids, np.concatenate([[False], np.repeat(self.held == 0, self.sizes)])
-        key, count, alive = self.h[ids], self.n[ids], np.ones(len(ids), bool)
+        # of the windows one word shorter: their keys and counts, which one ends at each place, and if one does
+        keys, numbers, slot, alive = self.h, self.n, ids, np.ones(len(ids), bool)
         for k in range(1, self.words + 1):
+            grown = alive[:-1] & np.append(numbers >= MIN_COUNT, False)[slot[:-1]]  # a context was seen as often as it was a window of the word before
             alive[:k] = False
             if k > 1:  # only the oldest word may be the document's start
                 alive[k:] &= ids[1 : len(ids) - k + 1] != self.end
-            alive[1:] &= count[:-1] >= MIN_COUNT  # a context was seen as often as it was a window of the word before
+            alive[1:] &= grown
             at = np.flatnonzero(alive).astype("int32")
-            longer = np.zeros(len(ids), "uint64")
-            longer[at] = (key[at] ^ (key[at] >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + self.h[ids[at - k]] * np.uint64(0xC2B2AE3D27D4EB4F)
-            keys, of = np.unique(longer[at], return_inverse=True)
+            own, before = keys[slot[at]], slot[at - 1]
+            longer, of = np.unique((own ^ (own >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + self.h[ids[at - k]] * np.uint64(0xC2B2AE3D27D4EB4F), return_inverse=True)
             if k > len(self.answers):
-                self.question = keys, np.bincount(of[learned[at]], minlength=len(keys))
+                self.question = longer, np.bincount(of[learned[at]], minlength=len(longer))
                 return
-            seen = self.answers[k - 1][of]
-            del keys, of
+            seen = self.answers[k - 1]
             if len(self.answers) >= self.words:
-                contexts, which = np.unique(key[at - 1], return_inverse=True)
-                self.levels.append((at, seen, count[at - 1], contexts, which.astype("int32")))
-            key, count = longer, np.zeros(len(ids), "int64")
-            count[at] = seen
+                present, which = np.flatnonzero(np.bincount(before, minlength=len(keys))), np.empty(len(keys), "int32")
+                which[present] = np.arange(len(present))
+                self.levels.append((at, seen[of], numbers[before], keys[present], which[before]))
+            keys, numbers, slot = longer, seen, np.zeros(len(ids), "int32")
+            slot[at] = of
 
     def contexts(self):
         """The contexts' keys, and the order that makes them ascend."""
@@ -525,11 +527,11 @@ def lm_score(df: DataFrame, key: str = "doc_id", text: str = "text", *, parts: i
     none = F.lit(0).alias("kind"), F.lit(0).alias("piece")
     state = chunks.select("chunk", *none, F.col("ids").alias("a"), F.col("held").alias("b"), F.col("h").alias("c"))
     for asked in range(words + 1 if words else 0):
-        known = reduce(DataFrame.unionByName, answers, state).repartition(pieces, "chunk").sortWithinPartitions("chunk")
+        known = reduce(DataFrame.unionByName, answers, state).repartition(3 * pieces, "chunk").sortWithinPartitions("chunk")
         question = known.mapInArrow(_questions(words, asked, pieces, learned), STATE)
         answer = question.repartition(pieces, "piece").sortWithinPartitions("piece").mapInArrow(_summed, STATE)
         answers.append(_stored(answer, f"lm-answer-{asked}"))
-    known = reduce(DataFrame.unionByName, answers, state).repartition(pieces, "chunk").sortWithinPartitions("chunk")
+    known = reduce(DataFrame.unionByName, answers, state).repartition(3 * pieces, "chunk").sortWithinPartitions("chunk")
     sums = _stored(known.mapInArrow(_sums(words), "chunk long, place int, b double, p double, k double"), "lm-sums")
     dropped(lines, *answers)
     base = math.log10(learned + 0.5 * (kinds + 1))
